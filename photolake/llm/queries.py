@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_format, jump_shard
+from . import chat_format, jump_shard, line_dedup
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PROBE = "</s>[INST] ok [/INST]"
@@ -27,9 +28,17 @@ def op6_jump_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_shard.shard_rows(_table(spark, sf_dir, "documents"), shards=16)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.drop_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op6_jump_shard": op6_jump_shard,
+    "op7_line_dedup": op7_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_line_dedup": line_dedup.ORACLE,
+}
