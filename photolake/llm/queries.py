@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, jump_shard, line_dedup
+from . import bpe_stream, chat_format, jump_shard, line_dedup, token_orc
+from .shared import shared_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PROBE = "</s>[INST] ok [/INST]"
@@ -24,6 +25,12 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(rows.unionByName(probe), TOKENIZER))
 
 
+def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "tokens")
+    token_orc.write_tokens(_table(spark, sf_dir, "documents"), path, TOKENIZER)
+    return token_orc.with_crc(token_orc.read_tokens(spark, path))
+
+
 def op6_jump_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_shard.shard_rows(_table(spark, sf_dir, "documents"), shards=16)
 
@@ -33,10 +40,18 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe_stream.encode_documents(docs, TOKENIZER).drop("text")
+    return bpe_stream.digests(bpe_stream.decode_documents(coded, TOKENIZER))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op4_token_orc": op4_token_orc,
     "op6_jump_shard": op6_jump_shard,
     "op7_line_dedup": op7_line_dedup,
+    "op9_bpe_stream": op9_bpe_stream,
 }
 
 ORACLE_SQL: dict[str, str] = {
