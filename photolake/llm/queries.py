@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, chat_format, jump_shard, line_dedup, token_orc
+from . import bpe_stream, chat_format, improbable_digest, jump_shard, line_dedup, token_orc
 from .shared import shared_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -46,12 +46,17 @@ def op9_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.digests(bpe_stream.decode_documents(coded, TOKENIZER))
 
 
+def op10_improbable_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return improbable_digest.neighbour_report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op4_token_orc": op4_token_orc,
     "op6_jump_shard": op6_jump_shard,
     "op7_line_dedup": op7_line_dedup,
     "op9_bpe_stream": op9_bpe_stream,
+    "op10_improbable_digest": op10_improbable_digest,
 }
 
 ORACLE_SQL: dict[str, str] = {
