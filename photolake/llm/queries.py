@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, chat_format, improbable_digest, jump_shard, line_dedup, token_orc
+from . import bpe_stream, chat_format, improbable_digest, jump_shard, line_dedup, mixing, token_orc
 from .shared import shared_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(rows.unionByName(probe), TOKENIZER))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.plan_mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source")
+
+
 def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "tokens")
     token_orc.write_tokens(_table(spark, sf_dir, "documents"), path, TOKENIZER)
@@ -52,6 +57,7 @@ def op10_improbable_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op3_mixing": op3_mixing,
     "op4_token_orc": op4_token_orc,
     "op6_jump_shard": op6_jump_shard,
     "op7_line_dedup": op7_line_dedup,
