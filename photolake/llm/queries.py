@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, chat_format, improbable_digest, jump_shard, line_dedup, mixing, token_orc
+from . import bpe_stream, chat_format, improbable_digest, jump_shard, kneser_ney, line_dedup, mixing, quality_mcd, token_orc
 from .shared import shared_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(rows.unionByName(probe), TOKENIZER))
 
 
+def op2_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mcd.judge_documents(_table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source")
@@ -36,6 +40,13 @@ def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.with_crc(token_orc.read_tokens(spark, path))
 
 
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    model = kneser_ney.train(docs.filter(~F.col("held_out")))
+    return kneser_ney.score_documents(docs, model)
+
+
 def op6_jump_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_shard.shard_rows(_table(spark, sf_dir, "documents"), shards=16)
 
@@ -57,8 +68,10 @@ def op10_improbable_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op2_quality_mcd": op2_quality_mcd,
     "op3_mixing": op3_mixing,
     "op4_token_orc": op4_token_orc,
+    "op5_kneser_ney": op5_kneser_ney,
     "op6_jump_shard": op6_jump_shard,
     "op7_line_dedup": op7_line_dedup,
     "op9_bpe_stream": op9_bpe_stream,
