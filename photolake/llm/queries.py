@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, chat_format, improbable_digest, jump_shard, kneser_ney, line_dedup, mixing, quality_mcd, token_orc
+from . import bagminhash, bpe_stream, chat_format, improbable_digest, jump_shard, kneser_ney, line_dedup, mixing, quality_mcd, token_orc
 from .shared import shared_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,6 +56,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe_stream.encode_documents(docs, TOKENIZER).drop("text")
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_kneser_ney": op5_kneser_ney,
     "op6_jump_shard": op6_jump_shard,
     "op7_line_dedup": op7_line_dedup,
+    "op8_bagminhash": op8_bagminhash,
     "op9_bpe_stream": op9_bpe_stream,
     "op10_improbable_digest": op10_improbable_digest,
 }
