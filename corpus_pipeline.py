@@ -1,12 +1,50 @@
-"""The corpus pipeline: documents through the dealt operators, stage by stage."""
+"""The corpus pipeline: documents through the dealt operators, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and is written as Parquet and read again before the next one
+sees it. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from photolake.llm import bagminhash, bpe_stream, line_dedup, mixing, quality_mcd
+from photolake.llm.queries import TOKENIZER
 from photolake.llm.shared import materialise
 
-STAGES = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or are outliers of their language and source go."""
+    return quality_mcd.keep_documents(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Long lines that many documents share stay in one of them; n_chars follows the text."""
+    cut = line_dedup.drop_lines(docs).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return cut.select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the least doc_id stays."""
+    return bagminhash.keep_one_of_each(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's budget takes them."""
+    return mixing.mix_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids; ``exact`` says that they decode to the text."""
+    coded = bpe_stream.decode_documents(bpe_stream.encode_documents(docs, TOKENIZER), TOKENIZER)
+    exact = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return coded.select("doc_id", "lang", "source", "n_chars", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", exact.alias("exact"))
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near), ("mixing", mix), ("bpe", encode)]
+
+#: Robust estimates, Poisson signatures, the knapsack and BPE are beyond SQL.
 ORACLE_SQL = None
 
 
