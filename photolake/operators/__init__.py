@@ -1 +1 @@
-
+"""Operators: functions of DataFrames that return DataFrames."""
