@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Letters with marks of the Latin blocks and what is left without them, from Unicode's own tables.
 _MARKED = {chr(c): b for c in range(0xC0, 0x250) if len(b := unicodedata.normalize("NFD", chr(c))[0]) == 1 and b != chr(c)}
@@ -19,7 +20,7 @@ def fold_text(text):
     return F.translate(F.lower(F.regexp_replace(plain, r"\p{Mn}+", "")), "ı", "i")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_any(texts: pd.Series) -> pd.Series:
     """The same for every script, by decomposition."""
     marked = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c))

@@ -1,0 +1,235 @@
+"""Pixels: analysis and rendering of RGBA rasters in Arrow batches, one picture at a time.
+
+Rasters are rows (image_id, width, height, data) with four bytes a pixel. Resampling is defined
+here: box means while halving, bilinear for the rest, nearest for pixelation.
+"""
+
+from __future__ import annotations
+
+import struct
+import zlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+ALPHA_CONTENT, ALPHA_OPAQUE, TOLERANCE = 64, 250, 24
+SPECK_EXTENT, SPECK_MASS = 0.005, 0.005
+
+
+def pixels(row) -> np.ndarray:
+    return np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, 4)
+
+
+def has_alpha(p: np.ndarray) -> bool:
+    return bool((p[..., 3] < ALPHA_OPAQUE).any())
+
+
+def background_colour(p: np.ndarray) -> np.ndarray:
+    """Per-channel upper median of the border; corners count twice."""
+    edge = np.concatenate((p[0], p[-1], p[:, 0], p[:, -1]))[:, :3]
+    return np.sort(edge, axis=0)[len(edge) // 2]
+
+
+def content_mask(p: np.ndarray, tolerance: int = TOLERANCE) -> np.ndarray:
+    """By alpha if over a fiftieth is transparent, else by distance from the background too."""
+    solid = p[..., 3] >= ALPHA_CONTENT
+    if (~solid).sum() > solid.size / 50:
+        return solid
+    off = p[..., :3].astype(np.int64) - background_colour(p)
+    return solid & ((off * off).sum(-1) > 3 * tolerance**2)
+
+
+def content_blobs(mask: np.ndarray) -> np.ndarray:
+    """Rows x0, y0, x1, y1, n of the 8-connected components.
+
+    Row runs are the nodes. Those of neighbouring rows that touch are found by two searches over
+    sorted positions, and the least run number spreads over these links until it rests.
+    """
+    high, wide = mask.shape
+    step = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    y, start = np.nonzero(step == 1)
+    end = np.nonzero(step == -1)[1] - 1
+    n = len(y)
+    if not n:
+        return np.zeros((0, 5), np.int64)
+    pitch = wide + 3
+    # runs above: those whose end is not left of start - 1 and whose start is not right of end + 1
+    first = np.searchsorted((y + 1) * pitch + end + 1, y * pitch + start)
+    last = np.searchsorted((y + 1) * pitch + start, y * pitch + end + 1, "right")
+    many = np.maximum(0, last - first)
+    lower = np.repeat(np.arange(n), many)
+    upper = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, label[lower], label[upper])
+        np.minimum.at(new, label[upper], label[lower])
+        new = np.minimum(new, new[new])
+        new = new[label]
+        if (new == label).all():
+            break
+        label = new
+    roots, of = np.unique(label, return_inverse=True)
+    out = np.empty((len(roots), 5), np.int64)
+    for column, (values, op, fill) in enumerate(((start, np.minimum, wide), (y, np.minimum, high), (end, np.maximum, -1), (y, np.maximum, -1))):
+        out[:, column] = fill
+        op.at(out[:, column], of, values)
+    out[:, 4] = np.bincount(of, end - start + 1)
+    return out
+
+
+def content_bounds(p: np.ndarray, tolerance: int = TOLERANCE, scale: float = 1.0) -> tuple[int, int, int, int] | None:
+    """x, y, width, height of what is not background, specks left out unless all are specks."""
+    mask = content_mask(p, tolerance)
+    blobs = content_blobs(mask)
+    if not len(blobs):
+        return None
+    high, wide = mask.shape
+    extent = max(2, int(np.floor(SPECK_EXTENT * max(wide, high) + 0.5)))
+    speck = (blobs[:, 2] - blobs[:, 0] < extent) & (blobs[:, 3] - blobs[:, 1] < extent) & (blobs[:, 4] <= mask.sum() * SPECK_MASS)
+    kept = blobs[~speck] if (~speck).any() else blobs
+    x, y = (int(np.floor(kept[:, k].min() / scale)) for k in (0, 1))
+    right, bottom = (int(np.ceil((kept[:, k].max() + 1) / scale)) for k in (2, 3))
+    return x, y, max(1, right - x), max(1, bottom - y)
+
+
+def halve(p: np.ndarray) -> np.ndarray:
+    """Box means of 2 x 2; an odd last row or column stands alone."""
+    p = np.pad(p.astype(np.float64), ((0, p.shape[0] % 2), (0, p.shape[1] % 2), (0, 0)), mode="edge")
+    return (p[::2, ::2] + p[1::2, ::2] + p[::2, 1::2] + p[1::2, 1::2]) / 4
+
+
+def bilinear(p: np.ndarray, wide: int, high: int) -> np.ndarray:
+    def axis(n: int, m: int):
+        at = np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1)
+        low = np.floor(at).astype(int)
+        return low, np.minimum(low + 1, n - 1), at - low
+
+    y0, y1, fy = axis(p.shape[0], high)
+    x0, x1, fx = axis(p.shape[1], wide)
+    p = p.astype(np.float64)
+    rows = p[y0] * (1 - fy)[:, None, None] + p[y1] * fy[:, None, None]
+    return rows[:, x0] * (1 - fx)[None, :, None] + rows[:, x1] * fx[None, :, None]
+
+
+def resize(p: np.ndarray, wide: int, high: int, crop: tuple[int, int, int, int] | None = None) -> np.ndarray:
+    if crop:
+        x, y, w, h = crop
+        p = p[y : y + h, x : x + w]
+    while p.shape[1] >= 2 * wide and p.shape[0] >= 2 * high:
+        p = halve(p)
+    return np.floor(np.clip(bilinear(p, wide, high), 0, 255) + 0.5).astype(np.uint8)
+
+
+def flatten(p: np.ndarray, fill: tuple[int, int, int] | None, format_: str, allow_transparency: bool = True) -> np.ndarray:
+    """A fill wins; JPEG is always on white, and others are where transparency is off."""
+    ground = fill or ((255, 255, 255) if format_ == "image/jpeg" or not allow_transparency else None)
+    if ground is None:
+        return p
+    a = p[..., 3:].astype(np.float64) / 255
+    out = np.full_like(p, 255)
+    out[..., :3] = np.floor(p[..., :3] * a + np.array(ground) * (1 - a) + 0.5)
+    return out
+
+
+def paint_boxes(p: np.ndarray, boxes: list[tuple[int, int, int, int, str]]) -> np.ndarray:
+    """Solid rectangles in order, already in output pixels."""
+    out = p.copy()
+    for x, y, w, h, fill in boxes:
+        out[y : y + h, x : x + w] = (*bytes.fromhex(fill.lstrip("#")), 255)
+    return out
+
+
+def redact_faces(p: np.ndarray, regions: list[tuple[int, int, int, int, int, int]], style: str = "blur", mask: np.ndarray | None = None) -> np.ndarray:
+    """Regions (bx, by, bw, bh, tw, th) reduced to tw x th and drawn back, blurred or in blocks."""
+    out = p.copy()
+    for bx, by, bw, bh, tw, th in regions:
+        part = p[by : by + bh, bx : bx + bw]
+        small = resize(part, tw, th)
+        if style == "blur":
+            back = np.floor(bilinear(small, bw, bh) + 0.5).astype(np.uint8)
+        else:
+            back = small[np.arange(bh) * th // bh][:, np.arange(bw) * tw // bw]
+        if mask is not None:
+            back = np.where(mask[by : by + bh, bx : bx + bw, None], back, part)
+        out[by : by + bh, bx : bx + bw] = back
+    return out
+
+
+def encode_png(p: np.ndarray) -> bytes:
+    """A PNG of unfiltered rows."""
+    high, wide = p.shape[:2]
+    rows = np.zeros((high, 1 + wide * 4), np.uint8)
+    rows[:, 1:] = p.reshape(high, -1)
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", wide, high, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + chunk(b"IEND", b"")
+
+
+def _each(rasters: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """One output row for each raster; pictures are bounded, and so is a task's memory."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in schema.split(", ")]
+        for pdf in batches:
+            yield pd.DataFrame([f(r) for r in pdf.itertuples(index=False)], columns=names)
+
+    return rasters.mapInPandas(run, schema)
+
+
+def analyse(rasters: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+    """image_id, has_alpha, background (r, g, b), content (pixels), blobs and the content box."""
+
+    def one(r):
+        p = pixels(r)
+        mask, box = content_mask(p, tolerance), content_bounds(p, tolerance)
+        x, y, w, h = box or (None,) * 4
+        return (r.image_id, has_alpha(p), *map(int, background_colour(p)), int(mask.sum()), len(content_blobs(mask)), x, y, w, h)
+
+    schema = "image_id long, has_alpha boolean, bg_r int, bg_g int, bg_b int, content long, blobs int, box_x int, box_y int, box_w int, box_h int"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in schema.split(", ")]
+        for pdf in batches:
+            out = pd.DataFrame([one(r) for r in pdf.itertuples(index=False)], columns=names)
+            yield out.astype({c: "Int32" for c in ("box_x", "box_y", "box_w", "box_h")})
+
+    return rasters.mapInPandas(run, schema)
+
+
+def process_and_encode(planned: DataFrame) -> DataFrame:
+    """The export path in one pass: crop, resize, redact, flatten, encode.
+
+    ``planned``: image_id, width, height, data, crop (struct or null), out_w, out_h, boxes (array of
+    structs in output pixels), fill (hex or null). Gives image_id, out_w, out_h, png.
+    """
+
+    def one(r):
+        crop = tuple(int(r.crop[k]) for k in ("x", "y", "width", "height")) if r.crop is not None else None
+        p = resize(pixels(r), int(r.out_w), int(r.out_h), crop)
+        p = paint_boxes(p, [(int(b["x"]), int(b["y"]), int(b["width"]), int(b["height"]), b["fill"]) for b in (r.boxes if r.boxes is not None else [])])
+        fill = tuple(bytes.fromhex(r.fill.lstrip("#"))) if r.fill else None
+        return r.image_id, int(r.out_w), int(r.out_h), encode_png(flatten(p, fill, "image/png"))
+
+    return _each(planned, one, "image_id long, out_w int, out_h int, png binary")
+
+
+def draw_collages(placed: DataFrame) -> DataFrame:
+    """Collages from rows (collage_id, slot_no, canvas_w, canvas_h, x, y, w, h, draw_x, draw_y,
+    draw_w, draw_h, width, height, data): at most nine rows a group. Gives collage_id, png."""
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        canvas = np.full((int(first.canvas_h), int(first.canvas_w), 4), 255, np.uint8)
+        for r in pdf.sort_values("slot_no").itertuples(index=False):
+            drawn = resize(pixels(r), max(1, round(r.draw_w)), max(1, round(r.draw_h)))
+            x0, y0, x1, y1 = max(0, int(r.x)), max(0, int(r.y)), min(canvas.shape[1], int(r.x + r.w)), min(canvas.shape[0], int(r.y + r.h))
+            sx, sy = np.clip(np.arange(x0, x1) - int(r.draw_x), 0, drawn.shape[1] - 1), np.clip(np.arange(y0, y1) - int(r.draw_y), 0, drawn.shape[0] - 1)
+            canvas[y0:y1, x0:x1] = flatten(drawn[sy][:, sx], (255, 255, 255), "image/png")
+        return pd.DataFrame({"collage_id": [first.collage_id], "png": [encode_png(canvas)]})
+
+    return placed.groupBy("collage_id").applyInPandas(draw, "collage_id long, png binary")

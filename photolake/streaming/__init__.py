@@ -1 +1 @@
-
+"""Append-only arrival of photos."""
