@@ -307,11 +307,11 @@ def c4(spark, sf_dir):
 @query(
     "c5_cover_placement",
     f"""WITH b AS (SELECT *, greatest(w/iw, h/ih)*greatest(1.0, zoom) AS s FROM (SELECT photo_id, ord, x, y, width + 10 AS w, height + 10 AS h, 640.0::DOUBLE AS iw, 480.0::DOUBLE AS ih, (ord % 5)/2.0::DOUBLE AS zoom, (ord % 4)/2.0::DOUBLE - 0.5 AS ox, (ord % 3)/2.0::DOUBLE AS oy FROM ({fx.BOXES}) z) q)
- SELECT photo_id, ord, round(iw*s, 6) AS draw_w, round(x+(w-iw*s)*least(1.0, greatest(0.0, ox)), 6) AS draw_x, round(y+(h-ih*s)*least(1.0, greatest(0.0, oy)), 6) AS draw_y FROM b""",
+ SELECT photo_id, ord, round(iw*s, 6) + 0.0 AS draw_w, round(x+(w-iw*s)*least(1.0, greatest(0.0, ox)), 6) + 0.0 AS draw_x, round(y+(h-ih*s)*least(1.0, greatest(0.0, oy)), 6) + 0.0 AS draw_y FROM b""",
 )
 def c5(spark, sf_dir):
     rows = boxes(spark, sf_dir).selectExpr("photo_id", "ord", "x", "y", "width + 10 AS w", "height + 10 AS h", "640.0D AS iw", "480.0D AS ih", "(ord % 5)/2.0D AS zoom", "(ord % 4)/2.0D - 0.5D AS ox", "(ord % 3)/2.0D AS oy")
-    return collage.cover_placement(rows).select("photo_id", "ord", *[F.round(c, 6).alias(c) for c in ("draw_w", "draw_x", "draw_y")])
+    return collage.cover_placement(rows).select("photo_id", "ord", *[(F.round(c, 6) + 0.0).alias(c) for c in ("draw_w", "draw_x", "draw_y")])
 
 
 _PEOPLE = "SELECT c_custkey AS photo_id FROM customer"
