@@ -128,7 +128,7 @@ def format_conversations(turns: DataFrame, tokenizer_path: str, loss_roles: tupl
     return whole.mapInArrow(run, SCHEMA)
 
 
-READ_BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long"
+READ_BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -143,10 +143,24 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 said, loss = parse(text), masked_text(text, starts, ends, mask)
                 digest = hashlib.sha256("".join(f"{t.role}\n{t.text}\n" for t in said).encode()).hexdigest()
                 rows.append(
-                    (batch["conv_id"][k].as_py(), len(said), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text), len(starts), int(mask.sum()))
+                    (batch["conv_id"][k].as_py(), len(said), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text))
                 )
             names = [x.split()[0] for x in READ_BACK.split(", ")]
             kinds = [pa.string() if "sha256" in n else pa.int64() for n in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names)
 
     return formatted.mapInArrow(run, READ_BACK)
+
+
+#: The digests from the rows themselves; a turn adds 25 characters of markers and a newline.
+ORACLE = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '{probe}'), (-1, 1, 'assistant', '{probe}')) v),
+said AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t) AS turns,
+    coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (r = 'assistant'), '') AS loss,
+    CAST(sum(25 + length(regexp_replace(r, '<(\\*)\|', '<\1\\|', 'g')) + length(regexp_replace(t, '<(\\*)\|', '<\1\\|', 'g'))) AS BIGINT) AS formatted_chars
+  FROM rows GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM said
+"""

@@ -96,3 +96,29 @@ def shard_rows(df: DataFrame, shards: int = 16, key: str = "doc_id", text: str =
     return numbered.join(F.broadcast(heads), ["part", "shard"]).select(
         key, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("at") + F.col("shift")).cast("long").alias("slot"), "grown_shard"
     )
+
+
+#: Jump points by recursion over 128-bit integers; CRC-32 by its table, a byte at a time.
+ORACLE = """
+WITH RECURSIVE bits(n, c, k) AS (
+  SELECT n, n::BIGINT, 0 FROM range(256) r(n)
+  UNION ALL SELECT n, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY n) AS l FROM bits WHERE k = 8),
+docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+sized AS (
+  SELECT doc_id, strlen(text) + 1 AS size,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT)),
+      lambda a, b: xor(a // 256, l[xor(a % 256, b) + 1])), 4294967295) AS text_crc32
+  FROM docs, tab),
+jump(doc_id, key, b, shard, grown) AS (
+  SELECT DISTINCT doc_id, doc_id::HUGEINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM docs
+  UNION ALL
+  SELECT doc_id, (key * 2862933555777941757 + 1) % 18446744073709551616,
+    CAST(floor((b + 1) * (2147483648.0::DOUBLE / (((key * 2862933555777941757 + 1) % 18446744073709551616) // 8589934592 + 1)::DOUBLE)) AS BIGINT),
+    CASE WHEN b < 16 THEN b ELSE shard END, b
+  FROM jump WHERE b <= 16),
+placed AS (SELECT doc_id, shard, grown FROM jump WHERE b > 16)
+SELECT s.doc_id, s.size, s.text_crc32, 'key' AS law, CAST(p.shard AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY p.shard ORDER BY s.doc_id, s.text_crc32, s.size) - 1 AS slot, CAST(p.grown AS INTEGER) AS grown_shard
+FROM sized s JOIN placed p ON p.doc_id = s.doc_id
+"""

@@ -84,5 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_chat_format": chat_format.ORACLE.format(probe=PROBE),
+    "op6_jump_shard": jump_shard.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
 }
