@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cut import settle
+
 KM_PER_DEGREE = 111.32
 COUNTRY_NEAR_KM, REGION_NEAR_KM = 25.0, 3.0
 _BROADCAST_VERTICES = 5_000_000
@@ -182,7 +184,7 @@ def locate(
 
     ``points``: point_id, lon, lat, x, y (and keys).
     """
-    inside = join_points_polygons(points, polygons, cell, keys).withColumn("km", F.lit(None).cast("double"))
+    inside = settle(join_points_polygons(points, polygons, cell, keys)).withColumn("km", F.lit(None).cast("double"))
     missed = points.join(inside.select("point_id"), "point_id", "left_anti")
     near = join_points_nearest_border(missed, polygons, near_km, cell, scale, tx, ty, keys)
     found = inside.unionByName(near)
@@ -218,7 +220,7 @@ def nearest_place(located: DataFrame, places: DataFrame, cell: float, scale: flo
     # a cell's towns are within its rim; the broadcast is bounded by the gazetteer's own size
     first = around.join(grid, ["code", "cx", "cy"]).withColumn("b", nearest(F.col("spots"))).groupBy("point_id").agg(F.min("b").alias("b"))
     rim = cell_deg * F.least(F.lit(1.0), k)
-    sure = located.join(first, "point_id").filter(F.col("b.sq") < rim * rim).select("point_id", "b")
+    sure = settle(located.join(first, "point_id").filter(F.col("b.sq") < rim * rim).select("point_id", "b"))
     rest = located.join(sure.select("point_id"), "point_id", "left_anti")
     whole = rest.join(grid.select("code", "spots"), "code").withColumn("b", nearest(F.col("spots"))).groupBy("point_id").agg(F.min("b").alias("b"))
     return sure.unionByName(whole).select("point_id", F.col("b.name").alias("place"), (F.sqrt("b.sq") * KM_PER_DEGREE).alias("place_km"))

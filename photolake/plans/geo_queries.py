@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.cut import settle
 from ..operators import geo
 from . import fixtures as fx
 from .registry import query
@@ -68,7 +69,7 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def located(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points with country, code, approximate and offshore_km."""
-    world = countries(spark, sf_dir)
+    world = settle(countries(spark, sf_dir))
     found = geo.locate(points(spark, sf_dir), world.drop("name_id", "name"), geo.COUNTRY_NEAR_KM, CELL, **_GRID)
     names = world.select("poly_id", F.col("name_id").alias("code"), F.col("name").alias("country"))
     return found.join(F.broadcast(names), "poly_id", "left")  # as many rows as polygons, which were sent already
@@ -76,11 +77,12 @@ def located(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def refined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """located() with the region of the country found first, and the nearest town where there is one."""
-    at = located(spark, sf_dir)
-    sets = regions(spark, sf_dir)
+    at = settle(located(spark, sf_dir))
+    sets = settle(regions(spark, sf_dir))
     asked = at.filter("code is not null").select("point_id", "lon", "lat", "x", "y", "code")
     hit = geo.locate(asked, sets.drop("name"), geo.REGION_NEAR_KM, CELL, **_GRID, keys=["code"]).filter("poly_id is not null")
     hit = hit.join(F.broadcast(sets.select("poly_id", F.col("name").alias("region"))), "poly_id").select("point_id", "lon", "lat", "x", "y", "code", "region")
+    hit = settle(hit)
     towns = geo.nearest_place(hit, fx.view(spark, sf_dir, fx.PLACES), CELL, **_GRID)
     told = hit.select("point_id", "region").join(towns, "point_id", "left")
     return at.join(told, "point_id", "left")
