@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import ChunkCache, chunks_of
+from .chunks import ChunkCache, chunks_of, without_cycle_search
 
 #: Fixed value: the published pretokenizer pattern of byte-level BPE.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -159,7 +159,7 @@ class StreamEncoder:
 
     def __init__(self, table: MergeTable, cache: ChunkCache | None = None):
         self.table = table
-        self.cache = cache or ChunkCache(self.encode_chunks)
+        self.cache = cache or ChunkCache(self.encode_chunks, entries=250_000)
         self.special = regex.compile("|".join(regex.escape(x) for x in sorted(table.added, key=len, reverse=True))) if table.added else None
         self.tail, self.pending, self.open = "", "", None
         self.longest = max(map(len, table.added), default=1)
@@ -300,7 +300,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             _, encoder = _machines(tokenizer_path)
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
-                coded = [encode_text(encoder, t) for t in some["_body"].to_pylist()]
+                with without_cycle_search():
+                    coded = [encode_text(encoder, t) for t in some["_body"].to_pylist()]
                 ends = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32)))
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], ids], [*some.schema.names[:-1], "token_ids"])

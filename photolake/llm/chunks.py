@@ -1,39 +1,76 @@
 """Cutting a text where a byte-level BPE pretokenizer always cuts, and a bounded cache of results.
 
-The pretokenizer starts a new piece at every single space between two non-space characters, so what
-stands between such places can be encoded on its own; words repeat, and so do these chunks.
+The pretokenizer starts a new piece at every space or newline after a non-space character, and after
+a newline that stands alone between two such characters. What lies between these places can be
+encoded on its own; words repeat, and so do these chunks.
 """
 
 from __future__ import annotations
 
+import gc
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 #: ``\S`` of ``re`` is narrower than the pretokenizer's, which only means fewer cuts.
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+_CUT = re.compile(r"(?<=\S)(?=[ \n])")
 
 
 def chunks_of(text: str) -> list[str]:
-    return _CUT.split(text) if text else []
+    out: list[str] = []
+    for k, line in enumerate(text.split("\n")):
+        pieces = line.split(" ")
+        # a printable line has no space but the plain one; '' tells of two in a row or at an end
+        if "" in pieces or not line.isprintable():
+            return _CUT.split(text) if text else []
+        if k:
+            out.append("\n")
+        out.append(pieces[0])
+        out += [" " + x for x in pieces[1:]]
+    return out
+
+
+@contextmanager
+def without_cycle_search() -> Iterator[None]:
+    """Millions of strings in lists form no cycles, but the collector would look again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
 class ChunkCache:
-    """Encoded bytes by chunk. Emptied when it is full, so its memory is bounded."""
+    """Encoded bytes by chunk, of at most ``entries`` chunks. A full cache is kept until as many
+    chunks again have missed it, and then begun anew."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int = 400_000, longest: int = 200):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int = 600_000, longest: int = 200):
         self.encode, self.entries, self.longest = encode, entries, longest
         self.held: dict[str, bytes] = {}
+        self.missed = 0
+
+    def encode_many(self, texts: list[list[str]]) -> list[bytes]:
+        look = self.held.get
+        found = [list(map(look, chunks)) for chunks in texts]
+        partial = [k for k, got in enumerate(found) if None in got]
+        missing = list({x for k in partial for x, y in zip(texts[k], found[k], strict=True) if y is None})
+        if missing:
+            new = dict(zip(missing, self.encode(missing), strict=True))
+            for k in partial:
+                found[k] = [new[x] if y is None else y for x, y in zip(texts[k], found[k], strict=True)]
+            self.keep(new)
+        return [b"".join(got) for got in found]
 
     def encode_text(self, chunks: list[str]) -> bytes:
-        held = self.held
-        try:
-            return b"".join(map(held.__getitem__, chunks))
-        except KeyError:
-            pass
-        missing = [x for x in dict.fromkeys(chunks) if x not in held]
-        new = dict(zip(missing, self.encode(missing), strict=True))
-        out = b"".join([held[x] if x in held else new[x] for x in chunks])
-        if len(held) + len(new) > self.entries:
-            held.clear()
-        held.update((k, v) for k, v in new.items() if len(k) <= self.longest)
-        return out
+        return self.encode_many([chunks])[0]
+
+    def keep(self, new: dict[str, bytes]) -> None:
+        if len(self.held) + len(new) > self.entries:
+            self.missed += len(new)
+            if self.missed > self.entries:
+                self.held.clear()
+                self.missed = 0
+            return
+        self.held.update((x, y) for x, y in new.items() if len(x) <= self.longest)

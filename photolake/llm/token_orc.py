@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import ChunkCache, chunks_of
+from .chunks import ChunkCache, chunks_of, without_cycle_search
 
 FILE_SCHEMA = "doc_id long, file_start long, n_tokens int, tokens array<int>"
 _cache: dict[str, ChunkCache] = {}
+_RUN = 4096  # chunks encoded in one call
 
 
 def _encoder(path: str) -> ChunkCache:
@@ -34,10 +35,50 @@ def _encoder(path: str) -> ChunkCache:
         tokenizer.no_truncation()
         tokenizer.no_padding()
 
-        def encode(chunks: list[str]) -> list[bytes]:
-            return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        width = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True) + 1, np.int64)
+        width[list(vocabulary.values())] = [len(t) for t in vocabulary]  # a character stands for a byte
+        for k, added in tokenizer.get_added_tokens_decoder().items():
+            width[k] = len(added.content.encode())
+
+        def ids_of(texts: list[str]) -> list[np.ndarray]:
+            return [np.asarray(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+        def encode_all(chunks: list[str]) -> dict[str, bytes]:
+            """Chunks that surely part from their neighbours are encoded many at a call: the ids'
+            widths in bytes tell where one ends."""
+            out: dict[str, bytes] = {}
+            sure = [c for c in chunks if not c[-1].isspace() and not (c[1:2] if c[0] == " " else c[0]).isspace()]
+            rest = list(set(chunks).difference(sure))
+            runs = [sure[k : k + _RUN] for k in range(0, len(sure), _RUN)]
+            # a newline parts a chunk without a space from the one before, and is cut off again
+            texts = ["".join([c if c[0] == " " else "\n" + c for c in r]) for r in runs]
+            for run, ids in zip(runs, ids_of(texts), strict=True):
+                lead = np.fromiter((c[0] != " " for c in run), np.int64, len(run))
+                ends = np.cumsum(np.fromiter((len(c.encode()) for c in run), np.int64, len(run)) + lead)
+                starts = np.concatenate(([0], ends[:-1])) + lead
+                reach = np.cumsum(width[ids])
+                first, last = np.searchsorted(reach, starts, "right"), np.searchsorted(reach, ends, "right")
+                data = ids.tobytes()
+                for c, a, b in zip(run, (4 * first).tolist(), (4 * last).tolist(), strict=True):
+                    out[c] = data[a:b]
+            out |= zip(rest, (x.tobytes() for x in ids_of(rest)), strict=True)
+            return out
+
+        marks = {c: ids_of([c])[0].tobytes() for c in ",."}
 
-        _cache[path] = ChunkCache(encode)
+        def encode(chunks: list[str]) -> list[bytes]:
+            """A mark after a letter is a token of its own, so that a word is encoded once for all
+            its marks."""
+            bare = {c: c[:-1] for c in chunks if c[-1] in marks and len(c) > 2 and c[-2].isalpha()}
+            held = cache.held
+            asked = {b for b in bare.values() if b not in held}
+            coded = encode_all(list(asked.union(c for c in chunks if c not in bare)))
+            out = [(held[b] if (b := bare[c]) not in asked else coded[b]) + marks[c[-1]] if c in bare else coded[c] for c in chunks]
+            cache.keep({b: coded[b] for b in asked})
+            return out
+
+        cache = _cache[path] = ChunkCache(encode)
     return _cache[path]
 
 
@@ -69,7 +110,8 @@ def write_tokens(
             encoder = _encoder(tokenizer_path)
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
-                coded = [encoder.encode_text(chunks_of(t)) + end for t in some["text"].to_pylist()]
+                with without_cycle_search():
+                    coded = [c + end for c in encoder.encode_many([chunks_of(t) for t in some["text"].to_pylist()])]
                 sizes = np.array([len(x) // 4 for x in coded], np.int64)
                 starts = before + np.cumsum(sizes) - sizes
                 before += int(sizes.sum())

@@ -77,4 +77,15 @@ def test_cache_is_bounded():
     cache = ChunkCache(lambda xs: [x.encode() for x in xs], entries=10)
     for k in range(50):
         assert cache.encode_text([str(k), str(k + 1)]) == f"{k}{k + 1}".encode()
-        assert len(cache.held) <= 12
+        assert len(cache.held) <= 10
+
+
+def test_chunks_are_encoded_on_their_own(library):
+    from photolake.llm import chunks as ch
+
+    rng = random.Random(9)
+    for k in range(3000):
+        text = "".join(rng.choice(["a", "b.", " ", " ", "\n", "\xa0", "é", "\x1c", "\r"] if k % 2 else ["a", "é", " ", ".", "\n", "'s"]) for _ in range(rng.randrange(14)))
+        parts = ch.chunks_of(text)
+        assert "".join(parts) == text
+        assert [i for c in parts for i in library.encode(c, add_special_tokens=False).ids] == library.encode(text, add_special_tokens=False).ids
