@@ -12,8 +12,9 @@ turned into n(n-1)/2 pairs: rounds compare one pivot of each bucket with its oth
 components of verified links grow between rounds. A last round compares what is left: in each
 bucket, texts outside its largest component with those of other components, unless their known
 distances to a pivot differ by more than a link allows (one less the weighted Jaccard similarity is
-a metric). So every pair that shares a bucket is compared, already joined through others, or proven
-too far. Every comparison is exact, on the bags themselves.
+a metric), or their shingles, counted by class, cannot overlap enough. So every pair that shares a
+bucket is compared, already joined through others, or proven too far. Every comparison is exact, on
+the bags themselves.
 
 Nodes are distinct texts (MD5), so copies cost nothing beyond their node.
 """
@@ -34,6 +35,7 @@ SHINGLE = 5
 ROWS, BANDS = 6, 30
 SIZE = ROWS * BANDS
 PIVOT_ROUNDS = 2
+CLASSES = 256
 _NUMERATOR, _DENOMINATOR = 4, 5  # a link: similarity of 0.8 or more
 _FAR = 1 - _NUMERATOR / _DENOMINATOR
 _BROADCAST_ROWS = 1_000_000  # of 16 bytes and a little
@@ -161,9 +163,8 @@ def _small(df: DataFrame, rows: int = _BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def _texts(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, body) of the nodes that occur in pairs, from one document of each."""
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _texts(docs: DataFrame, reps: DataFrame, needed: DataFrame) -> DataFrame:
+    """(node, body) of the needed nodes, from one document of each."""
     chosen = materialise(reps.join(needed, "node", "left_semi").select("node", "_id"), "near-needed")
     rows = docs.select(_id(), _node(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
     found = rows.join(_small(chosen), ["_id", "node"], "left_semi")
@@ -267,13 +268,14 @@ def near_classes(docs: DataFrame) -> DataFrame:
         mixed = now.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("bucket")
         # buckets that are one component already ask for nothing more
         members = materialise(now.join(mixed, "bucket", "left_semi"), "near-members")
-        pairs = _pivot_pairs(members, k) if k < PIVOT_ROUNDS else _remaining_pairs(members, done)
+        pairs = _pivot_pairs(members, k) if k < PIVOT_ROUNDS else _remaining_pairs(docs, reps, members, done)
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         pairs = materialise(pairs, "near-asked")
         if not pairs.limit(1).count():
             break
-        compared = _compare(pairs, _texts(docs, reps, pairs))
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        compared = _compare(pairs, _texts(docs, reps, ends))
         done = compared if done is None else done.unionByName(compared)
         links = _linked(done)
         labels = components(links)
@@ -300,23 +302,49 @@ def _pivot_pairs(members: DataFrame, turn: int) -> DataFrame:
     return met.select(*_ordered(F.col("node"), F.col("p.node"))).distinct()
 
 
-def _remaining_pairs(members: DataFrame, done: DataFrame) -> DataFrame:
-    """Distinct pairs in a bucket of different components, one of them not the bucket's largest.
+def _class_counts(texts: DataFrame) -> DataFrame:
+    """(node, total, classes): how many shingles a text has, in all and in each of CLASSES classes
+    of shingle hashes. Two texts share at most the sum of the lesser counts. Texts that have over
+    32,767 in some class have no classes, and are then never ruled out by them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = _bodies(batch["body"])
+            for s in text_slices([len(t) for t in bodies]):
+                n = s.stop - s.start
+                doc, shingle, times = bags(split_words(bodies[s]), n)
+                cell = doc * CLASSES + ((shingle >> np.uint64(40)) % np.uint64(CLASSES)).astype(np.int64)
+                counts = np.bincount(cell, times, minlength=n * CLASSES).reshape(n, CLASSES)
+                lists = [c.astype(np.int16) if c.max() <= 32767 else None for c in counts]
+                total = pa.array(counts.sum(1).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([batch["node"].slice(s.start, n), total, pa.array(lists, pa.list_(pa.int16()))], ["node", "total", "classes"])
+
+    return texts.mapInArrow(run, "node binary, total long, classes array<smallint>")
+
+
+def _remaining_pairs(docs: DataFrame, reps: DataFrame, members: DataFrame, done: DataFrame) -> DataFrame:
+    """Distinct pairs in a bucket of different components, one of them not the bucket's largest, but
+    for those that cannot be links.
 
     Each member's distance to the first turn's pivot is known if it was compared; a difference of
-    more than a link allows rules a pair out.
+    more than a link allows rules a pair out. So do class counts (_class_counts) that leave too
+    little to share. Both bounds are exact, and are tested before a pair becomes a row.
     """
     pivots = members.groupBy("bucket").agg(F.min_by("node", F.struct(F.xxhash64("node", F.lit(0)), "node")).alias("pivot"))
     away = done.select("a", "b", (1 - F.col("shared") / F.col("united")).alias("away"))
     told = members.join(pivots, "bucket").withColumns({"a": F.least("node", "pivot"), "b": F.greatest("node", "pivot")})
     told = told.join(away, ["a", "b"], "left").select("bucket", "node", "label", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("away")).alias("away"))
-    told = materialise(told, "near-told")
+    counts = _class_counts(_texts(docs, reps, members.select("node").distinct()))
+    told = materialise(told.join(counts, "node"), "near-told")
     parts = told.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     largest = parts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
     small = told.join(largest, "bucket").filter(F.col("label") != F.col("largest")).select(
-        "bucket", F.col("node").alias("u"), F.col("label").alias("u_label"), F.col("away").alias("u_away"), "largest"
-    )
-    possible = F.coalesce(F.abs(F.col("u_away") - F.col("away")) <= _FAR + 1e-9, F.lit(True))
+        "bucket", F.col("node").alias("u"), F.col("label").alias("u_label"), F.col("away").alias("u_away"),
+        F.col("total").alias("u_total"), F.col("classes").alias("u_classes"), "largest",
+    )
+    most = F.aggregate(F.zip_with("classes", "u_classes", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b.cast("int"))
+    enough = most * (_DENOMINATOR + _NUMERATOR) >= (F.col("total") + F.col("u_total")) * _NUMERATOR
+    possible = F.coalesce(F.abs(F.col("u_away") - F.col("away")) <= _FAR + 1e-9, F.lit(True)) & F.coalesce(enough, F.lit(True))
     once = (F.col("label") == F.col("largest")) | (F.col("u") < F.col("node"))  # two small ones meet once
     met = small.join(told, "bucket").filter((F.col("label") != F.col("u_label")) & once & possible)
     return met.select(*_ordered(F.col("u"), F.col("node"))).distinct()

@@ -99,3 +99,18 @@ def test_empty(spark):
 
 def test_text_without_words_has_no_signature():
     assert not bm.signatures(*bm.bags(split_words([b"", b" \n"]), 2), 2).any() and np.zeros(1).sum() == 0
+
+
+def test_remaining_pairs_are_only_those_that_may_link(spark, monkeypatch):
+    """With no pivot round everything is left to the last one."""
+    monkeypatch.setattr(bm, "PIVOT_ROUNDS", 1)
+    rng = random.Random(8)
+    base = prose(rng, 150)
+    rows = []
+    for k in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    got = bm.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.class_docs) for r in got) == brute(rows)
