@@ -77,8 +77,10 @@ def count_stats(w: Words, texts: int) -> pd.DataFrame:
 
 
 def text_stats(texts: pd.Series) -> pd.DataFrame:
-    coded = [t.encode() if t is not None else b"" for t in texts]
-    parts = [count_stats(split_words(coded[s]), s.stop - s.start) for s in text_slices([len(t) for t in coded])]
+    parts = []
+    for at in range(0, len(texts), 256):  # few texts are bytes at once
+        coded = [t.encode() if t is not None else b"" for t in texts.iloc[at : at + 256]]
+        parts += [count_stats(split_words(coded[s]), s.stop - s.start) for s in text_slices([len(t) for t in coded], 1 << 19)]
     return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: np.zeros(0, np.int64) for c in STATS})
 
 

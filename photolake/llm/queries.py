@@ -12,10 +12,17 @@ from . import bagminhash, bpe_stream, chat_format, improbable_digest, jump_shard
 from .shared import shared_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: Rows of an Arrow batch. Texts may be long, and a batch is in a worker's memory whole.
+ARROW_ROWS = "1000"
 PROBE = "</s>[INST] ok [/INST]"
 
 
+def lean_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
