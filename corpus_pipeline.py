@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photolake.llm import bagminhash, bpe_stream, line_dedup, mixing, quality_mcd
-from photolake.llm.queries import TOKENIZER
+from photolake.llm.queries import TOKENIZER, lean_batches
 from photolake.llm.shared import materialise
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or are outliers of their language and source go."""
+    lean_batches(spark)
     return quality_mcd.keep_documents(docs)
 
 
@@ -27,6 +28,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the least doc_id stays."""
+    lean_batches(spark)
     return bagminhash.keep_one_of_each(docs)
 
 
@@ -37,6 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids; ``exact`` says that they decode to the text."""
+    lean_batches(spark)
     coded = bpe_stream.decode_documents(bpe_stream.encode_documents(docs, TOKENIZER), TOKENIZER)
     exact = F.col("decoded") == F.coalesce("text", F.lit(""))
     return coded.select("doc_id", "lang", "source", "n_chars", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", exact.alias("exact"))
