@@ -362,6 +362,21 @@ def k2(spark, sf_dir):
     return told.select("article_id", F.size("sources").cast("long").alias("sources"), F.array_min("sources").alias("first_url"))
 
 
+@query(
+    "k2_attach_all_sources",
+    f"""WITH {_ARTICLES}, n AS (SELECT count(*) AS n FROM articles), s AS (SELECT l_orderkey % n AS article_id, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS ord, concat('u', l_partkey) AS url FROM lineitem CROSS JOIN n),
+ t AS (SELECT article_id, count(*) AS n, string_agg(url, ' ' ORDER BY ord) AS urls FROM s GROUP BY article_id) SELECT a.article_id, coalesce(n, 0) AS sources, md5(coalesce(urls, '')) AS digest FROM articles a LEFT JOIN t USING (article_id)""",
+)
+def k2_all(spark, sf_dir):
+    """Every row of lineitem is a source of one of the articles (their ids run from 0), in order."""
+    rows = article_rows(spark, sf_dir)
+    count = F.broadcast(rows.agg(F.count(F.lit(1)).alias("n")))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").crossJoin(count)
+    sources = lines.select((F.col("l_orderkey") % F.col("n")).alias("article_id"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("ord"), F.concat(F.lit("u"), "l_partkey").alias("url"))
+    told = articles.attach_sources(rows, sources)
+    return told.select("article_id", F.size("sources").cast("long").alias("sources"), F.md5(F.array_join("sources", " ").cast("binary")).alias("digest"))
+
+
 @query("k3_fold_text", "SELECT doc_id AS article_id, md5(replace(lower(strip_accents(text)), 'ı', 'i')) AS folded FROM documents")
 def k3(spark, sf_dir):
     return article_rows(spark, sf_dir).select("article_id", F.md5(articles.fold_text(F.col("body")).cast("binary")).alias("folded"))
