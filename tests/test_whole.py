@@ -1,6 +1,9 @@
 """Queries that do the whole job where an older one keeps a part of it."""
 
-from photolake.plans.queries import QUERIES
+import duckdb
+import pytest
+
+from photolake.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -9,3 +12,19 @@ def test_every_line_is_a_source(spark):
     rows = QUERIES["k2_attach_all_sources"](spark, SF).collect()
     assert sum(r.sources for r in rows) == spark.read.parquet(f"{SF}/lineitem.parquet").count()
     assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+@pytest.mark.parametrize("name", ["m9_whole_segments", "m10_m14_scrub_whole_jpeg"])
+def test_whole_texts_in_jpegs(spark, tmp_path, name):
+    """Texts at a segment's limit, over several and empty, with letters cut between segments."""
+    texts = ["", "a" * 65533, "a" * 65534, "é" * 100_000, "b" * 65533 * 3, "short"]
+    spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(ORACLE_SQL[name]).fetchall())
+    if name == "m9_whole_segments":
+        bodies = {k: [r[3] - 4 for r in got if r[0] == k and r[2] == "E1"] for k in range(6)}
+        assert bodies == {0: [0], 1: [65533], 2: [65533, 1], 3: [65533, 65533, 65533, 3401], 4: [], 5: [5]}
+    else:
+        assert {r[0]: r[2] for r in got} == {k: 0 if k == 4 else sum(4 + len(t[s : s + 65533]) for t in [t.encode()] for s in range(0, len(t) or 1, 65533)) + 13 for k, t in enumerate(texts)}
