@@ -267,6 +267,32 @@ def c2_grid4(spark, sf_dir):
     return spaces.select("collage_id", "slot_no", *[F.round(c, 6).alias(c) for c in "xywh"])
 
 
+# one side of a space, told without the tree: it starts at a of the room (the canvas without c gaps) and b gaps past the first, and takes p of the room
+_SIDES = "('1',0,1,0,1,2),('2a',0,2,0,1,3),('2b',1,2,1,1,3),('3a',0,3,0,1,4),('3b',1,3,1,1,4),('3c',2,3,2,1,4),('La',0,3,0,2,3),('Lb',2,3,1,1,3)"
+_SPACES = [
+    [("2a", "1"), ("2b", "1")], [("1", "2a"), ("1", "2b")], [("3a", "1"), ("3b", "1"), ("3c", "1")], [("1", "3a"), ("1", "3b"), ("1", "3c")],
+    [("La", "1"), ("Lb", "2a"), ("Lb", "2b")], [("1", "La"), ("2a", "Lb"), ("2b", "Lb")], [("2a", "2a"), ("2b", "2a"), ("2a", "2b"), ("2b", "2b")],
+    [("La", "1"), ("Lb", "3a"), ("Lb", "3b"), ("Lb", "3c")], [("1", "La"), ("3a", "Lb"), ("3b", "Lb"), ("3c", "Lb")],
+    [("3a", "2a"), ("3b", "2a"), ("3c", "2a"), ("3a", "2b"), ("3b", "2b"), ("3c", "2b")],
+    [("3a", "3a"), ("3b", "3a"), ("3c", "3a"), ("3a", "3b"), ("3b", "3b"), ("3c", "3b"), ("3a", "3c"), ("3b", "3c"), ("3c", "3c")],
+]
+_SPACE_ROWS = ", ".join(f"({k}, {n}, '{x}', '{y}')" for k, spaces in enumerate(_SPACES) for n, (x, y) in enumerate(spaces))
+
+
+@query(
+    "c2_collage_spaces",
+    f"""WITH c AS ({_COLLAGES}), r AS (SELECT *, [1.0::DOUBLE, 1.0, 4/5.0::DOUBLE, 9/16.0::DOUBLE, 16/9.0::DOUBLE, 3/2.0::DOUBLE, 2/3.0::DOUBLE][shape_no+1] AS ratio, gap_frac*long_edge AS g FROM c WHERE shape_no <> 0 OR k > 3),
+ s AS (SELECT *, {_RND.format('CASE WHEN ratio >= 1 THEN long_edge::DOUBLE ELSE long_edge*ratio END')} AS cw, {_RND.format('CASE WHEN ratio >= 1 THEN long_edge/ratio ELSE long_edge::DOUBLE END')} AS ch FROM r),
+ sides AS (SELECT side, a, d, b, p, c FROM (VALUES {_SIDES}) v(side, a, d, b, p, c)), spaces AS (SELECT k, slot_no, xs, ys FROM (VALUES {_SPACE_ROWS}) v(k, slot_no, xs, ys))
+ SELECT collage_id, slot_no, cw AS canvas_w, ch AS canvas_h, round(g + (cw-h.c*g)*h.a/h.d + h.b*g, 6) AS x, round(g + (ch-v.c*g)*v.a/v.d + v.b*g, 6) AS y, round((cw-h.c*g)*h.p/h.d, 6) AS w, round((ch-v.c*g)*v.p/v.d, 6) AS h
+ FROM s JOIN spaces USING (k) JOIN sides h ON h.side = xs JOIN sides v ON v.side = ys""",
+)
+def c2_spaces(spark, sf_dir):
+    """The spaces of all collages and layouts but strips that fit their photos (c3_collage_strip)."""
+    spaces = collage.collage_grid(collages(spark, sf_dir), collage.layout_catalog(spark))
+    return spaces.select("collage_id", "slot_no", "canvas_w", "canvas_h", *[F.round(c, 6).alias(c) for c in "xywh"])
+
+
 _STRIP = f"""c AS ({_COLLAGES}), sl AS (SELECT collage_id, n AS slot_no, k IN (0, 2) AS is_row, long_edge::DOUBLE AS l, gap_frac*long_edge AS g, CASE WHEN (collage_id + n) % 9 = 0 THEN 1.0::DOUBLE ELSE (1 + (collage_id*7 + n*13) % 20)/10.0::DOUBLE END AS a
   FROM c CROSS JOIN (SELECT unnest([0,1,2]) AS n) t WHERE k < 4 AND n < CASE WHEN k < 2 THEN 2 ELSE 3 END)"""
 

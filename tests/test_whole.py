@@ -28,3 +28,22 @@ def test_whole_texts_in_jpegs(spark, tmp_path, name):
         assert bodies == {0: [0], 1: [65533], 2: [65533, 1], 3: [65533, 65533, 65533, 3401], 4: [], 5: [5]}
     else:
         assert {r[0]: r[2] for r in got} == {k: 0 if k == 4 else sum(4 + len(t[s : s + 65533]) for t in [t.encode()] for s in range(0, len(t) or 1, 65533)) + 13 for k, t in enumerate(texts)}
+
+
+def test_spaces_of_every_layout_tile_the_canvas(spark):
+    """Each space is the size of its gaps away from its neighbours, for every collage and layout."""
+    found = {}
+    for r in QUERIES["c2_collage_spaces"](spark, SF).collect():
+        found.setdefault(r.collage_id, []).append(r)
+    orders = [r.o_orderkey for r in spark.read.parquet(f"{SF}/orders.parquet").collect()]
+    assert set(found) == {k for k in orders if k % 7 or k % 11 > 3}
+    for k, spaces in found.items():
+        assert len(spaces) == [2, 2, 3, 3, 3, 3, 4, 4, 4, 6, 9][k % 11]
+        g = (400 + k % 3000) * (k % 5) / 100
+        wide, high = spaces[0].canvas_w - g, spaces[0].canvas_h - g
+        # with a gap to the right and below, spaces cover the canvas without its first gaps
+        assert abs(sum((s.w + g) * (s.h + g) for s in spaces) - wide * high) < 1e-3 * wide
+        assert all(s.x >= g - 1e-5 and s.y >= g - 1e-5 and s.x + s.w <= wide + 1e-5 and s.y + s.h <= high + 1e-5 for s in spaces)
+        for s in spaces:
+            for t in spaces:
+                assert s.slot_no == t.slot_no or max(abs(2 * (s.x - t.x) + s.w - t.w) - s.w - t.w, abs(2 * (s.y - t.y) + s.h - t.h) - s.h - t.h) >= 2 * g - 1e-4
