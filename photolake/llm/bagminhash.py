@@ -273,6 +273,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         pairs = materialise(pairs, "near-asked")
         if not pairs.limit(1).count():
+            if k < PIVOT_ROUNDS and members.limit(1).count():
+                continue  # the same pivots as before; other pairs of these buckets are still to come
             break
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         compared = _compare(pairs, _texts(docs, reps, ends))
