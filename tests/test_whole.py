@@ -47,3 +47,8 @@ def test_spaces_of_every_layout_tile_the_canvas(spark):
         for s in spaces:
             for t in spaces:
                 assert s.slot_no == t.slot_no or max(abs(2 * (s.x - t.x) + s.w - t.w) - s.w - t.w, abs(2 * (s.y - t.y) + s.h - t.h) - s.h - t.h) >= 2 * g - 1e-4
+
+
+def test_names_of_whole_texts_meet_the_limits(spark):
+    rows = QUERIES["p8_p9_safe_whole_names"](spark, SF).collect()
+    assert max(len(r.clean) for r in rows) == 120 and max(len(r.safe) for r in rows) == 200 and max(len(r.slug) for r in rows) > 200
