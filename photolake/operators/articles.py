@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..llm.shared import materialise
+
 #: Letters with marks of the Latin blocks and what is left without them, from Unicode's own tables.
 _MARKED = {chr(c): b for c in range(0xC0, 0x250) if len(b := unicodedata.normalize("NFD", chr(c))[0]) == 1 and b != chr(c)}
 
@@ -54,8 +56,22 @@ def search_all_words(articles: DataFrame, queries: list[tuple[int, str]]) -> Dat
 
 
 def group_runs(articles: DataFrame) -> DataFrame:
-    """Consecutive articles of a language with equal groups form one run: lang, run, grp, first, n."""
-    order = Window.partitionBy("lang").orderBy("ord")
+    """Consecutive articles of a language with equal groups form one run: lang, run, grp, first, n.
+
+    Rows are range-dealt by (lang, ord); runs are found within each partition, and those that meet
+    at an edge are joined through a table of one row for each (partition, lang).
+    """
+    parts = int(articles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialise(articles.select("lang", "ord", "grp").repartitionByRange(parts, "lang", "ord").withColumn("part", F.spark_partition_id()), "article-runs")
+    order = Window.partitionBy("part", "lang").orderBy("ord")
     starts = F.when(F.lag("grp").over(order).eqNullSafe(F.col("grp")) & (F.row_number().over(order) > 1), 0).otherwise(1)
-    runs = articles.withColumn("starts", starts).withColumn("run", F.sum("starts").over(order))
-    return runs.groupBy("lang", "run").agg(F.first("grp").alias("grp"), F.min("ord").alias("first"), F.count(F.lit(1)).alias("n"))
+    pieces = dealt.withColumn("starts", starts).withColumn("k", F.sum("starts").over(order))
+    pieces = pieces.groupBy("part", "lang", "k").agg(F.first("grp").alias("grp"), F.min("ord").alias("first"), F.count(F.lit(1)).alias("n"))
+    edges = pieces.groupBy("part", "lang").agg(F.max("k").alias("runs"), F.min_by(F.struct("grp"), "k").alias("head"), F.max_by(F.struct("grp"), "k").alias("tail"))
+    along = Window.partitionBy("lang").orderBy("part")
+    meets = F.lag("tail").over(along).isNotNull() & F.lag("tail.grp").over(along).eqNullSafe(F.col("head.grp"))
+    edges = edges.withColumn("joined", F.when(meets, 1).otherwise(0))
+    edges = edges.select(F.col("part").alias("p"), F.col("lang").alias("l"), (F.sum(F.col("runs") - F.col("joined")).over(along) - F.col("runs")).alias("before"))
+    placed = pieces.join(edges, (F.col("part") == F.col("p")) & F.col("lang").eqNullSafe(F.col("l")))
+    runs = placed.withColumn("run", F.col("before") + F.col("k")).groupBy("lang", "run")
+    return runs.agg(F.min_by("grp", "first").alias("grp"), F.min("first").alias("first"), F.sum("n").alias("n"))

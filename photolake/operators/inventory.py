@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -16,13 +16,14 @@ def classify_files(files: DataFrame) -> DataFrame:
     without a word (reason 'dropped') and empty images are errors.
     """
     image = names.looks_like_image(F.col("mime"), F.col("name"))
-    any_image = F.bool_or("is_image").over(Window.partitionBy("batch_id"))
+    told = files.withColumn("is_image", image)
+    batches = told.groupBy(F.col("batch_id").alias("_batch")).agg(F.bool_or("is_image").alias("_any"))
     reason = (
-        F.when(~any_image, F.lit("Not an image file"))
+        F.when(~F.col("_any"), F.lit("Not an image file"))
         .when(~F.col("is_image"), F.lit("dropped"))
         .when(F.col("bytes") == 0, F.lit("The file is empty"))
     )
-    return files.withColumn("is_image", image).withColumn("reason", reason)
+    return told.join(batches, F.col("batch_id").eqNullSafe(F.col("_batch"))).withColumn("reason", reason).drop("_batch", "_any")
 
 
 def split_quarantine(files: DataFrame) -> tuple[DataFrame, DataFrame]:
