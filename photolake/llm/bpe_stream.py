@@ -25,20 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import ChunkCache, chunks_of, without_cycle_search
+from .chunks import ChunkTable, byte_chars, chunk_starts, text_blocks
+from .shared import fresh
 
 #: Fixed value: the published pretokenizer pattern of byte-level BPE.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 _RUNS = [regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+")]
 _SHORT = 48  # bytes of a word up to which the plain merge loop is the faster one
-_PENDING = 1 << 15  # characters without a sure cut from which single pieces are peeled off
-
-
-def _byte_chars() -> list[str]:
-    """The printable character that stands for each byte in vocabulary files."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return [chr(b) if b in set(plain) else chr(256 + rest.index(b)) for b in range(256)]
+_PENDING = 1 << 15  # bytes without a sure cut from which single pieces are peeled off
+_BLOCK = 1 << 20  # bytes of texts that are fed at once; a larger text is fed in pieces
 
 
 class MergeTable:
@@ -46,7 +41,7 @@ class MergeTable:
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
         vocab = model["model"]["vocab"]
-        chars = _byte_chars()
+        chars = byte_chars()
         code = {c: b for b, c in enumerate(chars)}
         self.bytes_of = {i: bytes(code[c] for c in t) for t, i in vocab.items()}
         self.byte_ids = [vocab[c] for c in chars]
@@ -66,6 +61,16 @@ class MergeTable:
                 made[t], parts[t] = rank, (u, v)
             self.rules[u, v] = (rank, t)
         self.lookahead = self._lookahead(merges, vocab, parts)
+        known = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
+        self._flat = np.frombuffer(b"".join(known), np.uint8)
+        self._ends = np.concatenate(([0], np.cumsum([len(b) for b in known])))
+
+    def expand(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all ids in a row, where each begins and the last ends)."""
+        start = self._ends[ids]
+        size = self._ends[ids + 1] - start
+        ends = np.concatenate(([0], np.cumsum(size)))
+        return self._flat[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])], ends
 
     def _lookahead(self, merges, vocab, parts) -> int:
         reach: dict[int, int] = {}
@@ -153,32 +158,35 @@ class StreamEncoder:
     """Text in pieces of any size to little-endian 32-bit ids, equal to encoding it whole.
 
     What it holds back is bounded: a possible start of an added token, the text since the last sure
-    cut (at most ``_PENDING`` characters and a piece), and the lookahead of an open word. Only a run
-    of white space is held until it ends.
+    cut (at most ``_PENDING`` bytes and a piece), and the lookahead of an open word. Only a run of
+    white space is held until it ends. What lies before a sure cut is final and goes through a table
+    of chunks (``ChunkTable``); chunks that the table does not hold are merged here.
     """
 
-    def __init__(self, table: MergeTable, cache: ChunkCache | None = None):
+    def __init__(self, table: MergeTable, entries: int = 1_000_000):
         self.table = table
-        self.cache = cache or ChunkCache(self.encode_chunks, entries=250_000)
+        self.known = ChunkTable(self.encode_chunks, table.added, entries)
         self.special = regex.compile("|".join(regex.escape(x) for x in sorted(table.added, key=len, reverse=True))) if table.added else None
-        self.tail, self.pending, self.open = "", "", None
+        self.tail, self.pending, self.open = "", b"", None
         self.longest = max(map(len, table.added), default=1)
 
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        merge = self.table.merge
+    def encode_chunks(self, chunks: list[bytes]) -> list[np.ndarray]:
         out = []
         for chunk in chunks:
-            ids: list[int] = []
-            for piece in PATTERN.findall(chunk):
-                data = piece.encode()
-                if len(data) <= 4 * self.table.lookahead:
-                    ids += merge(data)
-                else:
-                    word = WordEncoder(self.table)
-                    ids += word.feed(data) + word.close()
-            out.append(np.array(ids, "<u4").tobytes())
+            text, ids, at = chunk.decode(), [], 0
+            for m in self.special.finditer(text) if self.special else ():
+                ids += self._pieces(text[at : m.start()]) + [self.table.added[m[0]]]
+                at = m.end()
+            out.append(np.array(ids + self._pieces(text[at:]), "<u4"))
         return out
 
+    def _pieces(self, text: str) -> list[int]:
+        return [i for piece in PATTERN.findall(text) for i in self._piece(piece)]
+
+    def encode_block(self, x: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whole texts x[edges[k]:edges[k + 1]], each fed and closed: (ids in a row, ids of each)."""
+        return self.known.encode_block(x, edges)
+
     def feed(self, text: str) -> bytes:
         text = self.tail + text
         if not self.special:
@@ -200,24 +208,28 @@ class StreamEncoder:
     def _plain(self, text: str) -> bytes:
         if not text:
             return b""
-        self.pending += text
+        self.pending += text.encode()
         out = b""
         if self.open:
             out = self._go_on()
             if self.open:
                 return out
-        chunks = chunks_of(self.pending)
-        if len(chunks) > 1:
-            self.pending = chunks.pop()
-            out += self.cache.encode_text(chunks)
+        if self.pending:
+            last = int(chunk_starts(np.frombuffer(self.pending, np.uint8), np.array([0, len(self.pending)]), self.known.marks)[-1])
+            out += self._final(self.pending[:last])
+            self.pending = self.pending[last:]
         if len(self.pending) > _PENDING:
             out += self._peel()
         return out
 
+    def _final(self, data: bytes) -> bytes:
+        return self.known.encode_block(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0].tobytes() if data else b""
+
     def _peel(self) -> bytes:
         """Pieces that can no longer change; a word that reaches the end is opened."""
-        ids, at, size = [], 0, len(self.pending)
-        for m in PATTERN.finditer(self.pending):
+        text = self.pending.decode()
+        ids, at, size = [], 0, len(text)
+        for m in PATTERN.finditer(text):
             if m.end() < size - 3:
                 ids += self._piece(m[0])
                 at = m.end()
@@ -228,22 +240,26 @@ class StreamEncoder:
                 ids += self.open[1].feed(m[0].encode())
                 at = size
             break
-        self.pending = self.pending[at:]
+        self.pending = text[at:].encode()
         return np.array(ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> list[int]:
+        data = piece.encode()
+        if len(data) <= 4 * self.table.lookahead:
+            return self.table.merge(data)
         word = WordEncoder(self.table)
-        return word.feed(piece.encode()) + word.close()
+        return word.feed(data) + word.close()
 
     def _go_on(self) -> bytes:
         kind, word = self.open
-        m = kind.match(self.pending)
+        text = self.pending.decode()
+        m = kind.match(text)
         end = m.end() if m else 0
-        ids = word.feed(self.pending[:end].encode())
-        if end < len(self.pending):
+        ids = word.feed(text[:end].encode())
+        if end < len(text):
             ids += word.close()
             self.open = None
-        self.pending = self.pending[end:]
+        self.pending = text[end:].encode()
         return np.array(ids, "<u4").tobytes()
 
     def _end_plain(self) -> bytes:
@@ -251,8 +267,8 @@ class StreamEncoder:
         if self.open:
             out = np.array(self.open[1].close(), "<u4").tobytes()
             self.open = None
-        rest, self.pending = self.pending, ""
-        return out + (self.cache.encode_text(chunks_of(rest)) if rest else b"")
+        rest, self.pending = self.pending, b""
+        return out + self._final(rest)
 
 
 class StreamDecoder:
@@ -260,67 +276,91 @@ class StreamDecoder:
     U+FFFD."""
 
     def __init__(self, table: MergeTable):
-        self.bytes_of, self.machine = table.bytes_of, codecs.getincrementaldecoder("utf-8")("replace")
+        self.table, self.machine = table, codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, ids: list[int]) -> str:
-        return self.machine.decode(b"".join(map(self.bytes_of.__getitem__, ids)))
+    def feed(self, ids: np.ndarray) -> str:
+        return self.machine.decode(self.table.expand(ids)[0].tobytes())
 
     def close(self) -> str:
         return self.machine.decode(b"", True)
 
+    def decode_block(self, ids: np.ndarray, edges: np.ndarray) -> list[str]:
+        """Whole lists ids[edges[k]:edges[k + 1]], each fed and closed."""
+        data, ends = self.table.expand(ids)
+        data, at = data.tobytes(), ends[edges].tolist()
+        return [self.machine.decode(data[a:b], True) for a, b in zip(at[:-1], at[1:], strict=True)]
 
-_tables: dict[str, tuple[MergeTable, StreamEncoder]] = {}
 
+_machines: dict[str, tuple[MergeTable, StreamEncoder]] = {}
 
-def _machines(path: str) -> tuple[MergeTable, StreamEncoder]:
-    """One for each worker process; between texts the encoder holds nothing but its cache."""
-    if path not in _tables:
+
+def _machine(path: str) -> tuple[MergeTable, StreamEncoder]:
+    """One for each worker process; between texts the encoder holds nothing but its table."""
+    if path not in _machines:
         table = MergeTable(path)
-        _tables[path] = table, StreamEncoder(table)
-    return _tables[path]
+        _machines[path] = table, StreamEncoder(table)
+    return _machines[path]
 
 
 def encode_text(encoder: StreamEncoder, text: str, step: int = 1 << 16) -> bytes:
     return b"".join([encoder.feed(text[k : k + step]) for k in range(0, len(text), step)]) + encoder.close()
 
 
-def decode_ids(table: MergeTable, ids: np.ndarray, step: int = 1 << 14) -> str:
+def decode_ids(table: MergeTable, ids: np.ndarray, step: int = 1 << 16) -> str:
     decoder = StreamDecoder(table)
-    return "".join([decoder.feed(ids[k : k + step].tolist()) for k in range(0, len(ids), step)]) + decoder.close()
+    return "".join([decoder.feed(ids[k : k + step]) for k in range(0, len(ids), step)]) + decoder.close()
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """``docs`` with token_ids. Null texts count as empty and give no ids. A column named token_ids
-    is replaced; all others, and repeated rows, pass through."""
-    rest = docs.drop("token_ids", "_body").withColumn("_body", F.coalesce("text", F.lit("")))
-    schema = rest.drop("_body").schema.add("token_ids", T.ArrayType(T.IntegerType()))
+    """``docs`` with token_ids.
+
+    Null and empty texts give no ids; a text of any length is fed in pieces. A column named
+    token_ids is replaced; all others, and repeated rows, pass through. An empty table gives an
+    empty one.
+    """
+    rest = docs.drop("token_ids")
+    body = fresh(rest.columns, "body")
+    schema = T.StructType([*rest.schema, T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, encoder = _machines(tokenizer_path)
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
-                with without_cycle_search():
-                    coded = [encode_text(encoder, t) for t in some["_body"].to_pylist()]
-                ends = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32)))
-                yield pa.RecordBatch.from_arrays([*some.columns[:-1], ids], [*some.schema.names[:-1], "token_ids"])
+            _, encoder = _machine(tokenizer_path)
+            for a, b, x, edges in text_blocks(batch.column(batch.num_columns - 1), _BLOCK):
+                if len(x) > _BLOCK:
+                    ids = np.frombuffer(encode_text(encoder, x.tobytes().decode()), "<u4")
+                    n = np.array([len(ids)])
+                else:
+                    ids, n = encoder.encode_block(x, edges)
+                ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.view(np.int32)))
+                some = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], lists], [*some.schema.names[:-1], "token_ids"])
 
-    return rest.mapInArrow(run, schema)
+    return rest.withColumn(body, F.coalesce("text", F.lit(""))).mapInArrow(run, schema)
 
 
 def decode_documents(tokens: DataFrame, tokenizer_path: str) -> DataFrame:
-    """``tokens`` with decoded, the text of token_ids (null: empty)."""
+    """``tokens`` with decoded, the text of token_ids (null: empty). A column named decoded is
+    replaced; all others pass through."""
     rest = tokens.drop("decoded")
-    schema = tokens.drop("decoded").schema.add("decoded", T.StringType())
+    schema = T.StructType([*rest.schema, T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table, _ = _machines(tokenizer_path)
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
-                texts = [decode_ids(table, x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32)) for x in some["token_ids"]]
+            table, _ = _machine(tokenizer_path)
+            decoder = StreamDecoder(table)
+            lists = batch["token_ids"]
+            ids, ends = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+            a = 0
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] + _BLOCK // 4, "right")) - 1)
+                if ends[b] - ends[a] > _BLOCK:
+                    texts = [decode_ids(table, ids[ends[a] : ends[b]])]
+                else:
+                    texts = decoder.decode_block(ids[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
+                some = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string())], [*some.schema.names, "decoded"])
+                a = b
 
     return rest.mapInArrow(run, schema)
 

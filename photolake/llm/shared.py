@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +41,15 @@ def local_path(path: str) -> str:
     if "://" in path:
         raise ValueError(f"memory-mapped model files need a mounted shared folder, not {path}")
     return path
+
+
+def fresh(columns: Iterable[str], *stems: str) -> str | tuple[str, ...]:
+    """Names for working columns that none of ``columns`` has (whatever the case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        out.append(stem)
+    return out[0] if len(out) == 1 else tuple(out)

@@ -8,6 +8,7 @@ stripes and row groups by metadata alone.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -16,16 +17,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import ChunkCache, chunks_of, without_cycle_search
+from .chunks import ChunkTable, byte_chars, text_blocks
 
 FILE_SCHEMA = "doc_id long, file_start long, n_tokens int, tokens array<int>"
-_cache: dict[str, ChunkCache] = {}
-_RUN = 4096  # chunks encoded in one call
+_LATIN = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_tables: dict[str, ChunkTable] = {}
 
 
-def _encoder(path: str) -> ChunkCache:
-    """One for each worker process."""
-    if path not in _cache:
+def chunk_table(path: str) -> ChunkTable:
+    """The library's tokenizer behind a table of chunks; one for each worker process.
+
+    A chunk that is a Latin word is one piece of the pretokenizer's and goes to the library's model
+    as it is; all others go through the whole library.
+    """
+    if path not in _tables:
         import os
 
         from tokenizers import Tokenizer
@@ -34,57 +39,37 @@ def _encoder(path: str) -> ChunkCache:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-
-        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
-        width = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True) + 1, np.int64)
-        width[list(vocabulary.values())] = [len(t) for t in vocabulary]  # a character stands for a byte
-        for k, added in tokenizer.get_added_tokens_decoder().items():
-            width[k] = len(added.content.encode())
-
-        def ids_of(texts: list[str]) -> list[np.ndarray]:
-            return [np.asarray(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-        def encode_all(chunks: list[str]) -> dict[str, bytes]:
-            """Chunks that surely part from their neighbours are encoded many at a call: the ids'
-            widths in bytes tell where one ends."""
-            out: dict[str, bytes] = {}
-            sure = [c for c in chunks if not c[-1].isspace() and not (c[1:2] if c[0] == " " else c[0]).isspace()]
-            rest = list(set(chunks).difference(sure))
-            runs = [sure[k : k + _RUN] for k in range(0, len(sure), _RUN)]
-            # a newline parts a chunk without a space from the one before, and is cut off again
-            texts = ["".join([c if c[0] == " " else "\n" + c for c in r]) for r in runs]
-            for run, ids in zip(runs, ids_of(texts), strict=True):
-                lead = np.fromiter((c[0] != " " for c in run), np.int64, len(run))
-                ends = np.cumsum(np.fromiter((len(c.encode()) for c in run), np.int64, len(run)) + lead)
-                starts = np.concatenate(([0], ends[:-1])) + lead
-                reach = np.cumsum(width[ids])
-                first, last = np.searchsorted(reach, starts, "right"), np.searchsorted(reach, ends, "right")
-                data = ids.tobytes()
-                for c, a, b in zip(run, (4 * first).tolist(), (4 * last).tolist(), strict=True):
-                    out[c] = data[a:b]
-            out |= zip(rest, (x.tobytes() for x in ids_of(rest)), strict=True)
-            return out
-
-        marks = {c: ids_of([c])[0].tobytes() for c in ",."}
-
-        def encode(chunks: list[str]) -> list[bytes]:
-            """A mark after a letter is a token of its own, so that a word is encoded once for all
-            its marks."""
-            bare = {c: c[:-1] for c in chunks if c[-1] in marks and len(c) > 2 and c[-2].isalpha()}
-            held = cache.held
-            asked = {b for b in bare.values() if b not in held}
-            coded = encode_all(list(asked.union(c for c in chunks if c not in bare)))
-            out = [(held[b] if (b := bare[c]) not in asked else coded[b]) + marks[c[-1]] if c in bare else coded[c] for c in chunks]
-            cache.keep({b: coded[b] for b in asked})
+        added = [a.content for a in tokenizer.get_added_tokens_decoder().values()]
+        # an added token of letters, or a normalizer, may turn words into something else
+        plain = tokenizer.normalizer is None and not any(_LATIN.search(a.encode()[:1]) for a in added)
+        chars = dict(enumerate(byte_chars()))
+        model = tokenizer.model
+
+        def encode(chunks: list[bytes]) -> list[np.ndarray]:
+            out: list[np.ndarray | None] = [None] * len(chunks)
+            rest = []
+            for k, chunk in enumerate(chunks):
+                if plain and _LATIN.fullmatch(chunk):
+                    out[k] = np.array([t.id for t in model.tokenize(chunk.decode("latin-1").translate(chars))], "<u4")
+                else:
+                    rest.append(k)
+            coded = tokenizer.encode_batch_fast([chunks[k].decode() for k in rest], add_special_tokens=False)
+            for k, e in zip(rest, coded, strict=True):
+                out[k] = np.array(e.ids, "<u4")
             return out
 
-        cache = _cache[path] = ChunkCache(encode)
-    return _cache[path]
+        _tables[path] = ChunkTable(encode, added)
+    return _tables[path]
 
 
-def _lists(parts: list[bytes], kind=np.int32) -> pa.ListArray:
-    ends = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), kind)))
+def _ended(ids: np.ndarray, n: np.ndarray, end_id: int) -> pa.ListArray:
+    """A list of ids for each text, closed by ``end_id``."""
+    ends = np.cumsum(n + 1)
+    out = np.full(len(ids) + len(n), end_id, np.uint32)
+    inner = np.ones(len(out), bool)
+    inner[ends - 1] = False
+    out[inner] = ids
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(out.view(np.int32)))
 
 
 def write_tokens(
@@ -102,21 +87,18 @@ def write_tokens(
         .repartitionByRange(parts, "doc_id")
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
     )
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = 0
         for batch in batches:
-            encoder = _encoder(tokenizer_path)
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
-                with without_cycle_search():
-                    coded = [c + end for c in encoder.encode_many([chunks_of(t) for t in some["text"].to_pylist()])]
-                sizes = np.array([len(x) // 4 for x in coded], np.int64)
+            table = chunk_table(tokenizer_path)
+            for a, b, x, edges in text_blocks(batch["text"]):
+                ids, n = table.encode_block(x, edges)
+                sizes = n + 1
                 starts = before + np.cumsum(sizes) - sizes
                 before += int(sizes.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [some["doc_id"], pa.array(starts), pa.array(sizes.astype(np.int32)), _lists(coded)],
+                    [batch["doc_id"].slice(a, b - a), pa.array(starts), pa.array(sizes.astype(np.int32)), _ended(ids, n, end_id)],
                     ["doc_id", "file_start", "n_tokens", "tokens"],
                 )
 

@@ -2,12 +2,14 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from photolake.llm import bpe_stream as bs
-from photolake.llm.chunks import ChunkCache
+from photolake.llm import chunks as ch
 from photolake.llm.queries import TOKENIZER
+from photolake.llm.token_orc import chunk_table
 
 
 @pytest.fixture(scope="module")
@@ -73,19 +75,25 @@ def test_documents(spark, library):
     assert bs.digests(bs.decode_documents(bs.encode_documents(df.limit(0), TOKENIZER), TOKENIZER)).count() == 0
 
 
-def test_cache_is_bounded():
-    cache = ChunkCache(lambda xs: [x.encode() for x in xs], entries=10)
+def test_table_is_bounded(monkeypatch):
+    monkeypatch.setattr(ch, "_WINDOW", 8)
+    table = ch.ChunkTable(lambda xs: [np.frombuffer(x, np.uint8).astype("<u4") for x in xs], entries=10)
     for k in range(50):
-        assert cache.encode_text([str(k), str(k + 1)]) == f"{k}{k + 1}".encode()
-        assert len(cache.held) <= 10
+        data = np.frombuffer(f"{k} {k + 1} {'long' * k}".encode(), np.uint8)
+        ids, n = table.encode_block(data, np.array([0, 0, len(data)]))
+        assert ids.tolist() == data.tolist() and n.tolist() == [0, len(data)] and table.held <= 10
 
 
-def test_chunks_are_encoded_on_their_own(library):
-    from photolake.llm import chunks as ch
+PARTS = ["a", "bc", "é", "×", "日", "本", " ", "  ", "\n", "\n\n", "\t", "\x85", "\xa0", " ", "　", "\x1c", "<|endoftext|>", "'s", "1", "23", "!", "...", "🙂", "᠎", " ", "à", "€", "word ", " the", "a, ", "a.\n", "ö. ", "×. ", "x.y", "z;"]
 
+
+@pytest.mark.parametrize("coder", [lambda: bs.StreamEncoder(bs.MergeTable(TOKENIZER), 2000).known, lambda: chunk_table(TOKENIZER)])
+def test_blocks_of_texts_equal_the_library(library, coder):
     rng = random.Random(9)
-    for k in range(3000):
-        text = "".join(rng.choice(["a", "b.", " ", " ", "\n", "\xa0", "é", "\x1c", "\r"] if k % 2 else ["a", "é", " ", ".", "\n", "'s"]) for _ in range(rng.randrange(14)))
-        parts = ch.chunks_of(text)
-        assert "".join(parts) == text
-        assert [i for c in parts for i in library.encode(c, add_special_tokens=False).ids] == library.encode(text, add_special_tokens=False).ids
+    texts = [None, *TEXTS, *("".join(rng.choice(PARTS) for _ in range(rng.randrange(50))) for _ in range(3000))]
+    table = coder()
+    for a, b, x, edges in ch.text_blocks(pa.array(texts, pa.string()), 1 << 12):
+        ids, n = table.encode_block(x, edges)
+        ends = np.cumsum(n)
+        for text, own in zip(texts[a:b], np.split(ids, ends[:-1]), strict=True):
+            assert own.tolist() == library.encode(text or "", add_special_tokens=False).ids, text
