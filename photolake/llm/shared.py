@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -53,3 +54,12 @@ def fresh(columns: Iterable[str], *stems: str) -> str | tuple[str, ...]:
         taken.add(stem.lower())
         out.append(stem)
     return out[0] if len(out) == 1 else tuple(out)
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` as one struct ``row``, so that no working column can meet one of theirs."""
+    return df.select(F.struct(*(F.col(quoted(c)) for c in df.columns)).alias("row"))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
