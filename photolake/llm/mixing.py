@@ -15,12 +15,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, packed, quoted
 
 WEIGHTS = (5.0, 2.0, 1.0)
 WORD = "[^\\x20\\x09-\\x0D]+"
 _BUCKET = 4096  # documents of one length that are ranked together
-_BROADCAST_ROWS = 500_000
+_BROADCAST_ROWS = 100_000  # of at most 80 bytes and a source's name
 
 
 def fill_targets(sizes: Sequence[int], weights: Sequence[float], budget: float, most: float = 2.0) -> list[float]:
@@ -109,14 +109,14 @@ def _source_key(source: Column) -> Column:
 
 def _seeded(seed: int) -> Column:
     """63 bits that order the documents of a length."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 1)
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "row.doc_id", "row.text"), 1)
 
 
 def _sized(docs: DataFrame, seed: int) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns(
-        {"_key": _source_key(F.col("source")), "_size": F.regexp_count(text, F.lit(WORD)).cast("long"), "_rank": _seeded(seed)}
-    )
+    """(row, _key, _size, _rank) of each row."""
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    size = F.regexp_count(text, F.lit(WORD)).cast("long")
+    return packed(docs).select("row", _source_key(F.col("row.source")).alias("_key"), size.alias("_size"), _seeded(seed).alias("_rank"))
 
 
 _PLAN = "_key string, _size long, n long, repeats long, extra long, source_size long, target double"
@@ -173,24 +173,34 @@ def _join_plan(rows: DataFrame, plan: DataFrame, on: Sequence[str] = ("_key", "_
     return rows.join(F.broadcast(plan) if small else plan, list(on))
 
 
+def _planned(docs: DataFrame, share: float, weights: Sequence[float], most: float, seed: int) -> DataFrame:
+    """(row, size, source_size, target, copies)."""
+    rest = _sized(docs, seed)
+    thin = materialise(rest.select("_key", "_size", "_rank"), "mix-sizes")
+    plan = _plan(thin, share, weights, most).select("_key", "_size", "repeats", "source_size", "target", "_last")
+    copies = F.col("repeats") + (F.col("_rank") <= F.col("_last")).cast("long")
+    return _join_plan(rest, plan).select("row", F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"))
+
+
 def plan_mix(
     docs: DataFrame, share: float = 1.5, weights: Sequence[float] = WEIGHTS, most: float = 2.0, seed: int = 0
 ) -> DataFrame:
     """``docs`` with size, source_size, target and copies (0 to ``most`` rounded up).
 
-    Sources are taken by code point, null last, with ``weights`` over and over. Null texts have size
-    0. Rows that repeat in doc_id and text share one rank and so one decision. Columns with those
-    names are replaced; an empty table gives an empty one.
+    Sources are taken by code point, null last, with ``weights`` over and over. Null and empty texts
+    have size 0; a text of any length is counted whole. Rows that repeat in doc_id and text share
+    one rank and so one decision, and so do rows whose ranks tie. Columns of docs with those four
+    names are replaced, all others kept; an empty table gives an empty one.
     """
     names = ("size", "source_size", "target", "copies")
-    rest = _sized(docs.drop(*names), seed)
-    thin = materialise(rest.select("_key", "_size", "_rank"), "mix-sizes")
-    plan = _plan(thin, share, weights, most).select("_key", "_size", "repeats", "source_size", "target", "_last")
-    copies = F.col("repeats") + (F.col("_rank") <= F.col("_last")).cast("long")
-    return _join_plan(rest, plan).withColumn("copies", copies).withColumnRenamed("_size", "size").drop("_key", "_rank", "repeats", "_last")
+    kept = [F.col(f"row.{quoted(c)}") for c in docs.columns if c.lower() not in names]
+    return _planned(docs, share, weights, most, seed).select(*kept, *names)
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as the plan takes it."""
-    planned = plan_mix(docs, **options).filter(F.col("copies") > 0)
-    return planned.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+def mix_documents(
+    docs: DataFrame, share: float = 1.5, weights: Sequence[float] = WEIGHTS, most: float = 2.0, seed: int = 0
+) -> DataFrame:
+    """The mix itself: each row of ``docs``, with all its columns whatever their names, as often as
+    plan_mix() takes it. Nulls, ties, repeats and empty tables go as there."""
+    taken = _planned(docs, share, weights, most, seed).filter(F.col("copies") > 0)
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
