@@ -19,6 +19,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .shared import fresh
 
 WINDOW, SPAN, VOTES = 32, 32, 8
 BITS, HASHES, PER_FILTER = 2048, 5, 160
@@ -135,17 +138,22 @@ def from_string(text: str) -> np.ndarray:
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column fingerprint (replaced if there is one). Null texts count as empty."""
-    rest = docs.drop("fingerprint", "_body").withColumn("_body", F.coalesce("text", F.lit("")).cast("binary"))
-    schema = rest.drop("_body").withColumn("fingerprint", F.lit("")).schema
+    """``docs`` with a column fingerprint (replaced if there is one; all other columns are kept).
+
+    Null texts count as empty; empty texts have an empty fingerprint. Texts of any length are taken
+    whole; equal texts and repeated rows have equal fingerprints. An empty table gives an empty one.
+    """
+    rest = docs.drop("fingerprint")
+    body = fresh(rest.columns, "body")
+    schema = T.StructType([*rest.schema, T.StructField("fingerprint", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in _slices(batch):
-                prints = [to_string(p) for p in fingerprints(some["_body"].to_pylist())]
+                prints = [to_string(p) for p in fingerprints(some.column(some.num_columns - 1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(prints, pa.string())], [*some.schema.names[:-1], "fingerprint"])
 
-    return rest.mapInArrow(run, schema)
+    return rest.withColumn(body, F.coalesce("text", F.lit("")).cast("binary")).mapInArrow(run, schema)
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -206,7 +214,9 @@ def neighbour_report(docs: DataFrame) -> DataFrame:
     """Fingerprints of each document and of its edited text, and their likenesses, see NEIGHBOURS.
 
     The edited text has the last quarter of the code points replaced by as many first ones of the
-    next document. An only document is its own next one; repeated rows follow each other.
+    next document. An only document is its own next one; repeated rows, and others that tie in
+    doc_id, follow each other. Null texts count as empty, rows without a doc_id come first, texts of
+    any length are taken whole, and other columns are not read. An empty table gives an empty one.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
