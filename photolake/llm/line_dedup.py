@@ -3,9 +3,8 @@
 State, all Parquet in the shared folder and all dealt by the line key:
 
 * ``refs``    (doc_id, key): which document holds which long line, once per pair.
-* ``counts``  (shard, key, n_docs, max_doc): derived from ``refs``, exact.
-* ``filters`` (shard, part, data): cuckoo filters of the keys that reach ``min_docs``, one per shard
-  part. A lookup that misses is certain; a hit is confirmed against ``counts``.
+* ``counts``  (key, n_docs, max_doc): derived from ``refs``, exact.
+* ``filters`` (shard, data): cuckoo filters of the keys that reach ``min_docs``, one per shard. A lookup that misses is certain; a hit is confirmed against ``counts``.
 
 Inserting documents adds refs and puts keys that come to ``min_docs`` into their filter; deleting
 documents removes refs and takes keys that fall below it out again, which a cuckoo filter allows and
@@ -23,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, packed, quoted
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLOTS = 4  # of a bucket
 _KICKS = 500
+_SHARD_KEYS = 200_000  # keys of a filter
+_LOT_KEYS = 500_000  # keys that a task asks a filter for
 _HOT = 2_000  # documents of a key from which its verdict is broadcast
 
 
@@ -77,43 +78,50 @@ class CuckooFilter:
         return (self.table[a] == prints[:, None]).any(1) | (self.table[b] == prints[:, None]).any(1)
 
     def insert(self, digests: np.ndarray) -> CuckooFilter:
-        """Returns the filter to go on with: a larger one of the given keys only if this is full,
-        so callers pass all keys of a shard part when they rebuild."""
+        """All keys at once, in rounds in which each bucket takes one: into a free slot of a key's
+        first bucket, then of its second, then by moving another print to that one's other bucket."""
         if not len(digests):
             return self
-        for print_, a, b in zip(*(x.tolist() for x in self._places(digests)), strict=True):
-            if not self._put(print_, a, b):
+        prints, at, other = self._places(digests)
+        moves = np.zeros(len(prints), np.int64)
+        while len(prints):
+            _, one = np.unique(at, return_index=True)
+            free = self.table[at[one]] == 0
+            some = free.any(1)
+            done, stuck = one[some], one[~some]
+            self.table[at[done], free[some].argmax(1)] = prints[done]
+            moves[stuck] += 1
+            if (moves > _KICKS).any():
                 raise OverflowError("the filter is full; rebuild it from the counts")
+            fresh = stuck[moves[stuck] == 1]
+            at[fresh] = other[fresh]
+            kick = stuck[moves[stuck] > 1]
+            slot = (moves[kick] * 7 + prints[kick]) % SLOTS
+            prints[kick], self.table[at[kick], slot] = self.table[at[kick], slot], prints[kick].copy()
+            at[kick] ^= self._hop(prints[kick])
+            left = np.ones(len(prints), bool)
+            left[done] = False
+            prints, at, other, moves = prints[left], at[left], other[left], moves[left]
         return self
 
-    def _put(self, print_: int, a: int, b: int) -> bool:
-        table = self.table
-        for at in (a, b):
-            free = np.flatnonzero(table[at] == 0)
-            if len(free):
-                table[at, free[0]] = print_
-                return True
-        at = b
-        for kick in range(_KICKS):
-            slot = (kick * 7 + print_) % SLOTS
-            print_, table[at, slot] = int(table[at, slot]), print_
-            at ^= int(self._hop(np.array([print_], np.uint16))[0])
-            free = np.flatnonzero(table[at] == 0)
-            if len(free):
-                table[at, free[0]] = print_
-                return True
-        return False
-
     def delete(self, digests: np.ndarray) -> None:
         """Only of keys that were inserted."""
         if not len(digests):
             return
-        for print_, a, b in zip(*(x.tolist() for x in self._places(digests)), strict=True):
-            for at in (a, b):
-                hit = np.flatnonzero(self.table[at] == print_)
-                if len(hit):
-                    self.table[at, hit[0]] = 0
-                    break
+        prints, at, other = self._places(digests)
+        second = np.zeros(len(prints), bool)
+        while len(prints):
+            _, one = np.unique(at, return_index=True)
+            held = self.table[at[one]] == prints[one, None]
+            some = held.any(1)
+            self.table[at[one[some]], held[some].argmax(1)] = 0
+            gone = np.zeros(len(prints), bool)
+            gone[one[some]] = True
+            missed = one[~some]
+            gone[missed[second[missed]]] = True
+            again = missed[~second[missed]]
+            at[again], second[again] = other[again], True
+            prints, at, other, second = prints[~gone], at[~gone], other[~gone], second[~gone]
 
 
 def _rows(keys: pd.Series) -> np.ndarray:
@@ -148,45 +156,45 @@ def line_refs(docs: DataFrame, min_chars: int = 40) -> DataFrame:
     return lines
 
 
-def _counts(refs: DataFrame, shards: int) -> DataFrame:
+def _counts(refs: DataFrame) -> DataFrame:
     # a doc_id may come in several rows: pairs are made distinct first, which no hot key skews
     once = refs.select("doc_id", "key").distinct()
-    counted = once.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))
-    return counted.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+    return once.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))
+
+
+def _shard(shards: int) -> Column:
+    return F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")
 
 
 _FILTER = "shard int, data binary"
 
 
-def _build_filters(counts: DataFrame, min_docs: int) -> DataFrame:
+def _build_filters(counts: DataFrame, min_docs: int, shards: int) -> DataFrame:
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"shard": pdf["shard"].iloc[:1].to_numpy(), "data": [build_filter(_rows(pdf["key"])).dumps()]})
 
-    return counts.filter(F.col("n_docs") >= min_docs).select("shard", "key").groupBy("shard").applyInPandas(build, _FILTER)
-
-
-def _shards_for(docs: DataFrame) -> int:
-    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return counts.filter(F.col("n_docs") >= min_docs).select(_shard(shards), "key").groupBy("shard").applyInPandas(build, _FILTER)
 
 
 def build_state(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, shards: int | None = None) -> LineState:
-    """Count all lines of ``docs`` and fill the filters. ``shards`` bounds a filter's size; give
-    about one for each 200,000 lines that repeat (default: the number of shuffle partitions)."""
-    shards = shards or _shards_for(docs)
+    """Count all lines of ``docs`` and fill the filters: a filter for each _SHARD_KEYS of the keys that
+    reach ``min_docs``, one for each task at least, or as many as ``shards`` says."""
     refs = materialise(line_refs(docs, min_chars), "lines-refs")
-    counts = materialise(_counts(refs, shards), "lines-counts")
-    return LineState(refs, counts, materialise(_build_filters(counts, min_docs), "lines-filters"), min_docs, min_chars, shards)
+    counts = materialise(_counts(refs), "lines-counts")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or max(parts, -(-counts.filter(F.col("n_docs") >= min_docs).count() // _SHARD_KEYS))
+    return LineState(refs, counts, materialise(_build_filters(counts, min_docs, shards), "lines-filters"), min_docs, min_chars, shards)
 
 
 def _update(state: LineState, refs: DataFrame, touched: DataFrame) -> LineState:
     """Recount the touched keys, and move those that crossed ``min_docs`` in or out of a filter."""
     refs = materialise(refs, "lines-refs")
     keys = touched.select("key").distinct()
-    fresh = _counts(refs.join(keys, "key", "left_semi"), state.shards)
+    fresh = _counts(refs.join(keys, "key", "left_semi"))
     counts = materialise(
         state.counts.join(keys, "key", "left_anti").unionByName(fresh), "lines-counts"
     )
-    was, now = (c.filter(F.col("n_docs") >= state.min_docs).join(keys, "key", "left_semi").select("shard", "key") for c in (state.counts, counts))
+    was, now = (c.filter(F.col("n_docs") >= state.min_docs).join(keys, "key", "left_semi").select(_shard(state.shards), "key") for c in (state.counts, counts))
     moved = now.join(was, ["shard", "key"], "left_anti").withColumn("enters", F.lit(True)).unionByName(
         was.join(now, ["shard", "key"], "left_anti").withColumn("enters", F.lit(False))
     )
@@ -203,7 +211,8 @@ def _update(state: LineState, refs: DataFrame, touched: DataFrame) -> LineState:
 
     changed = materialise(state.filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(apply, _FILTER), "lines-filters")
     full = changed.filter("data is null").select("shard")
-    again = _build_filters(counts.join(F.broadcast(full), "shard", "left_semi"), state.min_docs)  # at most one row per shard
+    # at most one row per shard
+    again = _build_filters(counts.join(F.broadcast(full), _shard(state.shards) == full["shard"], "left_semi"), state.min_docs, state.shards)
     filters = materialise(changed.filter("data is not null").unionByName(again), "lines-filters")
     return LineState(refs, counts, filters, state.min_docs, state.min_chars, state.shards)
 
@@ -218,25 +227,38 @@ def delete_documents(state: LineState, doc_ids: DataFrame) -> LineState:
     return _update(state, state.refs.join(gone, "doc_id", "left_anti"), state.refs.join(gone, "doc_id", "left_semi"))
 
 
-def _probe(keys: DataFrame, filters: DataFrame) -> DataFrame:
-    """Keys (shard, key) that their shard's filter may hold. One row a key, so shards are even."""
-
-    def look(pdf: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(held) or not len(pdf):
-            return pdf.iloc[:0][["key"]]
-        return pdf[CuckooFilter.loads(held["data"].iloc[0]).contains(_rows(pdf["key"]))][["key"]]
-
-    return keys.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(look, "key binary")
+def _probe(keys: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """Keys that their shard's filter may hold. One row a key, so shards are even; each is cut into
+    lots of about _LOT_KEYS keys, every lot is preceded by its filter, and keys stream past it."""
+    lots = max(1, -(-keys.count() // (shards * _LOT_KEYS)))
+    lot = F.pmod(F.xxhash64(F.lit("lot"), "key"), F.lit(lots)).cast("int")
+    asked = keys.select((_shard(shards) * lots + lot).alias("at"), F.lit(None).cast("binary").alias("data"), "key")
+    held = filters.select(F.explode(F.sequence(F.col("shard") * lots, F.col("shard") * lots + lots - 1)).alias("at"), "data", F.lit(None).cast("binary").alias("key"))
+    dealt = held.unionByName(asked).repartitionById(shards * lots, "at").sortWithinPartitions("at", F.col("data").asc_nulls_last())
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, filter_ = None, None
+        for batch in batches:
+            at = batch["at"].to_numpy()
+            found = np.zeros(len(at), bool)
+            heads = np.flatnonzero(batch["data"].is_valid().to_numpy(zero_copy_only=False)).tolist()
+            edges = sorted({0, *heads, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)})
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a in heads:
+                    now, filter_ = at[a], CuckooFilter.loads(batch["data"][a].as_py())
+                    a += 1
+                if a < b and at[a] == now:
+                    found[a:b] = filter_.contains(_rows(batch["key"].slice(a, b - a).to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch["key"].filter(pa.array(found))], ["key"])
+
+    return dealt.mapInArrow(look, "key binary")
 
 
 def _drops(state: LineState, refs: DataFrame) -> DataFrame:
     """(doc_id, keys): the lines that each document loses."""
-    shard = F.pmod(F.xxhash64("key"), F.lit(state.shards)).cast("int")
-    asked = refs.select("key").distinct().withColumn("shard", shard)
-    hits = _probe(asked, state.filters)
-    verdicts = materialise(
-        hits.join(state.counts.filter(F.col("n_docs") >= state.min_docs).drop("shard"), "key"), "lines-verdicts"
-    )
+    asked = materialise(refs.select("key").distinct(), "lines-asked")
+    hits = _probe(asked, state.filters, state.shards)
+    verdicts = materialise(hits.join(state.counts.filter(F.col("n_docs") >= state.min_docs), "key"), "lines-verdicts")
     # a key with _HOT documents or more takes that many of the refs, so there are few of them:
     # at most refs / _HOT rows of 24 bytes. The others bring under _HOT rows to a task each.
     hot, cold = verdicts.filter(F.col("n_docs") >= _HOT), verdicts.filter(F.col("n_docs") < _HOT)
@@ -261,27 +283,32 @@ def drop_lines(docs: DataFrame, state: LineState | None = None, min_docs: int =
     A line whose key has ``min_chars`` code points or more and is in ``min_docs`` documents or more
     stays only in the largest doc_id that holds it, there every time it occurs. Null texts count as
     one empty line and stay null; rows without a doc_id keep all lines and count for none; repeated
-    doc_ids count as one document. Columns named n_lines or n_dropped are replaced. With a given
-    state, its documents count and ``docs`` should be among them.
+    doc_ids count as one document, and texts of any length are cut whole. Columns named n_lines or
+    n_dropped are replaced, all others kept; an empty table gives an empty one. With a given state,
+    its documents count and ``docs`` should be among them.
     """
+    names = ("n_lines", "n_dropped")
+    kept = [F.col(f"row.{quoted(c)}") for c in docs.columns if c.lower() not in names]
+    return cut_lines(docs, state, min_docs, min_chars).select(*kept, *names)
+
+
+def cut_lines(docs: DataFrame, state: LineState | None = None, min_docs: int = 5, min_chars: int = 40) -> DataFrame:
+    """(row, n_lines, n_dropped): drop_lines() with the columns of ``docs``, whatever their names, in
+    the struct ``row``, its text cut."""
     state = state or build_state(docs, min_docs, min_chars)
     drops = _drops(state, state.refs)
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
 
     def stays(line: Column) -> Column:
         key = line_key(line)
         return (F.length(key) < state.min_chars) | ~F.array_contains(F.col("lost_keys"), _digest(key))
 
-    joined = docs.drop("n_lines", "n_dropped", "lost_keys").join(drops, "doc_id", "left").withColumn("lines", lines)
-    kept = F.when(F.col("lost_keys").isNull(), F.col("lines")).otherwise(F.filter("lines", stays))
-    joined = joined.withColumn("kept", kept)
-    cut = joined.select(
-        *[c for c in docs.columns if c not in ("n_lines", "n_dropped", "lost_keys", "text")],
-        F.when(F.col("text").isNotNull(), F.when(F.col("lost_keys").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))).alias("text"),
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
-    )
-    return cut.select(*docs.drop("n_lines", "n_dropped").columns, "n_lines", "n_dropped")
+    rows = packed(docs).select("row", F.col("row.doc_id").alias("doc_id")).join(drops, "doc_id", "left")
+    rows = rows.withColumn("lines", F.split(F.coalesce(F.col("row.text"), F.lit("")), "\n", -1))
+    rows = rows.withColumn("kept", F.when(F.col("lost_keys").isNull(), F.col("lines")).otherwise(F.filter("lines", stays)))
+    whole = F.col("lost_keys").isNull() | F.col("row.text").isNull()
+    text = F.when(whole, F.col("row.text")).otherwise(F.array_join("kept", "\n"))
+    n = F.size("lines").cast("long")
+    return rows.select(F.col("row").withField("text", text).alias("row"), n.alias("n_lines"), (n - F.size("kept")).cast("long").alias("n_dropped"))
 
 
 ORACLE = r"""
