@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, packed
 from .words import Words, mix, split_words, text_slices
 
 SHINGLE = 5
@@ -38,8 +38,9 @@ PIVOT_ROUNDS = 2
 CLASSES = 256
 _NUMERATOR, _DENOMINATOR = 4, 5  # a link: similarity of 0.8 or more
 _FAR = 1 - _NUMERATOR / _DENOMINATOR
-_BROADCAST_ROWS = 1_000_000  # of 16 bytes and a little
+_BROADCAST_ROWS = 200_000  # of 40 bytes at most
 _PER_SALT = 256
+_PER_SLICE = 512  # rows of a hot key that meet its other side in one task
 _NO_ID = -(2**63)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -145,7 +146,7 @@ def _bands(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _bodies(batch["body"])
-            for s in text_slices([len(t) for t in texts]):
+            for s in text_slices([len(t) for t in texts], 1 << 19):
                 n = s.stop - s.start
                 doc, shingle, times = bags(split_words(texts[s]), n)
                 hashes = band_hashes(signatures(doc, shingle, times, n))
@@ -163,6 +164,29 @@ def _small(df: DataFrame, rows: int = _BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def _hot(counts: DataFrame, key: str) -> DataFrame | None:
+    """(key, slices) of the keys with over _PER_SLICE rows, by (key, n); None if there are none.
+    There is at most one for each _PER_SLICE rows."""
+    hot = materialise(counts.filter(F.col("n") > _PER_SLICE).select(key, F.ceil(F.col("n") / _PER_SLICE).cast("int").alias("slices")), "near-hot")
+    return _small(hot) if hot.limit(1).count() else None
+
+
+def _sliced(rows: DataFrame, hot: DataFrame | None, key: str, by: str) -> DataFrame:
+    """``rows`` with a slice of their key, dealt by the column ``by``."""
+    if hot is None:
+        return rows.withColumn("slice", F.lit(0))
+    slices = F.coalesce(F.pmod(F.xxhash64(by), F.col("slices")).cast("int"), F.lit(0))
+    return rows.join(hot, key, "left").withColumn("slice", slices).drop("slices")
+
+
+def _fanned(rows: DataFrame, hot: DataFrame | None, key: str) -> DataFrame:
+    """``rows`` once for each slice of their key, to join with _sliced() ones."""
+    if hot is None:
+        return rows.withColumn("slice", F.lit(0))
+    slices = F.sequence(F.lit(0), F.coalesce(F.col("slices"), F.lit(1)) - 1)
+    return rows.join(hot, key, "left").withColumn("slice", F.explode(slices)).drop("slices")
+
+
 def _texts(docs: DataFrame, reps: DataFrame, needed: DataFrame) -> DataFrame:
     """(node, body) of the needed nodes, from one document of each."""
     chosen = materialise(reps.join(needed, "node", "left_semi").select("node", "_id"), "near-needed")
@@ -175,11 +199,20 @@ _SIMILAR = "a binary, b binary, shared long, united long"
 
 
 def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """_SIMILAR: the exact overlap of distinct pairs (a, b). ``a`` is sent once to each lot of
-    _PER_SALT of its partners, so a pivot of many is spread over tasks."""
-    lots = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / _PER_SALT).alias("lots"))
-    salted = pairs.join(lots, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int")).drop("lots")
-    salted = materialise(salted, "near-pairs")
+    """_SIMILAR, with a < b: the exact overlap of distinct pairs. Of a pair, the text with more partners
+    is sent once to each lot of _PER_SALT of them, so a pivot of many is spread over tasks."""
+    pairs = materialise(pairs, "near-pairs")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    lots = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > _PER_SALT)
+    lots = _small(materialise(lots.select("node", F.ceil(F.col("n") / _PER_SALT).cast("int").alias("lots")), "near-lots"))
+    for end in ("a", "b"):
+        pairs = pairs.join(lots.select(F.col("node").alias(end), F.col("lots").alias(f"{end}_lots")), end, "left")
+    # the end with more partners is ``a``
+    swap = F.coalesce("b_lots", F.lit(1)) > F.coalesce("a_lots", F.lit(1))
+    most = F.greatest(F.coalesce("a_lots", F.lit(1)), F.coalesce("b_lots", F.lit(1)))
+    pairs = pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), most.alias("lots"))
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int")).drop("lots")
+    salted = materialise(salted, "near-salted")
     left = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("binary").alias("b"), "body")
     right = salted.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "body")
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -208,7 +241,8 @@ def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(shared, pa.int64()), pa.array(united, pa.int64())], ["a", "b", "shared", "united"]
             )
 
-    return materialise(dealt.select("a", "b", "body").mapInArrow(run, _SIMILAR), "near-compared")
+    compared = dealt.select("a", "b", "body").mapInArrow(run, _SIMILAR)
+    return materialise(compared.select(*_ordered(F.col("a"), F.col("b")), "shared", "united"), "near-compared")
 
 
 def _linked(compared: DataFrame) -> DataFrame:
@@ -224,14 +258,17 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = materialise(links.union(links.select("b", "a")).distinct(), "cc-links")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "cc-labels")
+    hot = _hot(both.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "b")  # the middles of stars
+    both = _sliced(both, hot, "b", "a")
     while True:
-        spread = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
+        given = _fanned(labels.withColumnRenamed("node", "b"), hot, "b")
+        spread = both.join(given, ["b", "slice"]).groupBy("a").agg(F.min("label").alias("near"))
         nearer = labels.join(spread, F.col("node") == F.col("a")).select("node", F.least("label", "near").alias("next"), "label")
         nearer = materialise(nearer, "cc-near")
-        jump = nearer.select(F.col("node").alias("to"), F.col("next").alias("far"))
-        new = materialise(
-            nearer.join(jump, F.col("next") == F.col("to"), "left").select("node", F.least("next", F.coalesce("far", "next")).alias("new"), "label"), "cc-labels"
-        )
+        large = _hot(nearer.groupBy("next").agg(F.count(F.lit(1)).alias("n")), "next")  # the labels of large components
+        jump = _fanned(nearer.select(F.col("node").alias("next"), F.col("next").alias("far")), large, "next")
+        met = _sliced(nearer, large, "next", "node").join(jump, ["next", "slice"], "left")
+        new = materialise(met.select("node", F.least("next", F.coalesce("far", "next")).alias("new"), "label"), "cc-labels")
         changed = new.filter(F.col("new") != F.col("label")).limit(1).count()
         labels = new.select("node", F.col("new").alias("label"))
         if not changed:
@@ -245,9 +282,9 @@ def _relabel(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return plain.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _id() -> Column:
+def _id(doc_id: Column | None = None) -> Column:
     """Null ids are one id below all others here."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_id")
+    return F.coalesce((F.col("doc_id") if doc_id is None else doc_id).cast("long"), F.lit(_NO_ID)).alias("_id")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -259,16 +296,19 @@ def near_classes(docs: DataFrame) -> DataFrame:
     )
     reps = materialise(reps, "near-nodes")
     bands = materialise(_bands(docs), "near-bands").select("node", F.explode("bands").alias("bucket"))
-    shared = materialise(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket"), "near-buckets")
-    members = materialise(bands.join(shared, "bucket"), "near-members")
+    shared = materialise(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-buckets")
+    # buckets only shrink from here on, so the slices of the first count hold for all rounds
+    hot = _hot(shared, "bucket")
+    members = _sliced(bands, hot, "bucket", "node").join(_fanned(shared.select("bucket"), hot, "bucket"), ["bucket", "slice"])
+    members = materialise(members, "near-members")
     links = done = None
     labels = None
     for k in range(PIVOT_ROUNDS + 1):
         now = materialise(_relabel(members, labels), "near-labelled")
         mixed = now.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("bucket")
         # buckets that are one component already ask for nothing more
-        members = materialise(now.join(mixed, "bucket", "left_semi"), "near-members")
-        pairs = _pivot_pairs(members, k) if k < PIVOT_ROUNDS else _remaining_pairs(docs, reps, members, done)
+        members = materialise(now.join(_fanned(mixed, hot, "bucket"), ["bucket", "slice"], "left_semi"), "near-members")
+        pairs = _pivot_pairs(members, hot, k) if k < PIVOT_ROUNDS else _remaining_pairs(docs, reps, members, hot, done)
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         pairs = materialise(pairs, "near-asked")
@@ -296,11 +336,11 @@ def _ordered(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _pivot_pairs(members: DataFrame, turn: int) -> DataFrame:
+def _pivot_pairs(members: DataFrame, hot: DataFrame | None, turn: int) -> DataFrame:
     """Distinct pairs of each bucket's pivot with its members of other components. Which member is
     the pivot changes with the turn."""
     pivots = members.groupBy("bucket").agg(F.min_by(F.struct("node", "label"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("p"))
-    met = members.join(pivots, "bucket").filter(F.col("label") != F.col("p.label"))
+    met = members.join(_fanned(pivots, hot, "bucket"), ["bucket", "slice"]).filter(F.col("label") != F.col("p.label"))
     return met.select(*_ordered(F.col("node"), F.col("p.node"))).distinct()
 
 
@@ -324,7 +364,7 @@ def _class_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node binary, total long, classes array<smallint>")
 
 
-def _remaining_pairs(docs: DataFrame, reps: DataFrame, members: DataFrame, done: DataFrame) -> DataFrame:
+def _remaining_pairs(docs: DataFrame, reps: DataFrame, members: DataFrame, hot: DataFrame | None, done: DataFrame) -> DataFrame:
     """Distinct pairs in a bucket of different components, one of them not the bucket's largest, but
     for those that cannot be links.
 
@@ -334,13 +374,13 @@ def _remaining_pairs(docs: DataFrame, reps: DataFrame, members: DataFrame, done:
     """
     pivots = members.groupBy("bucket").agg(F.min_by("node", F.struct(F.xxhash64("node", F.lit(0)), "node")).alias("pivot"))
     away = done.select("a", "b", (1 - F.col("shared") / F.col("united")).alias("away"))
-    told = members.join(pivots, "bucket").withColumns({"a": F.least("node", "pivot"), "b": F.greatest("node", "pivot")})
-    told = told.join(away, ["a", "b"], "left").select("bucket", "node", "label", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("away")).alias("away"))
+    told = members.join(_fanned(pivots, hot, "bucket"), ["bucket", "slice"]).withColumns({"a": F.least("node", "pivot"), "b": F.greatest("node", "pivot")})
+    told = told.join(away, ["a", "b"], "left").select("bucket", "slice", "node", "label", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("away")).alias("away"))
     counts = _class_counts(_texts(docs, reps, members.select("node").distinct()))
     told = materialise(told.join(counts, "node"), "near-told")
     parts = told.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     largest = parts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
-    small = told.join(largest, "bucket").filter(F.col("label") != F.col("largest")).select(
+    small = told.join(_fanned(largest, hot, "bucket"), ["bucket", "slice"]).filter(F.col("label") != F.col("largest")).select(
         "bucket", F.col("node").alias("u"), F.col("label").alias("u_label"), F.col("away").alias("u_away"),
         F.col("total").alias("u_total"), F.col("classes").alias("u_classes"), "largest",
     )
@@ -348,7 +388,7 @@ def _remaining_pairs(docs: DataFrame, reps: DataFrame, members: DataFrame, done:
     enough = most * (_DENOMINATOR + _NUMERATOR) >= (F.col("total") + F.col("u_total")) * _NUMERATOR
     possible = F.coalesce(F.abs(F.col("u_away") - F.col("away")) <= _FAR + 1e-9, F.lit(True)) & F.coalesce(enough, F.lit(True))
     once = (F.col("label") == F.col("largest")) | (F.col("u") < F.col("node"))  # two small ones meet once
-    met = small.join(told, "bucket").filter((F.col("label") != F.col("u_label")) & once & possible)
+    met = _fanned(small, hot, "bucket").join(told, ["bucket", "slice"]).filter((F.col("label") != F.col("u_label")) & once & possible)
     return met.select(*_ordered(F.col("u"), F.col("node"))).distinct()
 
 
@@ -357,8 +397,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Equal texts are one class, and so are texts linked by a similarity of 0.8 or more, directly or
     through others; class_id is the least doc_id in it and kept is true for one doc_id of each
-    class. Null texts count as empty; texts without a word are only like equal ones. Rows without a
-    doc_id take part; a class of nothing else has a null class_id.
+    class (in each of its rows, if it repeats with the same text). Null texts count as empty; texts
+    without a word are only like equal ones; texts of any length are compared whole. Rows without a
+    doc_id take part; a class of nothing else has a null class_id. Other columns are not read; an
+    empty table gives an empty one.
     """
     null = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
     found = near_classes(docs)
@@ -367,11 +409,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the one with the least doc_id (on a tie the
-    least text, once)."""
-    if {"_id", "node"} & set(docs.columns):
-        raise ValueError("columns named _id or node are taken")
+    """The rows of ``docs`` that stay, with all their columns whatever their names: of each class the
+    one with the least doc_id, nulls first (on a tie the least text; of rows repeated in both, one).
+    Null and empty texts, long ones and empty tables go as in near_duplicates()."""
     found = near_classes(docs).filter((F.col("_id") == F.col("class_id")) & (F.col("node") == F.col("stays")))
-    keyed = docs.withColumns({"_id": _id(), "node": _node(F.col("text"))})
+    keyed = packed(docs).select("row", _id(F.col("row.doc_id")), _node(F.col("row.text")).alias("node"))
     kept = keyed.join(materialise(found.select("_id", "node"), "near-stays"), ["_id", "node"], "left_semi")
-    return kept.dropDuplicates(["_id", "node"]).select(*docs.columns)
+    return kept.dropDuplicates(["_id", "node"]).select("row.*")
