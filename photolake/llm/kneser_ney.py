@@ -32,7 +32,9 @@ from .words import mix, split_words, text_slices
 END = np.uint64(0x1F0E3DAD99908345)
 _FLUSH = 1 << 21  # tokens that a task gathers before it adds up equal bigrams
 _WORD = {"hash": "<u8", "count": "<i8", "lower": "<f8", "log_back": "<f8", "total": "<i8"}
-_PAIR = {"hash": "<u8", "count": "<u4"}
+_PAIR = {"hash": "<u8", "count": "<u2"}
+#: Counts from here on are in arrays of their own, in 64 bits.
+_LARGE = 65535
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -110,7 +112,8 @@ class Discounts:
 
     @classmethod
     def of(cls, n1: int, n2: int, n3: int, n4: int) -> Discounts:
-        """Chen and Goodman's estimates; with too few counts for them, 0.5, 1 and 1.5 at most."""
+        """Chen and Goodman's estimates, from 0 to 1, 2 and 3; without counts of 1 or 2 there are none,
+        and 0.5, 0.75 and 0.9 are taken."""
         if not n1 or not n2:
             return cls(0.5, 0.75, 0.9)
         y = n1 / (n1 + 2 * n2)
@@ -133,7 +136,8 @@ class KneserNey:
 
 
 def _write_shards(rows: DataFrame, shards: int, columns: dict[str, str], tag: str) -> str:
-    """Sorted arrays in the shared folder, one file a column and hash range.
+    """Sorted arrays in the shared folder, one file a column and hash range. A 16-bit count is cut at
+    _LARGE, and hash and count of such rows are written again, whole.
 
     A file is written under a task's own name and then renamed, so a task that runs again, or twice,
     leaves one whole file of the same rows.
@@ -143,6 +147,8 @@ def _write_shards(rows: DataFrame, shards: int, columns: dict[str, str], tag: st
     bits = shards.bit_length() - 1
     shard = F.shiftrightunsigned("hash", 64 - bits).cast("int") if bits else F.lit(0)
     names = list(columns)
+    short = [c for c, t in columns.items() if t == "<u2"]
+    files_of = names + [f"large_{c}" for c in ("hash", *short) if short]
 
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A partition holds whole shards, sorted by shard and unsigned hash."""
@@ -160,14 +166,20 @@ def _write_shards(rows: DataFrame, shards: int, columns: dict[str, str], tag: st
                     yield close()
                 if k != now:
                     now, rows = k, 0
-                    files = {c: open(f"{path}/{k:05d}.{c}.{uuid.uuid4().hex}", "wb") for c in names}  # noqa: SIM115
+                    files = {c: open(f"{path}/{k:05d}.{c}.{uuid.uuid4().hex}", "wb") for c in files_of}  # noqa: SIM115
                 rows += len(own)
-                for c, file in files.items():
-                    file.write(np.ascontiguousarray(own[c].to_numpy()).astype("<i8" if c == "hash" else columns[c]).tobytes())
+                for c in names:
+                    values = np.ascontiguousarray(own[c].to_numpy())
+                    if c in short:
+                        large = values >= _LARGE
+                        files["large_hash"].write(own["hash"].to_numpy()[large].astype("<i8").tobytes())
+                        files[f"large_{c}"].write(values[large].astype("<i8").tobytes())
+                        values = np.minimum(values, _LARGE)
+                    files[c].write(values.astype("<i8" if c == "hash" else columns[c]).tobytes())
         if now is not None:
             yield close()
 
-    dealt = rows.select("hash", *[c for c in names if c != "hash"], shard.alias("shard")).repartition(shards, "shard")
+    dealt = rows.select("hash", *[c for c in names if c != "hash"], shard.alias("shard")).repartitionById(shards, "shard")
     # xor with the sign bit orders signed longs as unsigned ones
     dealt.sortWithinPartitions("shard", F.col("hash").bitwiseXOR(F.lit(-(2**63)))).mapInPandas(write, "shard int, n long").agg(F.sum("n")).collect()
     return path
@@ -234,12 +246,15 @@ class _Mapped:
         if k not in self.open:
             names = {c: f"{self.path}/{k:05d}.{c}" for c in self.columns}
             self.open[k] = {c: np.memmap(names[c], t, "r") for c, t in self.columns.items()} if os.path.exists(names["hash"]) else None
+            large = {c: f"{self.path}/{k:05d}.large_{c}" for c in ("hash", "count")}
+            if self.open[k] and os.path.exists(large["hash"]) and os.path.getsize(large["hash"]):
+                self.open[k] |= {"large_hash": np.memmap(large["hash"], "<u8", "r"), "large_count": np.memmap(large["count"], "<i8", "r")}
         return self.open[k]
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """Whether each of the sorted, distinct hashes is there, and its columns (0 if not)."""
         there = np.zeros(len(hashes), bool)
-        out = {c: np.zeros(len(hashes), t) for c, t in self.columns.items() if c != "hash"}
+        out = {c: np.zeros(len(hashes), "<i8" if t == "<u2" else t) for c, t in self.columns.items() if c != "hash"}
         shard = (hashes >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
         edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -251,6 +266,9 @@ class _Mapped:
             there[a:b] = hit
             for c in out:
                 out[c][a:b][hit] = held[c][at[hit]]
+            if "large_hash" in held:
+                cut = a + np.flatnonzero(out["count"][a:b] == _LARGE)
+                out["count"][cut] = held["large_count"][np.searchsorted(held["large_hash"], hashes[cut])]
         return there, out
 
 
@@ -285,8 +303,12 @@ def score_batch(model: KneserNey, words: _Mapped, pairs: _Mapped, texts: list[by
 
 
 def score_documents(docs: DataFrame, model: KneserNey) -> DataFrame:
-    """``docs`` without text, with SCORES (replaced if there). Perplexity is
-    10 ** (-score / n_tokens). Null texts are an end alone."""
+    """``docs`` without text, with SCORES (replaced if there; all other columns are kept). Perplexity is
+    10 ** (-score / n_tokens).
+
+    Null and empty texts are an end alone; texts of any length are scored whole; repeated rows, and
+    texts that tie, score alike. An empty table gives an empty one.
+    """
     names = [c.split()[0] for c in SCORES.split(", ")]
     rest = docs.drop(*names)
     kept = [c for c in rest.columns if c != "text"]

@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from photolake.llm import kneser_ney as kn
@@ -84,6 +85,16 @@ def test_scores_equal_brute_force(spark, monkeypatch):
             assert r.base_score == pytest.approx(want[3], rel=1e-9) and r.score == pytest.approx(want[4], rel=1e-9)
 
 
+def test_large_counts_are_kept_whole(spark):
+    counts = {5: 1, 2**63 + 7: 65534, 2**62: 65535, 3: 2**33, 2**64 - 1: 2}
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    rows = spark.createDataFrame([(signed(h), n) for h, n in counts.items()], "hash long, count long")
+    path = kn._write_shards(rows, 4, kn._PAIR, "lm-test")
+    asked = np.array(sorted([*counts, 17]), np.uint64)
+    there, found = kn._Mapped(path, 4, kn._PAIR).find(asked)
+    assert there.tolist() == [int(h) in counts for h in asked] and found["count"].tolist() == [counts.get(int(h), 0) for h in asked]
+
+
 def test_probabilities_sum_to_one():
     brute = Brute(texts())
     for v in ("the", "dog", END):
