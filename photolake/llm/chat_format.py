@@ -1,9 +1,9 @@
 """Chat formatting with loss masks that are aligned to tokens by character offsets.
 
-A conversation is rendered whole and encoded once with offsets. The turns' spans in the rendered
-text are sorted and disjoint, so the tokens of a span are found by two binary searches over the
-token starts and ends. The template's markers are registered with the tokenizer as tokens of their
-own, so no token straddles a turn's edge.
+A conversation is rendered whole and encoded once; the tokens' widths in bytes give their offsets in
+characters. The turns' spans in the rendered text are sorted and disjoint, so the tokens of a span are
+found by two binary searches over the token starts and ends. The template's markers are registered
+with the tokenizer as tokens of their own, so no token straddles a turn's edge.
 """
 
 from __future__ import annotations
@@ -18,7 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import ChunkTable, text_blocks
+from .token_orc import chunk_table
+
 MARK_OPEN, MARK_BODY, MARK_CLOSE = "<|turn|>", "<|says|>", "<|done|>"
+_CONVERSATIONS = 256  # formatted at once
 _MARKS = re.compile(r"<\|turn\|>(.*?)<\|says\|>(.*?)<\|done\|>\n", re.S)
 _CONTROL = re.compile(r"<(\\*)\|")
 _ESCAPED = re.compile(r"<\\(\\*)\|")
@@ -80,14 +84,24 @@ def masked_text(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.n
     return "".join(unescape(formatted[starts[a] : ends[b]]) for a, b in zip(firsts, lasts, strict=True))
 
 
-def _tokenizer(path: str):
-    from tokenizers import AddedToken, Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    tokenizer.add_special_tokens([AddedToken(x, normalized=False) for x in (MARK_OPEN, MARK_BODY, MARK_CLOSE)])
-    return tokenizer
+def encode_with_offsets(table: ChunkTable, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, starts, ends, edges): text k has the tokens from edges[k] to edges[k + 1], with their
+    offsets in its characters. A token that holds a part of a character counts it whole."""
+    coded = pa.array(texts, pa.string())
+    ids, starts, ends, counts = [], [], [], []
+    for _, _, x, edges in text_blocks(coded):
+        some, n = table.encode_block(x, edges)
+        last = np.cumsum(table.widths[some])
+        first = last - table.widths[some]
+        # characters before each byte and the next, from the start of its text
+        char = np.cumsum((x & 0xC0) != 0x80)
+        base = np.repeat(np.concatenate(([0], char))[edges[:-1]], n)
+        ids.append(some)
+        starts.append(char[first] - 1 - base if len(some) else first)
+        ends.append(char[last - 1] - base if len(some) else last)
+        counts.append(n)
+    join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
+    return join(ids, np.uint32), join(starts, np.int32), join(ends, np.int32), np.concatenate(([0], np.cumsum(join(counts, np.int64))))
 
 
 def format_conversations(turns: DataFrame, tokenizer_path: str, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -103,27 +117,23 @@ def format_conversations(turns: DataFrame, tokenizer_path: str, loss_roles: tupl
     whole = whole.select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = None
         for batch in batches:
-            tokenizer = tokenizer or _tokenizer(tokenizer_path)
-            for conv_id, roles, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                said = [Turn(r, t) for r, t in zip(roles, texts, strict=True)]
-                formatted, spans = render(said)
-                coded = tokenizer.encode(formatted, add_special_tokens=False)
-                offsets = np.asarray(coded.offsets, np.int32).reshape(-1, 2)
-                starts, ends = offsets[:, 0], offsets[:, 1]
-                mask = span_mask(starts, ends, spans[[t.role in loss_roles for t in said]])
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "conv_id": pa.array([conv_id], pa.int64()),
-                        "n_turns": pa.array([len(said)], pa.int64()),
-                        "formatted": [formatted],
-                        "token_ids": pa.array([np.asarray(coded.ids, np.int32)], pa.list_(pa.int32())),
-                        "token_starts": pa.array([starts], pa.list_(pa.int32())),
-                        "token_ends": pa.array([ends], pa.list_(pa.int32())),
-                        "loss_mask": pa.array([mask], pa.list_(pa.bool_())),
-                    }
-                )
+            table = chunk_table(tokenizer_path, (MARK_OPEN, MARK_BODY, MARK_CLOSE))
+            for at in range(0, batch.num_rows, _CONVERSATIONS):
+                some = batch.slice(at, _CONVERSATIONS)
+                said = [list(map(Turn, *turns)) for turns in zip(some["roles"].to_pylist(), some["texts"].to_pylist(), strict=True)]
+                texts, spans = zip(*map(render, said), strict=True)
+                ids, starts, ends, edges = encode_with_offsets(table, texts)
+                masks = [
+                    span_mask(starts[a:b], ends[a:b], own[[t.role in loss_roles for t in turns]])
+                    for turns, own, a, b in zip(said, spans, edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+                ]
+                lists = lambda values: pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values))  # noqa: B023, E731
+                columns = [
+                    some["conv_id"].cast(pa.int64()), pa.array(list(map(len, said)), pa.int64()), pa.array(texts, pa.string()),
+                    lists(ids.view(np.int32)), lists(starts), lists(ends), lists(np.concatenate(masks)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCHEMA.split(", ")])
 
     return whole.mapInArrow(run, SCHEMA)
 

@@ -21,24 +21,26 @@ from .chunks import ChunkTable, byte_chars, text_blocks
 
 FILE_SCHEMA = "doc_id long, file_start long, n_tokens int, tokens array<int>"
 _LATIN = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-_tables: dict[str, ChunkTable] = {}
+_tables: dict[tuple[str, ...], ChunkTable] = {}
 
 
-def chunk_table(path: str) -> ChunkTable:
-    """The library's tokenizer behind a table of chunks; one for each worker process.
+def chunk_table(path: str, markers: tuple[str, ...] = ()) -> ChunkTable:
+    """The library's tokenizer behind a table of chunks; one for each worker process. ``markers`` are
+    tokens of their own besides the tokenizer's; ``widths`` has each token's bytes.
 
     A chunk that is a Latin word is one piece of the pretokenizer's and goes to the library's model
     as it is; all others go through the whole library.
     """
-    if path not in _tables:
+    if (path, *markers) not in _tables:
         import os
 
-        from tokenizers import Tokenizer
+        from tokenizers import AddedToken, Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        tokenizer.add_special_tokens([AddedToken(m, normalized=False) for m in markers])
         added = [a.content for a in tokenizer.get_added_tokens_decoder().values()]
         # an added token of letters, or a normalizer, may turn words into something else
         plain = tokenizer.normalizer is None and not any(_LATIN.search(a.encode()[:1]) for a in added)
@@ -58,8 +60,12 @@ def chunk_table(path: str) -> ChunkTable:
                 out[k] = np.array(e.ids, "<u4")
             return out
 
-        _tables[path] = ChunkTable(encode, added)
-    return _tables[path]
+        table = _tables[path, *markers] = ChunkTable(encode, added)
+        sizes = {k: len(t) for t, k in tokenizer.get_vocab(with_added_tokens=False).items()}  # a character stands for a byte
+        sizes |= {k: len(a.content.encode()) for k, a in tokenizer.get_added_tokens_decoder().items()}
+        table.widths = np.zeros(max(sizes) + 1, np.int64)
+        table.widths[list(sizes)] = list(sizes.values())
+    return _tables[path, *markers]
 
 
 def _ended(ids: np.ndarray, n: np.ndarray, end_id: int) -> pa.ListArray:

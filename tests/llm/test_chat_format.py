@@ -2,6 +2,7 @@ import hashlib
 
 from photolake.llm import chat_format as cf
 from photolake.llm.queries import PROBE, TOKENIZER
+from photolake.llm.token_orc import chunk_table
 
 SCHEMA = "conv_id long, turn long, role string, text string, formatted string"
 
@@ -44,3 +45,16 @@ def test_empty_table(spark):
 def test_escape_is_reversible_and_leaves_no_control():
     for s in ("<|", "<\\|", "<\\\\|<|", "a<b|c", "<|endoftext|>", "|", "<<||>>"):
         assert cf.unescape(cf.escape(s)) == s and "<|" not in cf.escape(s)
+
+
+def test_offsets_equal_the_library():
+    from tokenizers import AddedToken, Tokenizer
+
+    marks = (cf.MARK_OPEN, cf.MARK_BODY, cf.MARK_CLOSE)
+    library = Tokenizer.from_file(TOKENIZER)
+    library.add_special_tokens([AddedToken(m, normalized=False) for m in marks])
+    texts = ["", "plain words, and more.", *(cf.render([cf.Turn(r or "", t or "")])[0] for _, _, r, t in ROWS if len(t or "") < 9999), "🙂👩‍👩‍👧 日本語 é\n\n ü", "<|done|> <|endoftext|>"]
+    ids, starts, ends, edges = cf.encode_with_offsets(chunk_table(TOKENIZER, marks), texts)
+    for k, text in enumerate(texts):
+        want, own = library.encode(text, add_special_tokens=False), slice(edges[k], edges[k + 1])
+        assert ids[own].tolist() == want.ids and list(zip(starts[own].tolist(), ends[own].tolist(), strict=True)) == want.offsets
