@@ -39,7 +39,7 @@ CLASSES = 256
 _NUMERATOR, _DENOMINATOR = 4, 5  # a link: similarity of 0.8 or more
 _FAR = 1 - _NUMERATOR / _DENOMINATOR
 _BROADCAST_ROWS = 200_000  # of 40 bytes at most
-_PER_SALT = 256
+_PER_SALT = 64
 _PER_SLICE = 512  # rows of a hot key that meet its other side in one task
 _NO_ID = -(2**63)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
