@@ -47,7 +47,7 @@ PRIOR_ROWS = 40
 KEEP_SHARE = 0.75  # of a group that the estimate rests on
 QUANTILE = 0.999
 STEPS = 30  # at most
-_RESTS = 1e-6  # of a log determinant
+_RESTS = 1e-4  # change of a log determinant
 _TINY = 1e-3  # numerical guard: the least spread of all rows that a feature is taken to have
 _BROADCAST_GROUPS = 100_000
 _P = 4

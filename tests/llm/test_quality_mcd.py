@@ -82,7 +82,7 @@ def brute_mcd(x, centre, target):
             inner = x[d <= np.sort(d)[int(np.ceil(q.KEEP_SHARE * n)) - 1]]
             m, s = inner.mean(0), scatter(inner, q.KEEP_SHARE)
             now = np.linalg.slogdet(s)[1]
-            if abs(last - now) < 1e-6:
+            if abs(last - now) <= q._RESTS:
                 break
             last = now
         if best is None or now < best[0]:
