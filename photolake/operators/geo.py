@@ -197,18 +197,16 @@ def nearest_place(located: DataFrame, places: DataFrame, cell: float, scale: flo
     """(point_id, place, km): the nearest town of the point's country by scaled squared degrees.
 
     Places are grouped by country and grid cell. A point looks into the 3 x 3 cells around it; that
-    answer stands if it is nearer than those cells' rim, and only the other points scan their whole
-    country. Longitudes do not wrap. ``located``: point_id, code, lon, lat, x, y.
+    answer stands if it is nearer than those cells' rim, and the other points look again in cells of
+    four times the width, until the cells around a point hold all there is. So a point meets few
+    cells, by their keys, however many its country has. Longitudes do not wrap. ``located``:
+    point_id, code, lon, lat, x, y.
     """
-    cell_deg = cell * scale
-    at = places.withColumns({"cx": F.floor(F.col("qx") / cell).cast("long"), "cy": F.floor(F.col("qy") / cell).cast("long")})
-    spot = F.struct("ord", "name", "qx", "qy")
-    grid = at.groupBy("code", "cx", "cy").agg(F.collect_list(spot).alias("spots"))
-    step = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    around = located.withColumns({"px": F.floor(F.col("x") / cell).cast("long"), "py": F.floor(F.col("y") / cell).cast("long")})
-    around = around.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step))
-    around = around.withColumns({"cx": F.col("px") + F.col("dx"), "cy": F.col("py") + F.col("dy")})
+    edges = lambda df, x, y: df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).head()
+    corners = [e for e in (edges(places, "qx", "qy"), edges(located, "x", "y")) if e[0] is not None]
+    extent = max((max(e[k + 1] for e in corners) - min(e[k] for e in corners) for k in (0, 2)), default=0.0)
     k = F.greatest(F.lit(0.02), F.cos(F.col("lat") * math.pi / 180))
+    step = F.array(*[F.lit(k) for k in (-1, 0, 1)])
 
     def nearest(spots: Column) -> Column:
         def score(s: Column) -> Column:
@@ -217,13 +215,29 @@ def nearest_place(located: DataFrame, places: DataFrame, cell: float, scale: flo
 
         return F.array_min(F.transform(spots, score))
 
-    # a cell's towns are within its rim; the broadcast is bounded by the gazetteer's own size
-    first = around.join(grid, ["code", "cx", "cy"]).withColumn("b", nearest(F.col("spots"))).groupBy("point_id").agg(F.min("b").alias("b"))
-    rim = cell_deg * F.least(F.lit(1.0), k)
-    sure = settle(located.join(first, "point_id").filter(F.col("b.sq") < rim * rim).select("point_id", "b"))
-    rest = located.join(sure.select("point_id"), "point_id", "left_anti")
-    whole = rest.join(grid.select("code", "spots"), "code").withColumn("b", nearest(F.col("spots"))).groupBy("point_id").agg(F.min("b").alias("b"))
-    return sure.unionByName(whole).select("point_id", F.col("b.name").alias("place"), (F.sqrt("b.sq") * KM_PER_DEGREE).alias("place_km"))
+    def look(points: DataFrame, cell: float) -> DataFrame:
+        """The nearest town in the 3 x 3 cells of points that have any there."""
+        cell_of = lambda c: F.floor(F.col(c) / cell).cast("long")
+        grid = places.groupBy("code", cell_of("qx").alias("cx"), cell_of("qy").alias("cy")).agg(F.collect_list(F.struct("ord", "name", "qx", "qy")).alias("spots"))
+        around = points.withColumns({"px": cell_of("x"), "py": cell_of("y")}).withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step))
+        around = around.withColumns({"cx": F.col("px") + F.col("dx"), "cy": F.col("py") + F.col("dy")})
+        return around.join(grid, ["code", "cx", "cy"]).withColumn("b", nearest(F.col("spots"))).groupBy("point_id").agg(F.min("b").alias("b"))
+
+    found = None
+    rest = located.join(places.select("code").distinct(), "code", "left_semi")
+    while True:
+        last = cell > extent
+        rim = cell * scale * F.least(F.lit(1.0), k)
+        sure = rest.join(look(rest, cell), "point_id").filter(F.lit(last) | (F.col("b.sq") < rim * rim))
+        sure = settle(sure.select("point_id", "b"))
+        found = sure if found is None else found.unionByName(sure)
+        if last:
+            break
+        rest = settle(rest.join(sure.select("point_id"), "point_id", "left_anti"))
+        if not rest.limit(1).count():
+            break
+        cell *= 4
+    return found.select("point_id", F.col("b.name").alias("place"), (F.sqrt("b.sq") * KM_PER_DEGREE).alias("place_km"))
 
 
 def bounds_of(polygons: DataFrame, scale: float, tx: float, ty: float) -> DataFrame:
