@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: the name endings that count as images.
 IMAGE_NAME = r"(?i)\.(jpe?g|png|webp|gif|bmp|tiff?|avif|heic|heif|svg)$"
 #: File extensions of the output formats.
 EXTENSIONS = {"image/jpeg": "jpg", "image/png": "png", "image/avif": "avif", "image/webp": "webp"}

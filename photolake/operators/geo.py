@@ -193,6 +193,13 @@ def locate(
     ).drop("km")
 
 
+def country_code(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """``asked`` (with country) and the code that the first of ``names`` (ord, name, code) of that name
+    has; null where there is none."""
+    first = names.groupBy(F.col("name").alias("country")).agg(F.min_by(F.struct("code"), "ord").alias("first"))
+    return asked.join(first.select("country", F.col("first.code").alias("code")), "country", "left")
+
+
 def nearest_place(located: DataFrame, places: DataFrame, cell: float, scale: float, tx: float, ty: float) -> DataFrame:
     """(point_id, place, km): the nearest town of the point's country by scaled squared degrees.
 

@@ -207,3 +207,16 @@ def g1(spark, sf_dir):
     rings = geo.stitch_rings(refs, geo.decode_arcs(raw))
     total = lambda c: F.aggregate(f"points.{c}", F.lit(0.0), lambda a, b: a + b)
     return rings.select("poly_id", "ring", F.size("points").cast("long").alias("points"), total("x").alias("sum_x"), total("y").alias("sum_y"))
+
+
+_ASKED = "SELECT s_suppkey AS point_id, CASE WHEN s_suppkey % 7 = 0 THEN 'Nowhere' ELSE n_name END AS country FROM supplier JOIN nation ON s_nationkey = n_nationkey"
+_NAMES = "SELECT c_custkey AS ord, n_name AS name, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE concat(substr(n_name, 1, 2), CAST(c_custkey AS STRING)) END AS code FROM customer JOIN nation ON c_nationkey = n_nationkey"
+
+
+@query(
+    "g10_country_codes",
+    f"WITH asked AS ({_ASKED}), names AS ({_NAMES}), first AS (SELECT name, code FROM names QUALIFY row_number() OVER (PARTITION BY name ORDER BY ord) = 1) SELECT point_id, country, code FROM asked LEFT JOIN first ON country = name",
+)
+def g10(spark, sf_dir):
+    """The code of each supplier's country, from a set of names in which every name comes many times."""
+    return geo.country_code(fx.view(spark, sf_dir, _ASKED), fx.view(spark, sf_dir, _NAMES)).select("point_id", "country", "code")
