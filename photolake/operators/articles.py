@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..llm.shared import materialise
+from ..functions.cut import settle
 
 #: Letters with marks of the Latin blocks and what is left without them, from Unicode's own tables.
 _MARKED = {chr(c): b for c in range(0xC0, 0x250) if len(b := unicodedata.normalize("NFD", chr(c))[0]) == 1 and b != chr(c)}
@@ -62,7 +62,7 @@ def group_runs(articles: DataFrame) -> DataFrame:
     at an edge are joined through a table of one row for each (partition, lang).
     """
     parts = int(articles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialise(articles.select("lang", "ord", "grp").repartitionByRange(parts, "lang", "ord").withColumn("part", F.spark_partition_id()), "article-runs")
+    dealt = settle(articles.select("lang", "ord", "grp").repartitionByRange(parts, "lang", "ord").withColumn("part", F.spark_partition_id()))
     order = Window.partitionBy("part", "lang").orderBy("ord")
     starts = F.when(F.lag("grp").over(order).eqNullSafe(F.col("grp")) & (F.row_number().over(order) > 1), 0).otherwise(1)
     pieces = dealt.withColumn("starts", starts).withColumn("k", F.sum("starts").over(order))
