@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rnd
+from ..functions.places import number_rows
 
 
 def bridge_alpha2(admin0: DataFrame) -> DataFrame:
@@ -57,22 +58,23 @@ def flatten_polygons(features: DataFrame) -> DataFrame:
     and unnamed features are dropped; name_id is the feature's place among those kept by ``ord``.
     """
     kept = features.filter(F.col("type").isin("Polygon", "MultiPolygon") & F.col("name").isNotNull() & (F.col("name") != ""))
-    parts = kept.select("ord", "name", F.posexplode("coordinates").alias("part", "rings"))
-    rings = parts.select("ord", "name", "part", F.posexplode("rings").alias("ring", "points"))
-    return rings.select("ord", "name", "part", "ring", F.posexplode("points").alias("v", "p")).select(
-        "ord", "name", "part", "ring", "v", F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat")
+    named = kept.join(number_rows(kept.select("ord"), ["ord"], "name_id"), "ord")
+    parts = named.select("ord", "name_id", "name", F.posexplode("coordinates").alias("part", "rings"))
+    rings = parts.select("ord", "name_id", "name", "part", F.posexplode("rings").alias("ring", "points"))
+    return rings.select("ord", "name_id", "name", "part", "ring", F.posexplode("points").alias("v", "p")).select(
+        "ord", "name_id", "name", "part", "ring", "v", F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat")
     )
 
 
 def polygon_boxes(vertices: DataFrame) -> DataFrame:
     """Bounding boxes of outer rings."""
     outer = vertices.filter("ring = 0")
-    return outer.groupBy("ord", "name", "part").agg(*[f(c).alias(a) for f, c, a in ((F.min, "lon", "w"), (F.min, "lat", "s"), (F.max, "lon", "e"), (F.max, "lat", "n"))])
+    return outer.groupBy("ord", "name_id", "name", "part").agg(*[f(c).alias(a) for f, c, a in ((F.min, "lon", "w"), (F.min, "lat", "s"), (F.max, "lon", "e"), (F.max, "lat", "n"))])
 
 
 def quantise_places(places: DataFrame, transforms: DataFrame) -> DataFrame:
     """Places on their country's grid, rounded. ``transforms``: code, scale, tx, ty."""
-    at = places.join(F.broadcast(transforms), "code")
+    at = places.join(transforms, "code")
     return at.select("code", "ord", "name", rnd((F.col("lon") - F.col("tx")) / F.col("scale")).alias("qx"), rnd((F.col("lat") - F.col("ty")) / F.col("scale")).alias("qy"))
 
 
@@ -94,8 +96,30 @@ def placeless_audit(regions: DataFrame, places: DataFrame) -> DataFrame:
     return regions.select("code").distinct().join(places.select("code").distinct(), "code", "left_anti")
 
 
+def placeless_check(regions: DataFrame, places: DataFrame, most: int = 2) -> DataFrame:
+    """One row: countries that have regions and no places, and whether these are no more than ``most``.
+    More means that codes failed to bridge."""
+    n = placeless_audit(regions, places).agg(F.count(F.lit(1)).alias("placeless"))
+    return n.withColumn("sound", F.col("placeless") <= most)
+
+
+def country_documents(regions: DataFrame, places: DataFrame) -> DataFrame:
+    """(code, places, json) of each country that has regions: its region names and its quantised places
+    (name, qx, qy), both in order; a country without places has none."""
+    towns = places.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "qx", "qy"))).alias("t"))
+    rows = regions_by_country(regions).join(towns, "code", "left")
+    spots = F.coalesce(F.transform("t", lambda t: F.struct(t["name"].alias("name"), t["qx"].alias("qx"), t["qy"].alias("qy"))), F.array())
+    return rows.select("code", F.size(spots).cast("long").alias("places"), F.to_json(F.struct("code", "names", spots.alias("places"))).alias("json"))
+
+
 def build_totals(regions: DataFrame, places: DataFrame) -> DataFrame:
     """One row: countries with regions, regions, places."""
     r = regions.agg(F.count_distinct("code").alias("countries"), F.count(F.lit(1)).alias("regions"))
     p = places.agg(F.count(F.lit(1)).alias("places"))
     return r.withColumn("k", F.lit(1)).join(p.withColumn("k", F.lit(1)), "k").drop("k")
+
+
+def written_totals(documents: DataFrame) -> DataFrame:
+    """One row: countries written, their places and the bytes of all documents."""
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    return documents.agg(F.count(F.lit(1)).alias("countries"), total("places", "places"), total(F.octet_length("json"), "bytes"))

@@ -180,7 +180,8 @@ def join_points_nearest_border(
 def locate(
     points: DataFrame, polygons: DataFrame, near_km: float, cell: float, scale: float, tx: float, ty: float, keys: list[str] | None = None
 ) -> DataFrame:
-    """Every point with poly_id (null: none), approximate and offshore_km: inside first, then near.
+    """Every point with poly_id, approximate, offshore_km and is_world: inside first, then near; a
+    point that no polygon is near has no poly_id and stands for the whole world.
 
     ``points``: point_id, lon, lat, x, y (and keys).
     """
@@ -189,7 +190,7 @@ def locate(
     near = join_points_nearest_border(missed, polygons, near_km, cell, scale, tx, ty, keys)
     found = inside.unionByName(near)
     return points.join(found, "point_id", "left").withColumns(
-        {"approximate": F.col("km").isNotNull(), "offshore_km": F.col("km")}
+        {"approximate": F.col("km").isNotNull(), "offshore_km": F.col("km"), "is_world": F.col("poly_id").isNull()}
     ).drop("km")
 
 
@@ -262,25 +263,54 @@ def view_for(rows: DataFrame, min_span: float) -> DataFrame:
     return rows.withColumns({"view_w": mid_lon - half_lon, "view_s": mid_lat - half_lat, "view_e": mid_lon + half_lon, "view_n": mid_lat + half_lat})
 
 
+def located_views(located: DataFrame, polygons: DataFrame, min_span: float, scale: float, tx: float, ty: float) -> DataFrame:
+    """``located`` with the box w, s, e, n of each row's polygon and the padded view of it. Rows
+    without a polygon have the box of the whole set, which is their view too."""
+    boxes = bounds_of(polygons, scale, tx, ty)
+    whole = boxes.agg(F.lit(None).cast("long").alias("poly_id"), F.min("w").alias("w"), F.min("s").alias("s"), F.max("e").alias("e"), F.max("n").alias("n"))
+    whole = whole.withColumns({f"view_{c}": F.col(c) for c in "wsen"})
+    views = view_for(boxes, min_span).unionByName(whole).withColumnRenamed("poly_id", "box_id")
+    return located.join(_send(polygons, views), F.col("poly_id").eqNullSafe(F.col("box_id")), "left").drop("box_id")
+
+
 def outline_polygons(located: DataFrame, polygons: DataFrame) -> DataFrame:
-    """(name_id, poly_ids): of each matched name all its polygons, found once per name."""
+    """(name_id, poly_ids): of each matched name all its polygons, found once per name. The null name
+    of points that matched none has all polygons."""
     names = located.select("name_id").distinct()
-    return polygons.join(names, "name_id", "left_semi").groupBy("name_id").agg(F.array_sort(F.collect_set("poly_id")).alias("poly_ids"))
+    offered = polygons.select("poly_id", F.explode(F.array("name_id", F.lit(None))).alias("offered_id"))
+    told = names.join(offered, F.col("name_id").eqNullSafe(F.col("offered_id")))
+    return told.groupBy("name_id").agg(F.array_sort(F.collect_set("poly_id")).alias("poly_ids"))
 
 
-def context_polygons(views: DataFrame, boxes: DataFrame, cell_deg: float) -> DataFrame:
-    """(view_id, poly_id) of other names' polygons whose box meets the view, by shared grid cells.
+def context_polygons(views: DataFrame, boxes: DataFrame, cell_deg: float, keys: list[str] | None = None) -> DataFrame:
+    """(view_id, poly_id) of other names' polygons (of the same keys) whose box meets the view, by
+    shared grid cells. A view without a name meets polygons of every name.
 
     ``views``: view_id, name_id, view_w..view_n, distinct; ``boxes``: poly_id, name_id, w, s, e, n.
     """
+    keys = keys or []
 
     def cells(rows: DataFrame, w: str, s: str, e: str, n: str) -> DataFrame:
         span = lambda a, b: F.sequence(F.floor(F.col(a) / cell_deg).cast("long"), F.floor(F.col(b) / cell_deg).cast("long"))
         return rows.withColumn("cx", F.explode(span(w, e))).withColumn("cy", F.explode(span(s, n)))
 
-    met = cells(views, "view_w", "view_s", "view_e", "view_n").join(cells(boxes.withColumnRenamed("name_id", "other_id"), "w", "s", "e", "n"), ["cx", "cy"])
+    met = cells(views, "view_w", "view_s", "view_e", "view_n").join(cells(boxes.withColumnRenamed("name_id", "other_id"), "w", "s", "e", "n"), [*keys, "cx", "cy"])
     meets = (F.col("w") <= F.col("view_e")) & (F.col("e") >= F.col("view_w")) & (F.col("s") <= F.col("view_n")) & (F.col("n") >= F.col("view_s"))
-    return met.filter(meets & (F.col("other_id") != F.col("name_id"))).select("view_id", "poly_id").distinct()
+    return met.filter(meets & ~F.col("other_id").eqNullSafe(F.col("name_id"))).select("view_id", "poly_id").distinct()
+
+
+def region_context(views: DataFrame, regions: DataFrame, world: DataFrame, cell_deg: float) -> DataFrame:
+    """(view_id, seq, layer, poly_id): what surrounds a region's view, in drawing order. Layer 0 is the
+    other regions of its country, layer 1 the land of other countries; each in order of poly_id.
+
+    ``views``: view_id, code, name_id, view_w..view_n; ``regions``: code, poly_id, name_id, w, s, e, n;
+    ``world``: poly_id, name_id (the country's code), w, s, e, n.
+    """
+    near = context_polygons(views, regions, cell_deg, ["code"]).withColumn("layer", F.lit(0))
+    far = context_polygons(views.withColumn("name_id", F.col("code")), world, cell_deg).withColumn("layer", F.lit(1))
+    # a view meets no more than the polygons of both sets
+    order = Window.partitionBy("view_id").orderBy("layer", "poly_id")
+    return near.unionByName(far).select("view_id", (F.row_number().over(order) - 1).alias("seq"), "layer", "poly_id")
 
 
 def place_label(place: Column, km: Column, region: Column, country: Column) -> Column:

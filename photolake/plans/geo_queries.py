@@ -72,7 +72,7 @@ def located(spark: SparkSession, sf_dir: str) -> DataFrame:
     world = settle(countries(spark, sf_dir))
     found = geo.locate(points(spark, sf_dir), world.drop("name_id", "name"), geo.COUNTRY_NEAR_KM, CELL, **_GRID)
     names = world.select("poly_id", F.col("name_id").alias("code"), F.col("name").alias("country"))
-    return found.join(F.broadcast(names), "poly_id", "left")  # as many rows as polygons, which were sent already
+    return found.join(names, "poly_id", "left")
 
 
 def refined(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ def refined(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = settle(regions(spark, sf_dir))
     asked = at.filter("code is not null").select("point_id", "lon", "lat", "x", "y", "code")
     hit = geo.locate(asked, sets.drop("name"), geo.REGION_NEAR_KM, CELL, **_GRID, keys=["code"]).filter("poly_id is not null")
-    hit = hit.join(F.broadcast(sets.select("poly_id", F.col("name").alias("region"))), "poly_id").select("point_id", "lon", "lat", "x", "y", "code", "region")
+    hit = hit.join(sets.select("poly_id", F.col("name").alias("region")), "poly_id").select("point_id", "lon", "lat", "x", "y", "code", "region")
     hit = settle(hit)
     towns = geo.nearest_place(hit, fx.view(spark, sf_dir, fx.PLACES), CELL, **_GRID)
     told = hit.select("point_id", "region").join(towns, "point_id", "left")
@@ -183,11 +183,54 @@ def g15(spark, sf_dir):
 )
 def g16(spark, sf_dir):
     world = countries(spark, sf_dir)
-    boxes = geo.view_for(geo.bounds_of(world, **_GRID), 5.0).join(F.broadcast(world.select("poly_id", "name_id")), "poly_id")
+    boxes = geo.view_for(geo.bounds_of(world, **_GRID), 5.0).join(world.select("poly_id", "name_id"), "poly_id")
     views = boxes.select(F.col("poly_id").alias("view_id"), "name_id", "view_w", "view_s", "view_e", "view_n")
     return geo.context_polygons(views, boxes.select("poly_id", "name_id", "w", "s", "e", "n"), 10.0)
 
 
+_BOX_COLUMNS = ("w", "s", "e", "n", "view_w", "view_s", "view_e", "view_n")
+
+
+@query(
+    "g9_g13_world_views",
+    f"""WITH {_LOCATED}, v AS ({_VIEW}), whole AS (SELECT min(w) AS w, min(s) AS s, max(e) AS e, max(n) AS n FROM v)
+ SELECT point_id, l.poly_id IS NULL AS is_world, {', '.join(f'round(coalesce(v.{c}, whole.{c[-1]}), 6) AS {c}' for c in _BOX_COLUMNS)} FROM located l LEFT JOIN v ON v.poly_id = l.poly_id, whole""",
+)
+def g13_world(spark, sf_dir):
+    """The box and view of every point; those of the whole world for points far from any land."""
+    seen = geo.located_views(located(spark, sf_dir), countries(spark, sf_dir), 5.0, **_GRID)
+    return seen.select("point_id", "is_world", *[F.round(c, 6).alias(c) for c in _BOX_COLUMNS])
+
+
+@query(
+    "g15_world_outlines",
+    f"""WITH {_LOCATED}, asked AS (SELECT DISTINCT code FROM located), p AS (SELECT DISTINCT poly_id, name_id FROM vert)
+ SELECT code AS name_id, string_agg(CAST(poly_id AS VARCHAR), ',' ORDER BY poly_id) AS polygons FROM asked JOIN p ON code = name_id OR code IS NULL GROUP BY code""",
+)
+def g15_world(spark, sf_dir):
+    """The polygons that outline each matched country, and all of them for points that match none."""
+    found = geo.outline_polygons(located(spark, sf_dir).withColumnRenamed("code", "name_id"), countries(spark, sf_dir))
+    return found.select("name_id", F.array_join(F.col("poly_ids").cast("array<string>"), ",").alias("polygons"))
+
+
+@query(
+    "g16_region_context",
+    f"""WITH vert AS ({fx.VERTICES}), rvert AS ({fx.REGION_VERTICES}), v AS ({_VIEW}), r AS ({_VIEW.replace('2.5', '0.225').replace('FROM vert', 'FROM rvert')}),
+ rwho AS (SELECT DISTINCT poly_id, code, name FROM rvert), who AS (SELECT DISTINCT poly_id, name_id FROM vert),
+ a AS (SELECT r.*, code, name FROM r JOIN rwho USING (poly_id)),
+ met AS (SELECT a.poly_id AS view_id, 0 AS layer, b.poly_id FROM a JOIN a b ON a.code = b.code AND a.name <> b.name AND a.view_w <= b.e AND a.view_e >= b.w AND a.view_s <= b.n AND a.view_n >= b.s
+  UNION ALL SELECT a.poly_id, 1, v.poly_id FROM a JOIN v ON a.view_w <= v.e AND a.view_e >= v.w AND a.view_s <= v.n AND a.view_n >= v.s JOIN who ON who.poly_id = v.poly_id WHERE who.name_id <> a.code)
+ SELECT view_id, CAST(row_number() OVER (PARTITION BY view_id ORDER BY layer, poly_id) - 1 AS INT) AS seq, layer, poly_id FROM met""",
+)
+def g16_regions(spark, sf_dir):
+    """Sibling regions, then other countries' land, around every region's polygon."""
+    sets, world = settle(regions(spark, sf_dir)), settle(countries(spark, sf_dir))
+    boxes = geo.view_for(geo.bounds_of(sets, **_GRID), 0.45).join(sets.select("poly_id", "code", F.col("name").alias("name_id")), "poly_id")
+    views = boxes.select(F.col("poly_id").alias("view_id"), "code", "name_id", *[f"view_{c}" for c in "wsen"])
+    lands = geo.bounds_of(world, **_GRID).join(world.select("poly_id", "name_id"), "poly_id")
+    return geo.region_context(views, boxes.select("code", "poly_id", "name_id", "w", "s", "e", "n"), lands, 10.0)
+
+
 @query(
     "g1_g2_arcs_to_rings",
     f"WITH vert AS ({fx.VERTICES}) SELECT poly_id, ring, count(*)+1 AS points, sum(x) + max(CASE WHEN v = 0 THEN x END) AS sum_x, sum(y) + max(CASE WHEN v = 0 THEN y END) AS sum_y FROM vert GROUP BY poly_id, ring",

@@ -474,6 +474,10 @@ def b5(spark, sf_dir):
 @query("b6_flatten_polygons", f"WITH vert AS ({fx.VERTICES}) SELECT name_id AS ord, name, CAST(poly_id % 10 AS INT) AS part, min(x)*0.01-180 AS w, min(y)*0.01-90 AS s, max(x)*0.01-180 AS e, max(y)*0.01-90 AS n FROM vert WHERE ring = 0 AND name_id <> 5 AND poly_id <> 243 GROUP BY name_id, name, poly_id")
 def b6(spark, sf_dir):
     """Features put together from the polygons' vertices, and taken apart again."""
+    return flat_boxes(spark, sf_dir).drop("name_id")
+
+
+def flat_boxes(spark, sf_dir):
     rows = fx.view(spark, sf_dir, fx.VERTICES).filter("poly_id <> 243")
     points = rows.groupBy("name_id", "name", "poly_id", "ring").agg(F.array_sort(F.collect_list(F.struct("v", F.array(F.col("x") * 0.01 - 180, F.col("y") * 0.01 - 90).alias("p")))).alias("p"))
     parts = points.groupBy("name_id", "name", "poly_id").agg(F.array_sort(F.collect_list(F.struct("ring", F.col("p.p").alias("p")))).alias("r"))
@@ -502,3 +506,30 @@ def b9(spark, sf_dir):
 @query("b10_build_totals", f"WITH {_CLEAN}, {_REGIONS} SELECT count(DISTINCT code) AS countries, count(*) AS regions, (SELECT count(*) FROM clean) AS places FROM regions")
 def b10(spark, sf_dir):
     return gazetteer.build_totals(named_regions(spark, sf_dir), towns(spark, sf_dir))
+
+
+@query(
+    "b6_name_ids",
+    f"WITH vert AS ({fx.VERTICES}), kept AS (SELECT DISTINCT name_id FROM vert WHERE name_id <> 5) SELECT name_id AS ord, CAST(poly_id % 10 AS INT) AS part, (SELECT count(*) FROM kept k WHERE k.name_id < vert.name_id) AS name_id, round(max(x)*0.01-180, 6) AS e FROM vert WHERE ring = 0 AND name_id <> 5 AND poly_id <> 243 GROUP BY name_id, poly_id",
+)
+def b6_ids(spark, sf_dir):
+    """The place of each polygon's feature among those that are kept; one is dropped for its type."""
+    return flat_boxes(spark, sf_dir).select("ord", "part", "name_id", F.round("e", 6).alias("e"))
+
+
+@query("b9_placeless_check", f"WITH {_CLEAN}, {_REGIONS} SELECT count(DISTINCT code) AS placeless, count(DISTINCT code) <= 2 AS sound FROM regions WHERE code NOT IN (SELECT code FROM clean)")
+def b9_check(spark, sf_dir):
+    return gazetteer.placeless_check(named_regions(spark, sf_dir), towns(spark, sf_dir))
+
+
+@query(
+    "b10_written_totals",
+    f"""WITH {_CLEAN}, {_REGIONS}, r AS (SELECT code, sum(octet_length(encode(name)) + 3) - 1 AS names FROM regions GROUP BY code),
+ q AS (SELECT code, count(*) AS places, sum(octet_length(encode(name)) + length(CAST(CAST(floor((lon+180)/0.03+0.5) AS BIGINT) AS VARCHAR)) + length(CAST(CAST(floor((lat+90)/0.03+0.5) AS BIGINT) AS VARCHAR)) + 23 + 1) - 1 AS b FROM clean GROUP BY code)
+ SELECT count(*) AS countries, CAST(coalesce(sum(places), 0) AS BIGINT) AS places, CAST(sum(length(code) + names + coalesce(b, 0) + 34) AS BIGINT) AS bytes FROM r LEFT JOIN q USING (code)""",
+)
+def b10_written(spark, sf_dir):
+    """Countries, places and bytes of one JSON document a country. The SQL adds up the characters."""
+    grid = bridge(spark, sf_dir).select(F.col("a3").alias("code"), F.lit(0.03).alias("scale"), F.lit(-180.0).alias("tx"), F.lit(-90.0).alias("ty")).distinct()
+    placed = gazetteer.quantise_places(towns(spark, sf_dir), grid)
+    return gazetteer.written_totals(gazetteer.country_documents(named_regions(spark, sf_dir), placed))
