@@ -1,10 +1,10 @@
-"""Container, backup and raster queries over bytes that Spark derives from the tables."""
+"""Container, backup and pixel queries over data that Spark derives from the tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import containers, planning, raster
+from ..operators import containers, pixels, planning
 from ..sources import backups
 from . import fixtures as fx
 from .registry import query
@@ -185,13 +185,11 @@ def r13(spark, sf_dir):
     return safe.select(F.col("doc_id").alias("photo_id"), "width", "quality", "format", F.col("crop.width").alias("crop_w"), F.size("boxes").cast("long").alias("boxes"), F.get("boxes", F.lit(0))["fill"].alias("fill"))
 
 
-def rasters(spark, sf_dir):
-    """8 x 8 grey pictures; every third has its left half transparent."""
-    byte = F.lpad(F.hex("r"), 2, "0")
-    alpha = F.when((F.col("image_id") % 3 == 0) & (F.col("x") < 4), "00").otherwise("FF")
-    each = fx.view(spark, sf_dir, fx.PIXELS_SPARK).select("image_id", (F.col("y") * 8 + F.col("x")).alias("p"), F.concat(byte, byte, byte, alpha).alias("px"))
-    whole = each.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("p", "px"))).alias("a"))
-    return whole.select("image_id", F.lit(8).alias("width"), F.lit(8).alias("height"), F.unhex(F.array_join("a.px", "")).alias("data"))
+def pictures(spark, sf_dir):
+    """Pixels of 8 x 8 grey pictures; every third has its left half transparent."""
+    alpha = F.when((F.col("image_id") % 3 == 0) & (F.col("x") < 4), 0).otherwise(255).alias("a")
+    side = F.lit(8)
+    return fx.view(spark, sf_dir, fx.PIXELS_SPARK).select("image_id", side.alias("width"), side.alias("height"), "x", "y", "r", F.col("r").alias("g"), F.col("r").alias("b"), alpha)
 
 
 @query(
@@ -203,19 +201,76 @@ def rasters(spark, sf_dir):
   max(x) FILTER (content) - min(x) FILTER (content) + 1 AS box_w, max(y) FILTER (content) - min(y) FILTER (content) + 1 AS box_h FROM c GROUP BY image_id, bg""",
 )
 def i5(spark, sf_dir):
-    return raster.analyse(rasters(spark, sf_dir)).select("image_id", "has_alpha", "bg_r", "content", "box_x", "box_y", "box_w", "box_h")
+    return pixels.analyse(pictures(spark, sf_dir)).select("image_id", "has_alpha", "bg_r", "content", "box_x", "box_y", "box_w", "box_h")
 
 
 @query("i4_content_blobs")
 def i4(spark, sf_dir):
     """Numbers of 8-connected components; tested against a flood fill."""
-    return raster.analyse(rasters(spark, sf_dir)).select("image_id", "blobs")
+    return pixels.analyse(pictures(spark, sf_dir)).select("image_id", "blobs")
 
 
-@query("i6_i11_process_and_encode", "SELECT vec_id AS image_id, 4 AS out_w, 4 AS out_h, TRUE AS is_png FROM embeddings")
+_GREY = f"px AS (SELECT *, CASE WHEN image_id % 3 = 0 AND x < 4 THEN 0 ELSE 255 END AS a FROM ({fx.PIXELS_DUCK}))"
+
+
+@query(
+    "i6_i11_process",
+    f"""WITH {_GREY}, p AS (SELECT image_id, CASE WHEN image_id % 4 = 1 THEN x ELSE x // 2 END AS x, y // 2 AS y, floor(avg(r) + 0.5) AS r, floor(avg(a) + 0.5) AS a FROM px WHERE image_id % 2 = 1 OR x < 4 GROUP BY ALL),
+ k AS (SELECT *, CASE WHEN image_id % 3 = 1 AND y = 1 AND x < 2 THEN 2 WHEN y = 1 AND x IN (1, 2) THEN 1 ELSE 0 END AS box FROM p),
+ c AS (SELECT image_id, x, y, box, CASE WHEN box > 0 THEN 255 ELSE a END AS a, [r, 255, 10][box + 1] AS r, [r, 0, 11][box + 1] AS g, [r, 0, 12][box + 1] AS b FROM k),
+ f AS (SELECT *, image_id % 3 = 0 AND a = 0 AS clear FROM c)
+ SELECT image_id, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(CASE WHEN clear THEN 255 ELSE r END AS INT) AS r, CAST(CASE WHEN clear THEN 255 ELSE g END AS INT) AS g, CAST(CASE WHEN clear THEN 255 ELSE b END AS INT) AS b,
+  CAST(CASE WHEN image_id % 3 = 0 THEN 255 ELSE a END AS INT) AS a FROM f""",
+)
 def i11(spark, sf_dir):
-    box = F.struct(F.lit(1).alias("x"), F.lit(1).alias("y"), F.lit(2).alias("width"), F.lit(1).alias("height"), F.lit("#ff0000").alias("fill"))
-    crop = F.when(F.col("image_id") % 2 == 0, F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(4).alias("width"), F.lit(8).alias("height")))
-    planned = rasters(spark, sf_dir).withColumns({"crop": crop, "out_w": F.lit(4), "out_h": F.lit(4), "boxes": F.array(box), "fill": F.when(F.col("image_id") % 3 == 0, "#ffffff")})
-    made = raster.process_and_encode(planned)
-    return made.select("image_id", "out_w", "out_h", (F.hex(F.substring("png", 1, 4)) == "89504E47").alias("is_png"))
+    """Crops, sizes, boxes (the second over the first) and grounds that differ from picture to picture."""
+    of = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"))
+    kind = F.col("image_id") % 4
+    half = F.struct(F.lit(0).alias("cx"), F.lit(0).alias("cy"), F.lit(4).alias("cw"), F.lit(8).alias("ch"))
+    plan = of.select(
+        "image_id", F.when(kind % 2 == 0, half).alias("crop"), F.when(kind % 2 == 0, 2).when(kind == 1, 8).otherwise(4).alias("out_w"), F.lit(4).alias("out_h"),
+        F.when(F.col("image_id") % 3 == 0, "#ffffff").alias("fill"),
+    )
+
+    def box(ord_, x, fill):
+        return F.struct(F.lit(ord_).alias("ord"), F.lit(x).alias("bx"), F.lit(1).alias("by"), F.lit(2).alias("bw"), F.lit(1).alias("bh"), F.lit(fill).alias("fill"))
+
+    both = F.array(box(1, 1, "#ff0000"), box(2, 0, "#0a0b0c"))
+    boxes = of.select("image_id", F.explode(F.when(F.col("image_id") % 3 == 1, both).otherwise(F.slice(both, 1, 1))).alias("k")).select("image_id", "k.*")
+    return pixels.process(pictures(spark, sf_dir), plan, boxes).select("image_id", "x", "y", "r", "g", "b", "a")
+
+
+@query(
+    "i9_redact_faces",
+    f"""WITH {_GREY}, m AS (SELECT image_id, x // 2 AS bx, y // 4 AS by_, CAST(floor(avg(r) + 0.5) AS INT) AS r, CAST(floor(avg(a) + 0.5) AS INT) AS a FROM px WHERE x < 4 GROUP BY ALL)
+ SELECT px.image_id, x, y, CASE WHEN x < 4 AND (x + y) % 2 = 0 THEN m.r ELSE px.r END AS r, CASE WHEN x < 4 AND (x + y) % 2 = 0 THEN m.a ELSE px.a END AS a FROM px LEFT JOIN m ON m.image_id = px.image_id AND x // 2 = bx AND y // 4 = by_""",
+)
+def i9(spark, sf_dir):
+    """Faces of 4 x 8 pixels in 2 x 2 blocks, shown through a chequered stencil."""
+    whole = pictures(spark, sf_dir)
+    n = lambda v, name: F.lit(v).alias(name)
+    faces = whole.select("image_id").distinct().select("image_id", n(0, "face_no"), n(0, "bx"), n(0, "by"), n(4, "bw"), n(8, "bh"), n(2, "tw"), n(2, "th"))
+    stencil = whole.filter((F.col("x") + F.col("y")) % 2 == 0).select("image_id", "x", "y")
+    return pixels.redact_faces(whole, faces, "pixels", stencil).select("image_id", "x", "y", "r", "a")
+
+
+@query(
+    "i10_draw_collages",
+    f"""WITH {_GREY}, h AS (SELECT image_id, x, y, CASE WHEN x IN (2, 3) AND y IN (2, 3) THEN 0 ELSE r END AS r, CASE WHEN x IN (2, 3) AND y IN (2, 3) THEN 255 ELSE a END AS a FROM px),
+ d AS (SELECT image_id, x // 2 AS x, y // 2 AS y, floor(avg(r) + 0.5) AS r, floor(avg(a) + 0.5) AS a FROM h GROUP BY ALL),
+ ink AS (SELECT image_id // 2 AS collage_id, (image_id % 2)*5 - 1 + x AS x, y, CASE WHEN a = 0 THEN 255 ELSE r END AS r FROM d WHERE x > 0),
+ grid AS (SELECT DISTINCT image_id // 2 AS collage_id, gx.x, gy.y FROM px, range(9) gx(x), range(4) gy(y))
+ SELECT collage_id, g.x, g.y, CAST(coalesce(r, 255) AS INT) AS r FROM grid g LEFT JOIN ink USING (collage_id, x, y)""",
+)
+def i10(spark, sf_dir):
+    """Two pictures side by side, each drawn a pixel to the left of its space, with a hidden corner."""
+    whole = pictures(spark, sf_dir)
+    left = ((F.col("image_id") % 2) * 5).cast("int")
+    n = lambda v, name: F.lit(v).alias(name)
+    each = whole.select("image_id").distinct()
+    placed = each.select(
+        F.floor(F.col("image_id") / 2).alias("collage_id"), (F.col("image_id") % 2).alias("slot_no"), "image_id", n(9, "canvas_w"), n(4, "canvas_h"), left.alias("x"), n(0, "y"), n(4, "w"), n(4, "h"),
+        (left - 1).alias("draw_x"), n(0, "draw_y"), n(4, "draw_w"), n(4, "draw_h"),
+    )
+    boxes = each.select("image_id", n(0, "ord"), n(2, "bx"), n(2, "by"), n(2, "bw"), n(2, "bh"), n("#000000", "fill"))
+    return pixels.draw_collages(whole, placed, boxes).select(F.col("image_id").alias("collage_id"), "x", "y", "r")

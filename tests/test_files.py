@@ -1,13 +1,10 @@
-"""Byte fixtures: containers, readers, writers, streams and pixels."""
+"""Byte fixtures: containers, readers, writers and streams."""
 
 import json
 import struct
 import zlib
 
-import numpy as np
-
 from photolake.operators import containers as ct
-from photolake.operators import raster
 from photolake.sources import backups, boundaries, files
 from photolake.streaming import photos as arriving
 
@@ -56,7 +53,8 @@ def test_photos_from_disk_and_stream(spark, tmp_path):
     folder = tmp_path / "in" / "deep"
     folder.mkdir(parents=True)
     (folder / "a b+c.jpg").write_bytes(JPEG)
-    (folder / "x.png").write_bytes(raster.encode_png(np.zeros((2, 3, 4), np.uint8)))
+    rows = zlib.compress((b"\0" + bytes(12)) * 2)
+    (folder / "x.png").write_bytes(ct.PNG_SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 2, 8, 6, 0, 0, 0)) + chunk(b"IDAT", rows) + chunk(b"IEND", b""))
     rows = {r.name: r for r in files.read_photos(spark, str(tmp_path / "in")).collect()}
     assert rows["a b+c.jpg"].mime == "image/jpeg" and rows["a b+c.jpg"].bytes == len(JPEG)
     sizes = [(r.width, r.height, r.channels) for r in files.read_rasters(spark, str(tmp_path / "in")).collect()]
@@ -109,38 +107,3 @@ def test_backups_and_export(spark, tmp_path):
     files.write_export(exports, str(tmp_path / "e"))
     row = spark.read.parquet(str(tmp_path / "e")).collect()
     assert len(row) == 1 and row[0].photo_id == 2 and row[0].collisions == 2
-
-
-def flood(mask):
-    left, n = {tuple(p) for p in np.argwhere(mask)}, 0
-    while left:
-        todo, n = [left.pop()], n + 1
-        while todo:
-            y, x = todo.pop()
-            near = {(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & left
-            left -= near
-            todo += near
-    return n
-
-
-def test_blobs_equal_flood_fill():
-    rng = np.random.default_rng(4)
-    for share in (0.1, 0.3, 0.5, 0.7):
-        for _ in range(30):
-            mask = rng.random((rng.integers(1, 20), rng.integers(1, 20))) < share
-            blobs = raster.content_blobs(mask)
-            assert len(blobs) == flood(mask) and blobs[:, 4].sum() == mask.sum()
-
-
-def test_rendering():
-    p = np.zeros((8, 8, 4), np.uint8)
-    p[..., 0], p[..., 3] = np.arange(8)[None] * 10, 255
-    assert (raster.resize(p, 4, 4)[0, :, 0] == [5, 25, 45, 65]).all()
-    assert (raster.paint_boxes(p, [(1, 1, 2, 2, "#0a0b0c")])[1, 1] == [10, 11, 12, 255]).all()
-    clear = np.zeros((2, 2, 4), np.uint8)
-    assert (raster.flatten(clear, None, "image/jpeg") == 255).all() and (raster.flatten(clear, None, "image/png") == 0).all()
-    blocks = raster.redact_faces(p, [(0, 0, 8, 8, 2, 2)], "pixels")
-    assert len(np.unique(blocks[..., 0])) == 2
-    spot = np.full((40, 40, 4), 255, np.uint8)
-    spot[10:20, 5:30, :3] = 0
-    assert raster.content_bounds(spot) == (5, 10, 25, 10) and raster.content_bounds(np.full((9, 9, 4), 7, np.uint8)) is None
