@@ -19,45 +19,13 @@ def _hex(text: str):
     return F.unhex(F.lit(text))
 
 
-def jpegs(spark, sf_dir):
-    """A JPEG around each document: kept and dropped segments, padding, a scan; every ninth is cut."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    text, lang = F.substring("text", 1, 200).cast("binary"), F.col("lang").cast("binary")
-    whole = F.concat(
-        _hex("FFD8FFE000044A46"), _hex("FFE1"), _sized(text), _hex("FFFFED"), _sized(lang), _hex("FFDB00040102"), _hex("FFFE"), _sized(lang), _hex("FFDA"), lang, _hex("FFD9")
-    )
-    return docs.select(F.col("doc_id").alias("photo_id"), F.lit("").alias("mime"), F.when(F.col("doc_id") % 9 == 4, F.substring(whole, 1, 11)).otherwise(whole).alias("content"))
-
-
-_DROPPED = "(4 + strlen(substr(text, 1, 200)) + 5 + strlen(lang) + 4 + strlen(lang))"
-
-
-@query(
-    "m10_m14_scrub_jpeg",
-    f"""SELECT doc_id AS photo_id, CASE WHEN doc_id % 9 = 4 THEN 'unsupported' ELSE 'lossless' END AS mode, CASE WHEN doc_id % 9 = 4 THEN 0 ELSE {_DROPPED} END AS removed_bytes,
-  CASE WHEN doc_id % 9 <> 4 THEN md5(unhex('FFD8FFE000044A46FFDB00040102FFDA') || encode(lang) || unhex('FFD9')) END AS digest FROM documents""",
-)
-def m14(spark, sf_dir):
-    done = containers.scrub(jpegs(spark, sf_dir))
-    return done.select("photo_id", "mode", "removed_bytes", F.when(F.col("mode") == "lossless", F.md5("content")).alias("digest"))
-
-
-@query(
-    "m9_segments",
-    """WITH d AS (SELECT doc_id AS photo_id, strlen(substr(text, 1, 200)) AS t, strlen(lang) AS l FROM documents WHERE doc_id % 9 <> 4)
- SELECT photo_id, s.seq, s.kind, s.len, s.keep FROM d, LATERAL (SELECT unnest([0,1,2,3,4,5,6]) AS seq, unnest(['SOI','E0','E1','ED','DB','FE','SCAN']) AS kind,
-  unnest([2, 6, 4+t, 5+l, 6, 4+l, 4+l]) AS len, unnest([true,true,false,false,true,false,true]) AS keep) s""",
-)
-def m9(spark, sf_dir):
-    return containers.container_segments(jpegs(spark, sf_dir)).select("photo_id", "seq", "kind", (F.col("end") - F.col("start")).alias("len"), "keep")
-
-
 #: The most bytes that a segment's two bytes of length leave for its body.
 _MOST = 65533
 
 
-def whole_jpegs(docs):
-    """The same around all of each text's bytes, in as many APP1 segments as they need, one at least."""
+def jpegs(docs):
+    """A JPEG around each document: kept and dropped segments, padding, a scan; all of the text's bytes in as
+    many APP1 segments as they need, one at least; every ninth is cut."""
     text, lang = F.coalesce("text", F.lit("")).cast("binary"), F.col("lang").cast("binary")
     starts = F.sequence(F.lit(0), F.greatest(F.octet_length(text) - 1, F.lit(0)), F.lit(_MOST))
     parts = F.transform(starts, lambda k: F.hex(F.concat(_hex("FFE1"), _sized(F.substring(text, k + 1, F.lit(_MOST))))))
@@ -71,22 +39,22 @@ _WHOLE = f"d AS (SELECT *, strlen(coalesce(text, '')) AS t, greatest(1, (strlen(
 
 
 @query(
-    "m10_m14_scrub_whole_jpeg",
+    "m10_m14_scrub_jpeg",
     f"""WITH {_WHOLE} SELECT doc_id AS photo_id, CASE WHEN doc_id % 9 = 4 THEN 'unsupported' ELSE 'lossless' END AS mode, CASE WHEN doc_id % 9 = 4 THEN 0 ELSE 4*n + t + 5 + l + 4 + l END AS removed_bytes,
   CASE WHEN doc_id % 9 <> 4 THEN md5(unhex('FFD8FFE000044A46FFDB00040102FFDA') || encode(lang) || unhex('FFD9')) END AS digest FROM d""",
 )
-def m14_whole(spark, sf_dir):
-    done = containers.scrub(whole_jpegs(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+def m14(spark, sf_dir):
+    done = containers.scrub(jpegs(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return done.select("photo_id", "mode", "removed_bytes", F.when(F.col("mode") == "lossless", F.md5("content")).alias("digest"))
 
 
 @query(
-    "m9_whole_segments",
+    "m9_segments",
     f"""WITH {_WHOLE}, s AS (SELECT *, unnest(range(0, n + 6)) AS seq FROM d WHERE doc_id % 9 <> 4), k AS (SELECT *, CASE WHEN seq < 2 THEN seq WHEN seq < n + 2 THEN 2 ELSE seq - n + 1 END AS k FROM s)
  SELECT doc_id AS photo_id, CAST(seq AS INT) AS seq, ['SOI','E0','E1','ED','DB','FE','SCAN'][k + 1] AS kind, [2, 6, 4 + least({_MOST}, t - (seq - 2)*{_MOST}), 5+l, 6, 4+l, 4+l][k + 1] AS len, [true,true,false,false,true,false,true][k + 1] AS keep FROM k""",
 )
-def m9_whole(spark, sf_dir):
-    found = containers.container_segments(whole_jpegs(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+def m9(spark, sf_dir):
+    found = containers.container_segments(jpegs(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return found.select("photo_id", "seq", "kind", (F.col("end") - F.col("start")).alias("len"), "keep")
 
 

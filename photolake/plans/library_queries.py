@@ -71,7 +71,7 @@ def p7(spark, sf_dir):
     return rows.select("photo_id", "format", names.format_filename(F.col("name"), F.col("width"), F.col("height"), F.col("format")).alias("file_name"))
 
 
-_ODD = "concat('  ', substr(text, 1, 60), '/\\:*?\"<>|.', source, '.', lang)"
+_ODD = "concat('  ', text, '/\\:*?\"<>|.', source, '.', lang)"
 
 
 @query(
@@ -82,23 +82,6 @@ _ODD = "concat('  ', substr(text, 1, 60), '/\\:*?\"<>|.', source, '.', lang)"
   coalesce(nullif(left(trim(regexp_replace(name, '[\\/\x00-\x1F]', '', 'g')), 200), ''), 'image') AS safe FROM d""",
 )
 def p8(spark, sf_dir):
-    odd = F.concat(F.lit("  "), F.substring("text", 1, 60), F.lit('/\\:*?"<>|.'), F.col("source"), F.lit("."), F.col("lang"))
-    name = F.col("name")
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("photo_id"), odd.alias("name"))
-    return rows.select("photo_id", names.sanitise_filename(name).alias("clean"), names.safe_stem(name).alias("slug"), names.safe_file_name(name).alias("safe"))
-
-
-_ODD_WHOLE = "concat('  ', text, '/\\:*?\"<>|.', source, '.', lang)"
-
-
-@query(
-    "p8_p9_safe_whole_names",
-    rf"""WITH d AS (SELECT doc_id AS photo_id, {_ODD_WHOLE} AS name FROM documents)
- SELECT photo_id, left(trim(regexp_replace(name, '[\\/:*?"<>|\x00-\x1F]', '', 'g')), 120) AS clean,
-  coalesce(nullif(trim(regexp_replace(lower(regexp_replace(name, '(?s)\.[^.]*$', '')), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'image') AS slug,
-  coalesce(nullif(left(trim(regexp_replace(name, '[\\/\x00-\x1F]', '', 'g')), 200), ''), 'image') AS safe FROM d""",
-)
-def p8_whole(spark, sf_dir):
     """Names of the whole texts; only the operators cut them."""
     odd = F.concat(F.lit("  "), F.col("text"), F.lit('/\\:*?"<>|.'), F.col("source"), F.lit("."), F.col("lang"))
     name = F.col("name")

@@ -258,12 +258,12 @@ def c2(spark, sf_dir):
 
 @query(
     "c2_collage_grid4",
-    f"""WITH c AS ({_COLLAGES}), r AS (SELECT *, [1.0::DOUBLE, 1.0, 4/5.0::DOUBLE, 9/16.0::DOUBLE, 16/9.0::DOUBLE, 3/2.0::DOUBLE, 2/3.0::DOUBLE][shape_no+1] AS ratio, gap_frac*long_edge AS g FROM c WHERE k = 6),
+    f"""WITH c AS ({_COLLAGES}), r AS (SELECT *, [1.0::DOUBLE, 1.0, 4/5.0::DOUBLE, 9/16.0::DOUBLE, 16/9.0::DOUBLE, 3/2.0::DOUBLE, 2/3.0::DOUBLE][shape_no+1] AS ratio, gap_frac*long_edge AS g FROM c),
  s AS (SELECT *, {_RND.format('CASE WHEN ratio >= 1 THEN long_edge::DOUBLE ELSE long_edge*ratio END')} AS cw, {_RND.format('CASE WHEN ratio >= 1 THEN long_edge/ratio ELSE long_edge::DOUBLE END')} AS ch FROM r)
  SELECT collage_id, n AS slot_no, round(g + (n % 2)*((cw-3*g)/2 + g), 6) AS x, round(g + (n // 2)*((ch-3*g)/2 + g), 6) AS y, round((cw-3*g)/2, 6) AS w, round((ch-3*g)/2, 6) AS h FROM s CROSS JOIN (SELECT unnest([0,1,2,3]) AS n) t""",
 )
 def c2_grid4(spark, sf_dir):
-    spaces = collage.collage_grid(collages(spark, sf_dir).filter("layout_id = 'grid4'"), collage.layout_catalog(spark))
+    spaces = collage.collage_grid(collages(spark, sf_dir).withColumn("layout_id", F.lit("grid4")), collage.layout_catalog(spark))
     return spaces.select("collage_id", "slot_no", *[F.round(c, 6).alias(c) for c in "xywh"])
 
 
@@ -380,9 +380,9 @@ def k1(spark, sf_dir):
     return articles.articles_for_language(article_rows(spark, sf_dir), asked).select("wanted", "article_id")
 
 
-@query("k2_attach_sources", f"WITH {_ARTICLES}, s AS (SELECT l_orderkey % 500 AS article_id, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS ord, concat('u', l_partkey) AS url FROM lineitem WHERE l_linenumber = 1 AND l_orderkey < 3000), t AS (SELECT article_id, count(*) AS n, min(url) AS first_url FROM s GROUP BY article_id) SELECT a.article_id, coalesce(n, 0) AS sources, first_url FROM articles a LEFT JOIN t USING (article_id)")
+@query("k2_attach_sources", f"WITH {_ARTICLES}, s AS (SELECT l_orderkey % 500 AS article_id, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS ord, concat('u', l_partkey) AS url FROM lineitem), t AS (SELECT article_id, count(*) AS n, min(url) AS first_url FROM s GROUP BY article_id) SELECT a.article_id, coalesce(n, 0) AS sources, first_url FROM articles a LEFT JOIN t USING (article_id)")
 def k2(spark, sf_dir):
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_linenumber = 1 and l_orderkey < 3000")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     sources = lines.select((F.col("l_orderkey") % 500).alias("article_id"), F.struct("l_orderkey", "l_partkey", "l_suppkey").alias("ord"), F.concat(F.lit("u"), "l_partkey").alias("url"))
     told = articles.attach_sources(article_rows(spark, sf_dir), sources)
     return told.select("article_id", F.size("sources").cast("long").alias("sources"), F.array_min("sources").alias("first_url"))

@@ -1,4 +1,4 @@
-"""Queries that do the whole job where an older one keeps a part of it."""
+"""Queries whose whole job is more than their SQL on small tables shows."""
 
 import duckdb
 import pytest
@@ -14,7 +14,7 @@ def test_every_line_is_a_source(spark):
     assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
-@pytest.mark.parametrize("name", ["m9_whole_segments", "m10_m14_scrub_whole_jpeg"])
+@pytest.mark.parametrize("name", ["m9_segments", "m10_m14_scrub_jpeg"])
 def test_whole_texts_in_jpegs(spark, tmp_path, name):
     """Texts at a segment's limit, over several and empty, with letters cut between segments."""
     texts = ["", "a" * 65533, "a" * 65534, "é" * 100_000, "b" * 65533 * 3, "short"]
@@ -23,7 +23,7 @@ def test_whole_texts_in_jpegs(spark, tmp_path, name):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     got = sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect())
     assert got == sorted(con.execute(ORACLE_SQL[name]).fetchall())
-    if name == "m9_whole_segments":
+    if name == "m9_segments":
         bodies = {k: [r[3] - 4 for r in got if r[0] == k and r[2] == "E1"] for k in range(6)}
         assert bodies == {0: [0], 1: [65533], 2: [65533, 1], 3: [65533, 65533, 65533, 3401], 4: [], 5: [5]}
     else:
@@ -50,5 +50,5 @@ def test_spaces_of_every_layout_tile_the_canvas(spark):
 
 
 def test_names_of_whole_texts_meet_the_limits(spark):
-    rows = QUERIES["p8_p9_safe_whole_names"](spark, SF).collect()
+    rows = QUERIES["p8_p9_safe_names"](spark, SF).collect()
     assert max(len(r.clean) for r in rows) == 120 and max(len(r.safe) for r in rows) == 200 and max(len(r.slug) for r in rows) > 200
