@@ -50,10 +50,13 @@ def list_to_text(values: Column) -> Column:
 
 
 def tag_maps(tags: DataFrame) -> DataFrame:
-    """One row a photo: tags as a map of texts and of numbers. The only shuffle of a report."""
+    """One row a photo: tags as a map of texts and of numbers; of a repeated tag the least text. The only
+    shuffle of a report."""
     some = tags.withColumn("text", to_text(F.col("value"))).filter("text is not null")
-    entries = F.map_from_entries(F.collect_list(F.struct("tag", F.struct("text", F.col("value").try_cast("double").alias("num")))))
-    return some.dropDuplicates(["photo_id", "tag"]).groupBy("photo_id").agg(entries.alias("tags"))
+    entry = F.struct("tag", F.struct("text", F.col("value").try_cast("double").alias("num")).alias("told"))
+    each = some.groupBy("photo_id").agg(F.array_sort(F.collect_set(entry)).alias("all"))
+    first = F.filter("all", lambda e, k: (k == 0) | (e["tag"] != F.get("all", k - 1)["tag"]))
+    return each.select("photo_id", F.map_from_entries(first).alias("tags"))
 
 
 def _text(tag: str) -> Column:
