@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe_stream, chat_format, improbable_digest, jump_shard, kneser_ney, line_dedup, mixing, quality_mcd, token_orc
+from . import bagminhash, bpe_stream, chat_format, improbable_digest, jump_shard, kneser_ney, line_dedup, mixing, quality_mcd, rank_profiles, source_divergence, token_orc, whitening
 from .shared import shared_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -77,6 +77,20 @@ def op10_improbable_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return improbable_digest.neighbour_report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_rank_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", rank_profiles.held_out().alias("held_out"))
+    profiles = rank_profiles.train(docs.filter(~F.col("held_out")))
+    return rank_profiles.identify(docs.drop("lang"), profiles).drop("text")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_quality_mcd": op2_quality_mcd,
@@ -88,10 +102,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bagminhash": op8_bagminhash,
     "op9_bpe_stream": op9_bpe_stream,
     "op10_improbable_digest": op10_improbable_digest,
+    "op11_rank_profiles": op11_rank_profiles,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": chat_format.ORACLE.format(probe=PROBE),
     "op6_jump_shard": jump_shard.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
+    "op11_rank_profiles": rank_profiles.ORACLE,
+    "op12_source_divergence": source_divergence.ORACLE,
 }
