@@ -1,13 +1,15 @@
 """Offline reverse geocoding: points against quantised polygons, borders and towns.
 
-Boundary sets are small (a few MB), so they are broadcast, but only under a check of their size;
-geometry is sent once per polygon, and a thin table of grid cells leads points to polygons. Every
-"first wins" rule has an ordinal.
+Every boundary set has a grid of its own, with a scale for each axis, as a row of a table. Polygons are
+never met as a whole: cells tell where one is filled, rows of cells lead to its edges, and a grid as
+fine as the margin leads to borders. What is broadcast is counted first. Every "first wins" rule has
+an ordinal.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +18,6 @@ from ..functions.cut import settle
 
 KM_PER_DEGREE = 111.32
 COUNTRY_NEAR_KM, REGION_NEAR_KM = 25.0, 3.0
-_BROADCAST_VERTICES = 5_000_000
 
 
 def decode_arcs(raw: DataFrame) -> DataFrame:
@@ -43,152 +44,230 @@ def stitch_rings(rings: DataFrame, arcs: DataFrame) -> DataFrame:
     )
 
 
-def assemble_polygons(vertices: DataFrame, *keys: str) -> DataFrame:
-    """Vertices (keys, poly_id, ring, v, x, y) to one row a polygon: rings as arrays of edges with
-    the outer ring first, its bounding box, and the ordinal that decides between polygons."""
-    points = vertices.groupBy(*keys, "poly_id", "ring").agg(F.array_sort(F.collect_list(F.struct("v", "x", "y"))).alias("p"))
-    last = F.element_at("p", -1)
-    edges = F.transform(
-        "p",
-        lambda q, k: F.struct(
-            F.when(k == 0, last["x"]).otherwise(F.get("p", k - 1)["x"]).alias("xj"),
-            F.when(k == 0, last["y"]).otherwise(F.get("p", k - 1)["y"]).alias("yj"),
-            q["x"].alias("xi"),
-            q["y"].alias("yi"),
-        ),
+def ring_vertices(rings: DataFrame) -> DataFrame:
+    """(set_id, poly_id, ring, points), as ``stitch_rings`` gives them, to vertices (.., v, x, y) without
+    the point that closes a ring."""
+    open_ring = F.slice("points", 1, F.greatest(F.size("points") - 1, F.lit(0)))
+    return rings.select("set_id", "poly_id", "ring", F.posexplode(open_ring).alias("v", "q")).select(
+        "set_id", "poly_id", "ring", "v", F.col("q.x").cast("double").alias("x"), F.col("q.y").cast("double").alias("y")
     )
-    rings = points.withColumn("edges", edges)
-    return rings.groupBy(*keys, "poly_id").agg(
-        F.array_sort(F.collect_list(F.struct("ring", "edges"))).alias("rings"),
-        *[f(F.when(F.col("ring") == 0, g("p"))).alias(a) for a, f, g in (
-            ("minx", F.min, lambda p: F.array_min("p.x")), ("miny", F.min, lambda p: F.array_min("p.y")),
-            ("maxx", F.max, lambda p: F.array_max("p.x")), ("maxy", F.max, lambda p: F.array_max("p.y")))],
-        F.sum(F.size("p")).alias("vertices"),
-    )
-
-
-def quantise(points: DataFrame, scale: float, tx: float, ty: float) -> DataFrame:
-    """Degrees to the grid of a boundary set, without rounding."""
-    return points.withColumns({"x": (F.col("lon") - tx) / scale, "y": (F.col("lat") - ty) / scale})
-
-
-def dequantise(x: Column, scale: float, translate: float) -> Column:
-    return x * scale + translate
 
 
-def point_in_ring(edges: Column, x: Column, y: Column) -> Column:
-    """Even-odd ray casting over an array of edges."""
+def polygon_bounds(vertices: DataFrame) -> DataFrame:
+    """(set_id, poly_id, minx, miny, maxx, maxy) of the outer rings."""
+    outer = vertices.filter("ring = 0").groupBy("set_id", "poly_id")
+    return outer.agg(F.min("x").alias("minx"), F.min("y").alias("miny"), F.max("x").alias("maxx"), F.max("y").alias("maxy"))
 
-    def crossed(e: Column) -> Column:
-        spans = (e["yi"] > y) != (e["yj"] > y)
-        at = (e["xj"] - e["xi"]) * (y - e["yi"]) / F.nullif(e["yj"] - e["yi"], F.lit(0.0)) + e["xi"]
-        return spans & (x < at)
 
-    return F.size(F.filter(edges, crossed)) % 2 == 1
+def ring_edges(vertices: DataFrame) -> DataFrame:
+    """(set_id, poly_id, ring, xj, yj, xi, yi): every ring's edges, one a row, each from the vertex
+    before to the vertex itself, the first from the last."""
+    ring = Window.partitionBy("set_id", "poly_id", "ring").orderBy("v")
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = lambda c: F.coalesce(F.lag(c).over(ring), F.last(c).over(whole))
+    return vertices.select("set_id", "poly_id", "ring", before("x").alias("xj"), before("y").alias("yj"), F.col("x").alias("xi"), F.col("y").alias("yi"))
 
 
-def point_in_polygon(rings: Column, x: Column, y: Column) -> Column:
-    """Inside the outer ring and in none of the holes."""
-    holes = F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0)))
-    return point_in_ring(rings[0]["edges"], x, y) & ~F.exists(holes, lambda r: point_in_ring(r["edges"], x, y))
+def quantise(points: DataFrame, transforms: DataFrame) -> DataFrame:
+    """Degrees (set_id, lon, lat) to the grid of each point's set, without rounding; the columns of the
+    set's transform stay. Points of a set that has none go."""
+    return points.join(transforms, "set_id").withColumns({"x": (F.col("lon") - F.col("tx")) / F.col("scale_x"), "y": (F.col("lat") - F.col("ty")) / F.col("scale_y")})
 
 
-def _send(polygons: DataFrame, narrow: DataFrame) -> DataFrame:
-    """Broadcast ``narrow`` if the set's vertices are within the bound; else let it shuffle."""
-    size = polygons.agg(F.sum("vertices").alias("n")).head().n or 0
-    return F.broadcast(narrow) if size <= _BROADCAST_VERTICES else narrow
-
-
-def _cells(boxes: DataFrame, keys: list[str], cell: float) -> DataFrame:
-    """(keys, poly_id, cx, cy): the grid cells that each box minx..maxy touches."""
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell).cast("long"), F.floor(F.col(hi) / cell).cast("long"))
-    return boxes.select(*keys, "poly_id", F.explode(span("minx", "maxx")).alias("cx"), "miny", "maxy").select(
-        *keys, "poly_id", "cx", F.explode(span("miny", "maxy")).alias("cy")
-    )
+def dequantise(x: Column, scale: Column, translate: Column) -> Column:
+    return x * scale + translate
 
 
-def _candidates(points: DataFrame, polygons: DataFrame, boxes: DataFrame, keys: list[str], cell: float) -> DataFrame:
-    """Points with each polygon whose box shares their cell (and keys)."""
-    at = points.withColumns({"cx": F.floor(F.col("x") / cell).cast("long"), "cy": F.floor(F.col("y") / cell).cast("long")})
-    led = at.join(_send(polygons, _cells(boxes, keys, cell)), [*keys, "cx", "cy"]).drop("cx", "cy")
-    return led.join(_send(polygons, polygons), [*keys, "poly_id"])
+def sent(table: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``table``, which is settled, marked to be broadcast if it has at most ``most`` rows."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
-def join_points_polygons(points: DataFrame, polygons: DataFrame, cell: float, keys: list[str] | None = None) -> DataFrame:
-    """(point_id, poly_id) of the first polygon, by poly_id, that contains each point."""
-    keys = keys or []
-    met = _candidates(points, polygons, polygons, keys, cell)
-    x, y = F.col("x"), F.col("y")
-    inside = x.between(F.col("minx"), F.col("maxx")) & y.between(F.col("miny"), F.col("maxy")) & point_in_polygon(F.col("rings"), x, y)
-    return met.filter(inside).groupBy("point_id").agg(F.min("poly_id").alias("poly_id"))
+@dataclass(frozen=True)
+class Boundaries:
+    """Polygons of any number of sets, ready to be asked by points. Every table is settled.
 
+    transforms: set_id, scale_x, scale_y, tx, ty, cell_x, cell_y; polygons: set_id, poly_id, minx, miny,
+    maxx, maxy; cells: the grid cells that a polygon fills (``within``) or that its edges may touch;
+    slabs: edges by polygon and row of cells; borders: edges by cells of ``near_km``'s width, with
+    their polygon's box. Tables up to a bound of rows are broadcast, larger ones shuffle.
+    """
 
-def ring_distance_km(edges: Column, lon: Column, lat: Column, scale: float, tx: float, ty: float, ceiling: float) -> Column:
-    """Least distance to the edges in a flat frame at the point, or ``ceiling`` if none is nearer.
-    Edges outside the ceiling's box are skipped; differences of longitude fold at 180 degrees."""
-    cos = F.cos(lat * F.lit(math.pi) / F.lit(180.0))
+    transforms: DataFrame
+    polygons: DataFrame
+    cells: DataFrame
+    slabs: DataFrame
+    borders: DataFrame
+    near_km: float
+
+
+def index_boundaries(vertices: DataFrame, transforms: DataFrame, cell_deg: float, near_km: float) -> Boundaries:
+    """``vertices``: set_id, poly_id, ring (0 is the outer one), v, x, y on the grid of their set;
+    ``transforms``: set_id, scale_x, scale_y, tx, ty, one row a set."""
+    grids = transforms.select("set_id", "scale_x", "scale_y", "tx", "ty", (F.lit(cell_deg) / F.col("scale_x")).alias("cell_x"), (F.lit(cell_deg) / F.col("scale_y")).alias("cell_y"))
+    grids = sent(settle(grids))
+    polygons = settle(polygon_bounds(vertices))
+    edges = settle(ring_edges(vertices).join(grids, "set_id"))
+    return Boundaries(grids, sent(polygons), sent(settle(_cells(edges))), sent(settle(_slabs(edges))), sent(settle(_borders(edges, polygons, near_km))), near_km)
+
+
+def _rows_between(low: Column, high: Column) -> Column:
+    return F.sequence(F.floor(low).cast("long"), F.floor(high).cast("long"))
+
+
+def _crossing(y: Column) -> tuple[Column, Column]:
+    """Whether an edge spans ``y``, and where it meets it."""
+    spans = (F.col("yi") > y) != (F.col("yj") > y)
+    return spans, (F.col("xj") - F.col("xi")) * (y - F.col("yi")) / F.nullif(F.col("yj") - F.col("yi"), F.lit(0.0)) + F.col("xi")
+
+
+def _slabs(edges: DataFrame) -> DataFrame:
+    """(set_id, poly_id, cy, ring, xj, yj, xi, yi): edges in each row of cells that they span. Level
+    edges never cross a ray."""
+    cy = _rows_between(F.least("yi", "yj") / F.col("cell_y"), F.greatest("yi", "yj") / F.col("cell_y"))
+    return edges.filter("yi <> yj").select("set_id", "poly_id", F.explode(cy).alias("cy"), "ring", "xj", "yj", "xi", "yi")
+
+
+def _cells(edges: DataFrame) -> DataFrame:
+    """(set_id, cx, cy, poly_id, within): cells that edges touch, and cells that lie in the outer ring
+    and in no hole. A cell is in a ring if its middle is; what no edge touches is in it as a whole."""
+    tiny = 1e-9
+    y, x = (lambda k: F.col(f"y{k}")), (lambda k: F.col(f"x{k}"))
+    rows = edges.withColumn("cy", F.explode(_rows_between(F.least(y("i"), y("j")) / F.col("cell_y") - tiny, F.greatest(y("i"), y("j")) / F.col("cell_y") + tiny)))
+    # the part of an edge within the row, by its share of the way from i to j
+    share = lambda edge: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (edge * F.col("cell_y") - y("i")) / F.nullif(y("j") - y("i"), F.lit(0.0))))
+    at = lambda edge, level: x("i") + (x("j") - x("i")) * F.coalesce(share(edge), F.lit(level))
+    ends = at(F.col("cy"), 0.0), at(F.col("cy") + 1, 1.0)
+    touched = rows.select("set_id", "poly_id", "cy", F.explode(_rows_between(F.least(*ends) / F.col("cell_x") - tiny, F.greatest(*ends) / F.col("cell_x") + tiny)).alias("cx")).distinct()
+
+    middle = (F.col("cy") + 0.5) * F.col("cell_y")
+    spans, meets = _crossing(middle)
+    cut = edges.withColumn("cy", F.explode(_rows_between(F.least("yi", "yj") / F.col("cell_y"), F.greatest("yi", "yj") / F.col("cell_y")))).filter(spans)
+    cuts = cut.groupBy("set_id", "poly_id", "ring", "cy").agg(F.array_sort(F.collect_list(meets / F.col("cell_x"))).alias("c"))
+    # in a ring from each odd cut to the next: cells whose middle lies there
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("c") / 2) - 1), lambda k: F.struct(F.ceil(F.get("c", (2 * k).cast("int")) - 0.5).alias("a"), (F.ceil(F.get("c", (2 * k + 1).cast("int")) - 0.5) - 1).alias("b")))
+    runs = cuts.filter("size(c) > 1").select("set_id", "poly_id", "ring", "cy", F.explode(pairs).alias("p")).filter("p.b >= p.a")
+    filled = runs.select("set_id", "poly_id", "ring", "cy", F.explode(F.sequence("p.a", "p.b")).alias("cx"))
+    keys = ["set_id", "poly_id", "cx", "cy"]
+    whole = filled.filter("ring = 0").join(touched.unionByName(filled.filter("ring > 0").select(touched.columns)), keys, "left_anti")
+    columns = ["set_id", "cx", "cy", "poly_id"]
+    return whole.select(*columns, F.lit(True).alias("within")).unionByName(touched.select(*columns, F.lit(False).alias("within")))
+
+
+def _near_cell(lat_row: Column, near_km: float) -> Column:
+    """Degrees of longitude that ``near_km`` spans at most in a row of latitudes of that height; null
+    where rows are so near a pole that one cell holds all longitudes."""
+    span = near_km / KM_PER_DEGREE
+    far = F.least(F.lit(90.0), F.greatest(F.abs(lat_row * span), F.abs((lat_row + 1) * span)))
+    cos = F.cos(far * (math.pi / 180))
+    return F.when(cos > 0.02, F.lit(span * (1 + 1e-9)) / cos)
+
+
+def _borders(edges: DataFrame, polygons: DataFrame, near_km: float) -> DataFrame:
+    """Edges in degrees, in every cell whose points may be within ``near_km`` of them: rows are as high
+    as that, cells as wide as that is at their row. Edges near 180 degrees are seen from both sides."""
+    span = near_km / KM_PER_DEGREE
+    deg = edges.join(polygons, ["set_id", "poly_id"]).select(
+        "set_id", "poly_id", "minx", "miny", "maxx", "maxy",
+        *[dequantise(F.col(f"{c}{k}"), F.col(f"scale_{c}"), F.col(f"t{c}")).alias(f"{n}_{k}") for c, n in (("x", "lon"), ("y", "lat")) for k in "ij"],
+    )
+    low, high = F.least("lat_i", "lat_j"), F.greatest("lat_i", "lat_j")
+    rows = deg.withColumn("row", F.explode(_rows_between(low / span - (1 + 1e-9), high / span + (1 + 1e-9)))).withColumn("width", _near_cell(F.col("row"), near_km))
+    # the part of an edge that points of the row can be near
+    share = lambda lat: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (lat - F.col("lat_i")) / F.nullif(F.col("lat_j") - F.col("lat_i"), F.lit(0.0))))
+    lon = lambda lat, level: F.col("lon_i") + (F.col("lon_j") - F.col("lon_i")) * F.coalesce(share(lat), F.lit(level))
+    ends = lon((F.col("row") - 1 - 1e-9) * span, 0.0), lon((F.col("row") + 2 + 1e-9) * span, 1.0)
+    rows = rows.withColumns({"low": F.least(*ends), "high": F.greatest(*ends)})
+    seen = lambda turn: (F.col("low") + turn - F.col("width") <= 180) & (F.col("high") + turn + F.col("width") >= -180)
+    turned = rows.withColumn("turn", F.explode(F.when(F.col("width").isNull(), F.array(F.lit(0.0))).otherwise(F.filter(F.array(*map(F.lit, (0.0, 360.0, -360.0))), seen))))
+    side = lambda c, way: (F.col(c) + F.col("turn")) / F.col("width") + way * (1 + 1e-9)
+    cols = F.when(F.col("width").isNull(), F.array(F.lit(0).cast("long"))).otherwise(_rows_between(side("low", -1), side("high", 1)))
+    return turned.select("set_id", "row", F.explode(cols).alias("col"), "poly_id", "lon_i", "lat_i", "lon_j", "lat_j", "minx", "miny", "maxx", "maxy")
+
+
+def placed(points: DataFrame, index: Boundaries) -> DataFrame:
+    """``points`` (point_id, set_id, lon, lat) on their set's grid, dealt by point_id, so that all that
+    follows while tables are broadcast stays in its task."""
+    at = quantise(points.repartition("point_id"), index.transforms)
+    return at.withColumns({"cx": F.floor(F.col("x") / F.col("cell_x")).cast("long"), "cy": F.floor(F.col("y") / F.col("cell_y")).cast("long")})
+
+
+def join_points_polygons(at: DataFrame, index: Boundaries) -> DataFrame:
+    """(point_id, poly_id) of the first polygon, by poly_id, that contains each point of ``at`` (from
+    ``placed``): in its outer ring and in none of its holes, by even-odd ray casting.
+
+    In cells that a polygon fills nothing is cast; elsewhere a ray meets the edges of its row alone.
+    """
+    met = at.select("point_id", "set_id", "x", "y", "cx", "cy").join(index.cells, ["set_id", "cx", "cy"])
+    asked = met.withColumn("asked_id", F.when(~F.col("within"), F.col("poly_id")))
+    rows = index.slabs.withColumnRenamed("poly_id", "asked_id")
+    spans, meets = _crossing(F.col("y"))
+    crossed = F.coalesce(F.sum(F.when(spans & (F.col("x") < meets), 1)), F.lit(0)) % 2 == 1
+    rings = asked.join(rows, ["set_id", "asked_id", "cy"], "left").groupBy("point_id", "poly_id", "ring").agg(F.bool_or("within").alias("within"), crossed.alias("odd"))
+    whole = rings.groupBy("point_id", "poly_id").agg(F.bool_or(F.col("within") | (F.col("odd") & (F.col("ring") == 0))).alias("inside"), F.coalesce(F.bool_or(F.col("odd") & (F.col("ring") > 0)), F.lit(False)).alias("hole"))
+    return whole.filter("inside and not hole").groupBy("point_id").agg(F.min("poly_id").alias("poly_id"))
+
+
+def with_segment_km(pairs: DataFrame, ceiling: float) -> DataFrame:
+    """``pairs`` of points (lon, lat) and edges (lon_i, lat_i, lon_j, lat_j) with km, their distance in a
+    flat frame at the point; null for edges outside the ceiling's box and from the ceiling on.
+    Differences of longitude fold at 180 degrees."""
+    lon, lat, lon_i, lat_i, lon_j, lat_j = (F.col(c) for c in ("lon", "lat", "lon_i", "lat_i", "lon_j", "lat_j"))
     span_lat = ceiling / KM_PER_DEGREE
-    span_lon = F.lit(span_lat) / F.greatest(F.lit(0.02), cos)
+    span_lon = F.lit(span_lat) / F.greatest(F.lit(0.02), F.col("_cos"))
 
     def px(q: Column) -> Column:
-        d = q * scale + tx - lon
-        return F.when(d > 180, d - 360).when(d < -180, d + 360).otherwise(d) * cos * KM_PER_DEGREE
-
-    def km(e: Column) -> Column:
-        lon_i, lat_i, lon_j, lat_j = e["xi"] * scale + tx, e["yi"] * scale + ty, e["xj"] * scale + tx, e["yj"] * scale + ty
-        close = F.abs(lon_i - lon) < 180
-        skip = (
-            (F.least(lat_i, lat_j) - lat > span_lat)
-            | (lat - F.greatest(lat_i, lat_j) > span_lat)
-            | ((F.least(lon_i, lon_j) - lon > span_lon) & close)
-            | ((lon - F.greatest(lon_i, lon_j) > span_lon) & close)
-        )
-        ax, bx = px(e["xi"]), px(e["xj"])
-        ay, by = (lat_i - lat) * KM_PER_DEGREE, (lat_j - lat) * KM_PER_DEGREE
-        vx, vy = bx - ax, by - ay
-        length = vx * vx + vy * vy
-        t = F.when(length == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * vx + ay * vy) / F.nullif(length, F.lit(0.0)))))
-        dx, dy = ax + t * vx, ay + t * vy
-        return F.when(~skip, F.sqrt(dx * dx + dy * dy))
-
-    return F.coalesce(F.least(F.lit(ceiling), F.array_min(F.transform(edges, km))), F.lit(ceiling))
-
-
-def join_points_nearest_border(
-    points: DataFrame, polygons: DataFrame, near_km: float, cell: float, scale: float, tx: float, ty: float, keys: list[str] | None = None
-) -> DataFrame:
-    """(point_id, poly_id, km) of the nearest polygon strictly within ``near_km`` of points that are
-    in none; the first by poly_id on a tie. Boxes do not wrap at the date line, distances do."""
-    keys = keys or []
-    margin = near_km / KM_PER_DEGREE / scale
-    # a box grows by the widest margin of all latitudes that may ask for it
-    far_lat = F.greatest(*[F.abs(F.col(c) * scale + ty) for c in ("miny", "maxy")]) + near_km / KM_PER_DEGREE
-    widest = F.lit(margin) / F.greatest(F.lit(0.02), F.cos(F.least(far_lat, F.lit(90.0)) * math.pi / 180))
-    boxes = polygons.select(
-        *keys, "poly_id", (F.col("minx") - widest).alias("minx"), (F.col("maxx") + widest).alias("maxx"),
-        (F.col("miny") - margin).alias("miny"), (F.col("maxy") + margin).alias("maxy"),
-    )
-    met = _candidates(points, polygons, boxes, keys, cell)
-    own = F.lit(margin) / F.greatest(F.lit(0.02), F.cos(F.col("lat") * math.pi / 180))
-    close = F.col("x").between(F.col("minx") - own, F.col("maxx") + own) & F.col("y").between(F.col("miny") - margin, F.col("maxy") + margin)
-    least = F.array_min(F.transform("rings", lambda r: ring_distance_km(r["edges"], F.col("lon"), F.col("lat"), scale, tx, ty, near_km)))
-    near = met.filter(close).withColumn("km", least).filter(F.col("km") < near_km)
-    best = near.groupBy("point_id").agg(F.min(F.struct("km", "poly_id")).alias("b"))
-    return best.select("point_id", "b.poly_id", "b.km")
-
-
-def locate(
-    points: DataFrame, polygons: DataFrame, near_km: float, cell: float, scale: float, tx: float, ty: float, keys: list[str] | None = None
-) -> DataFrame:
+        d = q - lon
+        return F.when(d > 180, d - 360).when(d < -180, d + 360).otherwise(d) * F.col("_cos") * KM_PER_DEGREE
+
+    close = F.abs(lon_i - lon) < 180
+    skip = (
+        (F.least(lat_i, lat_j) - lat > span_lat)
+        | (lat - F.greatest(lat_i, lat_j) > span_lat)
+        | ((F.least(lon_i, lon_j) - lon > span_lon) & close)
+        | ((lon - F.greatest(lon_i, lon_j) > span_lon) & close)
+    )
+    ax, ay, vx, vy, length = (F.col(c) for c in ("_ax", "_ay", "_vx", "_vy", "_length"))
+    # each step's columns are used more than once by the next
+    steps = pairs.withColumn("_cos", F.cos(lat * F.lit(math.pi) / F.lit(180.0)))
+    steps = steps.withColumns({"_skip": skip, "_ax": px(lon_i), "_bx": px(lon_j), "_ay": (lat_i - lat) * KM_PER_DEGREE, "_by": (lat_j - lat) * KM_PER_DEGREE})
+    steps = steps.withColumns({"_vx": F.col("_bx") - ax, "_vy": F.col("_by") - ay}).withColumn("_length", vx * vx + vy * vy)
+    t = F.when(length == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * vx + ay * vy) / F.nullif(length, F.lit(0.0)))))
+    steps = steps.withColumn("_t", t).withColumns({"_dx": ax + F.col("_t") * vx, "_dy": ay + F.col("_t") * vy})
+    steps = steps.withColumn("_km", F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy")))
+    return steps.withColumn("km", F.when(~F.col("_skip") & (F.col("_km") < ceiling), F.col("_km"))).select(*pairs.columns, "km")
+
+
+def join_points_nearest_border(at: DataFrame, index: Boundaries) -> DataFrame:
+    """(point_id, poly_id, km) of the nearest polygon strictly within the index's ``near_km`` of points
+    that are in none; the first by poly_id on a tie.
+
+    A point meets the edges of one cell of the border grid. Boxes do not wrap at the date line,
+    distances do; an edge on the far side of the world, which the flat frame would draw right across
+    it, is not met.
+    """
+    km, span = index.near_km, index.near_km / KM_PER_DEGREE
+    asked = at.withColumn("row", F.floor(F.col("lat") / span).cast("long"))
+    asked = asked.withColumn("col", F.coalesce(F.floor(F.col("lon") / _near_cell(F.col("row"), km)), F.lit(0)).cast("long"))
+    met = asked.join(index.borders, ["set_id", "row", "col"])
+    margin_y = F.lit(span) / F.col("scale_y")
+    margin_x = F.lit(span) / F.col("scale_x") / F.greatest(F.lit(0.02), F.cos(F.col("lat") * math.pi / 180))
+    close = F.col("x").between(F.col("minx") - margin_x, F.col("maxx") + margin_x) & F.col("y").between(F.col("miny") - margin_y, F.col("maxy") + margin_y)
+    near = with_segment_km(met.filter(close), km)
+    best = near.groupBy("point_id").agg(F.min(F.when(F.col("km").isNotNull(), F.struct("km", "poly_id"))).alias("b"))
+    return best.filter("b is not null").select("point_id", "b.poly_id", "b.km")
+
+
+def locate(points: DataFrame, index: Boundaries) -> DataFrame:
     """Every point with poly_id, approximate, offshore_km and is_world: inside first, then near; a
     point that no polygon is near has no poly_id and stands for the whole world.
 
-    ``points``: point_id, lon, lat, x, y (and keys).
+    ``points``: point_id, set_id (which set to ask; none is found in a set that is not there), lon, lat.
     """
-    inside = settle(join_points_polygons(points, polygons, cell, keys)).withColumn("km", F.lit(None).cast("double"))
-    missed = points.join(inside.select("point_id"), "point_id", "left_anti")
-    near = join_points_nearest_border(missed, polygons, near_km, cell, scale, tx, ty, keys)
-    found = inside.unionByName(near)
+    at = settle(placed(points, index))
+    inside = settle(join_points_polygons(at, index)).withColumn("km", F.lit(None).cast("double"))
+    missed = at.join(inside.select("point_id"), "point_id", "left_anti")
+    found = inside.unionByName(join_points_nearest_border(missed, index))
     return points.join(found, "point_id", "left").withColumns(
         {"approximate": F.col("km").isNotNull(), "offshore_km": F.col("km"), "is_world": F.col("poly_id").isNull()}
     ).drop("km")
@@ -201,57 +280,89 @@ def country_code(asked: DataFrame, names: DataFrame) -> DataFrame:
     return asked.join(first.select("country", F.col("first.code").alias("code")), "country", "left")
 
 
-def nearest_place(located: DataFrame, places: DataFrame, cell: float, scale: float, tx: float, ty: float) -> DataFrame:
-    """(point_id, place, km): the nearest town of the point's country by scaled squared degrees.
+@dataclass(frozen=True)
+class Towns:
+    """Towns as a quadtree for each code: nodes (code, level, cx, cy, n, is_leaf, and the box w, s, e, n of
+    their towns), the first node of each code, and the leaves' towns, at most ``most`` to a leaf."""
+
+    nodes: DataFrame
+    roots: DataFrame
+    leaves: DataFrame
+    levels: int
+
 
-    Places are grouped by country and grid cell. A point looks into the 3 x 3 cells around it; that
-    answer stands if it is nearer than those cells' rim, and the other points look again in cells of
-    four times the width, until the cells around a point hold all there is. So a point meets few
-    cells, by their keys, however many its country has. Longitudes do not wrap. ``located``:
-    point_id, code, lon, lat, x, y.
+def index_towns(places: DataFrame, transforms: DataFrame, most: int = 64) -> Towns:
+    """``places``: set_id, code, ord, name, qx, qy on the grid of their set. Of towns at one spot only
+    the first can be anyone's nearest, and stays; so every leaf can be made small enough.
+
+    A node is split into 16 while it has more than ``most`` towns.
+    """
+    spots = places.groupBy("set_id", "code", "qx", "qy").agg(F.min_by(F.struct("ord", "name"), "ord").alias("t")).join(transforms, "set_id")
+    spots = settle(spots.select("code", "t.ord", "t.name", dequantise(F.col("qx"), F.col("scale_x"), F.col("tx")).alias("lon"), dequantise(F.col("qy"), F.col("scale_y"), F.col("ty")).alias("lat")))
+    finest = transforms.agg(F.min(F.least("scale_x", "scale_y"))).head()[0] or 1.0
+    deepest = max(2, math.ceil(math.log2(720 / finest))) + 2 & ~1
+    size = F.lit(720.0) / F.pow(F.lit(2.0), F.col("level"))
+    each = spots.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(deepest), F.lit(2))))
+    each = each.withColumns({"cx": F.floor((F.col("lon") + 360) / size).cast("long"), "cy": F.floor((F.col("lat") + 360) / size).cast("long")})
+    keys = ["code", "level", "cx", "cy"]
+    nodes = each.groupBy(*keys).agg(F.count(F.lit(1)).alias("towns"), *[f(c).alias(a) for f, c, a in ((F.min, "lon", "w"), (F.min, "lat", "s"), (F.max, "lon", "e"), (F.max, "lat", "n"))])
+    nodes = settle(nodes)
+    total = nodes.filter("level = 0").groupBy("code").agg(F.sum("towns").alias("total"))
+    # the deepest node that has all of a code's towns, unless a node above it is small enough
+    whole = nodes.join(total, "code").filter("towns = total")
+    small = F.min(F.when(F.col("towns") <= most, F.col("level")))
+    first = whole.groupBy("code").agg(F.coalesce(small, F.max("level")).alias("first"))
+    wide = total.join(first, "code", "left").select("code", F.coalesce("first", F.lit(0)).alias("first"))
+    up = nodes.select("code", (F.col("level") + 2).alias("level"), F.col("cx").alias("up_x"), F.col("cy").alias("up_y"), F.col("towns").alias("above"))
+    split = nodes.withColumns({"up_x": F.floor(F.col("cx") / 4), "up_y": F.floor(F.col("cy") / 4)}).join(up, ["code", "level", "up_x", "up_y"], "left").join(wide, "code")
+    kept = split.filter((F.col("level") == F.col("first")) | ((F.col("level") > F.col("first")) & (F.col("above") > most)))
+    kept = settle(kept.select(*keys, "up_x", "up_y", "w", "s", "e", "n", (F.col("towns") <= most).alias("is_leaf"), (F.col("level") == F.col("first")).alias("is_root")))
+    leaves = settle(each.join(kept.filter("is_leaf").select(*keys), keys).select(*keys, "ord", "name", "lon", "lat"))
+    depth = kept.groupBy("code").agg((F.max("level") - F.min("level")).alias("d")).agg(F.max("d")).head()[0] or 0
+    return Towns(sent(kept.filter("not is_root")), sent(kept.filter("is_root")), sent(leaves), depth)
+
+
+def nearest_place(located: DataFrame, towns: Towns) -> DataFrame:
+    """(point_id, place, place_km): the nearest town of the point's code by scaled squared degrees; the
+    first by ord on a tie. Longitudes do not wrap. ``located``: point_id, code, lon, lat.
+
+    Each point goes down its code's tree with the nodes that may still hold its nearest town: those no
+    farther than the farthest corner of any. It then meets those leaves' towns.
     """
-    edges = lambda df, x, y: df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).head()
-    corners = [e for e in (edges(places, "qx", "qy"), edges(located, "x", "y")) if e[0] is not None]
-    extent = max((max(e[k + 1] for e in corners) - min(e[k] for e in corners) for k in (0, 2)), default=0.0)
     k = F.greatest(F.lit(0.02), F.cos(F.col("lat") * math.pi / 180))
-    step = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-
-    def nearest(spots: Column) -> Column:
-        def score(s: Column) -> Column:
-            dlat, dlon = s["qy"] * scale + ty - F.col("lat"), (s["qx"] * scale + tx - F.col("lon")) * k
-            return F.struct((dlat * dlat + dlon * dlon).alias("sq"), s["ord"].alias("ord"), s["name"].alias("name"))
-
-        return F.array_min(F.transform(spots, score))
-
-    def look(points: DataFrame, cell: float) -> DataFrame:
-        """The nearest town in the 3 x 3 cells of points that have any there."""
-        cell_of = lambda c: F.floor(F.col(c) / cell).cast("long")
-        grid = places.groupBy("code", cell_of("qx").alias("cx"), cell_of("qy").alias("cy")).agg(F.collect_list(F.struct("ord", "name", "qx", "qy")).alias("spots"))
-        around = points.withColumns({"px": cell_of("x"), "py": cell_of("y")}).withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step))
-        around = around.withColumns({"cx": F.col("px") + F.col("dx"), "cy": F.col("py") + F.col("dy")})
-        return around.join(grid, ["code", "cx", "cy"]).withColumn("b", nearest(F.col("spots"))).groupBy("point_id").agg(F.min("b").alias("b"))
-
-    found = None
-    rest = located.join(places.select("code").distinct(), "code", "left_semi")
-    while True:
-        last = cell > extent
-        rim = cell * scale * F.least(F.lit(1.0), k)
-        sure = rest.join(look(rest, cell), "point_id").filter(F.lit(last) | (F.col("b.sq") < rim * rim))
-        sure = settle(sure.select("point_id", "b"))
-        found = sure if found is None else found.unionByName(sure)
-        if last:
-            break
-        rest = settle(rest.join(sure.select("point_id"), "point_id", "left_anti"))
-        if not rest.limit(1).count():
-            break
-        cell *= 4
-    return found.select("point_id", F.col("b.name").alias("place"), (F.sqrt("b.sq") * KM_PER_DEGREE).alias("place_km"))
-
-
-def bounds_of(polygons: DataFrame, scale: float, tx: float, ty: float) -> DataFrame:
-    """poly_id with its box in degrees (w, s, e, n)."""
-    edge = lambda c, t: (F.col(c) * scale + t)
-    return polygons.select("poly_id", edge("minx", tx).alias("w"), edge("miny", ty).alias("s"), edge("maxx", tx).alias("e"), edge("maxy", ty).alias("n"))
+    box = lambda node: F.struct(*(node(c).alias(c) for c in ("level", "cx", "cy", "is_leaf")), *_reach(node, k))
+    at = located.repartition("point_id").select("point_id", "code", "lon", "lat").join(towns.roots.select("code", "level", "cx", "cy", "is_leaf", "w", "s", "e", "n"), "code")
+    at = at.select("point_id", "code", "lon", "lat", F.array(box(F.col)).alias("nodes"))
+    below = towns.nodes.select("code", F.col("level").alias("to_level"), "up_x", "up_y", F.struct("level", "cx", "cy", "is_leaf", "w", "s", "e", "n").alias("child"))
+    for _ in range(0, towns.levels, 2):
+        each = at.select("point_id", "code", "lon", "lat", F.explode("nodes").alias("node"))
+        each = each.withColumns({"to_level": F.when(~F.col("node.is_leaf"), F.col("node.level") + 2), "up_x": F.col("node.cx"), "up_y": F.col("node.cy")})
+        each = each.join(below, ["code", "to_level", "up_x", "up_y"], "left")
+        child = box(lambda c: F.col(f"child.{c}"))
+        each = each.select("point_id", "code", "lon", "lat", F.when(F.col("child").isNull(), F.col("node")).otherwise(child).alias("node"))
+        at = each.groupBy("point_id", "code", "lon", "lat").agg(F.collect_list("node").alias("all"), F.min("node.far").alias("bound"))
+        at = at.select("point_id", "code", "lon", "lat", F.filter("all", lambda n: n["near"] <= F.col("bound")).alias("nodes"))
+    asked = at.select("point_id", "code", F.col("lon").alias("own_lon"), F.col("lat").alias("own_lat"), F.explode("nodes").alias("node")).select("point_id", "code", "own_lon", "own_lat", "node.level", "node.cx", "node.cy")
+    met = asked.join(towns.leaves, ["code", "level", "cx", "cy"])
+    own_k = F.greatest(F.lit(0.02), F.cos(F.col("own_lat") * math.pi / 180))
+    dlat, dlon = F.col("lat") - F.col("own_lat"), (F.col("lon") - F.col("own_lon")) * own_k
+    best = met.groupBy("point_id").agg(F.min(F.struct((dlat * dlat + dlon * dlon).alias("sq"), "ord", "name")).alias("b"))
+    return best.select("point_id", F.col("b.name").alias("place"), (F.sqrt("b.sq") * KM_PER_DEGREE).alias("place_km"))
+
+
+def _reach(node, k: Column) -> tuple[Column, Column]:
+    """Squared distances of the point to the nearest and farthest corner of a node's box, as towns'."""
+    lon, lat = F.col("lon"), F.col("lat")
+    dlat = F.greatest(node("s") - lat, lat - node("n"), F.lit(0.0)), F.greatest(F.abs(node("s") - lat), F.abs(node("n") - lat))
+    dlon = F.greatest(node("w") - lon, lon - node("e"), F.lit(0.0)) * k, F.greatest(F.abs(node("w") - lon), F.abs(node("e") - lon)) * k
+    return tuple((a * a + b * b).alias(name) for a, b, name in zip(dlat, dlon, ("near", "far"), strict=True))
+
+
+def bounds_of(index: Boundaries) -> DataFrame:
+    """set_id and poly_id with its box in degrees (w, s, e, n)."""
+    edge = lambda c: dequantise(F.col(f"m{c}"), F.col(f"scale_{c[-1]}"), F.col(f"t{c[-1]}"))
+    boxes = index.polygons.join(index.transforms, "set_id")
+    return boxes.select("set_id", "poly_id", edge("inx").alias("w"), edge("iny").alias("s"), edge("axx").alias("e"), edge("axy").alias("n"))
 
 
 def view_for(rows: DataFrame, min_span: float) -> DataFrame:
@@ -263,14 +374,15 @@ def view_for(rows: DataFrame, min_span: float) -> DataFrame:
     return rows.withColumns({"view_w": mid_lon - half_lon, "view_s": mid_lat - half_lat, "view_e": mid_lon + half_lon, "view_n": mid_lat + half_lat})
 
 
-def located_views(located: DataFrame, polygons: DataFrame, min_span: float, scale: float, tx: float, ty: float) -> DataFrame:
+def located_views(located: DataFrame, index: Boundaries, min_span: float) -> DataFrame:
     """``located`` with the box w, s, e, n of each row's polygon and the padded view of it. Rows
-    without a polygon have the box of the whole set, which is their view too."""
-    boxes = bounds_of(polygons, scale, tx, ty)
-    whole = boxes.agg(F.lit(None).cast("long").alias("poly_id"), F.min("w").alias("w"), F.min("s").alias("s"), F.max("e").alias("e"), F.max("n").alias("n"))
+    without a polygon have the box of all of their set, which is their view too."""
+    boxes = bounds_of(index)
+    whole = boxes.groupBy("set_id").agg(F.lit(None).cast("long").alias("poly_id"), F.min("w").alias("w"), F.min("s").alias("s"), F.max("e").alias("e"), F.max("n").alias("n"))
     whole = whole.withColumns({f"view_{c}": F.col(c) for c in "wsen"})
-    views = view_for(boxes, min_span).unionByName(whole).withColumnRenamed("poly_id", "box_id")
-    return located.join(_send(polygons, views), F.col("poly_id").eqNullSafe(F.col("box_id")), "left").drop("box_id")
+    views = sent(settle(view_for(boxes, min_span).unionByName(whole).withColumnsRenamed({"poly_id": "box_id", "set_id": "box_set"})))
+    same = (F.col("set_id") == F.col("box_set")) & F.col("poly_id").eqNullSafe(F.col("box_id"))
+    return located.join(views, same, "left").drop("box_id", "box_set")
 
 
 def outline_polygons(located: DataFrame, polygons: DataFrame) -> DataFrame:

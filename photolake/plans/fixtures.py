@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-SCALE, TX, TY = 0.01, -180.0, -90.0
-
 POINTS = """SELECT event_id AS point_id,
  (CAST((event_id*7919) % 36000 AS DOUBLE)+0.5)/100 - 180 AS lon,
  (CAST((event_id*104729) % 18000 AS DOUBLE)+0.5)/100 - 90 AS lat FROM events"""
@@ -35,16 +33,26 @@ UNION ALL
 SELECT 243, 24, n_name, 0, v, CAST(dx AS DOUBLE), CAST(dy AS DOUBLE) FROM nation CROSS JOIN ({_TEMPLATE}) r
 WHERE n_nationkey = 24 AND part = 0 AND ring = 1"""
 
-REGION_VERTICES = f"""SELECT n_nationkey AS code, n_nationkey*10+part AS poly_id, concat(n_name, ' R', CAST(part AS VARCHAR(9))) AS name, ring, v,
- CAST((n_nationkey % 5)*7200 + dx AS DOUBLE) AS x,
- CAST(CAST(floor(n_nationkey/5) AS INT)*3600 + dy AS DOUBLE) AS y
-FROM nation CROSS JOIN ({_REGION_TEMPLATE}) r
+#: The world's grid: twice as coarse up as across.
+WORLD_TRANSFORM = """SELECT 'world' AS set_id, CAST(0.01 AS DOUBLE) AS scale_x, CAST(0.02 AS DOUBLE) AS scale_y,
+ CAST(-180 AS DOUBLE) AS tx, CAST(-90 AS DOUBLE) AS ty"""
+WORLD_VERTICES = f"SELECT 'world' AS set_id, poly_id, name_id, name, ring, v, x, y/2 AS y FROM ({VERTICES}) whole"
+
+#: Each country's regions and towns have a grid of their own, of four shapes: square, and ten times as
+#: coarse on one axis as on the other.
+REGION_TRANSFORMS = """SELECT concat('c', CAST(n_nationkey AS VARCHAR(9))) AS set_id, n_nationkey AS code, ax, ay,
+ CAST(ax AS DOUBLE)/1000 AS scale_x, CAST(ay AS DOUBLE)/1000 AS scale_y,
+ CAST((n_nationkey % 5)*72 - 180 AS DOUBLE) AS tx, CAST(CAST(floor(n_nationkey/5) AS INT)*36 - 90 AS DOUBLE) AS ty
+FROM nation JOIN (VALUES (0,10,10),(1,100,10),(2,20,200),(3,1,10)) AS k(shape,ax,ay) ON n_nationkey % 4 = k.shape"""
+
+REGION_VERTICES = f"""SELECT set_id, n_nationkey AS code, n_nationkey*10+part AS poly_id, concat(n_name, ' R', CAST(part AS VARCHAR(9))) AS name, ring, v,
+ CAST(dx*10/ax AS DOUBLE) AS x, CAST(dy*10/ay AS DOUBLE) AS y
+FROM nation JOIN ({REGION_TRANSFORMS}) g ON g.code = n_nationkey CROSS JOIN ({_REGION_TEMPLATE}) r
 WHERE (ring = 0 OR n_nationkey % 5 = 0) AND (n_nationkey NOT IN (11, 17) OR part = 0)"""
 
-PLACES = """SELECT c_nationkey AS code, c_custkey AS ord, c_name AS name,
- CAST(600 + (c_custkey*7919) % 6000 AS INT) + (c_nationkey % 5)*7200 AS qx,
- CAST(400 + (c_custkey*104729) % 2800 AS INT) + CAST(floor(c_nationkey/5) AS INT)*3600 AS qy
-FROM customer WHERE c_nationkey <> 7"""
+PLACES = f"""SELECT set_id, c_nationkey AS code, c_custkey AS ord, c_name AS name,
+ CAST(floor((600 + (c_custkey*7919) % 6000)*10/ax) AS INT) AS qx, CAST(floor((400 + (c_custkey*104729) % 2800)*10/ay) AS INT) AS qy
+FROM customer JOIN ({REGION_TRANSFORMS}) g ON g.code = c_nationkey WHERE c_nationkey <> 7"""
 
 PHOTOS = """SELECT doc_id AS photo_id,
  concat('IMG_', CAST(doc_id % 40 AS VARCHAR(20)), CASE CAST(doc_id % 9 AS INT) WHEN 0 THEN '.jpg' WHEN 1 THEN '.JPEG'

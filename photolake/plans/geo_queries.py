@@ -2,103 +2,127 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.cut import settle
+from ..functions.paths import work_path
 from ..operators import geo
+from ..sources import boundaries as files
 from . import fixtures as fx
 from .registry import query
 
-CELL = 100.0  # grid units of 0.01 degrees
-_GRID = {"scale": fx.SCALE, "tx": fx.TX, "ty": fx.TY}
+CELL_DEG = 1.0
+MOST_TOWNS = 16
 
-# the oracle's own computation, from vertices: edges, crossings, distances
-_BASE = f"""
-pts AS ({fx.POINTS}), vert AS ({fx.VERTICES}),
-q AS (SELECT point_id, lon, lat, (lon + 180)/0.01 AS x, (lat + 90)/0.01 AS y FROM pts),
-edge AS (SELECT poly_id, ring, x AS xi, y AS yi,
-  coalesce(lag(x) OVER w, last_value(x) OVER full_w) AS xj, coalesce(lag(y) OVER w, last_value(y) OVER full_w) AS yj
-  FROM vert WINDOW w AS (PARTITION BY poly_id, ring ORDER BY v),
-  full_w AS (PARTITION BY poly_id, ring ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
-box AS (SELECT poly_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM vert WHERE ring = 0 GROUP BY poly_id),
-hit AS (SELECT q.point_id, e.poly_id, e.ring,
+
+def _inside(q: str, edges: str, boxes: str, match: str, name: str) -> str:
+    """The first polygon around each point, by plain joins: edges crossed, odd outside and not in holes."""
+    return f"""
+{name}hit AS (SELECT q.point_id, e.poly_id, e.ring,
   sum(CASE WHEN (e.yi > q.y) <> (e.yj > q.y) AND q.x < (e.xj-e.xi)*(q.y-e.yi)/(CASE WHEN e.yj = e.yi THEN NULL ELSE e.yj-e.yi END)+e.xi THEN 1 ELSE 0 END) % 2 AS odd
-  FROM q JOIN box b ON q.x BETWEEN b.x0 AND b.x1 AND q.y BETWEEN b.y0 AND b.y1 JOIN edge e ON e.poly_id = b.poly_id
+  FROM {q} q JOIN {boxes} b ON {match} AND q.x BETWEEN b.x0 AND b.x1 AND q.y BETWEEN b.y0 AND b.y1 JOIN {edges} e ON e.set_id = b.set_id AND e.poly_id = b.poly_id
   GROUP BY q.point_id, e.poly_id, e.ring),
-inpoly AS (SELECT point_id, poly_id FROM hit GROUP BY point_id, poly_id
-  HAVING max(CASE WHEN ring = 0 THEN odd END) = 1 AND max(CASE WHEN ring > 0 THEN odd ELSE 0 END) = 0),
-inside AS (SELECT point_id, min(poly_id) AS poly_id FROM inpoly GROUP BY point_id)"""
+{name}inside AS (SELECT point_id, min(poly_id) AS poly_id FROM (SELECT point_id, poly_id FROM {name}hit GROUP BY point_id, poly_id
+  HAVING max(CASE WHEN ring = 0 THEN odd END) = 1 AND max(CASE WHEN ring > 0 THEN odd ELSE 0 END) = 0) z GROUP BY point_id)"""
+
+
+def _edges(vertices: str, transforms: str, name: str) -> str:
+    """Edges in grid units and degrees, and boxes, of each set."""
+    return f"""
+{name}vert AS ({vertices}), {name}tf AS ({transforms}),
+{name}edge AS (SELECT e.*, xi*scale_x+tx AS lon_i, yi*scale_y+ty AS lat_i, xj*scale_x+tx AS lon_j, yj*scale_y+ty AS lat_j FROM (SELECT set_id, poly_id, ring, x AS xi, y AS yi,
+  coalesce(lag(x) OVER w, last_value(x) OVER full_w) AS xj, coalesce(lag(y) OVER w, last_value(y) OVER full_w) AS yj
+  FROM {name}vert WINDOW w AS (PARTITION BY set_id, poly_id, ring ORDER BY v),
+  full_w AS (PARTITION BY set_id, poly_id, ring ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) e JOIN {name}tf USING (set_id)),
+{name}box AS (SELECT set_id, poly_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM {name}vert WHERE ring = 0 GROUP BY set_id, poly_id)"""
 
 
-def _near(points: str, edges: str, boxes: str, km: float, match: str = "") -> str:
+def _near(points: str, edges: str, boxes: str, km: float, match: str) -> str:
     """Least distances of ``points`` to polygons under ``km``, by plain joins."""
-    m = f"({km}/111.32/0.01)"
+    mx, my = f"({km}/111.32/p.scale_x)/greatest(0.02,cos(p.lat*pi()/180))", f"({km}/111.32/p.scale_y)"
+    fold = lambda c: f"(CASE WHEN {c}-p.lon > 180 THEN {c}-p.lon-360 WHEN {c}-p.lon < -180 THEN {c}-p.lon+360 ELSE {c}-p.lon END)*cos(p.lat*pi()/180)*111.32"
     return f"""
  SELECT point_id, min_by(poly_id, (km, poly_id)) AS poly_id, min(km) AS km FROM (
   SELECT point_id, poly_id, min(sqrt(power(ax+t*(bx-ax),2)+power(ay+t*(by_-ay),2))) AS km FROM (
    SELECT *, CASE WHEN power(bx-ax,2)+power(by_-ay,2) = 0 THEN 0 ELSE greatest(0.0, least(1.0, -(ax*(bx-ax)+ay*(by_-ay))/(power(bx-ax,2)+power(by_-ay,2)))) END AS t FROM (
-    SELECT p.point_id, e.poly_id, (e.yi*0.01-90-p.lat)*111.32 AS ay, (e.yj*0.01-90-p.lat)*111.32 AS by_,
-     (CASE WHEN e.xi*0.01-180-p.lon > 180 THEN e.xi*0.01-180-p.lon-360 WHEN e.xi*0.01-180-p.lon < -180 THEN e.xi*0.01-180-p.lon+360 ELSE e.xi*0.01-180-p.lon END)*cos(p.lat*pi()/180)*111.32 AS ax,
-     (CASE WHEN e.xj*0.01-180-p.lon > 180 THEN e.xj*0.01-180-p.lon-360 WHEN e.xj*0.01-180-p.lon < -180 THEN e.xj*0.01-180-p.lon+360 ELSE e.xj*0.01-180-p.lon END)*cos(p.lat*pi()/180)*111.32 AS bx
-    FROM {points} p JOIN {boxes} b ON {match or 'TRUE'} AND p.x BETWEEN b.x0-{m}/greatest(0.02,cos(p.lat*pi()/180)) AND b.x1+{m}/greatest(0.02,cos(p.lat*pi()/180))
-     AND p.y BETWEEN b.y0-{m} AND b.y1+{m} JOIN {edges} e ON e.poly_id = b.poly_id) a) c GROUP BY point_id, poly_id) d
+    SELECT p.point_id, e.poly_id, (e.lat_i-p.lat)*111.32 AS ay, (e.lat_j-p.lat)*111.32 AS by_, {fold("e.lon_i")} AS ax, {fold("e.lon_j")} AS bx
+    FROM {points} p JOIN {boxes} b ON {match} AND p.x BETWEEN b.x0-{mx} AND b.x1+{mx}
+     AND p.y BETWEEN b.y0-{my} AND b.y1+{my} JOIN {edges} e ON e.set_id = b.set_id AND e.poly_id = b.poly_id) a) c GROUP BY point_id, poly_id) d
  WHERE km < {km} GROUP BY point_id"""
 
 
+# the oracle's own computation, from vertices
+_BASE = f"""
+pts AS ({fx.POINTS}), {_edges(fx.WORLD_VERTICES, fx.WORLD_TRANSFORM, '')},
+q AS (SELECT pts.*, tf.*, (lon-tx)/scale_x AS x, (lat-ty)/scale_y AS y FROM pts, tf), {_inside('q', 'edge', 'box', 'TRUE', '')}"""
+
 _LOCATED = f"""{_BASE},
 missed AS (SELECT * FROM q WHERE point_id NOT IN (SELECT point_id FROM inside)),
-near AS ({_near('missed', 'edge', 'box', 25.0)}),
+near AS ({_near('missed', 'edge', 'box', 25.0, 'TRUE')}),
 found AS (SELECT point_id, poly_id, CAST(NULL AS DOUBLE) AS km FROM inside UNION ALL SELECT point_id, poly_id, km FROM near),
 who AS (SELECT DISTINCT poly_id, name_id, name FROM vert),
-located AS (SELECT q.point_id, q.lon, q.lat, q.x, q.y, f.poly_id, f.km AS offshore_km, w.name_id AS code, w.name AS country
+located AS (SELECT q.point_id, q.lon, q.lat, f.poly_id, f.km AS offshore_km, w.name_id AS code, w.name AS country
   FROM q LEFT JOIN found f ON q.point_id = f.point_id LEFT JOIN who w ON f.poly_id = w.poly_id)"""
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geo.quantise(fx.view(spark, sf_dir, fx.POINTS), **_GRID)
+    return fx.view(spark, sf_dir, fx.POINTS).withColumn("set_id", F.lit("world"))
+
+
+def world_index(spark: SparkSession, sf_dir: str) -> geo.Boundaries:
+    return geo.index_boundaries(fx.view(spark, sf_dir, fx.WORLD_VERTICES), fx.view(spark, sf_dir, fx.WORLD_TRANSFORM), CELL_DEG, geo.COUNTRY_NEAR_KM)
+
+
+def region_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.view(spark, sf_dir, fx.REGION_TRANSFORMS).drop("ax", "ay", "code")
+
+
+def region_index(spark: SparkSession, sf_dir: str) -> geo.Boundaries:
+    return geo.index_boundaries(fx.view(spark, sf_dir, fx.REGION_VERTICES), region_grids(spark, sf_dir), CELL_DEG, geo.REGION_NEAR_KM)
 
 
 def countries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geo.assemble_polygons(fx.view(spark, sf_dir, fx.VERTICES), "name_id", "name")
+    return fx.view(spark, sf_dir, fx.WORLD_VERTICES).select("poly_id", "name_id", "name").distinct()
 
 
-def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geo.assemble_polygons(fx.view(spark, sf_dir, fx.REGION_VERTICES), "code", "name")
+def region_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.view(spark, sf_dir, fx.REGION_VERTICES).select("poly_id", "code", "name").distinct()
 
 
 def located(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points with country, code, approximate and offshore_km."""
-    world = settle(countries(spark, sf_dir))
-    found = geo.locate(points(spark, sf_dir), world.drop("name_id", "name"), geo.COUNTRY_NEAR_KM, CELL, **_GRID)
-    names = world.select("poly_id", F.col("name_id").alias("code"), F.col("name").alias("country"))
-    return found.join(names, "poly_id", "left")
+    found = geo.locate(points(spark, sf_dir), world_index(spark, sf_dir))
+    return found.join(countries(spark, sf_dir).select("poly_id", F.col("name_id").alias("code"), F.col("name").alias("country")), "poly_id", "left")
 
 
-def refined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """located() with the region of the country found first, and the nearest town where there is one."""
-    at = settle(located(spark, sf_dir))
-    sets = settle(regions(spark, sf_dir))
-    asked = at.filter("code is not null").select("point_id", "lon", "lat", "x", "y", "code")
-    hit = geo.locate(asked, sets.drop("name"), geo.REGION_NEAR_KM, CELL, **_GRID, keys=["code"]).filter("poly_id is not null")
-    hit = hit.join(sets.select("poly_id", F.col("name").alias("region")), "poly_id").select("point_id", "lon", "lat", "x", "y", "code", "region")
-    hit = settle(hit)
-    towns = geo.nearest_place(hit, fx.view(spark, sf_dir, fx.PLACES), CELL, **_GRID)
-    told = hit.select("point_id", "region").join(towns, "point_id", "left")
+def refine(at: DataFrame, regions: geo.Boundaries, names: DataFrame, towns: geo.Towns) -> DataFrame:
+    """``at`` (settled; with code) and the region of the country found first, and the nearest town where
+    there is one. ``names``: poly_id and name of regions."""
+    asked = at.filter("code is not null").select("point_id", "lon", "lat", "code", F.concat(F.lit("c"), "code").alias("set_id"))
+    hit = geo.locate(asked, regions).filter("poly_id is not null")
+    hit = settle(hit.join(names.select("poly_id", F.col("name").alias("region")), "poly_id").select("point_id", "lon", "lat", "code", "region"))
+    told = hit.select("point_id", "region").join(geo.nearest_place(hit, towns), "point_id", "left")
     return at.join(told, "point_id", "left")
 
 
+def refined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    towns = geo.index_towns(fx.view(spark, sf_dir, fx.PLACES), region_grids(spark, sf_dir), MOST_TOWNS)
+    return refine(settle(located(spark, sf_dir)), region_index(spark, sf_dir), region_names(spark, sf_dir), towns)
+
+
 @query("g6_points_in_polygons", f"WITH {_BASE} SELECT point_id, poly_id FROM inside")
 def g6(spark, sf_dir):
-    return geo.join_points_polygons(points(spark, sf_dir), countries(spark, sf_dir).drop("name_id", "name"), CELL)
+    index = world_index(spark, sf_dir)
+    return geo.join_points_polygons(geo.placed(points(spark, sf_dir), index), index)
 
 
 @query("g8_nearest_border", f"WITH {_LOCATED} SELECT point_id, poly_id, round(km, 6) AS km FROM near")
 def g8(spark, sf_dir):
-    polygons, at = countries(spark, sf_dir).drop("name_id", "name"), points(spark, sf_dir)
-    missed = at.join(geo.join_points_polygons(at, polygons, CELL), "point_id", "left_anti")
-    near = geo.join_points_nearest_border(missed, polygons, 25.0, CELL, **_GRID)
-    return near.select("point_id", "poly_id", F.round("km", 6).alias("km"))
+    index = world_index(spark, sf_dir)
+    at = settle(geo.placed(points(spark, sf_dir), index))
+    missed = at.join(geo.join_points_polygons(at, index), "point_id", "left_anti")
+    return geo.join_points_nearest_border(missed, index).select("point_id", "poly_id", F.round("km", 6).alias("km"))
 
 
 @query("g9_locate_country", f"WITH {_LOCATED} SELECT point_id, country, code, offshore_km IS NOT NULL AS approximate, round(offshore_km, 6) AS offshore_km FROM located")
@@ -111,25 +135,16 @@ def g9_counts(spark, sf_dir):
     return located(spark, sf_dir).groupBy("country").agg(F.count(F.lit(1)).alias("points"), F.count("offshore_km").alias("near_border"))
 
 
-_REFINED = f"""{_LOCATED}, rvert AS ({fx.REGION_VERTICES}),
-redge AS (SELECT poly_id, ring, x AS xi, y AS yi,
-  coalesce(lag(x) OVER w, last_value(x) OVER full_w) AS xj, coalesce(lag(y) OVER w, last_value(y) OVER full_w) AS yj
-  FROM rvert WINDOW w AS (PARTITION BY poly_id, ring ORDER BY v),
-  full_w AS (PARTITION BY poly_id, ring ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
-rbox AS (SELECT code, poly_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM rvert WHERE ring = 0 GROUP BY code, poly_id),
-asked AS (SELECT * FROM located WHERE code IS NOT NULL),
-rhit AS (SELECT q.point_id, e.poly_id, e.ring,
-  sum(CASE WHEN (e.yi > q.y) <> (e.yj > q.y) AND q.x < (e.xj-e.xi)*(q.y-e.yi)/(CASE WHEN e.yj = e.yi THEN NULL ELSE e.yj-e.yi END)+e.xi THEN 1 ELSE 0 END) % 2 AS odd
-  FROM asked q JOIN rbox b ON q.code = b.code AND q.x BETWEEN b.x0 AND b.x1 AND q.y BETWEEN b.y0 AND b.y1 JOIN redge e ON e.poly_id = b.poly_id GROUP BY q.point_id, e.poly_id, e.ring),
-rin AS (SELECT point_id, min(poly_id) AS poly_id FROM (SELECT point_id, poly_id FROM rhit GROUP BY point_id, poly_id
-  HAVING max(CASE WHEN ring = 0 THEN odd END) = 1 AND max(CASE WHEN ring > 0 THEN odd ELSE 0 END) = 0) z GROUP BY point_id),
-rmissed AS (SELECT * FROM asked WHERE point_id NOT IN (SELECT point_id FROM rin)),
-rnear AS ({_near('rmissed', 'redge', 'rbox', 3.0, 'p.code = b.code')}),
-rfound AS (SELECT point_id, poly_id FROM rin UNION ALL SELECT point_id, poly_id FROM rnear),
+_REFINED = f"""{_LOCATED}, {_edges(fx.REGION_VERTICES, fx.REGION_TRANSFORMS, 'r')},
+asked AS (SELECT l.*, rtf.* EXCLUDE (code), (l.lon-tx)/scale_x AS x, (l.lat-ty)/scale_y AS y FROM located l JOIN rtf USING (code)),
+{_inside('asked', 'redge', 'rbox', 'q.set_id = b.set_id', 'r')},
+rmissed AS (SELECT * FROM asked WHERE point_id NOT IN (SELECT point_id FROM rinside)),
+rnear AS ({_near('rmissed', 'redge', 'rbox', 3.0, 'p.set_id = b.set_id')}),
+rfound AS (SELECT point_id, poly_id FROM rinside UNION ALL SELECT point_id, poly_id FROM rnear),
 regioned AS (SELECT a.*, w.name AS region FROM asked a JOIN rfound f ON a.point_id = f.point_id JOIN (SELECT DISTINCT poly_id, name FROM rvert) w ON w.poly_id = f.poly_id),
-places AS ({fx.PLACES}),
+places AS (SELECT code, ord, name, qx*scale_x+tx AS lon, qy*scale_y+ty AS lat FROM ({fx.PLACES}) p JOIN rtf USING (code)),
 town AS (SELECT point_id, min_by(name, (sq, ord)) AS place, sqrt(min(sq))*111.32 AS place_km FROM (
-  SELECT r.point_id, p.name, p.ord, power(p.qy*0.01-90-r.lat, 2) + power((p.qx*0.01-180-r.lon)*greatest(0.02, cos(r.lat*pi()/180)), 2) AS sq
+  SELECT r.point_id, p.name, p.ord, power(p.lat-r.lat, 2) + power((p.lon-r.lon)*greatest(0.02, cos(r.lat*pi()/180)), 2) AS sq
   FROM regioned r JOIN places p ON p.code = r.code) s GROUP BY point_id),
 refined AS (SELECT l.*, r.region, t.place, t.place_km FROM located l LEFT JOIN regioned r ON l.point_id = r.point_id LEFT JOIN town t ON t.point_id = l.point_id)"""
 
@@ -158,14 +173,18 @@ def g17(spark, sf_dir):
     return refined(spark, sf_dir).select("point_id", label.alias("label"), geo.location_caption(label, F.col("country"), F.col("offshore_km")).alias("caption"))
 
 
-_VIEW = """SELECT poly_id, w, s, e, n, (w+e)/2 - hl AS view_w, (s+n)/2 - hv AS view_s, (w+e)/2 + hl AS view_e, (s+n)/2 + hv AS view_n FROM (
- SELECT *, greatest((n-s)/2*1.35, 2.5) AS hv, greatest((e-w)/2*1.35, 2.5/greatest(0.02, cos((s+n)/2*pi()/180))) AS hl FROM (
- SELECT poly_id, min(x)*0.01-180 AS w, min(y)*0.01-90 AS s, max(x)*0.01-180 AS e, max(y)*0.01-90 AS n FROM vert WHERE ring = 0 GROUP BY poly_id) b) c"""
+def _view(name: str, half: float) -> str:
+    return f"""SELECT poly_id, w, s, e, n, (w+e)/2 - hl AS view_w, (s+n)/2 - hv AS view_s, (w+e)/2 + hl AS view_e, (s+n)/2 + hv AS view_n FROM (
+ SELECT *, greatest((n-s)/2*1.35, {half}) AS hv, greatest((e-w)/2*1.35, {half}/greatest(0.02, cos((s+n)/2*pi()/180))) AS hl FROM (
+ SELECT poly_id, min(lon_i) AS w, min(lat_i) AS s, max(lon_i) AS e, max(lat_i) AS n FROM {name}edge WHERE ring = 0 GROUP BY poly_id) b) c"""
+
+
+_VIEW, _WORLD = _view("", 2.5), _edges(fx.WORLD_VERTICES, fx.WORLD_TRANSFORM, "")
 
 
-@query("g13_g14_bounds_views", f"WITH vert AS ({fx.VERTICES}), v AS ({_VIEW}) SELECT poly_id, {', '.join(f'round({c}, 6) AS {c}' for c in ('w', 's', 'e', 'n', 'view_w', 'view_s', 'view_e', 'view_n'))} FROM v")
+@query("g13_g14_bounds_views", f"WITH {_WORLD}, v AS ({_VIEW}) SELECT poly_id, {', '.join(f'round({c}, 6) AS {c}' for c in ('w', 's', 'e', 'n', 'view_w', 'view_s', 'view_e', 'view_n'))} FROM v")
 def g13(spark, sf_dir):
-    rows = geo.view_for(geo.bounds_of(countries(spark, sf_dir), **_GRID), 5.0)
+    rows = geo.view_for(geo.bounds_of(world_index(spark, sf_dir)), 5.0)
     return rows.select("poly_id", *[F.round(c, 6).alias(c) for c in ("w", "s", "e", "n", "view_w", "view_s", "view_e", "view_n")])
 
 
@@ -177,13 +196,12 @@ def g15(spark, sf_dir):
 
 @query(
     "g16_context",
-    f"""WITH vert AS ({fx.VERTICES}), v AS ({_VIEW}), who AS (SELECT DISTINCT poly_id, name_id FROM vert)
+    f"""WITH {_WORLD}, v AS ({_VIEW}), who AS (SELECT DISTINCT poly_id, name_id FROM vert)
  SELECT a.poly_id AS view_id, b.poly_id FROM v a JOIN who x ON x.poly_id = a.poly_id JOIN v b ON a.view_w <= b.e AND a.view_e >= b.w AND a.view_s <= b.n AND a.view_n >= b.s
  JOIN who y ON y.poly_id = b.poly_id WHERE x.name_id <> y.name_id""",
 )
 def g16(spark, sf_dir):
-    world = countries(spark, sf_dir)
-    boxes = geo.view_for(geo.bounds_of(world, **_GRID), 5.0).join(world.select("poly_id", "name_id"), "poly_id")
+    boxes = geo.view_for(geo.bounds_of(world_index(spark, sf_dir)), 5.0).join(countries(spark, sf_dir).select("poly_id", "name_id"), "poly_id")
     views = boxes.select(F.col("poly_id").alias("view_id"), "name_id", "view_w", "view_s", "view_e", "view_n")
     return geo.context_polygons(views, boxes.select("poly_id", "name_id", "w", "s", "e", "n"), 10.0)
 
@@ -198,7 +216,7 @@ _BOX_COLUMNS = ("w", "s", "e", "n", "view_w", "view_s", "view_e", "view_n")
 )
 def g13_world(spark, sf_dir):
     """The box and view of every point; those of the whole world for points far from any land."""
-    seen = geo.located_views(located(spark, sf_dir), countries(spark, sf_dir), 5.0, **_GRID)
+    seen = geo.located_views(located(spark, sf_dir), world_index(spark, sf_dir), 5.0)
     return seen.select("point_id", "is_world", *[F.round(c, 6).alias(c) for c in _BOX_COLUMNS])
 
 
@@ -215,7 +233,7 @@ def g15_world(spark, sf_dir):
 
 @query(
     "g16_region_context",
-    f"""WITH vert AS ({fx.VERTICES}), rvert AS ({fx.REGION_VERTICES}), v AS ({_VIEW}), r AS ({_VIEW.replace('2.5', '0.225').replace('FROM vert', 'FROM rvert')}),
+    f"""WITH {_WORLD}, {_edges(fx.REGION_VERTICES, fx.REGION_TRANSFORMS, 'r')}, v AS ({_VIEW}), r AS ({_view('r', 0.225)}),
  rwho AS (SELECT DISTINCT poly_id, code, name FROM rvert), who AS (SELECT DISTINCT poly_id, name_id FROM vert),
  a AS (SELECT r.*, code, name FROM r JOIN rwho USING (poly_id)),
  met AS (SELECT a.poly_id AS view_id, 0 AS layer, b.poly_id FROM a JOIN a b ON a.code = b.code AND a.name <> b.name AND a.view_w <= b.e AND a.view_e >= b.w AND a.view_s <= b.n AND a.view_n >= b.s
@@ -224,10 +242,10 @@ def g15_world(spark, sf_dir):
 )
 def g16_regions(spark, sf_dir):
     """Sibling regions, then other countries' land, around every region's polygon."""
-    sets, world = settle(regions(spark, sf_dir)), settle(countries(spark, sf_dir))
-    boxes = geo.view_for(geo.bounds_of(sets, **_GRID), 0.45).join(sets.select("poly_id", "code", F.col("name").alias("name_id")), "poly_id")
+    names = region_names(spark, sf_dir).select("poly_id", "code", F.col("name").alias("name_id"))
+    boxes = geo.view_for(geo.bounds_of(region_index(spark, sf_dir)), 0.45).join(names, "poly_id")
     views = boxes.select(F.col("poly_id").alias("view_id"), "code", "name_id", *[f"view_{c}" for c in "wsen"])
-    lands = geo.bounds_of(world, **_GRID).join(world.select("poly_id", "name_id"), "poly_id")
+    lands = geo.bounds_of(world_index(spark, sf_dir)).join(countries(spark, sf_dir).select("poly_id", "name_id"), "poly_id")
     return geo.region_context(views, boxes.select("code", "poly_id", "name_id", "w", "s", "e", "n"), lands, 10.0)
 
 
@@ -263,3 +281,86 @@ _NAMES = "SELECT c_custkey AS ord, n_name AS name, CASE WHEN c_custkey % 5 = 0 T
 def g10(spark, sf_dir):
     """The code of each supplier's country, from a set of names in which every name comes many times."""
     return geo.country_code(fx.view(spark, sf_dir, _ASKED), fx.view(spark, sf_dir, _NAMES)).select("point_id", "country", "code")
+
+
+def _coded(vertices: DataFrame, transforms: DataFrame, keys: DataFrame) -> DataFrame:
+    """Boundary sets as files hold them: every ring as two arcs of deltas, the second backwards.
+
+    ``vertices``: set_id, poly_id, ring, v, x, y; ``keys``: set_id, poly_id, name, code. Polygons are
+    numbered by poly_id within their set, names by their first polygon.
+    """
+    whole = vertices.groupBy("set_id", "poly_id", "ring").agg(F.array_sort(F.collect_list(F.struct("v", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")))).alias("p"))
+    whole = whole.withColumn("loop", F.concat("p", F.slice("p", 1, 1)))
+
+    def deltas(points):
+        step = lambda q, k, c: F.when(k == 0, q[c]).otherwise(q[c] - F.get(points, k - 1)[c])
+        return F.transform(points, lambda q, k: F.array(step(q, k, "x"), step(q, k, "y")))
+
+    arcs = F.array(deltas(F.slice("loop", 1, 3)), deltas(F.reverse(F.slice("loop", 3, F.size("loop") - 2))))
+    first = F.row_number().over(Window.partitionBy("set_id").orderBy("poly_id", "ring")) - 1
+    rings = whole.select("set_id", "poly_id", "ring", (first * 2).alias("arc"), arcs.alias("arcs"))
+    sets = rings.groupBy("set_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("arc", "arcs"))), lambda r: r["arcs"])).alias("arcs"))
+    refs = F.array(F.col("arc"), -F.col("arc") - 2)
+    polys = rings.groupBy("set_id", "poly_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ring", refs.alias("refs")))), lambda r: r["refs"]).alias("r"))
+    names = keys.groupBy("set_id", "name", "code").agg(F.min("poly_id").alias("first"))
+    names = names.withColumn("c", (F.row_number().over(Window.partitionBy("set_id").orderBy("first")) - 1).cast("int"))
+    polys = polys.join(keys, ["set_id", "poly_id"]).join(names.drop("first"), ["set_id", "name", "code"])
+    polys = polys.groupBy("set_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("poly_id", "c", "r"))), lambda p: F.struct(p["c"].alias("c"), p["r"].alias("r"))).alias("polys"))
+    listed = names.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("c", "name", "code"))).alias("n"))
+    grid = F.struct(F.array("scale_x", "scale_y").alias("scale"), F.array("tx", "ty").alias("translate")).alias("transform")
+    return transforms.join(sets, "set_id").join(polys, "set_id").join(listed, "set_id").select("set_id", grid, "arcs", F.col("n.name").alias("names"), F.col("n.code").alias("codes"), "polys")
+
+
+def written_sets(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """The world and the regions of all countries, written as boundary files and read back."""
+    world = fx.view(spark, sf_dir, fx.WORLD_VERTICES)
+    lands = world.select("set_id", "poly_id", "name", F.col("name_id").cast("string").alias("code")).distinct()
+    areas = fx.view(spark, sf_dir, fx.REGION_VERTICES)
+    parts = areas.select("set_id", "poly_id", "name", F.col("code").cast("string").alias("code")).distinct()
+    towns = fx.view(spark, sf_dir, fx.PLACES).groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "qx", "qy"))).alias("t"))
+    spots = F.transform("t", lambda t: F.array(t["name"], t["qx"].cast("string"), t["qy"].cast("string"))).alias("places")
+    path = work_path(spark, "boundaries")
+    files.write_boundaries(_coded(world, fx.view(spark, sf_dir, fx.WORLD_TRANSFORM), lands), f"{path}/world")
+    files.write_boundaries(_coded(areas, region_grids(spark, sf_dir), parts).join(towns.select("set_id", spots), "set_id", "left"), f"{path}/regions")
+    return files.read_boundaries(spark, f"{path}/world"), files.read_boundaries(spark, f"{path}/regions")
+
+
+def indexed(sets: dict[str, DataFrame], near_km: float) -> geo.Boundaries:
+    """Files' arcs to rings to polygons that points can ask."""
+    rings = geo.stitch_rings(sets["rings"], geo.decode_arcs(sets["arcs"]))
+    return geo.index_boundaries(geo.ring_vertices(rings), sets["transforms"], CELL_DEG, near_km)
+
+
+@query(
+    "s3_g12_from_files",
+    f"WITH {_REFINED} SELECT point_id, country, offshore_km IS NOT NULL AS approximate, round(offshore_km, 6) AS offshore_km, region, place, round(place_km, 6) AS place_km FROM refined",
+)
+def g_files(spark, sf_dir):
+    """Every event's country, region and town, with all boundaries and towns read from boundary files."""
+    world, areas = written_sets(spark, sf_dir)
+    found = geo.locate(points(spark, sf_dir), indexed(world, geo.COUNTRY_NEAR_KM))
+    named = world["polygons"].select("poly_id", F.col("code").cast("int").alias("code"), F.col("name").alias("country"))
+    at = settle(found.join(named, "poly_id", "left"))
+    regions = indexed(areas, geo.REGION_NEAR_KM)
+    places = areas["places"].withColumn("code", F.substring("set_id", 2, 9).cast("int"))
+    # polygons are numbered within their file
+    names = areas["polygons"].select("set_id", "poly_id", "name")
+    asked = at.filter("code is not null").select("point_id", "lon", "lat", "code", F.concat(F.lit("c"), "code").alias("set_id"))
+    hit = geo.locate(asked, regions).join(names, ["set_id", "poly_id"]).select("point_id", "lon", "lat", "code", F.col("name").alias("region"))
+    hit = settle(hit)
+    towns = geo.nearest_place(hit, geo.index_towns(places, areas["transforms"], MOST_TOWNS))
+    told = at.join(hit.select("point_id", "region").join(towns, "point_id", "left"), "point_id", "left")
+    return told.select("point_id", "country", "approximate", F.round("offshore_km", 6).alias("offshore_km"), "region", "place", F.round("place_km", 6).alias("place_km"))
+
+
+@query(
+    "s3_g2_ring_points",
+    f"""WITH vert AS ({fx.WORLD_VERTICES}), p AS (SELECT DISTINCT poly_id, dense_rank() OVER (ORDER BY poly_id) - 1 AS k FROM vert)
+ SELECT k AS poly_id, ring, v, x, y FROM vert JOIN p USING (poly_id) UNION ALL SELECT k, ring, count(*) OVER (PARTITION BY poly_id, ring), x, y FROM vert JOIN p USING (poly_id) QUALIFY v = 0""",
+)
+def g2_files(spark, sf_dir):
+    """Rings read from boundary files, point by point in their order, with the point that closes them."""
+    world, _ = written_sets(spark, sf_dir)
+    rings = geo.stitch_rings(world["rings"], geo.decode_arcs(world["arcs"]))
+    each = rings.select("poly_id", "ring", F.posexplode("points").alias("v", "q"))
+    return each.select(F.col("poly_id").cast("long").alias("poly_id"), "ring", F.col("v").cast("long").alias("v"), F.col("q.x").cast("double").alias("x"), F.col("q.y").cast("double").alias("y"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.cut import settle
+
 _SET = (
     "struct<transform:struct<scale:array<double>,translate:array<double>>,arcs:array<array<array<int>>>,names:array<string>,"
     "codes:array<string>,polys:array<struct<c:int,b:array<int>,r:array<array<int>>>>,places:array<array<string>>>"
@@ -13,15 +15,15 @@ _FEATURES = "struct<features:array<struct<properties:map<string,string>,geometry
 
 
 def read_boundaries(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The boundary files of a folder as tables, keyed by set_id (the file's stem):
+    """The boundary files of a folder as tables, keyed by set_id: the file's stem, or the folder
+    ``set_id=...`` that ``write_boundaries`` puts it in.
 
     transforms (scale_x, scale_y, tx, ty), arcs (arc, deltas), rings (poly_id, ring, refs),
     polygons (poly_id, name_id, name, code), places (ord, name, qx, qy).
     """
     text = spark.read.option("wholetext", "true").text(path, recursiveFileLookup=True)
-    sets = text.select(
-        F.regexp_extract(F.input_file_name(), r"([^/]+?)\.[^/.]*$", 1).alias("set_id"), F.from_json("value", _SET).alias("s")
-    )
+    folder, stem = (F.regexp_extract("_metadata.file_path", pattern, 1) for pattern in (r"/set_id=([^/]+)/", r"([^/]+?)\.[^/.]*$"))
+    sets = text.select(F.coalesce(F.nullif(folder, F.lit("")), stem).alias("set_id"), F.from_json("value", _SET).alias("s"))
     t = "s.transform"
     polys = sets.select("set_id", "s.names", "s.codes", F.posexplode("s.polys").alias("poly_id", "p"))
     return {
@@ -35,12 +37,29 @@ def read_boundaries(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
+def write_boundaries(sets: DataFrame, path: str) -> None:
+    """One JSON file for each row (set_id, transform, arcs, names, codes, polys, places), in a folder of
+    its set_id."""
+    body = F.to_json(F.struct(*[c for c in sets.columns if c != "set_id"])).alias("value")
+    sets.select("set_id", body).write.partitionBy("set_id").text(path)
+
+
 def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated lines without a header: ord, name, lat, lon (texts, as they come), a2."""
-    lines = spark.read.text(path)
+    """Tab-separated lines without a header: ord, name, lat, lon (texts, as they come), a2.
+
+    ord counts lines from 0 through the files by path and through each in its order, however the files
+    are split: lines are numbered within their split, and splits by where they begin.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    lines = settle(lines)
+    splits = lines.groupBy("file", "start").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = splits.select("file", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
     f = F.split("value", "\t", -1)
     part = lambda k: F.get(f, F.lit(k))
-    return lines.select(F.monotonically_increasing_id().alias("ord"), part(1).alias("name"), part(4).alias("lat"), part(5).alias("lon"), part(8).alias("a2"))
+    # one row for each split of the files
+    at = lines.join(F.broadcast(shifts), ["file", "start"])
+    return at.select((F.col("at") + F.col("shift")).alias("ord"), part(1).alias("name"), part(4).alias("lat"), part(5).alias("lon"), part(8).alias("a2"))
 
 
 def read_admin_features(spark: SparkSession, path: str) -> DataFrame:
