@@ -121,6 +121,11 @@ def _crossing(y: Column) -> tuple[Column, Column]:
     return spans, (F.col("xj") - F.col("xi")) * (y - F.col("yi")) / F.nullif(F.col("yj") - F.col("yi"), F.lit(0.0)) + F.col("xi")
 
 
+def _share(at: Column, i: Column, j: Column, level: float) -> Column:
+    """How much of the way from ``i`` to ``j`` lies before ``at``, from 0 to 1; ``level`` if they are one."""
+    return F.when(i == j, F.lit(level)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (at - i) / F.nullif(j - i, F.lit(0.0)))))
+
+
 def _slabs(edges: DataFrame) -> DataFrame:
     """(set_id, poly_id, cy, ring, xj, yj, xi, yi): edges in each row of cells that they span. Level
     edges never cross a ray."""
@@ -135,8 +140,7 @@ def _cells(edges: DataFrame) -> DataFrame:
     y, x = (lambda k: F.col(f"y{k}")), (lambda k: F.col(f"x{k}"))
     rows = edges.withColumn("cy", F.explode(_rows_between(F.least(y("i"), y("j")) / F.col("cell_y") - tiny, F.greatest(y("i"), y("j")) / F.col("cell_y") + tiny)))
     # the part of an edge within the row, by its share of the way from i to j
-    share = lambda edge: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (edge * F.col("cell_y") - y("i")) / F.nullif(y("j") - y("i"), F.lit(0.0))))
-    at = lambda edge, level: x("i") + (x("j") - x("i")) * F.coalesce(share(edge), F.lit(level))
+    at = lambda edge, level: x("i") + (x("j") - x("i")) * _share(edge * F.col("cell_y"), y("i"), y("j"), level)
     ends = at(F.col("cy"), 0.0), at(F.col("cy") + 1, 1.0)
     touched = rows.select("set_id", "poly_id", "cy", F.explode(_rows_between(F.least(*ends) / F.col("cell_x") - tiny, F.greatest(*ends) / F.col("cell_x") + tiny)).alias("cx")).distinct()
 
@@ -174,8 +178,7 @@ def _borders(edges: DataFrame, polygons: DataFrame, near_km: float) -> DataFrame
     low, high = F.least("lat_i", "lat_j"), F.greatest("lat_i", "lat_j")
     rows = deg.withColumn("row", F.explode(_rows_between(low / span - (1 + 1e-9), high / span + (1 + 1e-9)))).withColumn("width", _near_cell(F.col("row"), near_km))
     # the part of an edge that points of the row can be near
-    share = lambda lat: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (lat - F.col("lat_i")) / F.nullif(F.col("lat_j") - F.col("lat_i"), F.lit(0.0))))
-    lon = lambda lat, level: F.col("lon_i") + (F.col("lon_j") - F.col("lon_i")) * F.coalesce(share(lat), F.lit(level))
+    lon = lambda lat, level: F.col("lon_i") + (F.col("lon_j") - F.col("lon_i")) * _share(lat, F.col("lat_i"), F.col("lat_j"), level)
     ends = lon((F.col("row") - 1 - 1e-9) * span, 0.0), lon((F.col("row") + 2 + 1e-9) * span, 1.0)
     rows = rows.withColumns({"low": F.least(*ends), "high": F.greatest(*ends)})
     seen = lambda turn: (F.col("low") + turn - F.col("width") <= 180) & (F.col("high") + turn + F.col("width") >= -180)

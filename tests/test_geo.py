@@ -97,7 +97,10 @@ def test_cells_do_not_change_the_answer(spark, cell):
     rng = random.Random(3)
     shapes = {k: [star(rng, rng.uniform(-20, 20), rng.uniform(40, 70), rng.uniform(1, 8), 40)] for k in range(8)}
     shapes[0].append([(x * 0.2 + shapes[0][0][0][0] * 0.8, y * 0.2 + shapes[0][0][0][1] * 0.8) for x, y in shapes[1][0]])
+    # level and upright edges, some on the rims of cells, and a hole of that kind
+    shapes[8] = [[(-24, 35), (-3.5, 35), (-3.5, 41.3), (-9, 41.3), (-9, 50.4), (-24, 50.4)], [(-20, 37), (-13, 37), (-13, 42), (-20, 42)]]
     points = [(rng.uniform(-28, 28), rng.uniform(30, 80)) for _ in range(400)] + [(x + rng.uniform(-0.3, 0.3), y + rng.uniform(-0.2, 0.2)) for r in shapes.values() for x, y in r[0][::2]]
+    points += [(rng.uniform(-25, -2), y + rng.uniform(-0.3, 0.3)) for y in (35, 37, 41.3, 42, 50.4) for _ in range(20)]
     grids = (GRID, ("wide", 0.01, 0.1, -33.0, 7.0), ("tall", 0.5, 0.004, 5.0, -90.0))
     boundaries, want = index(spark, shapes, grids, cell), brute(shapes, points, 25.0)
     assert sum(w[1] is not None for w in want) > 50 and len({w[0] for w in want}) > 6
