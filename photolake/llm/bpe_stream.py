@@ -17,6 +17,7 @@ import codecs
 import heapq
 import json
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import ChunkTable, byte_chars, chunk_starts, text_blocks
+from .chunks import LONGEST, MARKS, byte_chars, chunk_starts
 from .shared import fresh
 
 #: Fixed value: the published pretokenizer pattern of byte-level BPE.
@@ -33,7 +34,11 @@ PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 _RUNS = [regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+")]
 _SHORT = 48  # bytes of a word up to which the plain merge loop is the faster one
 _PENDING = 1 << 15  # bytes without a sure cut from which single pieces are peeled off
-_BLOCK = 1 << 20  # bytes of texts that are fed at once; a larger text is fed in pieces
+_ROWS = 128  # texts that are Python objects at once
+_STEP = 1 << 16  # code points, or ids, that are fed at once
+#: Distinct chunks whose ids an encoder remembers; when they are more, it forgets the half that has
+#: not been met for longest.
+ENTRIES = 1_000_000
 
 
 class MergeTable:
@@ -157,36 +162,32 @@ class WordEncoder:
 class StreamEncoder:
     """Text in pieces of any size to little-endian 32-bit ids, equal to encoding it whole.
 
-    What it holds back is bounded: a possible start of an added token, the text since the last sure
-    cut (at most ``_PENDING`` bytes and a piece), and the lookahead of an open word. Only a run of
-    white space is held until it ends. What lies before a sure cut is final and goes through a table
-    of chunks (``ChunkTable``); chunks that the table does not hold are merged here.
+    What it holds back is bounded (``held``): a possible start of an added token, the text since the
+    last sure cut (at most ``_PENDING`` bytes and a piece), and the lookahead of an open word. Only a
+    run of white space is held until it ends. What lies before a sure cut is final; it falls into
+    chunks, which repeat, so the ids of up to ``entries`` short ones are remembered by their bytes.
     """
 
-    def __init__(self, table: MergeTable, entries: int = 1_000_000):
-        self.table = table
-        self.known = ChunkTable(self.encode_chunks, table.added, entries)
+    def __init__(self, table: MergeTable, entries: int = ENTRIES):
+        if any(c.isspace() for token in table.added for c in token):
+            raise ValueError("added tokens with white space are not supported")
+        self.table, self.entries = table, entries
+        self.marks = "".join(m for m in MARKS if not any(m in token for token in table.added))
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.special = regex.compile("|".join(regex.escape(x) for x in sorted(table.added, key=len, reverse=True))) if table.added else None
+        self.starts = {token[:k] for token in table.added for k in range(1, len(token))}
         self.tail, self.pending, self.open = "", b"", None
+        self.single = False  # whether pending is one chunk, with nothing after its cut
         self.longest = max(map(len, table.added), default=1)
 
-    def encode_chunks(self, chunks: list[bytes]) -> list[np.ndarray]:
-        out = []
-        for chunk in chunks:
-            text, ids, at = chunk.decode(), [], 0
-            for m in self.special.finditer(text) if self.special else ():
-                ids += self._pieces(text[at : m.start()]) + [self.table.added[m[0]]]
-                at = m.end()
-            out.append(np.array(ids + self._pieces(text[at:]), "<u4"))
-        return out
+    def held(self) -> int:
+        """Bytes that wait for what comes next."""
+        return len(self.tail.encode()) + len(self.pending) + (len(self.open[1].held) if self.open else 0)
 
     def _pieces(self, text: str) -> list[int]:
         return [i for piece in PATTERN.findall(text) for i in self._piece(piece)]
 
-    def encode_block(self, x: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whole texts x[edges[k]:edges[k + 1]], each fed and closed: (ids in a row, ids of each)."""
-        return self.known.encode_block(x, edges)
-
     def feed(self, text: str) -> bytes:
         text = self.tail + text
         if not self.special:
@@ -196,7 +197,7 @@ class StreamEncoder:
         for m in self.special.finditer(text):
             out += [self._plain(text[at : m.start()]), self._end_plain(), np.array([self.table.added[m[0]]], "<u4").tobytes()]
             at = m.end()
-        keep = next((k for k in range(min(self.longest - 1, len(text) - at), 0, -1) if any(x.startswith(text[-k:]) for x in self.table.added)), 0)
+        keep = next((k for k in range(min(self.longest - 1, len(text) - at), 0, -1) if text[-k:] in self.starts), 0)
         self.tail = text[len(text) - keep :]
         out.append(self._plain(text[at : len(text) - keep]))
         return b"".join(out)
@@ -209,21 +210,41 @@ class StreamEncoder:
         if not text:
             return b""
         self.pending += text.encode()
+        self.single = False
         out = b""
         if self.open:
             out = self._go_on()
             if self.open:
                 return out
         if self.pending:
-            last = int(chunk_starts(np.frombuffer(self.pending, np.uint8), np.array([0, len(self.pending)]), self.known.marks)[-1])
-            out += self._final(self.pending[:last])
-            self.pending = self.pending[last:]
+            out += self._final(False)
         if len(self.pending) > _PENDING:
             out += self._peel()
         return out
 
-    def _final(self, data: bytes) -> bytes:
-        return self.known.encode_block(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0].tobytes() if data else b""
+    def _final(self, whole: bool) -> bytes:
+        """Ids of the chunks of ``pending``, which keeps the last one unless the text is ``whole``."""
+        data = self.pending
+        if whole and self.single:
+            self.pending = b""
+            return self.known.get(data) or self._chunk(data)
+        cuts = chunk_starts(np.frombuffer(data, np.uint8), np.array([0, len(data)]), self.marks).tolist()
+        if whole:
+            cuts.append(len(data))
+        self.pending, self.single = data[cuts[-1] :], True
+        chunks = [data[a:b] for a, b in pairwise(cuts)]
+        ids = list(map(self.known.get, chunks))
+        if None in ids:
+            ids = [self._chunk(c) if i is None else i for c, i in zip(chunks, ids, strict=True)]
+        return b"".join(ids)
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        ids = self.before.get(chunk) or np.array(self._pieces(chunk.decode()), "<u4").tobytes()
+        if len(chunk) <= LONGEST:
+            if len(self.known) >= self.entries // 2:
+                self.before, self.known = self.known, {}
+            self.known[chunk] = ids
+        return ids
 
     def _peel(self) -> bytes:
         """Pieces that can no longer change; a word that reaches the end is opened."""
@@ -240,7 +261,7 @@ class StreamEncoder:
                 ids += self.open[1].feed(m[0].encode())
                 at = size
             break
-        self.pending = text[at:].encode()
+        self.pending, self.single = text[at:].encode(), False
         return np.array(ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> list[int]:
@@ -259,7 +280,7 @@ class StreamEncoder:
         if end < len(text):
             ids += word.close()
             self.open = None
-        self.pending = text[end:].encode()
+        self.pending, self.single = text[end:].encode(), False
         return np.array(ids, "<u4").tobytes()
 
     def _end_plain(self) -> bytes:
@@ -267,8 +288,7 @@ class StreamEncoder:
         if self.open:
             out = np.array(self.open[1].close(), "<u4").tobytes()
             self.open = None
-        rest, self.pending = self.pending, b""
-        return out + self._final(rest)
+        return out + self._final(True) if self.pending else out
 
 
 class StreamDecoder:
@@ -284,12 +304,6 @@ class StreamDecoder:
     def close(self) -> str:
         return self.machine.decode(b"", True)
 
-    def decode_block(self, ids: np.ndarray, edges: np.ndarray) -> list[str]:
-        """Whole lists ids[edges[k]:edges[k + 1]], each fed and closed."""
-        data, ends = self.table.expand(ids)
-        data, at = data.tobytes(), ends[edges].tolist()
-        return [self.machine.decode(data[a:b], True) for a, b in zip(at[:-1], at[1:], strict=True)]
-
 
 _machines: dict[str, tuple[MergeTable, StreamEncoder]] = {}
 
@@ -302,11 +316,11 @@ def _machine(path: str) -> tuple[MergeTable, StreamEncoder]:
     return _machines[path]
 
 
-def encode_text(encoder: StreamEncoder, text: str, step: int = 1 << 16) -> bytes:
+def encode_text(encoder: StreamEncoder, text: str, step: int = _STEP) -> bytes:
     return b"".join([encoder.feed(text[k : k + step]) for k in range(0, len(text), step)]) + encoder.close()
 
 
-def decode_ids(table: MergeTable, ids: np.ndarray, step: int = 1 << 16) -> str:
+def decode_ids(table: MergeTable, ids: np.ndarray, step: int = _STEP) -> str:
     decoder = StreamDecoder(table)
     return "".join([decoder.feed(ids[k : k + step]) for k in range(0, len(ids), step)]) + decoder.close()
 
@@ -324,21 +338,20 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, encoder = _machine(tokenizer_path)
-            for a, b, x, edges in text_blocks(batch.column(batch.num_columns - 1), _BLOCK):
-                if len(x) > _BLOCK:
-                    ids = np.frombuffer(encode_text(encoder, x.tobytes().decode()), "<u4")
-                    n = np.array([len(ids)])
-                else:
-                    ids, n = encoder.encode_block(x, edges)
-                ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.view(np.int32)))
-                some = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*some.columns[:-1], lists], [*some.schema.names[:-1], "token_ids"])
+            for at in range(0, batch.num_rows, _ROWS):
+                yield _encoded(batch.slice(at, _ROWS), _machine(tokenizer_path)[1])
 
     return rest.withColumn(body, F.coalesce("text", F.lit(""))).mapInArrow(run, schema)
 
 
+def _encoded(batch: pa.RecordBatch, encoder: StreamEncoder) -> pa.RecordBatch:
+    """``batch`` with token_ids instead of its last column, the text. Each text is fed and closed."""
+    ids = [encode_text(encoder, text.as_py()) for text in batch.column(batch.num_columns - 1)]
+    ends = np.concatenate(([0], np.cumsum([len(i) // 4 for i in ids]))).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+    return pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], [*batch.schema.names[:-1], "token_ids"])
+
+
 def decode_documents(tokens: DataFrame, tokenizer_path: str) -> DataFrame:
     """``tokens`` with decoded, the text of token_ids (null: empty). A column named decoded is
     replaced; all others pass through."""
@@ -347,24 +360,20 @@ def decode_documents(tokens: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table, _ = _machine(tokenizer_path)
-            decoder = StreamDecoder(table)
-            lists = batch["token_ids"]
-            ids, ends = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
-            a = 0
-            while a < batch.num_rows:
-                b = max(a + 1, int(np.searchsorted(ends, ends[a] + _BLOCK // 4, "right")) - 1)
-                if ends[b] - ends[a] > _BLOCK:
-                    texts = [decode_ids(table, ids[ends[a] : ends[b]])]
-                else:
-                    texts = decoder.decode_block(ids[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
-                some = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string())], [*some.schema.names, "decoded"])
-                a = b
+            for at in range(0, batch.num_rows, _ROWS):
+                yield _decoded(batch.slice(at, _ROWS), _machine(tokenizer_path)[0])
 
     return rest.mapInArrow(run, schema)
 
 
+def _decoded(batch: pa.RecordBatch, table: MergeTable) -> pa.RecordBatch:
+    """``batch`` with decoded; each list of ids is fed and closed."""
+    lists = batch["token_ids"]
+    ids, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    texts = [decode_ids(table, ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of decode_documents()'s rows."""
 

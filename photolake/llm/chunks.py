@@ -18,6 +18,7 @@ from .words import mix
 
 #: Bytes of a chunk that the table holds; longer ones are encoded each time they come.
 LONGEST = 32
+_KEYS = LONGEST // 8 + 2
 _WINDOW = 1 << 17  # chunks looked up at once
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [0xFFFFFFFFFFFFFFFF], np.uint64)
 _FULL = np.zeros(256, bool)  # characters that are surely no white space, by first byte
@@ -75,7 +76,7 @@ def chunk_starts(x: np.ndarray, edges: np.ndarray, marks: str = MARKS) -> np.nda
 
 class ChunkTable:
     """Ids of chunks in flat arrays, found by a hash of a chunk's bytes in an open table. A hit is
-    checked against the first 16 bytes and the hash of all; a full table is begun anew."""
+    checked against all its bytes and their number; a full table is begun anew."""
 
     def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], added: Iterable[str] = (), entries: int = 1_000_000):
         if any(c.isspace() for token in added for c in token):
@@ -87,7 +88,7 @@ class ChunkTable:
 
     def _begin(self) -> None:
         self.slot = np.full(self.slots, -1, np.int32)
-        self.key = np.zeros((3, self.entries), np.uint64)  # hash of all, bytes 0 to 7, bytes 8 to 15
+        self.key = np.zeros((_KEYS, self.entries), np.uint64)  # hash of all, all bytes by eights, their number
         self.first = np.zeros(self.entries + 1, np.int64)
         self.pool = np.zeros(4 * self.entries, "<u4")
         self.held = 0
@@ -101,7 +102,9 @@ class ChunkTable:
             entry = self.slot[place]
             some = entry >= 0
             todo, place, entry = todo[some], place[some], entry[some]
-            hit = (self.key[0][entry] == key[0][todo]) & (self.key[1][entry] == key[1][todo]) & (self.key[2][entry] == key[2][todo])
+            hit = self.key[0][entry] == key[0][todo]
+            same = np.flatnonzero(hit)
+            hit[same] = (self.key[1:, entry[same]] == key[1:, todo[same]]).all(0)
             out[todo[hit]] = entry[hit]
             todo, place = todo[~hit], (place[~hit] + 1) & (self.slots - 1)
         return out
@@ -126,15 +129,15 @@ class ChunkTable:
             todo, place = todo[left], (place[left] + 1) & (self.slots - 1)
 
     def _keys(self, words: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        key = np.zeros((3, len(start)), np.uint64)
+        key = np.zeros((_KEYS, len(start)), np.uint64)
+        key[-1] = size
         key[1] = words[start] & _MASK[np.minimum(size, 8)]
         key[0] = mix(key[1] + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         for k in range(1, LONGEST // 8):
             more = np.flatnonzero(size > 8 * k)
             word = words[start[more] + 8 * k] & _MASK[np.minimum(size[more] - 8 * k, 8)]
             key[0][more] = mix(key[0][more] * np.uint64(0xA0761D6478BD642F) + word)
-            if k == 1:
-                key[2][more] = word
+            key[k + 1][more] = word
         return key
 
     def encode_block(self, x: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

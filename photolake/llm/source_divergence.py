@@ -26,7 +26,7 @@ LEAST_DOCS = 10
 BEST_TERMS = 10
 _BLOCK = 1 << 22  # bytes of text split at once
 _PAIRS = 1 << 20  # pairs of a term's groups compared at once
-_HELD = 1 << 20  # sums of pairs that a task holds before it hands them on
+_HELD = 1 << 21  # sums that a task holds before it hands them on
 
 _TERM = np.zeros(256, bool)
 _TERM[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -83,6 +83,28 @@ def _long_text(text: bytes, block: int) -> tuple[np.ndarray, pa.Array]:
     return whole["n_sum"].to_numpy(), whole["term"].combine_chunks() if whole.num_rows else pa.array([], pa.large_binary())
 
 
+def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``_weighted``, those of equal lang, source and term added up as far as _HELD allows."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def merged() -> list[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
+        return table.select([0, 1, 2, 3, 4]).rename_columns(["lang", "source", "term", "n", "docs"]).to_batches(max_chunksize=1 << 16)
+
+    for batch in _weighted(batches):
+        held.append(batch)
+        rows += batch.num_rows
+        if rows > _HELD:
+            held = merged()
+            rows = sum(b.num_rows for b in held)
+            if rows > _HELD // 2:
+                yield from held
+                held, rows = [], 0
+    if held:
+        yield from merged()
+
+
 def _weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, term, n, docs) of texts with their copies from each source, added up by block."""
     for batch in batches:
@@ -133,8 +155,9 @@ def collapse(docs: DataFrame) -> DataFrame:
 def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(lang, term, total, counts array of (source, n)) of the terms in at least ``least_docs``
     documents of a language."""
-    rows = collapse(docs).mapInArrow(_weighted, "lang string, source string, term string, n long, docs long")
-    by_source = rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    rows = collapse(docs).mapInArrow(_added_up, "lang string, source string, term string, n long, docs long")
+    # added up within tasks already; one shuffle serves both aggregations
+    by_source = rows.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     by_term = by_source.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("counts"))
     return by_term.filter(F.col("docs") >= least_docs).select("lang", "term", "total", "counts")
 

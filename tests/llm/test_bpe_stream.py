@@ -28,6 +28,9 @@ TEXTS = [
 ]
 
 
+PARTS = ["a", "bc", "é", "×", "日", "本", " ", "  ", "\n", "\n\n", "\t", "\x85", "\xa0", " ", "　", "\x1c", "<|endoftext|>", "'s", "1", "23", "!", "...", "🙂", "᠎", " ", "à", "€", "word ", " the", "a, ", "a.\n", "ö. ", "×. ", "x.y", "z;"]
+
+
 def random_texts(n):
     rng = random.Random(5)
     alphabet = ["a", "b", "e", "th", "the", " ", " ", "\n", "'", "s", "re", "é", "ß", "🙂", "1", "9", ".", "<|endoftext|>", "<|", " ", "\t"]
@@ -37,7 +40,8 @@ def random_texts(n):
 def test_equals_the_library_however_the_text_is_fed(table, library):
     rng = random.Random(1)
     encoder = bs.StreamEncoder(table)
-    for text in TEXTS + random_texts(400):
+    pieces = ["".join(rng.choice(PARTS) for _ in range(rng.randrange(50))) for _ in range(1500)]
+    for text in TEXTS + random_texts(400) + pieces:
         want = library.encode(text, add_special_tokens=False).ids
         for step in (1 << 16, rng.randrange(1, 9) if len(text) < 9000 else 40_000):
             ids = np.frombuffer(bs.encode_text(encoder, text, step), "<u4").tolist()
@@ -84,14 +88,67 @@ def test_table_is_bounded(monkeypatch):
         assert ids.tolist() == data.tolist() and n.tolist() == [0, len(data)] and table.held <= 10
 
 
-PARTS = ["a", "bc", "é", "×", "日", "本", " ", "  ", "\n", "\n\n", "\t", "\x85", "\xa0", " ", "　", "\x1c", "<|endoftext|>", "'s", "1", "23", "!", "...", "🙂", "᠎", " ", "à", "€", "word ", " the", "a, ", "a.\n", "ö. ", "×. ", "x.y", "z;"]
 
 
-@pytest.mark.parametrize("coder", [lambda: bs.StreamEncoder(bs.MergeTable(TOKENIZER), 2000).known, lambda: chunk_table(TOKENIZER)])
-def test_blocks_of_texts_equal_the_library(library, coder):
+#: Two chunks that a hash of 64 bits and their first 16 bytes do not tell apart.
+TWINS = ["abcdefghijklmnopqrstuvwxyzabcdef", "abcdefghijklmnopk4VMky6Oa^MJ\\C^z"]
+
+
+def test_chunks_whose_hashes_collide_stay_apart(library, monkeypatch):
+    monkeypatch.setattr(ch, "mix", lambda h: h & np.uint64(0))  # all collide
+    table = chunk_table(TOKENIZER)
+    texts = [*TWINS, "a", "a\0", "a\0\0", "ab", "abcdefgh", "abcdefgh\0", *TWINS, "short words that collide too"]
+    for _ in range(2):
+        for _, _, x, edges in ch.text_blocks(pa.array(texts)):
+            ids, n = table.encode_block(x, edges)
+            for text, own in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+                assert own.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_built_twins(table, library):
+    encoder, known = bs.StreamEncoder(table), chunk_table(TOKENIZER)
+    for text in TWINS * 2:
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(bs.encode_text(encoder, text), "<u4").tolist() == want
+        for _, _, x, edges in ch.text_blocks(pa.array([text])):
+            assert known.encode_block(x, edges)[0].tolist() == want
+
+
+def test_every_text_is_fed_and_little_is_held(table, library, monkeypatch):
+    """What op9 runs on a batch: each text goes through feed, its ids through the decoder's feed, and
+    between feeds no more is held than a step, the pending bytes and an open word."""
+    fed, most, back = [], [0], []
+    feed, decode = bs.StreamEncoder.feed, bs.StreamDecoder.feed
+
+    def counted(self, text):
+        fed.append(len(text))
+        out = feed(self, text)
+        most[0] = max(most[0], self.held())
+        return out
+
+    monkeypatch.setattr(bs.StreamEncoder, "feed", counted)
+    monkeypatch.setattr(bs.StreamDecoder, "feed", lambda self, ids: back.append(len(ids)) or decode(self, ids))
+    texts = ["some words", "", "x" * 300_000, "many words of a long text, " * 20_000, "\u00e9" * 200_000, "a\u65e5\u672c" * 60_000, *random_texts(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "body"])
+    coded = bs._encoded(batch, bs.StreamEncoder(table))
+    assert len(fed) == sum(-(-len(t) // bs._STEP) for t in texts) and sum(fed) == sum(map(len, texts))
+    assert most[0] <= bs._PENDING + 4 * table.lookahead + 64
+    for text, ids, again in zip(texts, coded["token_ids"].to_pylist(), bs._decoded(coded, table)["decoded"].to_pylist(), strict=True):
+        assert ids == library.encode(text, add_special_tokens=False).ids and again == text
+    assert sum(back) == sum(map(len, coded["token_ids"].to_pylist()))
+
+
+def test_what_is_remembered_is_bounded(table, library):
+    encoder = bs.StreamEncoder(table, 20)
+    for text in random_texts(100):
+        assert np.frombuffer(bs.encode_text(encoder, text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(encoder.known) <= 10 and len(encoder.before) <= 10
+
+
+def test_blocks_of_texts_equal_the_library(library):
     rng = random.Random(9)
     texts = [None, *TEXTS, *("".join(rng.choice(PARTS) for _ in range(rng.randrange(50))) for _ in range(3000))]
-    table = coder()
+    table = chunk_table(TOKENIZER)
     for a, b, x, edges in ch.text_blocks(pa.array(texts, pa.string()), 1 << 12):
         ids, n = table.encode_block(x, edges)
         ends = np.cumsum(n)

@@ -70,7 +70,7 @@ def test_small_blocks_change_nothing(spark):
 
     def told():
         out = Counter()
-        for b in sd._weighted(iter(batches)):
+        for b in sd._added_up(iter(batches)):
             for r in b.to_pylist():
                 out[r["lang"], r["source"], r["term"]] += r["n"]
                 out[r["lang"], "", r["term"], "docs"] += r["docs"]
