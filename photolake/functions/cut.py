@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from .paths import shared_base, work_path
+
 
 def settle(df: DataFrame) -> DataFrame:
-    """``df`` computed once: a checkpoint in the shared folder where the cluster names one, else
-    cached, which lost executors recompute."""
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.persist()
+    """``df`` computed once, as a Parquet table in the shared folder where one is named: lost executors
+    take nothing of it with them, and its size is known to the planner. A local session without that
+    folder caches it instead."""
+    spark = df.sparkSession
+    if not shared_base(spark):
+        return df.persist()
+    path = work_path(spark, "settled")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

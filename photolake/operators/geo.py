@@ -267,7 +267,7 @@ def locate(points: DataFrame, index: Boundaries) -> DataFrame:
 
     ``points``: point_id, set_id (which set to ask; none is found in a set that is not there), lon, lat.
     """
-    at = settle(placed(points, index))
+    at = placed(points, index)
     inside = settle(join_points_polygons(at, index)).withColumn("km", F.lit(None).cast("double"))
     missed = at.join(inside.select("point_id"), "point_id", "left_anti")
     found = inside.unionByName(join_points_nearest_border(missed, index))
