@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialise, packed
-from .words import Words, split_words, text_slices
+from .words import Words, hash_spans, split_words, text_slices
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Sums over a text's words that the vector is made of.
@@ -78,14 +78,15 @@ def count_stats(w: Words, texts: int) -> pd.DataFrame:
     full = words_before[: len(starts)] < words_before[len(starts) :]
     starts, ends = starts[full], ends[full]
     line_doc = np.searchsorted(w.first, starts, "right") - 1
-    lines = np.bincount(line_doc, minlength=texts)
-    same = np.stack((line_doc.astype(np.uint64), w.span_hash(starts, ends)), 1)
-    once = np.unique(same, axis=0)[:, 0].astype(np.int64) if len(same) else np.zeros(0, np.int64)
-    # words in windows of five that come twice
+    repeated = _equal_lines(w, line_doc, starts, ends)
+    # words in windows of five that come twice: by hash, and those again by their words
     at, h = w.shingles(5)
-    key = h ^ (w.doc[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    _, where, times = np.unique(key, return_inverse=True, return_counts=True)
-    again = at[times[where] > 1]
+    again = at[_twice(h ^ (w.doc[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))]
+    if len(again):
+        words, place = np.unique(again[:, None] + np.arange(5), return_inverse=True)
+        windows = np.column_stack((w.doc[again], w.ids(words)[place.reshape(-1, 5)]))
+        _, where, times = np.unique(windows, axis=0, return_inverse=True, return_counts=True)
+        again = again[times[where.ravel()] > 1]
     cover = np.zeros(len(w.hash) + 6, np.int64)
     np.add.at(cover, again, 1)
     np.add.at(cover, again + 5, -1)
@@ -96,7 +97,7 @@ def count_stats(w: Words, texts: int) -> pd.DataFrame:
             "n_words": n,
             "word_chars": add(length).astype(np.int64),
             "n_symbols": symbols[w.first[1:] - 1] - symbols[w.first[:-1]],
-            "n_dup_lines": lines - np.bincount(once, minlength=texts),
+            "n_dup_lines": np.bincount(repeated, minlength=texts),
             "n_repeat_words": np.bincount(w.doc[covered], minlength=texts),
             "log_length": add(logs),
             "log_length_sq": add(logs * logs),
@@ -106,6 +107,25 @@ def count_stats(w: Words, texts: int) -> pd.DataFrame:
     )
 
 
+def _twice(key: np.ndarray) -> np.ndarray:
+    """Whether each key comes more than once."""
+    _, where, times = np.unique(key, return_inverse=True, return_counts=True)
+    return times[where] > 1
+
+
+def _equal_lines(w: Words, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The text of each line that equals an earlier line of it: those alike by hash, compared whole."""
+    alike = np.flatnonzero(_twice(hash_spans(w.x, start, end) ^ (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
+    seen: set[tuple[int, bytes]] = set()
+    out = []
+    for k in alike.tolist():
+        line = int(doc[k]), w.x[start[k] : end[k]].tobytes()
+        if line in seen:
+            out.append(line[0])
+        seen.add(line)
+    return np.array(out, np.int64)
+
+
 def text_stats(texts: pd.Series) -> pd.DataFrame:
     parts = []
     for at in range(0, len(texts), 256):  # few texts are bytes at once

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-_inverse = pow(_BASE, -1, 1 << 64)
-
+_SPAN = 64  # bytes of a string up to which many are hashed at once
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [0xFFFFFFFFFFFFFFFF], np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -24,15 +23,30 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, kept and doubled."""
-    if len(_powers[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for k, base in enumerate((_BASE, _inverse)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+def hash_spans(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits for each byte string x[start:end], alike for equal ones.
+
+    No polynomial: two lanes take in eight bytes at a time, each with its own constants, and only what
+    both make is seen, so that no byte string can be worked out that meets another. Strings over
+    _SPAN bytes are hashed by BLAKE2b.
+    """
+    size = end - start
+    padded = np.concatenate((x, np.zeros(8, np.uint8)))
+    eights = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    a = np.full(len(size), 0x243F6A8885A308D3, np.uint64) ^ size.astype(np.uint64)
+    b = np.full(len(size), 0x13198A2E03707344, np.uint64)
+    for k in range(_SPAN // 8):
+        more = np.flatnonzero(size > 8 * k) if k else slice(None)
+        at, left = start[more] + 8 * k, size[more] - 8 * k
+        if k and not len(at):
+            break
+        word = eights[np.minimum(at, len(eights) - 1)] & _MASK[np.clip(left, 0, 8)]
+        a[more] = mix(a[more] * np.uint64(0xA0761D6478BD642F) + word)
+        b[more] = mix((b[more] ^ word) * np.uint64(0xE7037ED1A0B428DB))
+    out = mix(a + (b << np.uint64(32) | b >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93))
+    for k in np.flatnonzero(size > _SPAN):
+        out[k] = int.from_bytes(blake2b(x[start[k] : end[k]], digest_size=8).digest(), "little")
+    return out
 
 
 @dataclass
@@ -45,13 +59,11 @@ class Words:
     end: np.ndarray
     doc: np.ndarray
     hash: np.ndarray
-    _prefix: np.ndarray
-    _back: np.ndarray
 
-    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Equal for equal byte strings; the length is part of it."""
-        h = (self._prefix[end] - self._prefix[start]) * self._back[start]
-        return mix(h ^ ((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    def ids(self, at: np.ndarray) -> np.ndarray:
+        """Numbers of the words ``at``, equal for equal words alone."""
+        number: dict[bytes, int] = {}
+        return np.array([number.setdefault(self.x[a:b].tobytes(), len(number)) for a, b in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)], np.int64)
 
     def shingles(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first word, hash) of every run of ``n`` words within a text."""
@@ -70,17 +82,12 @@ def split_words(texts: list[bytes]) -> Words:
     first = np.concatenate(([0], np.cumsum(sizes)))
     x = np.frombuffer(b"\n".join([*texts, b""]), np.uint8) if texts else np.zeros(0, np.uint8)
     n = len(x)
-    power, back = _power_tables(n + 1)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum((x.astype(np.uint64) + np.uint64(1)) * power[:n], out=prefix[1:])
     word = np.zeros(n + 2, np.int8)
     word[1:-1] = ~_SPACE[x]
     edge = np.diff(word)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     doc = np.searchsorted(first, start, "right") - 1
-    out = Words(x, first, start, end, doc, np.zeros(0, np.uint64), prefix, back)
-    out.hash = out.span_hash(start, end)
-    return out
+    return Words(x, first, start, end, doc, hash_spans(x, start, end))
 
 
 def text_slices(sizes: list[int], most: int = 1 << 20) -> Iterator[slice]:
