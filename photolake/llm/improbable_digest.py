@@ -17,17 +17,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import fresh
+from .words import text_slices
 
 WINDOW, SPAN, VOTES = 32, 32, 8
 BITS, HASHES, PER_FILTER = 2048, 5, 160
 TYPICAL_BITS = 3.7  # entropy of a window of running text
 DULL_BITS = 1.0  # below, a window tells nothing
 
+_BLOCK = 1 << 20  # bytes looked at together
 _UNIT = 1 << 16
 _counts = np.arange(WINDOW + 2, dtype=np.float64)
 _CLOGC = np.rint(np.where(_counts > 0, _counts * np.log2(np.maximum(_counts, 1)), 0) * _UNIT).astype(np.int32)
@@ -60,14 +63,9 @@ def rarity(sums: np.ndarray) -> np.ndarray:
     return (np.where(dull, rank + 8 * _UNIT, rank) >> 6).astype(np.int64)
 
 
-def fingerprints(texts: list[bytes]) -> list[np.ndarray]:
-    """One array of filters, uint8 of shape (filters, BITS / 8), for each text."""
-    gap = SPAN + WINDOW
-    sizes = np.array([max(len(t), WINDOW) if t else 0 for t in texts], np.int64)
-    starts = np.cumsum(sizes + gap) - (sizes + gap)
-    x = np.zeros(int((sizes + gap).sum()) + gap, np.uint8)
-    for t, at in zip(texts, starts.tolist(), strict=True):
-        x[at : at + len(t)] = np.frombuffer(t, np.uint8)
+def _chosen(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of the windows that win VOTES spans of a text x[starts[k]:starts[k] + sizes[k]]; texts
+    are SPAN + WINDOW bytes apart."""
     rank = rarity(window_sums(x))
     edge = np.zeros(len(rank) + 1, np.int8)
     full = np.flatnonzero(sizes)
@@ -83,23 +81,55 @@ def fingerprints(texts: list[bytes]) -> list[np.ndarray]:
     # the first minimum of a sliding span never moves back, so its votes are run lengths
     change = np.flatnonzero(np.diff(best, prepend=-1))
     votes = np.diff(change, append=len(best))
-    chosen = best[change[(votes >= VOTES) & (best[change] < never)]] & ((1 << 34) - 1)
-    windows = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[chosen]
-    words = np.ascontiguousarray(windows).view("<u8")
+    return best[change[(votes >= VOTES) & (best[change] < never)]] & ((1 << 34) - 1)
+
+
+def _hashes(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(x, WINDOW)[chosen]).view("<u8")
     h = np.zeros(len(chosen), np.uint64)
     for k in range(words.shape[1]):
         h = (h ^ words[:, k]) * _MULTIPLIERS[k % 4]
         h ^= h >> np.uint64(29)
     h *= _MULTIPLIERS[0]
-    h ^= h >> np.uint64(32)
-    doc = np.searchsorted(starts, chosen, "right") - 1
-    # each feature once in a text, in order of its first place
+    return h ^ (h >> np.uint64(32))
+
+
+def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) of every window chosen, in order of place."""
+    gap = SPAN + WINDOW
+    sizes = np.array([max(len(t), WINDOW) if t else 0 for t in texts], np.int64)
+    starts = np.cumsum(sizes + gap) - (sizes + gap)
+    x = np.zeros(int((sizes + gap).sum()) + gap, np.uint8)
+    for t, at in zip(texts, starts.tolist(), strict=True):
+        x[at : at + len(t)] = np.frombuffer(t, np.uint8)
+    chosen = _chosen(x, starts, sizes)
+    return np.searchsorted(starts, chosen, "right") - 1, _hashes(x, chosen)
+
+
+def _long_features(text: bytes, block: int) -> np.ndarray:
+    """The features of one text of any length. A piece has the bytes that the spans of its own windows
+    reach on both sides, so every window gets its votes in one piece."""
+    out = []
+    windows = len(text) - WINDOW + 1
+    for a in range(0, windows, block):
+        b, left = min(a + block, windows), max(a - SPAN + 1, 0)
+        piece = np.frombuffer(text, np.uint8)[left : b + SPAN - 1 + WINDOW - 1]
+        x = np.concatenate((piece, np.zeros(SPAN + 2 * WINDOW, np.uint8)))
+        chosen = _chosen(x, np.array([0]), np.array([len(piece)]))
+        h = _hashes(x, chosen[(chosen + left >= a) & (chosen + left < b)])
+        _, first = np.unique(h, return_index=True)
+        out.append(h[np.sort(first)])
+    return np.concatenate(out)
+
+
+def _filters(doc: np.ndarray, h: np.ndarray, texts: int) -> list[np.ndarray]:
+    """Each feature once in a text, in order of its first place, in chained filters."""
     order = np.lexsort((np.arange(len(h)), h, doc))
     new = np.ones(len(h), bool)
     new[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
     keep = np.sort(order[new])
     h, doc = h[keep], doc[keep]
-    per = np.bincount(doc, minlength=len(texts))
+    per = np.bincount(doc, minlength=texts)
     place = np.arange(len(h)) - (np.cumsum(per) - per)[doc]
     filters = -(-per // PER_FILTER)
     base = np.cumsum(filters) - filters
@@ -111,6 +141,20 @@ def fingerprints(texts: list[bytes]) -> list[np.ndarray]:
     return [packed[a : a + n] for a, n in zip(base.tolist(), filters.tolist(), strict=True)]
 
 
+def fingerprints(texts: list[bytes], block: int = _BLOCK) -> list[np.ndarray]:
+    """One array of filters, uint8 of shape (filters, BITS / 8), for each text. No more than about
+    ``block`` bytes are looked at together; a longer text is looked at in pieces."""
+    out = []
+    for s in text_slices([len(t) for t in texts], block):
+        some = texts[s]
+        if len(some) == 1 and len(some[0]) > block:
+            h = _long_features(some[0], block)
+            out += _filters(np.zeros(len(h), np.int64), h, 1)
+        else:
+            out += _filters(*_features(some), len(some))
+    return out
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """0 to 1: each filter of the shorter chain against its best partner, weighted by set bits."""
     if not len(a) or not len(b):
@@ -149,16 +193,17 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in _slices(batch):
+            for some in _slices(batch, batch.schema.names[-1]):
                 prints = [to_string(p) for p in fingerprints(some.column(some.num_columns - 1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(prints, pa.string())], [*some.schema.names[:-1], "fingerprint"])
 
     return rest.withColumn(body, F.coalesce("text", F.lit("")).cast("binary")).mapInArrow(run, schema)
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts have about _BLOCK bytes together; a larger text stands alone."""
+    for s in text_slices(pc.binary_length(batch[column]).to_pylist(), _BLOCK):
+        yield batch.slice(s.start, s.stop - s.start)
 
 
 NEIGHBOURS = (
@@ -225,7 +270,7 @@ def neighbour_report(docs: DataFrame) -> DataFrame:
 
         held: tuple | None = None  # bucket, guard, doc_id, text, fingerprint of the last row
         for batch in batches:
-            for some in _slices(batch):
+            for some in _slices(batch, "text"):
                 bodies = some["text"].to_pylist()
                 rows = list(
                     zip(some["bucket"].to_pylist(), some["guard"].to_pylist(), some["doc_id"].to_pylist(), bodies, fingerprints([t.encode() for t in bodies]), strict=True)

@@ -82,3 +82,27 @@ def test_one_and_no_document(spark):
     schema = "doc_id long, text string"
     assert im.neighbour_report(spark.createDataFrame([], schema)).count() == 0
     assert im.neighbour_report(spark.createDataFrame([(1, "ab cd ef gh")], schema)).head().near_next == 1.0
+
+
+def test_pieces_of_a_text_have_the_features_of_the_whole():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(n)).encode() for n in (2, 40, 400, 3000)] + [b"", b"short", b"z" * 500 + b" end of it and more"]
+    whole = im.fingerprints(texts, 1 << 20)
+    for block in (33, 100, 1000, 7777):
+        for a, b in zip(whole, im.fingerprints(texts, block), strict=True):
+            assert a.shape == b.shape and (a == b).all()
+
+
+def test_memory_does_not_grow_with_the_batch():
+    import tracemalloc
+
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(1 << 20)).encode()
+    tracemalloc.start()
+    im.fingerprints([text[:1_000_000]] * 2)
+    small = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    im.fingerprints([text, text[:3_000_000], text[:1_000_000]])
+    assert tracemalloc.get_traced_memory()[1] < 2.5 * small
+    tracemalloc.stop()
