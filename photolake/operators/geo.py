@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cut import settle
+from ..functions.cut import sent, settle
 
 KM_PER_DEGREE = 111.32
 COUNTRY_NEAR_KM, REGION_NEAR_KM = 25.0, 3.0
@@ -78,11 +78,6 @@ def dequantise(x: Column, scale: Column, translate: Column) -> Column:
     return x * scale + translate
 
 
-def sent(table: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """``table``, which is settled, marked to be broadcast if it has at most ``most`` rows."""
-    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
-
-
 @dataclass(frozen=True)
 class Boundaries:
     """Polygons of any number of sets, ready to be asked by points. Every table is settled.

@@ -7,18 +7,79 @@ for each picture or box. Resampling is defined here: box means while halving, bi
 
 from __future__ import annotations
 
+import struct
+import zlib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cut import settle
+from ..functions.cut import sent, settle
 from ..functions.numbers import rnd
 
 ALPHA_CONTENT, ALPHA_OPAQUE, TOLERANCE = 64, 250, 24
 SPECK_EXTENT, SPECK_MASS = 0.005, 0.005
 _RGB, _RGBA = ("r", "g", "b"), ("r", "g", "b", "a")
 _SIZE = ["image_id", "width", "height"]
+SCAN, ALPHA_SCAN = 1400, 256  # longest side of the copies that content and alpha are looked for in
+TILE = 64
+
+
+def from_rasters(rasters: DataFrame) -> DataFrame:
+    """Decoded pictures (image_id, width, height, channels 1, 3 or 4, data as the image source gives it:
+    rows of blue, green, red, alpha) to pixels. A picture becomes its rows first, so that no pixel
+    carries more than a row's bytes."""
+    line = F.col("width") * F.col("channels")
+    rows = rasters.select(*_SIZE, "channels", "data", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
+    rows = rows.select(*_SIZE, "channels", "y", F.hex(F.substring("data", F.col("y") * line + 1, line)).alias("line"))
+    each = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
+    grey = F.col("channels") == 1
+
+    def channel(k: int, name: str) -> Column:
+        at = (F.col("x") * F.col("channels") + F.when(grey, 0).otherwise(k)) * 2 + 1
+        return F.conv(F.substring("line", at, F.lit(2)), 16, 10).cast("int").alias(name)
+
+    alpha = F.when(F.col("channels") == 4, channel(3, "a")).otherwise(255).alias("a")
+    return each.select(*_SIZE, "x", "y", channel(2, "r"), channel(1, "g"), channel(0, "b"), alpha)
+
+
+def to_png(pixels: DataFrame) -> DataFrame:
+    """(image_id, content): each picture as the bytes of a PNG file, eight bits for red, green, blue and
+    alpha. A file is one row, so its picture's rows meet in one."""
+    octet = lambda c: F.lpad(F.hex(F.col(c)), 2, "0")
+    dots = pixels.groupBy(*_SIZE, "y").agg(F.array_sort(F.collect_list(F.struct("x", F.concat(*map(octet, _RGBA)).alias("h")))).alias("p"))
+    lines = dots.select(*_SIZE, "y", F.unhex(F.concat(F.lit("00"), F.array_join("p.h", ""))).alias("line"))
+    whole = lines.groupBy(*_SIZE).agg(F.array_sort(F.collect_list(F.struct("y", "line"))).alias("p"))
+
+    @F.pandas_udf("binary")
+    def png(width: pd.Series, height: pd.Series, lines: pd.Series) -> pd.Series:
+        def chunk(kind: bytes, data: bytes) -> bytes:
+            return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+        def one(w: int, h: int, lines) -> bytes:
+            head = chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0))
+            return b"\x89PNG\r\n\x1a\n" + head + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
+
+        return pd.Series([one(*x) for x in zip(width, height, lines, strict=True)])
+
+    return whole.select("image_id", png("width", "height", F.col("p.line")).alias("content"))
+
+
+def scan_copy(pixels: DataFrame, longest: int) -> DataFrame:
+    """Pictures whose longer side is more than ``longest`` at that size, all others as they are."""
+    longer = F.greatest("width", "height")
+    large = pixels.filter(longer > longest)
+    side = lambda c: F.greatest(F.lit(1).cast("long"), rnd(F.col(c) * (F.lit(longest) / longer))).alias(f"out_{c[0]}")
+    sizes = settle(large.select(*_SIZE).distinct().select("image_id", side("width"), side("height")))
+    whole = pixels.filter(longer <= longest)
+    if not sizes.limit(1).count():
+        return whole
+    typed = [F.col(c).cast(dict(pixels.dtypes)[c]).alias(c) for c in pixels.columns]
+    return whole.unionByName(resize(large, sizes).select(*typed))
 
 
 def has_alpha(pixels: DataFrame) -> DataFrame:
@@ -40,34 +101,83 @@ def background_colour(pixels: DataFrame) -> DataFrame:
     return median.groupBy("image_id").agg(*[least(c) for c in _RGB])
 
 
-def content_mask(pixels: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+def _about(pixels: DataFrame) -> DataFrame:
+    """(image_id, by_alpha, bg_r, bg_g, bg_b), a row a picture: whether over a fiftieth of it is
+    transparent, and its background."""
+    clear = F.sum((F.col("a") < ALPHA_CONTENT).cast("long")) > F.count(F.lit(1)) / 50
+    return pixels.groupBy("image_id").agg(clear.alias("by_alpha")).join(background_colour(pixels), "image_id")
+
+
+def content_mask(pixels: DataFrame, tolerance: int = TOLERANCE, about: DataFrame | None = None) -> DataFrame:
     """(image_id, width, height, x, y) of content: by alpha if over a fiftieth of the picture is
     transparent, else by distance from the background too."""
-    clear = F.sum((F.col("a") < ALPHA_CONTENT).cast("long")) > F.count(F.lit(1)) / 50
-    about = pixels.groupBy("image_id").agg(clear.alias("by_alpha")).join(background_colour(pixels), "image_id")
+    about = sent(settle(_about(pixels))) if about is None else about
     away = reduce(lambda a, b: a + b, ((F.col(c) - F.col(f"bg_{c}")) * (F.col(c) - F.col(f"bg_{c}")) for c in _RGB))
     content = (F.col("a") >= ALPHA_CONTENT) & (F.col("by_alpha") | (away > 3 * tolerance * tolerance))
     return pixels.join(about, "image_id").filter(content).select(*_SIZE, "x", "y")
 
 
-def content_blobs(mask: DataFrame) -> DataFrame:
+_PARTS = "long, y0 long, x1 long, y1 long, n long, rim array<struct<x long, y long>>"
+
+
+def _tile_parts(keys: np.ndarray, x: np.ndarray, y: np.ndarray, tile: int) -> tuple[np.ndarray, ...]:
+    """(first pixel of each part, its box and pixels; part of each pixel) of the 8-connected parts of
+    tiles, given by their content's ``keys`` (equal in a tile), x and y, in that order and by y and x."""
+    last = np.diff(x, append=x[-1:] - 2) != 1
+    last |= (np.diff(y, append=-1) != 0) | (np.diff(keys, append=-1) != 0)
+    ends = np.flatnonzero(last)
+    run = np.concatenate(([0], np.cumsum(last)[:-1]))  # of each pixel
+    begin = np.concatenate(([0], ends[:-1] + 1))
+    key, row, left, right = keys[begin], y[begin], x[begin], x[ends]
+    # a run touches those of the row above whose ends are in reach: a stretch of runs, in order
+    line = key * (2 * tile + 2) + row % tile  # lines of a tile are neighbours, others are apart
+    wide = np.int64(tile + 3)
+    a = np.searchsorted(line * wide + right % tile + 1, (line - 1) * wide + left % tile, "left")
+    b = np.searchsorted(line * wide + left % tile + 1, (line - 1) * wide + right % tile + 2, "right")
+    many = np.maximum(b - a, 0)
+    one = np.repeat(np.arange(len(begin)), many)
+    two = np.repeat(a - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    label = np.arange(len(begin))
+    while True:
+        low = np.minimum(label[one], label[two])
+        new = label.copy()
+        for side in (one, two):
+            np.minimum.at(new, label[side], low)
+            np.minimum.at(new, side, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    heads, part = np.unique(label, return_inverse=True)
+    n = len(heads)
+    x0, x1, y1 = np.full(n, np.iinfo(np.int64).max), np.full(n, -1), np.full(n, -1)
+    np.minimum.at(x0, part, left)
+    np.maximum.at(x1, part, right)
+    np.maximum.at(y1, part, row)
+    size = np.bincount(part, right - left + 1, n).astype(np.int64)
+    return begin[heads], x0, row[heads], x1, y1, size, part[run]
+
+
+def content_blobs(mask: DataFrame, tile: int = TILE) -> DataFrame:
     """(image_id, width, height, x0, y0, x1, y1, n) of the 8-connected components.
 
-    Runs of a row are the nodes, those of neighbouring rows that touch are the links, and the least
-    run spreads over the links, with a jump to the label's own label, until nothing changes.
+    Tiles of ``tile`` pixels a side are labelled on their own, all of a batch at once; then the least
+    part spreads over the links between pixels on both sides of tiles' borders, until nothing
+    changes. Pictures of one tile have no such links.
     """
-    row = Window.partitionBy("image_id", "y").orderBy("x")
-    runs = mask.withColumn("run", F.col("x") - F.row_number().over(row)).groupBy(*_SIZE, "y", "run")
-    runs = runs.agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    runs = settle(runs.select(*_SIZE, "y", "x0", "x1", F.struct("y", "x0").alias("node")))
-    above = runs.select("image_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("node").alias("other"))
-    touch = (F.col("x0") <= F.col("u1") + 1) & (F.col("u0") <= F.col("x1") + 1)
-    links = runs.join(above, ["image_id", "y"]).filter(touch).select("image_id", "node", "other")
+    parts = settle(_tiles(mask, tile))
+    rims = parts.select("image_id", "node", F.explode("rim").alias("p")).select("image_id", "node", "p.x", "p.y")
+    ahead = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (1, 1), (0, 1), (-1, 1))]))
+    asked = rims.withColumn("d", ahead).select("image_id", F.col("node").alias("other"), (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"))
+    links = rims.join(asked, ["image_id", "x", "y"]).filter("node <> other").select("image_id", "node", "other").distinct()
     links = settle(links.unionByName(links.select("image_id", F.col("other").alias("node"), F.col("node").alias("other"))))
-    labels = runs.select("image_id", "node", F.col("node").alias("label"))
+    merge = lambda rows, *keys: rows.groupBy(*_SIZE, *keys).agg(*[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"), (F.sum, "n"))])
+    if not links.limit(1).count():
+        return parts.select(*_SIZE, "x0", "y0", "x1", "y1", "n")
+    labels = links.select("image_id", "node", F.col("node").alias("label")).distinct()
     while True:
         told = links.join(labels.select("image_id", F.col("node").alias("other"), "label"), ["image_id", "other"]).groupBy("image_id", "node").agg(F.min("label").alias("near"))
-        new = labels.join(told, ["image_id", "node"], "left").withColumn("new", F.least("label", F.coalesce("near", "label")))
+        new = labels.join(told, ["image_id", "node"]).withColumn("new", F.least("label", "near"))
         jump = new.select(F.col("image_id").alias("jump_image"), F.col("node").alias("at"), F.col("new").alias("beyond"))
         hop = (F.col("image_id") == F.col("jump_image")) & (F.col("new") == F.col("at"))
         new = settle(new.join(jump, hop).select("image_id", "node", "label", F.least("new", "beyond").alias("new")))
@@ -75,15 +185,62 @@ def content_blobs(mask: DataFrame) -> DataFrame:
         labels = new.select("image_id", "node", F.col("new").alias("label"))
         if not moved:
             break
-    whole = runs.join(labels, ["image_id", "node"]).groupBy(*_SIZE, "label")
-    return whole.agg(
-        F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), F.max("y").alias("y1"), F.sum(F.col("x1") - F.col("x0") + 1).alias("n")
-    ).drop("label")
-
-
-def content_bounds(blobs: DataFrame, scale: float = 1.0) -> DataFrame:
+    return merge(parts.join(labels, ["image_id", "node"], "left").withColumn("label", F.coalesce("label", "node")), "label").drop("label")
+
+
+def _tiles(mask: DataFrame, tile: int) -> DataFrame:
+    """(image_id, width, height, node, x0, y0, x1, y1, n, rim): the parts within tiles. node is a part's
+    first pixel; rim has its pixels that lie at another tile."""
+    kind = dict(mask.dtypes)["image_id"]
+    cell = lambda c: F.floor(F.col(c) / tile)
+    dealt = mask.select("image_id", *[F.col(c).cast("long").alias(c) for c in ("width", "height", "x", "y")]).withColumns({"ty": cell("y"), "tx": cell("x")})
+    order = ["image_id", "ty", "tx"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            keys = _tile_keys(table)
+            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last tile may go on
+            if cut:
+                yield parts(table.slice(0, cut), keys[:cut])
+            held = table.slice(cut)
+        if held is not None and held.num_rows:
+            yield parts(held, _tile_keys(held))
+
+    def parts(table: pa.Table, keys: np.ndarray) -> pa.RecordBatch:
+        x, y, w, h = (table[c].to_numpy() for c in ("x", "y", "width", "height"))
+        first, x0, y0, x1, y1, n, part = _tile_parts(keys, x, y, tile)
+        edge = ((x % tile == 0) & (x > 0)) | ((x % tile == tile - 1) & (x < w - 1)) | ((y % tile == 0) & (y > 0)) | ((y % tile == tile - 1) & (y < h - 1))
+        at = np.flatnonzero(edge)
+        at = at[np.argsort(part[at], kind="stable")]
+        ends = np.concatenate(([0], np.cumsum(np.bincount(part[at], minlength=len(first))))).astype(np.int32)
+        rim = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(x[at]), pa.array(y[at])], ["x", "y"]))
+        whose = table.take(pa.array(first)).combine_chunks()
+        node = pa.array(y[first] << 31 | x[first])
+        flat = [whose[c].combine_chunks() for c in _SIZE]
+        return pa.RecordBatch.from_arrays([*flat, node, *map(pa.array, (x0, y0, x1, y1, n)), rim], [*_SIZE, "node", "x0", "y0", "x1", "y1", "n", "rim"])
+
+    return dealt.repartition(*order).sortWithinPartitions(*order, "y", "x").mapInArrow(run, f"image_id {kind}, width long, height long, node long, x0 {_PARTS}")
+
+
+def _tile_keys(table: pa.Table) -> np.ndarray:
+    """Numbers from 0 up, one for each tile, of rows that are in order of tiles."""
+    if not table.num_rows:
+        return np.zeros(0, np.int64)
+    codes = [table[c].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False) for c in ("image_id", "ty", "tx")]
+    return np.cumsum(reduce(np.logical_or, (np.diff(c, prepend=c[0]) != 0 for c in codes))).astype(np.int64)
+
+
+def content_bounds(blobs: DataFrame, sources: DataFrame | None = None, longest: int = SCAN) -> DataFrame:
     """(image_id, content, blobs, box_x, box_y, box_w, box_h): the box of all blobs but specks, or of
-    all if all are specks, brought outward by ``scale``. Pictures without content have no row."""
+    all if all are specks. Pictures without content have no row.
+
+    ``sources`` (image_id, source_w, source_h): the pictures that the blobs' ones are scan copies of;
+    boxes are brought outward to their pixels.
+    """
     mass = blobs.groupBy("image_id").agg(F.sum("n").alias("content"))
     extent = F.greatest(F.lit(2).cast("long"), rnd(SPECK_EXTENT * F.greatest("width", "height")))
     speck = (F.col("x1") - F.col("x0") < extent) & (F.col("y1") - F.col("y0") < extent) & (F.col("n") <= F.col("content") * SPECK_MASS)
@@ -93,19 +250,30 @@ def content_bounds(blobs: DataFrame, scale: float = 1.0) -> DataFrame:
         return F.coalesce(f(F.when(~F.col("speck"), F.col(c))), f(c))
 
     boxes = told.groupBy("image_id", "content").agg(
-        F.count(F.lit(1)).alias("blobs"),
-        F.floor(edge(F.min, "x0") / scale).alias("box_x"), F.floor(edge(F.min, "y0") / scale).alias("box_y"),
-        F.ceil((edge(F.max, "x1") + 1) / scale).alias("right"), F.ceil((edge(F.max, "y1") + 1) / scale).alias("bottom"),
+        F.count(F.lit(1)).alias("blobs"), edge(F.min, "x0").alias("x0"), edge(F.min, "y0").alias("y0"), (edge(F.max, "x1") + 1).alias("x1"), (edge(F.max, "y1") + 1).alias("y1"),
     )
+    if sources is not None:
+        back = F.lit(1.0) / F.least(F.lit(1.0), F.lit(longest) / F.greatest("source_w", "source_h"))
+        low = lambda c: F.floor(F.col(c) * back)
+        high = lambda c, side: F.least(F.ceil(F.col(c) * back), F.col(side).cast("long"))
+        boxes = boxes.join(sources, "image_id").withColumns({"x0": low("x0"), "y0": low("y0"), "x1": high("x1", "source_w"), "y1": high("y1", "source_h")}).drop("source_w", "source_h")
     at_least = lambda c: F.greatest(F.lit(1).cast("long"), c)
-    return boxes.withColumns({"box_w": at_least(F.col("right") - F.col("box_x")), "box_h": at_least(F.col("bottom") - F.col("box_y"))}).drop("right", "bottom")
+    named = {"box_x": F.col("x0").cast("long"), "box_y": F.col("y0").cast("long"), "box_w": at_least(F.col("x1") - F.col("x0")), "box_h": at_least(F.col("y1") - F.col("y0"))}
+    return boxes.withColumns(named).drop("x0", "y0", "x1", "y1")
 
 
-def analyse(pixels: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
-    """One row a picture: has_alpha, background, content (pixels), blobs and the content box; no
-    content is 0 pixels, 0 blobs and no box."""
-    bounds = content_bounds(content_blobs(content_mask(pixels, tolerance)))
-    told = has_alpha(pixels).join(background_colour(pixels), "image_id").join(bounds, "image_id", "left")
+def analyse(pixels: DataFrame, tolerance: int = TOLERANCE, longest: int = SCAN, alpha_longest: int = ALPHA_SCAN) -> DataFrame:
+    """One row a picture: has_alpha, background, content (pixels of the scan copy), blobs and the
+    content box in the picture's own pixels; no content is 0 pixels, 0 blobs and no box.
+
+    Content is looked for in a copy of at most ``longest`` pixels a side, alpha in one of
+    ``alpha_longest``.
+    """
+    copy = scan_copy(pixels, longest)
+    about = sent(settle(_about(copy)))
+    sources = pixels.select("image_id", F.col("width").alias("source_w"), F.col("height").alias("source_h")).distinct()
+    bounds = content_bounds(content_blobs(content_mask(copy, tolerance, about)), sources, longest)
+    told = has_alpha(scan_copy(pixels, alpha_longest)).join(about.drop("by_alpha"), "image_id").join(bounds, "image_id", "left")
     zero = F.lit(0).cast("long")
     return told.withColumns({"content": F.coalesce("content", zero), "blobs": F.coalesce("blobs", zero)})
 
@@ -201,25 +369,38 @@ def flatten(pixels: DataFrame, fills: DataFrame, white: Column | None = None) ->
     return both.select(*_SIZE, "x", "y", *[on(k, c) for k, c in enumerate(_RGB)], F.when(F.col("fill").isNull(), F.col("a")).otherwise(255).alias("a"))
 
 
+def _spans(boxes: DataFrame, *fields: str) -> DataFrame:
+    """(image_id, y, spans): for each row of pixels the boxes (image_id, bx, by, bw, bh, fields) that
+    cross it, in order of ``fields``. Settled, and broadcast while there are few."""
+    rows = boxes.filter("bw > 0 and bh > 0").withColumn("y", F.explode(F.sequence(F.col("by"), F.col("by") + F.col("bh") - 1)))
+    return sent(settle(rows.groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct(*fields, "bx", "by", "bw", "bh"))).alias("spans"))))
+
+
+def _covering() -> Column:
+    """Those of a row's ``spans`` that cover x, in order; null where the row has none."""
+    return F.filter("spans", lambda s: F.col("x").between(s["bx"], s["bx"] + s["bw"] - 1))
+
+
 def paint_boxes(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     """Solid rectangles (image_id, ord, bx, by, bw, bh, fill) in output pixels; the last that covers a
-    pixel shows. A box becomes its rows, and those meet the pixels' rows by key."""
-    rows = boxes.filter("bw > 0 and bh > 0").withColumn("y", F.explode(F.sequence(F.col("by"), F.col("by") + F.col("bh") - 1)))
-    each = pixels.join(rows.select("image_id", "y", "ord", "bx", "bw", "fill"), ["image_id", "y"], "left")
-    covers = F.col("x").between(F.col("bx"), F.col("bx") + F.col("bw") - 1)
-    top = each.groupBy(*_SIZE, "x", "y", *_RGBA).agg(F.max_by(F.when(covers, F.col("fill")), F.when(covers, F.col("ord"))).alias("fill"))
+    pixel shows. Pixels meet the boxes of their row and are painted where they are."""
+    each = pixels.join(_spans(boxes, "ord", "fill"), ["image_id", "y"], "left")
+    each = each.withColumn("fill", F.get(F.reverse(_covering()), F.lit(0))["fill"])
     paint = lambda k, c: F.when(F.col("fill").isNull(), F.col(c)).otherwise(_byte_of("fill", k)).cast("int").alias(c)
-    return top.select(*_SIZE, "x", "y", *[paint(k, c) for k, c in enumerate(_RGB)], F.when(F.col("fill").isNull(), F.col("a")).otherwise(255).cast("int").alias("a"))
+    return each.select(*_SIZE, "x", "y", *[paint(k, c) for k, c in enumerate(_RGB)], F.when(F.col("fill").isNull(), F.col("a")).otherwise(255).cast("int").alias("a"))
 
 
 def redact_faces(pixels: DataFrame, regions: DataFrame, style: str = "blur", stencil: DataFrame | None = None) -> DataFrame:
     """Regions (image_id, face_no, bx, by, bw, bh, tw, th) reduced to tw x th and drawn back, blurred or
     in blocks ("pixels"); where they overlap the last shows. ``stencil``: the (image_id, x, y) that may
-    change, or None for all."""
+    change, or None for all. Pixels that no region covers pass by."""
     key = F.struct("image_id", "face_no")
-    met = pixels.join(regions.withColumnRenamed("image_id", "face_image"), F.col("image_id") == F.col("face_image"))
-    inside = F.col("x").between(F.col("bx"), F.col("bx") + F.col("bw") - 1) & F.col("y").between(F.col("by"), F.col("by") + F.col("bh") - 1)
-    parts = met.filter(inside).select(key.alias("image_id"), F.col("bw").alias("width"), F.col("bh").alias("height"), (F.col("x") - F.col("bx")).alias("x"), (F.col("y") - F.col("by")).alias("y"), *_RGBA)
+    met = pixels.join(_spans(regions, "face_no"), ["image_id", "y"], "left").withColumn("faces", F.coalesce(_covering(), F.array())).drop("spans")
+    covered = met.filter(F.size("faces") > 0)
+    parts = covered.withColumn("f", F.explode("faces")).select(
+        F.struct("image_id", F.col("f.face_no").alias("face_no")).alias("image_id"), F.col("f.bw").alias("width"), F.col("f.bh").alias("height"),
+        (F.col("x") - F.col("f.bx")).alias("x"), (F.col("y") - F.col("f.by")).alias("y"), *_RGBA,
+    )
     small = resize(parts, regions.select(key.alias("image_id"), F.col("tw").alias("out_w"), F.col("th").alias("out_h")))
     if style == "blur":
         back = resize(small, regions.select(key.alias("image_id"), F.col("bw").alias("out_w"), F.col("bh").alias("out_h")))
@@ -234,8 +415,9 @@ def redact_faces(pixels: DataFrame, regions: DataFrame, style: str = "blur", ste
     )
     if stencil is not None:
         drawn = drawn.join(stencil, ["image_id", "x", "y"], "left_semi")
-    done = pixels.join(drawn, ["image_id", "x", "y"], "left")
-    return done.select(*_SIZE, "x", "y", *[F.coalesce(f"new.{c}", c).alias(c) for c in _RGBA])
+    done = covered.drop("faces").join(drawn, ["image_id", "x", "y"], "left")
+    done = done.select(*_SIZE, "x", "y", *[F.coalesce(f"new.{c}", c).alias(c) for c in _RGBA])
+    return done.unionByName(met.filter(F.size("faces") == 0).select(*done.columns))
 
 
 def process(pixels: DataFrame, plan: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.paths import work_path
 from ..operators import containers, pixels, planning
-from ..sources import backups
+from ..sources import backups, files
 from . import fixtures as fx
 from .registry import query
 
@@ -172,6 +173,53 @@ def i5(spark, sf_dir):
     return pixels.analyse(pictures(spark, sf_dir)).select("image_id", "has_alpha", "bg_r", "content", "box_x", "box_y", "box_w", "box_h")
 
 
+def picture_files(spark, sf_dir):
+    """The pictures written as PNG files, read by the image source and made pixels again."""
+    path = work_path(spark, "pictures")
+    coded = pixels.to_png(pictures(spark, sf_dir))
+    files.write_files(coded.select(F.concat(F.col("image_id").cast("string"), F.lit(".png")).alias("name"), "content"), path)
+    read = files.read_rasters(spark, path)
+    return pixels.from_rasters(read.withColumn("image_id", F.regexp_extract("origin", r"(\d+)\.png$", 1).cast("long")))
+
+
+@query(
+    "s2_i11_picture_files",
+    f"SELECT image_id, 8 AS width, 8 AS height, x, y, r, r AS g, r AS b, CASE WHEN image_id % 3 = 0 AND x < 4 THEN 0 ELSE 255 END AS a FROM ({fx.PIXELS_DUCK}) px",
+)
+def s2(spark, sf_dir):
+    return picture_files(spark, sf_dir).select("image_id", "width", "height", "x", "y", *"rgba")
+
+
+@query(
+    "s2_i5_scan_copies",
+    f"""WITH px AS (SELECT image_id, x // 2 AS x, y // 2 AS y, floor(avg(r) + 0.5) AS r FROM ({fx.PIXELS_DUCK}) z GROUP BY ALL),
+ edge AS (SELECT image_id, r FROM px WHERE y = 0 UNION ALL SELECT image_id, r FROM px WHERE y = 3 UNION ALL SELECT image_id, r FROM px WHERE x = 0 UNION ALL SELECT image_id, r FROM px WHERE x = 3),
+ bg AS (SELECT image_id, list_sort(list(r))[9] AS bg FROM edge GROUP BY image_id),
+ c AS (SELECT px.image_id, x, y, bg, CASE WHEN px.image_id % 3 = 0 THEN x >= 2 ELSE abs(r - bg) > 24 END AS content FROM px JOIN bg USING (image_id))
+ SELECT image_id, image_id % 3 = 0 AS has_alpha, CAST(bg AS INT) AS bg_r, count(*) FILTER (content) AS content, 2 * min(x) FILTER (content) AS box_x, 2 * min(y) FILTER (content) AS box_y,
+  2 * (max(x) FILTER (content) - min(x) FILTER (content) + 1) AS box_w, 2 * (max(y) FILTER (content) - min(y) FILTER (content) + 1) AS box_h FROM c GROUP BY image_id, bg""",
+)
+def s2_i5(spark, sf_dir):
+    """Content boxes of picture files, found in copies of half their size."""
+    found = pixels.analyse(picture_files(spark, sf_dir), longest=4, alpha_longest=8)
+    return found.select("image_id", "has_alpha", "bg_r", "content", "box_x", "box_y", "box_w", "box_h")
+
+
+@query(
+    "i4_part_labels",
+    f"""WITH RECURSIVE px AS ({fx.PIXELS_DUCK}), edge AS (SELECT image_id, r FROM px WHERE y = 0 UNION ALL SELECT image_id, r FROM px WHERE y = 7 UNION ALL SELECT image_id, r FROM px WHERE x = 0 UNION ALL SELECT image_id, r FROM px WHERE x = 7),
+ bg AS (SELECT image_id, list_sort(list(r))[17] AS bg FROM edge GROUP BY image_id),
+ c AS (SELECT px.image_id, x, y, y * 8 + x AS k FROM px JOIN bg USING (image_id) WHERE CASE WHEN px.image_id % 3 = 0 THEN x >= 4 ELSE abs(r - bg) > 24 END),
+ link AS (SELECT a.image_id, a.k, b.k AS other FROM c a JOIN c b ON a.image_id = b.image_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+ reach AS (SELECT image_id, k, k AS label FROM c UNION SELECT link.image_id, link.other, reach.label FROM reach JOIN link ON link.image_id = reach.image_id AND link.k = reach.k),
+ own AS (SELECT image_id, k, min(label) AS label FROM reach GROUP BY ALL)
+ SELECT image_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, count(*) AS n FROM own JOIN c USING (image_id, k) GROUP BY image_id, label""",
+)
+def i4_parts(spark, sf_dir):
+    """Every component's box and size, labelled in tiles of 3 pixels a side and put together."""
+    return pixels.content_blobs(pixels.content_mask(pictures(spark, sf_dir)), tile=3).select("image_id", "x0", "y0", "x1", "y1", "n")
+
+
 @query("i4_content_blobs")
 def i4(spark, sf_dir):
     """Numbers of 8-connected components; tested against a flood fill."""

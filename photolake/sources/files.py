@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +31,22 @@ def read_rasters(spark: SparkSession, path: str) -> DataFrame:
     return images.select("image.origin", "image.width", "image.height", F.col("image.nChannels").alias("channels"), "image.data")
 
 
+def write_files(files: DataFrame, path: str) -> None:
+    """One file for each row (name, content) below ``path``, any file system that Arrow opens. A task
+    that runs again writes the same files again."""
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch["name"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                with store.open_output_stream(f"{root}/{name}") as out:
+                    out.write(content)
+            yield batch.select(["name"])
+
+    files.select("name", "content").mapInArrow(save, "name string").write.format("noop").mode("overwrite").save()
+
+
 def write_export(exports: DataFrame, path: str) -> None:
     """Exports (file_name, ord, content) as Parquet, the later one of a name alone.
 

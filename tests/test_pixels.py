@@ -52,7 +52,8 @@ def small(p, wide, high):
     return np.floor(np.round(out, 6) + 0.5).astype(int)
 
 
-def test_blobs_equal_flood_fill(spark):
+@pytest.mark.parametrize("tile", [1, 2, 3, 7, 64])
+def test_blobs_equal_flood_fill(spark, tile):
     rng = np.random.default_rng(4)
     masks = {k: rng.random((rng.integers(1, 20), rng.integers(1, 20))) < share for k, share in enumerate((0.1, 0.3, 0.5, 0.7) * 5)}
     spiral = np.zeros((9, 9), bool)
@@ -60,7 +61,7 @@ def test_blobs_equal_flood_fill(spark):
     masks |= {90: spiral, 91: np.zeros((3, 3), bool)}
     rows = [(k, m.shape[1], m.shape[0], int(x), int(y)) for k, m in masks.items() for y, x in np.argwhere(m)]
     got = {k: [] for k in masks}
-    for r in pixels.content_blobs(spark.createDataFrame(rows, "image_id long, width int, height int, x int, y int")).collect():
+    for r in pixels.content_blobs(spark.createDataFrame(rows, "image_id long, width int, height int, x int, y int"), tile).collect():
         got[r.image_id].append((r.x0, r.y0, r.x1, r.y1, r.n))
     assert {k: sorted(v) for k, v in got.items()} == {k: flood(m) for k, m in masks.items()}
 
@@ -129,3 +130,51 @@ def test_no_pictures(spark):
     none = table(spark, {1: np.zeros((1, 1, 4), int)}).limit(0)
     assert pixels.analyse(none).count() == 0
     assert pixels.resize(none, spark.createDataFrame([(1, 2, 2)], "image_id long, out_w int, out_h int")).count() == 0
+
+
+def test_files_and_back(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from photolake.sources import files
+
+    rng = np.random.default_rng(8)
+    made = {k: rng.integers(0, 256, (rng.integers(1, 9), rng.integers(1, 9), 4)) for k in range(5)}
+    coded = pixels.to_png(table(spark, made)).withColumn("name", F.concat(F.col("image_id").cast("string"), F.lit(".png")))
+    files.write_files(coded, str(tmp_path))
+    read = files.read_rasters(spark, str(tmp_path)).withColumn("image_id", F.regexp_extract("origin", r"(\d+)\.png$", 1).cast("long"))
+    got = arrays(pixels.from_rasters(read))
+    assert set(got) == set(made) and all((got[k] == made[k]).all() for k in made)
+    grey = spark.createDataFrame([(1, 3, 2, 1, bytearray([0, 9, 255, 128, 1, 2]))], "image_id long, width int, height int, channels int, data binary")
+    assert arrays(pixels.from_rasters(grey))[1][:, :, 0].tolist() == [[0, 9, 255], [128, 1, 2]]
+
+
+def test_scan_copies_and_boxes_outward(spark):
+    """Content boxes of large pictures come from a copy and never lose a pixel to it."""
+    rng = np.random.default_rng(3)
+    made = {}
+    for k, (h, w) in enumerate([(37, 61), (64, 20), (30, 30), (10, 9)]):
+        p = np.full((h, w, 4), 255)
+        y, x = rng.integers(1, h // 2), rng.integers(1, w // 2)
+        p[y : y + h // 3, x : x + w // 3, :3] = 0
+        made[k] = p
+    rows = {r.image_id: r for r in pixels.analyse(table(spark, made), longest=30).collect()}
+    for k, p in made.items():
+        h, w = p.shape[:2]
+        scale = min(1, 30 / max(h, w))
+        copy = p if scale == 1 else small(p, max(1, int(w * scale + 0.5)), max(1, int(h * scale + 0.5)))
+        ys, xs = np.nonzero(((copy[:, :, :3] - 255) ** 2).sum(2) > 3 * 24 * 24)
+        left, top = int(xs.min() / scale), int(ys.min() / scale)
+        right, bottom = min(w, -int(-(xs.max() + 1) * (1 / scale) // 1)), min(h, -int(-(ys.max() + 1) * (1 / scale) // 1))
+        assert (rows[k].box_x, rows[k].box_y, rows[k].box_w, rows[k].box_h) == (left, top, right - left, bottom - top)
+        dark = np.argwhere(p[:, :, 0] == 0)
+        assert left <= dark[:, 1].min() and right > dark[:, 1].max() and top <= dark[:, 0].min() and bottom > dark[:, 0].max()
+
+
+def test_pixels_outside_all_regions_pass_by(spark):
+    """No join on the picture alone: regions meet the pixels of their rows."""
+    made = {1: np.full((6, 6, 4), 100)}
+    faces = spark.createDataFrame([(1, 0, 1, 1, 2, 2, 1, 1)], "image_id long, face_no int, bx int, by int, bw int, bh int, tw int, th int")
+    out = pixels.redact_faces(table(spark, made), faces)
+    assert (arrays(out)[1] == 100).all()
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "face_image" not in plan
