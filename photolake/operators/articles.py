@@ -5,11 +5,11 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.cut import settle
+from ..functions.cut import sent, settle
 
 #: Letters with marks of the Latin blocks and what is left without them, from Unicode's own tables.
 _MARKED = {chr(c): b for c in range(0xC0, 0x250) if len(b := unicodedata.normalize("NFD", chr(c))[0]) == 1 and b != chr(c)}
@@ -44,15 +44,52 @@ def attach_sources(articles: DataFrame, sources: DataFrame) -> DataFrame:
     return articles.join(listed, "article_id", "left").withColumn("sources", F.coalesce(F.col("s.url"), F.array().cast("array<string>"))).drop("s")
 
 
-def search_all_words(articles: DataFrame, queries: list[tuple[int, str]]) -> DataFrame:
-    """(query_id, article_id) where the article has every word of the query; an empty query has all.
+def _runs(text: Column, *sizes: int) -> Column:
+    """The distinct runs of so many characters. The characters are bound once, by the outer lambda."""
 
-    Queries are a short literal list, folded once; articles are folded once and scanned once.
+    def of(chars: Column) -> Column:
+        def run(n: int) -> Column:
+            return F.transform(chars, lambda c, k: F.concat(c, *[F.get(chars, k + d) for d in range(1, n)]))
+
+        return F.array_distinct(F.filter(F.concat(*map(run, sizes)), lambda g: g.isNotNull()))
+
+    return F.transform(F.array(F.split(text, "")), of)[0]
+
+
+def search_all_words(articles: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, article_id) where the article has every word of the query; an empty or null query has
+    all. ``queries``: query_id, text. An article has a word that is part of one of its own.
+
+    Words are looked for once each, however many queries have them. Postings of the trigrams (or of
+    the word, if it is shorter) that occur in queries lead each word, by its rarest one, to the
+    articles that may have it; those look the word up in their text. A query then starts from its
+    rarest word's articles and asks for its other words only there.
     """
     hay = fold_text(F.concat_ws(" ", "title", "summary", "grp", "body"))
-    table = F.array(*[F.struct(F.lit(k).alias("query_id"), F.filter(F.split(fold_text(F.lit(q)), r"\s+"), lambda w: w != "").alias("words")) for k, q in queries])
-    each = articles.select("article_id", hay.alias("hay")).withColumn("q", F.explode(table))
-    return each.filter(F.forall("q.words", lambda w: F.contains(F.col("hay"), w))).select("q.query_id", "article_id")
+    texts = articles.select("article_id", hay.alias("hay"))
+    words = F.array_distinct(F.filter(F.split(fold_text(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != ""))
+    asked = settle(queries.select("query_id", words.alias("words")))
+    each = asked.select("query_id", F.explode("words").alias("word"))
+    long = F.char_length("word") > 2
+    grams = settle(each.select("word").distinct().select("word", F.explode(F.when(long, _runs(F.col("word"), 3)).otherwise(F.array("word"))).alias("gram")))
+    needed = sent(settle(grams.select("gram").distinct()))
+    short = grams.filter("char_length(gram) < 3").limit(1).count()
+    own = _runs(F.col("hay"), 3, 2, 1) if short else _runs(F.col("hay"), 3)
+    postings = settle(texts.select("article_id", F.explode(own).alias("gram")).join(needed, "gram", "left_semi"))
+    sizes = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = grams.join(sizes, "gram", "left").groupBy("word").agg(F.min_by("gram", F.coalesce("n", F.lit(0))).alias("gram"))
+    maybe = rarest.join(postings, "gram").groupBy("article_id").agg(F.collect_list("word").alias("words"))
+    has = F.filter("words", lambda w: F.contains(F.col("hay"), w))
+    hits = settle(texts.join(maybe, "article_id").select("article_id", F.explode(has).alias("word")))
+
+    found = each.join(hits.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word", "left").groupBy("query_id")
+    lead = found.agg(F.min_by("word", F.coalesce("n", F.lit(0))).alias("word"), F.count(F.lit(1)).alias("words"))
+    start = lead.join(hits, "word")
+    rest = start.filter("words > 1").select("query_id", "article_id", F.col("word").alias("first"), "words").join(each, "query_id").filter("word <> first")
+    whole = rest.join(hits, ["word", "article_id"]).groupBy("query_id", "article_id", "words").agg(F.count(F.lit(1)).alias("met")).filter("met = words - 1")
+    everything = asked.filter(F.size("words") == 0).select("query_id").crossJoin(articles.select("article_id"))  # that is the result
+    columns = ["query_id", "article_id"]
+    return start.filter("words = 1").select(columns).unionByName(whole.select(columns)).unionByName(everything)
 
 
 def group_runs(articles: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,11 @@ FIELDS = [
 ]
 #: Keys that an image header gives even where there is no metadata.
 STRUCTURAL = ["ImageWidth", "ImageHeight", "BitDepth", "ColorType", "Compression", "Filter", "Interlace", "ColorComponents", "Precision"]
+#: Where the preview that is kept in a file begins, and its bytes: told apart, not as tags.
+THUMBNAIL = ["ThumbnailOffset", "ThumbnailLength"]
 LONGEST = 180
+#: Registers of a distinct-count sketch, as a power of two; its standard error is 1.04 / sqrt(2 ** 12), 1.6 %.
+SKETCH_BITS, SKETCH_ERROR = 12, 1.04 / 64
 
 
 def to_text(value: Column) -> Column:
@@ -75,7 +81,7 @@ def camera_field(make: Column, model: Column) -> Column:
 
 
 def report_columns(maps: DataFrame) -> DataFrame:
-    """photo_id, gps, camera, fields (key, label, value, identifying), other_count.
+    """photo_id, gps, camera, fields (key, label, value, identifying), other_count, has_thumbnail.
 
     Column expressions over the map: the first spec of a label that has a value gives its field.
     """
@@ -92,9 +98,10 @@ def report_columns(maps: DataFrame) -> DataFrame:
     ]
     head[0] = F.when(gps.isNotNull(), head[0])
     fields = F.filter(F.array(*head, *rows), lambda f: f.isNotNull() & f["value"].isNotNull())
-    ignored = F.array(*[F.lit(t) for t in ["latitude", "longitude", "Make", "Model", *STRUCTURAL, *(f[0] for f in FIELDS)]])
+    ignored = F.array(*[F.lit(t) for t in ["latitude", "longitude", "Make", "Model", *STRUCTURAL, *THUMBNAIL, *(f[0] for f in FIELDS)]])
     other = F.size(F.filter(F.map_keys("tags"), lambda t: ~F.array_contains(ignored, t)))
-    return maps.select("photo_id", gps.alias("gps"), camera.alias("camera"), fields.alias("fields"), other.alias("other_count"))
+    thumbnail = F.coalesce(F.col("tags")["ThumbnailLength"]["num"] > 0, F.lit(False))
+    return maps.select("photo_id", gps.alias("gps"), camera.alias("camera"), fields.alias("fields"), other.alias("other_count"), thumbnail.alias("has_thumbnail"))
 
 
 def metadata_report(photos: DataFrame, tags: DataFrame) -> DataFrame:
@@ -102,20 +109,39 @@ def metadata_report(photos: DataFrame, tags: DataFrame) -> DataFrame:
     told = report_columns(tag_maps(tags))
     told = told.withColumn("identifying_count", F.size(F.filter("fields", lambda f: f["identifying"])))
     found = photos.select("photo_id").join(told, "photo_id", "left")
-    any_ = (F.coalesce(F.size("fields"), F.lit(0)) > 0) | (F.coalesce("other_count", F.lit(0)) > 0)
-    return found.withColumn("has_any", any_)
+    none = F.lit(False)
+    any_ = (F.coalesce(F.size("fields"), F.lit(0)) > 0) | (F.coalesce("other_count", F.lit(0)) > 0) | F.coalesce("has_thumbnail", none)
+    return found.withColumns({"has_any": any_, "has_thumbnail": F.coalesce("has_thumbnail", none)})
 
 
 def privacy_audit(report: DataFrame, *keys: str) -> DataFrame:
-    """Photos, geotagged photos, photos and fields that could identify someone, per rolled-up keys."""
+    """Photos, geotagged photos, photos and fields that could identify someone, photos that carry a
+    preview of themselves, per rolled-up keys."""
     return report.rollup(*keys).agg(
         F.count(F.lit(1)).alias("photos"),
         F.count_if(F.col("gps").isNotNull()).alias("geotagged"),
         F.count_if(F.coalesce("identifying_count", F.lit(0)) > 0).alias("identifying_photos"),
         F.sum(F.coalesce("identifying_count", F.lit(0))).alias("identifying_fields"),
+        F.count_if("has_thumbnail").alias("thumbnails"),
     )
 
 
+def field_sketches(report: DataFrame, *keys: str) -> DataFrame:
+    """(keys, label, sketch): the photos that carry each field, or a thumbnail, as sketches of distinct
+    counts that can be stored and merged with those of other days, however photos overlap."""
+    thumbnail = F.when(F.col("has_thumbnail"), F.array(F.lit("Thumbnail"))).otherwise(F.array().cast("array<string>"))
+    labels = F.concat(F.coalesce(F.transform("fields", lambda f: f["label"]), F.array().cast("array<string>")), thumbnail)
+    each = report.select("photo_id", *keys, F.explode(labels).alias("label"))
+    return each.groupBy(*keys, "label").agg(F.hll_sketch_agg("photo_id", F.lit(SKETCH_BITS)).alias("sketch"))
+
+
+def merge_sketches(*parts: DataFrame) -> DataFrame:
+    """Sketches of the same keys and label made one, with their estimate of distinct photos."""
+    rows = reduce(DataFrame.unionByName, parts)
+    keys = [c for c in rows.columns if c != "sketch"]
+    return rows.groupBy(*keys).agg(F.hll_union_agg("sketch").alias("sketch")).withColumn("photos", F.hll_sketch_estimate("sketch"))
+
+
 def field_audit(report: DataFrame) -> DataFrame:
     """How many photos carry each field."""
     each = report.select("photo_id", F.explode("fields").alias("f"))

@@ -75,6 +75,7 @@ TAGS = """SELECT photo_id, tag, value FROM (
  UNION ALL SELECT doc_id, 'ImageDescription', text FROM documents WHERE doc_id % 2 = 0
  UNION ALL SELECT doc_id, 'Software', source FROM documents WHERE doc_id % 7 = 0
  UNION ALL SELECT doc_id, 'ImageWidth', '64' FROM documents
+ UNION ALL SELECT doc_id, 'ThumbnailLength', CAST((doc_id % 4)*100 AS VARCHAR(20)) FROM documents WHERE doc_id % 3 = 0
  UNION ALL SELECT doc_id, 'ISO', CAST(n_chars AS VARCHAR(20)) FROM documents WHERE doc_id % 8 = 3) t"""
 
 BOXES = """SELECT l_orderkey AS photo_id, CAST(l_linenumber AS BIGINT)*100000000 + l_partkey*1000 + l_suppkey % 1000 AS ord,

@@ -9,6 +9,7 @@ from ..functions.cut import settle
 from ..functions.paths import work_path
 from ..operators import geo
 from ..sources import boundaries as files
+from ..streaming.photos import append_located
 from . import fixtures as fx
 from .registry import query
 
@@ -96,19 +97,21 @@ def located(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(countries(spark, sf_dir).select("poly_id", F.col("name_id").alias("code"), F.col("name").alias("country")), "poly_id", "left")
 
 
-def refine(at: DataFrame, regions: geo.Boundaries, names: DataFrame, towns: geo.Towns) -> DataFrame:
-    """``at`` (settled; with code) and the region of the country found first, and the nearest town where
-    there is one. ``names``: poly_id and name of regions."""
+def regioned(at: DataFrame, regions: geo.Boundaries, names: DataFrame) -> DataFrame:
+    """The points of ``at`` (settled; with code) that lie in or at a region of the country found first:
+    point_id, lon, lat, code, region. ``names``: poly_id and name of regions."""
     asked = at.filter("code is not null").select("point_id", "lon", "lat", "code", F.concat(F.lit("c"), "code").alias("set_id"))
     hit = geo.locate(asked, regions).filter("poly_id is not null")
-    hit = settle(hit.join(names.select("poly_id", F.col("name").alias("region")), "poly_id").select("point_id", "lon", "lat", "code", "region"))
-    told = hit.select("point_id", "region").join(geo.nearest_place(hit, towns), "point_id", "left")
-    return at.join(told, "point_id", "left")
+    return hit.join(names.select("poly_id", F.col("name").alias("region")), "poly_id").select("point_id", "lon", "lat", "code", "region")
 
 
 def refined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """located() with the region of the country found first, and the nearest town where there is one."""
+    at = settle(located(spark, sf_dir))
+    hit = settle(regioned(at, region_index(spark, sf_dir), region_names(spark, sf_dir)))
     towns = geo.index_towns(fx.view(spark, sf_dir, fx.PLACES), region_grids(spark, sf_dir), MOST_TOWNS)
-    return refine(settle(located(spark, sf_dir)), region_index(spark, sf_dir), region_names(spark, sf_dir), towns)
+    told = hit.select("point_id", "region").join(geo.nearest_place(hit, towns), "point_id", "left")
+    return at.join(told, "point_id", "left")
 
 
 @query("g6_points_in_polygons", f"WITH {_BASE} SELECT point_id, poly_id FROM inside")
@@ -151,12 +154,16 @@ refined AS (SELECT l.*, r.region, t.place, t.place_km FROM located l LEFT JOIN r
 
 @query("g11_refine_region", f"WITH {_REFINED} SELECT point_id, country, region FROM refined")
 def g11(spark, sf_dir):
-    return refined(spark, sf_dir).select("point_id", "country", "region")
+    at = settle(located(spark, sf_dir))
+    hit = regioned(at, region_index(spark, sf_dir), region_names(spark, sf_dir))
+    return at.join(hit.select("point_id", "region"), "point_id", "left").select("point_id", "country", "region")
 
 
 @query("g12_nearest_place", f"WITH {_REFINED} SELECT point_id, place, round(place_km, 6) AS place_km FROM refined WHERE region IS NOT NULL")
 def g12(spark, sf_dir):
-    return refined(spark, sf_dir).filter("region is not null").select("point_id", "place", F.round("place_km", 6).alias("place_km"))
+    hit = settle(regioned(settle(located(spark, sf_dir)), region_index(spark, sf_dir), region_names(spark, sf_dir)))
+    towns = geo.index_towns(fx.view(spark, sf_dir, fx.PLACES), region_grids(spark, sf_dir), MOST_TOWNS)
+    return hit.select("point_id").join(geo.nearest_place(hit, towns), "point_id", "left").select("point_id", "place", F.round("place_km", 6).alias("place_km"))
 
 
 _FIX1 = "concat(CAST(CAST(floor(floor(place_km*10+0.5)/10) AS BIGINT) AS VARCHAR), '.', CAST(CAST(floor(place_km*10+0.5) AS BIGINT) % 10 AS VARCHAR))"
@@ -364,3 +371,17 @@ def g2_files(spark, sf_dir):
     rings = geo.stitch_rings(world["rings"], geo.decode_arcs(world["arcs"]))
     each = rings.select("poly_id", "ring", F.posexplode("points").alias("v", "q"))
     return each.select(F.col("poly_id").cast("long").alias("poly_id"), "ring", F.col("v").cast("long").alias("v"), F.col("q.x").cast("double").alias("x"), F.col("q.y").cast("double").alias("y"))
+
+
+@query("s10_located_stream", f"WITH {_LOCATED} SELECT point_id, country, round(offshore_km, 6) AS offshore_km FROM located")
+def s10(spark, sf_dir):
+    """Events that arrive as files in two lots: the stream stops after the first and is started again."""
+    world, path = world_index(spark, sf_dir), work_path(spark, "stream")
+    rows = points(spark, sf_dir)
+    for lot in (0, 1):
+        rows.filter(F.col("point_id") % 2 == lot).repartition(3).write.mode("append").parquet(f"{path}/in")
+        arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+        append_located(arriving, world, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    names = countries(spark, sf_dir).select("poly_id", F.col("name").alias("country"))
+    found = spark.read.parquet(f"{path}/out").join(names, "poly_id", "left")
+    return found.select("point_id", "country", F.round("offshore_km", 6).alias("offshore_km"))

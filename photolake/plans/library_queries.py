@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import heads, names
+from ..functions.cut import settle
 from ..functions.numbers import format_bytes
 from ..operators import inventory, metadata
 from . import fixtures as fx
@@ -152,12 +153,12 @@ def m2(spark, sf_dir):
 
 
 _SPECS = ", ".join(f"({k}, '{t}', '{label}', {str(i).upper()})" for k, (t, label, i) in enumerate(metadata.FIELDS))
-_IGNORED = ", ".join(f"'{t}'" for t in ["latitude", "longitude", "Make", "Model", *metadata.STRUCTURAL, *(f[0] for f in metadata.FIELDS)])
+_IGNORED = ", ".join(f"'{t}'" for t in ["latitude", "longitude", "Make", "Model", *metadata.STRUCTURAL, *metadata.THUMBNAIL, *(f[0] for f in metadata.FIELDS)])
 _WIDE = f"""{_TEXTED}, specs AS (SELECT * FROM (VALUES {_SPECS}) s(ord, tag, label, identifying)),
  named AS (SELECT photo_id, label, min_by(tag, ord) AS key, min_by(text, ord) AS value, bool_or(identifying) AS identifying FROM tags JOIN specs USING (tag) GROUP BY photo_id, label),
  pv AS (SELECT photo_id, max(CASE WHEN tag = 'Make' THEN text END) AS make, max(CASE WHEN tag = 'Model' THEN text END) AS model,
   max(CASE WHEN tag = 'latitude' THEN TRY_CAST(text AS DOUBLE) END) AS lat, max(CASE WHEN tag = 'longitude' THEN TRY_CAST(text AS DOUBLE) END) AS lon,
-  count(*) FILTER (tag NOT IN ({_IGNORED})) AS other_count FROM tags GROUP BY photo_id),
+  count(*) FILTER (tag NOT IN ({_IGNORED})) AS other_count, coalesce(max(CASE WHEN tag = 'ThumbnailLength' THEN TRY_CAST(text AS DOUBLE) END) > 0, false) AS has_thumbnail FROM tags GROUP BY photo_id),
  cam AS (SELECT *, CASE WHEN starts_with(model, make) THEN model ELSE nullif(concat_ws(' ', make, model), '') END AS camera FROM pv),
  fields AS (SELECT photo_id, key, label, value, identifying FROM named
   UNION ALL SELECT photo_id, 'gps', 'Location', printf('%.6f, %.6f', lat, lon), TRUE FROM cam WHERE lat IS NOT NULL AND lon IS NOT NULL
@@ -189,15 +190,15 @@ def m6(spark, sf_dir):
 
 
 _REPORT = f"""{_WIDE}, {_PHOTOS}, fc AS (SELECT photo_id, count(*) AS n, count(*) FILTER (identifying) AS identifying_count FROM fields GROUP BY photo_id),
- report AS (SELECT p.photo_id, c.camera, c.lat, c.lon, c.other_count, f.identifying_count, f.n FROM photos p LEFT JOIN cam c ON c.photo_id = p.photo_id LEFT JOIN fc f ON f.photo_id = p.photo_id)"""
+ report AS (SELECT p.photo_id, c.camera, c.lat, c.lon, c.other_count, coalesce(c.has_thumbnail, false) AS has_thumbnail, f.identifying_count, f.n FROM photos p LEFT JOIN cam c ON c.photo_id = p.photo_id LEFT JOIN fc f ON f.photo_id = p.photo_id)"""
 
 
-@query("m7_metadata_report", f"WITH {_REPORT} SELECT photo_id, other_count, identifying_count, coalesce(n, 0) AS n_fields, coalesce(n, 0) > 0 OR coalesce(other_count, 0) > 0 AS has_any FROM report")
+@query("m7_metadata_report", f"WITH {_REPORT} SELECT photo_id, other_count, identifying_count, coalesce(n, 0) AS n_fields, has_thumbnail, coalesce(n, 0) > 0 OR coalesce(other_count, 0) > 0 OR has_thumbnail AS has_any FROM report")
 def m7(spark, sf_dir):
-    return reports(spark, sf_dir).select("photo_id", "other_count", "identifying_count", F.coalesce(F.size("fields"), F.lit(0)).alias("n_fields"), "has_any")
+    return reports(spark, sf_dir).select("photo_id", "other_count", "identifying_count", F.coalesce(F.size("fields"), F.lit(0)).alias("n_fields"), "has_thumbnail", "has_any")
 
 
-_AUDIT = "count(*) AS photos, count(*) FILTER (lat IS NOT NULL AND lon IS NOT NULL) AS geotagged, count(*) FILTER (coalesce(identifying_count, 0) > 0) AS identifying_photos, sum(coalesce(identifying_count, 0))::BIGINT AS identifying_fields"
+_AUDIT = "count(*) AS photos, count(*) FILTER (lat IS NOT NULL AND lon IS NOT NULL) AS geotagged, count(*) FILTER (coalesce(identifying_count, 0) > 0) AS identifying_photos, sum(coalesce(identifying_count, 0))::BIGINT AS identifying_fields, count(*) FILTER (has_thumbnail) AS thumbnails"
 
 
 @query(
@@ -210,6 +211,26 @@ def m8(spark, sf_dir):
     return metadata.privacy_audit(reports(spark, sf_dir).join(where, "photo_id", "left"), "country", "camera")
 
 
+@query(
+    "m8_merged_sketches",
+    f"""WITH {_REPORT}, {_LOCATED}, labels AS (SELECT photo_id, label FROM fields UNION ALL SELECT photo_id, 'Thumbnail' FROM report WHERE has_thumbnail)
+ SELECT l.country, report.camera, label, count(*) AS photos, TRUE AS close FROM labels JOIN report USING (photo_id) LEFT JOIN located l ON l.point_id = labels.photo_id GROUP BY ALL""",
+)
+def m8_sketches(spark, sf_dir):
+    """Photos by country, camera and field from the stored sketches of two days that share photos: each
+    estimate is within five standard errors of the exact count beside it."""
+    where = located(spark, sf_dir).select(F.col("point_id").alias("photo_id"), "country")
+    told = settle(reports(spark, sf_dir).join(where, "photo_id", "left"))
+    keys = ["country", "camera"]
+    days = [settle(metadata.field_sketches(told.filter(f"photo_id % 3 <> {k}"), *keys)) for k in (0, 1)]
+    merged = metadata.merge_sketches(*days).withColumnRenamed("photos", "estimate")
+    labels = F.concat(F.transform("fields", lambda f: f["label"]), F.when(F.col("has_thumbnail"), F.array(F.lit("Thumbnail"))).otherwise(F.array().cast("array<string>")))
+    exact = told.select(*keys, F.explode(labels).alias("label")).groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("photos"))
+    same = exact["country"].eqNullSafe(merged["country"]) & exact["camera"].eqNullSafe(merged["camera"]) & (exact["label"] == merged["label"])
+    close = F.abs(F.col("photos") - F.col("estimate")) <= F.greatest(F.lit(1.0), F.col("photos") * (5 * metadata.SKETCH_ERROR))
+    return exact.join(merged, same, "left").select(exact["country"], exact["camera"], exact["label"], "photos", F.coalesce(close, F.lit(False)).alias("close"))
+
+
 @query("m8_field_audit", f"WITH {_WIDE} SELECT label, identifying, count(*) AS photos FROM fields GROUP BY label, identifying")
 def m8_fields(spark, sf_dir):
     return metadata.field_audit(reports(spark, sf_dir))

@@ -420,7 +420,26 @@ _WORDS = ", ".join(f"({k}, '{q}')" for k, q in _ASKED)
  SELECT query_id, article_id FROM q CROSS JOIN h WHERE len(list_filter(words, lambda w: NOT contains(hay, w))) = 0""",
 )
 def k4(spark, sf_dir):
-    return articles.search_all_words(article_rows(spark, sf_dir), _ASKED)
+    return articles.search_all_words(article_rows(spark, sf_dir), spark.createDataFrame(_ASKED, "query_id int, text string"))
+
+
+#: Pieces of parts' names, one or two a query; every fiftieth asks for nothing.
+_PART_QUERIES = """SELECT p_partkey AS query_id, CASE WHEN p_partkey % 50 = 7 THEN ' ' WHEN p_partkey % 3 = 0 THEN substr(p_name, CAST(1 + p_partkey % 4 AS INT), CAST(2 + p_partkey % 4 AS INT))
+ ELSE concat(substr(p_name, 1, CAST(2 + p_partkey % 3 AS INT)), ' ', upper(substr(p_name, CAST(4 + p_partkey % 5 AS INT), 3))) END AS text FROM part"""
+
+
+@query(
+    "k4_search_part_names",
+    f"""WITH {_ARTICLES}, q AS (SELECT query_id, list_filter(string_split_regex({_FOLD.format('text')}, '\\s+'), lambda w: w <> '') AS words FROM ({_PART_QUERIES}) p),
+ h AS (SELECT article_id, {_FOLD.format("concat_ws(' ', title, summary, grp, body)")} AS hay FROM articles),
+ s AS (SELECT words, article_id FROM (SELECT DISTINCT words FROM q) d CROSS JOIN h WHERE len(list_filter(words, lambda w: NOT contains(hay, w))) = 0)
+ SELECT query_id, count(*) AS articles, sum(article_id) AS id_sum, sum(article_id * article_id % 10007) AS id_mix FROM q JOIN s USING (words) GROUP BY query_id""",
+)
+def k4_parts(spark, sf_dir):
+    """As many queries as there are parts, over all articles."""
+    found = articles.search_all_words(article_rows(spark, sf_dir), fx.view(spark, sf_dir, _PART_QUERIES))
+    mix = F.sum(F.col("article_id") * F.col("article_id") % 10007)
+    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("articles"), F.sum("article_id").alias("id_sum"), mix.alias("id_mix"))
 
 
 @query("k5_group_runs", f"WITH {_ARTICLES}, m AS (SELECT *, CASE WHEN lag(grp) OVER w IS NOT DISTINCT FROM grp AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS st FROM articles WINDOW w AS (PARTITION BY lang ORDER BY ord)), r AS (SELECT *, sum(st) OVER (PARTITION BY lang ORDER BY ord) AS run FROM m) SELECT lang, CAST(run AS BIGINT) AS run, min(grp) AS grp, min(ord) AS first, count(*) AS n FROM r GROUP BY lang, run")
