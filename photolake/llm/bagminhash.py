@@ -259,7 +259,7 @@ def components(links: DataFrame) -> DataFrame:
     both = materialise(links.union(links.select("b", "a")).distinct(), "cc-links")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "cc-labels")
     hot = _hot(both.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "b")  # the middles of stars
-    both = _sliced(both, hot, "b", "a")
+    both = materialise(_sliced(both, hot, "b", "a"), "cc-sliced")
     while True:
         given = _fanned(labels.withColumnRenamed("node", "b"), hot, "b")
         spread = both.join(given, ["b", "slice"]).groupBy("a").agg(F.min("label").alias("near"))
