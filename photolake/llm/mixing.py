@@ -8,6 +8,7 @@ documents of a length are taken goes by a seeded hash, so reruns agree.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -76,17 +77,33 @@ def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     return taken
 
 
-def fit_counts(lengths: Sequence[int], counts: Sequence[int], budget: int, window: int = 1 << 16) -> list[int]:
+def fit_counts(lengths: Sequence[int], counts: Sequence[int], budget: int, window: int = 1 << 16, widest: int = 1 << 24) -> list[int]:
     """Documents to take of each length, within its count, for a sum near ``budget`` from below.
 
-    All but ``window`` words go to the lengths in proportion, long ones first, what rounding leaves
-    being carried on; the knapsack fits what is left of the budget then.
+    All but ``window`` words go to the lengths in proportion; the knapsack fits what is left of the
+    budget. Where that is not met to the word, the window grows until it is, or holds the budget, when
+    the sum is the largest there is, or is ``widest``. Words are counted in the lengths' common
+    divisor.
     """
+    unit = math.gcd(*(a for a, b in zip(lengths, counts, strict=True) if b > 0 and a > 0)) or 1
+    lengths = [a // unit for a in lengths]
+    budget = max(0, min(budget // unit, sum(a * b for a, b in zip(lengths, counts, strict=True))))
+    best, most = [0] * len(lengths), 0
+    while most < budget:
+        taken = _fit(lengths, counts, budget, window)
+        met = sum(n * length for n, length in zip(taken, lengths, strict=True))
+        if met > most:
+            best, most = taken, met
+        if window >= min(budget, widest):
+            break
+        window = min(8 * window, widest)
+    return best
+
+
+def _fit(lengths: Sequence[int], counts: Sequence[int], budget: int, window: int) -> list[int]:
+    """By proportion, long ones first, what rounding leaves being carried on; then by the knapsack."""
     total = sum(a * b for a, b in zip(lengths, counts, strict=True))
-    budget = max(0, min(budget, total))
     taken = [0] * len(lengths)
-    if not budget:
-        return taken
     spread, carry = max(0, budget - window), 0
     for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
         if lengths[k] <= 0:

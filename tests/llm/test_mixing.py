@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +31,24 @@ def test_fit_counts_meets_large_budgets_to_the_word():
         assert all(0 <= g <= c for g, c in zip(got, counts)) and sum(a * b for a, b in zip(got, lengths)) == budget
 
 
+@pytest.mark.parametrize(
+    "lengths,counts,budget",
+    [([20000, 16001, 12007], [60, 60, 60], 892_948), ([20000, 16001, 12007], [60, 60, 60], 2_217_969), ([300_007, 200_003, 99_991, 7_919], [9, 20, 30, 3], 10_000_000), ([6, 10], [1000, 900], 14_997), ([7], [50], 100)],
+)
+def test_few_lengths_are_fitted_as_by_plain_dynamic_programming(lengths, counts, budget):
+    reach = np.zeros(budget + 1, bool)
+    reach[0] = True
+    for length, count in zip(lengths, counts):
+        for _ in range(min(count, budget // length)):
+            more = reach.copy()
+            more[length:] |= reach[:-length]
+            if (more == reach).all():
+                break
+            reach = more
+    got = mx.fit_counts(lengths, counts, budget)
+    assert all(0 <= g <= c for g, c in zip(got, counts)) and sum(a * b for a, b in zip(got, lengths)) == int(np.flatnonzero(reach)[-1])
+
+
 def test_targets():
     assert mx.fill_targets([100, 100, 100], [5, 2, 1], 450) == pytest.approx([200, 2 / 3 * 250, 1 / 3 * 250])
     assert mx.fill_targets([10, 1000], [5, 2], 1515) == pytest.approx([20, 1495])
