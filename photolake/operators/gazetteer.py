@@ -73,9 +73,9 @@ def polygon_boxes(vertices: DataFrame) -> DataFrame:
 
 
 def quantise_places(places: DataFrame, transforms: DataFrame) -> DataFrame:
-    """Places on their country's grid, rounded. ``transforms``: code, scale, tx, ty."""
+    """Places on their country's grid, rounded. ``transforms``: code, scale_x, scale_y, tx, ty."""
     at = places.join(transforms, "code")
-    return at.select("code", "ord", "name", rnd((F.col("lon") - F.col("tx")) / F.col("scale")).alias("qx"), rnd((F.col("lat") - F.col("ty")) / F.col("scale")).alias("qy"))
+    return at.select("code", "ord", "name", rnd((F.col("lon") - F.col("tx")) / F.col("scale_x")).alias("qx"), rnd((F.col("lat") - F.col("ty")) / F.col("scale_y")).alias("qy"))
 
 
 def country_codes(world: DataFrame, admin0: DataFrame, aliases: dict[str, str], dropped: tuple[str, ...] = ("Antarctica",)) -> DataFrame:

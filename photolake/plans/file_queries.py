@@ -290,3 +290,15 @@ def i10(spark, sf_dir):
     )
     boxes = each.select("image_id", n(0, "ord"), n(2, "bx"), n(2, "by"), n(2, "bw"), n(2, "bh"), n("#000000", "fill"))
     return pixels.draw_collages(whole, placed, boxes).select(F.col("image_id").alias("collage_id"), "x", "y", "r")
+
+
+@query(
+    "s1_photo_files",
+    "SELECT concat('IMG ', CAST(doc_id AS VARCHAR), '.', CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN 'JPG' WHEN 1 THEN 'heic' ELSE 'txt' END) AS name, CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/heic' ELSE '' END AS mime, strlen(text) AS bytes, md5(text) AS digest FROM documents",
+)
+def s1(spark, sf_dir):
+    """Every text as a file, and all files read as photos."""
+    path, docs = work_path(spark, "photos"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ending = F.when(F.col("doc_id") % 3 == 0, "JPG").when(F.col("doc_id") % 3 == 1, "heic").otherwise("txt")
+    files.write_files(docs.select(F.concat(F.lit("IMG "), F.col("doc_id").cast("string"), F.lit("."), ending).alias("name"), F.col("text").cast("binary").alias("content")), path)
+    return files.read_photos(spark, path).select("name", "mime", "bytes", F.md5("content").alias("digest"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.paths import work_path
 from ..operators import articles, collage, edits, gazetteer, planning, redaction
+from ..sources import boundaries
 from . import fixtures as fx
 from .registry import query
 
@@ -505,9 +507,10 @@ def flat_boxes(spark, sf_dir):
     return gazetteer.polygon_boxes(gazetteer.flatten_polygons(typed))
 
 
-@query("b7_quantise_places", f"WITH {_CLEAN}, t AS (SELECT DISTINCT a3 AS code, length(a3)*0.01::DOUBLE AS scale, -180.0::DOUBLE AS tx, -90.0::DOUBLE AS ty FROM bridge) SELECT code, ord, name, CAST(floor((lon-tx)/scale+0.5) AS BIGINT) AS qx, CAST(floor((lat-ty)/scale+0.5) AS BIGINT) AS qy FROM clean JOIN t USING (code)")
+@query("b7_quantise_places", f"WITH {_CLEAN}, t AS (SELECT DISTINCT a3 AS code, length(a3)*0.01::DOUBLE AS scale_x, substr(a3, 3, 1)::INT*0.007::DOUBLE + 0.001 AS scale_y, -180.0::DOUBLE AS tx, -90.0::DOUBLE AS ty FROM bridge) SELECT code, ord, name, CAST(floor((lon-tx)/scale_x+0.5) AS BIGINT) AS qx, CAST(floor((lat-ty)/scale_y+0.5) AS BIGINT) AS qy FROM clean JOIN t USING (code)")
 def b7(spark, sf_dir):
-    grid = bridge(spark, sf_dir).select(F.col("a3").alias("code"), (F.length("a3") * 0.01).alias("scale"), F.lit(-180.0).alias("tx"), F.lit(-90.0).alias("ty")).distinct()
+    up = F.substring("a3", 3, 1).cast("int") * 0.007 + 0.001
+    grid = bridge(spark, sf_dir).select(F.col("a3").alias("code"), (F.length("a3") * 0.01).alias("scale_x"), up.alias("scale_y"), F.lit(-180.0).alias("tx"), F.lit(-90.0).alias("ty")).distinct()
     return gazetteer.quantise_places(towns(spark, sf_dir), grid)
 
 
@@ -549,6 +552,27 @@ def b9_check(spark, sf_dir):
 )
 def b10_written(spark, sf_dir):
     """Countries, places and bytes of one JSON document a country. The SQL adds up the characters."""
-    grid = bridge(spark, sf_dir).select(F.col("a3").alias("code"), F.lit(0.03).alias("scale"), F.lit(-180.0).alias("tx"), F.lit(-90.0).alias("ty")).distinct()
+    grid = bridge(spark, sf_dir).select(F.col("a3").alias("code"), F.lit(0.03).alias("scale_x"), F.lit(0.03).alias("scale_y"), F.lit(-180.0).alias("tx"), F.lit(-90.0).alias("ty")).distinct()
     placed = gazetteer.quantise_places(towns(spark, sf_dir), grid)
     return gazetteer.written_totals(gazetteer.country_documents(named_regions(spark, sf_dir), placed))
+
+
+@query("s4_gazetteer_files", f"SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, name, lat, lon, a2 FROM ({fx.GAZETTEER}) g")
+def s4(spark, sf_dir):
+    """The gazetteer as tab-separated files, each of a range of its lines, numbered through all of them."""
+    path, blank = work_path(spark, "gazetteer"), F.lit("")
+    lines = fx.view(spark, sf_dir, fx.GAZETTEER).repartitionByRange(5, "ord").sortWithinPartitions("ord")
+    cells = ["ord", "name", blank, blank, "lat", "lon", blank, blank, "a2"]
+    lines.select(F.concat_ws("\t", *[F.col(c).cast("string") if isinstance(c, str) else c for c in cells])).write.text(path)
+    return boundaries.read_gazetteer(spark, path)
+
+
+@query("s8_regions_written", f"WITH {_REGIONS}, {_CLEAN} SELECT code, 'region' AS kind, count(*) AS n, min(name) AS first FROM regions GROUP BY code UNION ALL SELECT code, 'place', count(*), min(name) FROM clean GROUP BY code")
+def s8(spark, sf_dir):
+    """Regions and places written by country over an older build, and read back from their folders."""
+    path = work_path(spark, "regions")
+    rows, places = named_regions(spark, sf_dir), towns(spark, sf_dir)
+    boundaries.write_regions_by_country(rows.withColumn("code", F.lit("OLD")), places.withColumn("code", F.lit("OLD")), path)
+    boundaries.write_regions_by_country(rows, places, path)
+    counted = lambda name, kind: spark.read.parquet(f"{path}/{name}").groupBy("code").agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"), F.min("name").alias("first"))
+    return counted("regions", "region").unionByName(counted("places", "place"))
