@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cut import sent, settle
+
 
 def latest_edits(log: DataFrame, photos: DataFrame, defaults: dict) -> DataFrame:
     """One state for each photo: its last entry by (ts, seq), or the defaults.
@@ -24,7 +26,14 @@ def remove_photos(removed: DataFrame, *tables: DataFrame) -> tuple[DataFrame, ..
 
 
 def replace_content(photos: DataFrame, updates: DataFrame) -> DataFrame:
-    """Some photos' bytes swapped, ids and order kept."""
-    new = updates.select("photo_id", F.col("content").alias("_new"))
-    swapped = photos.join(new, "photo_id", "left")
-    return swapped.withColumn("content", F.coalesce("_new", "content")).withColumn("bytes", F.octet_length("content").cast("long")).drop("_new")
+    """Some photos' bytes swapped, ids and order kept; an update without bytes changes nothing.
+
+    Photos without an update pass by with their bytes where the updates' ids are few enough to be
+    broadcast; of the others the old bytes are not even read.
+    """
+    new = updates.filter("content is not null").select("photo_id", F.col("content").alias("_new"))
+    ids = sent(settle(new.select("photo_id").distinct()))
+    kept = photos.join(ids, "photo_id", "left_anti")
+    others = [c for c in photos.columns if c != "content"]
+    changed = photos.select(*others).join(ids, "photo_id", "left_semi").join(new, "photo_id").withColumnRenamed("_new", "content")
+    return kept.unionByName(changed.select(*photos.columns)).withColumn("bytes", F.octet_length("content").cast("long"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cut import sent, settle
 from ..functions.numbers import rnd
 from ..functions.places import number_rows
 
@@ -25,8 +26,7 @@ def clean_places(gazetteer: DataFrame, bridge: DataFrame) -> DataFrame:
     rows = gazetteer.select("ord", "name", number("lat").alias("lat"), number("lon").alias("lon"), "a2")
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     sound = rows.filter(F.col("name").isNotNull() & (F.col("name") != "") & finite("lat") & finite("lon"))
-    # one row a country code: at most 26 * 26
-    return sound.join(F.broadcast(bridge), "a2").select(F.col("a3").alias("code"), "ord", "name", "lat", "lon")
+    return sound.join(sent(settle(bridge)), "a2").select(F.col("a3").alias("code"), "ord", "name", "lat", "lon")
 
 
 def named_regions(admin1: DataFrame) -> DataFrame:

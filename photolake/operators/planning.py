@@ -116,9 +116,11 @@ def cover_crop(src_w: Column, src_h: Column, target_w: Column, target_h: Column)
 
 
 def social_plan(photos: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Every photo at every chosen preset; ``chosen`` is a part of the eleven presets. The presets
-    travel as one array column, so no join is planned at all."""
-    rows = chosen.orderBy("preset_ord").collect()
+    """Every photo at every chosen preset; ``chosen`` is a part of the eleven presets, and more rows are
+    an error. The presets travel as one array column, so no join is planned at all."""
+    rows = chosen.orderBy("preset_ord").limit(12).collect()
+    if len(rows) > 11:
+        raise ValueError("there are eleven presets")
     table = F.array(*[F.struct(F.lit(r.preset_id).alias("preset_id"), F.lit(r.preset_w).alias("w"), F.lit(r.preset_h).alias("h")) for r in rows])
     each = photos.select("photo_id", "width", "height", F.explode(table).alias("p"))
     crop = cover_crop(F.col("width"), F.col("height"), F.col("p.w"), F.col("p.h"))
