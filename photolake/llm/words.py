@@ -27,7 +27,7 @@ def hash_spans(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64 bits for each byte string x[start:end], alike for equal ones.
 
     No polynomial: two lanes take in eight bytes at a time, each with its own constants, and only what
-    both make is seen, so that no byte string can be worked out that meets another. Strings over
+    both make is seen, so strings that meet under every polynomial do not meet here. Strings over
     _SPAN bytes are hashed by BLAKE2b.
     """
     size = end - start
