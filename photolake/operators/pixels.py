@@ -166,26 +166,29 @@ def content_blobs(mask: DataFrame, tile: int = TILE) -> DataFrame:
     changes. Pictures of one tile have no such links.
     """
     parts = settle(_tiles(mask, tile))
+    # a settled table of labels takes a fraction of its rows' memory on disk: no join here may be
+    # broadcast because its file is small
+    apart = lambda rows: rows.hint("merge")
     rims = parts.select("image_id", "node", F.explode("rim").alias("p")).select("image_id", "node", "p.x", "p.y")
     ahead = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (1, 1), (0, 1), (-1, 1))]))
     asked = rims.withColumn("d", ahead).select("image_id", F.col("node").alias("other"), (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"))
-    links = rims.join(asked, ["image_id", "x", "y"]).filter("node <> other").select("image_id", "node", "other").distinct()
+    links = rims.join(apart(asked), ["image_id", "x", "y"]).filter("node <> other").select("image_id", "node", "other").distinct()
     links = settle(links.unionByName(links.select("image_id", F.col("other").alias("node"), F.col("node").alias("other"))))
     merge = lambda rows, *keys: rows.groupBy(*_SIZE, *keys).agg(*[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"), (F.sum, "n"))])
     if not links.limit(1).count():
         return parts.select(*_SIZE, "x0", "y0", "x1", "y1", "n")
     labels = links.select("image_id", "node", F.col("node").alias("label")).distinct()
     while True:
-        told = links.join(labels.select("image_id", F.col("node").alias("other"), "label"), ["image_id", "other"]).groupBy("image_id", "node").agg(F.min("label").alias("near"))
-        new = labels.join(told, ["image_id", "node"]).withColumn("new", F.least("label", "near"))
+        told = links.join(apart(labels.select("image_id", F.col("node").alias("other"), "label")), ["image_id", "other"]).groupBy("image_id", "node").agg(F.min("label").alias("near"))
+        new = labels.join(apart(told), ["image_id", "node"]).withColumn("new", F.least("label", "near"))
         jump = new.select(F.col("image_id").alias("jump_image"), F.col("node").alias("at"), F.col("new").alias("beyond"))
         hop = (F.col("image_id") == F.col("jump_image")) & (F.col("new") == F.col("at"))
-        new = settle(new.join(jump, hop).select("image_id", "node", "label", F.least("new", "beyond").alias("new")))
+        new = settle(new.join(apart(jump), hop).select("image_id", "node", "label", F.least("new", "beyond").alias("new")))
         moved = new.filter("new <> label").limit(1).count()
         labels = new.select("image_id", "node", F.col("new").alias("label"))
         if not moved:
             break
-    return merge(parts.join(labels, ["image_id", "node"], "left").withColumn("label", F.coalesce("label", "node")), "label").drop("label")
+    return merge(parts.join(apart(labels), ["image_id", "node"], "left").withColumn("label", F.coalesce("label", "node")), "label").drop("label")
 
 
 def _tiles(mask: DataFrame, tile: int) -> DataFrame:

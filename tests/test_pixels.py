@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from photolake.functions import cut
 from photolake.operators import pixels
 
 SCHEMA = "image_id long, width int, height int, x int, y int, r int, g int, b int, a int"
@@ -178,3 +179,14 @@ def test_pixels_outside_all_regions_pass_by(spark):
     assert (arrays(out)[1] == 100).all()
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "face_image" not in plan
+
+
+def test_labels_are_not_broadcast(spark, monkeypatch):
+    """Links and labels grow with the pictures, so however small their files are no join sends them to the driver."""
+    plans = []
+    monkeypatch.setattr(pixels, "settle", lambda df: plans.append(df) or cut.settle(df))
+    mask = spark.range(400).selectExpr("id div 100 image_id", "10 width", "10 height", "cast(id % 10 as int) x", "cast(id % 100 div 10 as int) y")
+    found = pixels.content_blobs(mask, tile=3)
+    assert {r.n for r in found.collect()} == {100} and found.count() == 4
+    told = [df._jdf.queryExecution().executedPlan().toString() for df in [*plans, found]]
+    assert len(told) > 3 and not any("Broadcast" in t for t in told)
