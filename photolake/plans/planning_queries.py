@@ -438,10 +438,12 @@ _PART_QUERIES = """SELECT p_partkey AS query_id, CASE WHEN p_partkey % 50 = 7 TH
  SELECT query_id, count(*) AS articles, sum(article_id) AS id_sum, sum(article_id * article_id % 10007) AS id_mix FROM q JOIN s USING (words) GROUP BY query_id""",
 )
 def k4_parts(spark, sf_dir):
-    """As many queries as there are parts, over all articles."""
-    found = articles.search_all_words(article_rows(spark, sf_dir), fx.view(spark, sf_dir, _PART_QUERIES))
+    """As many queries as there are parts, over all articles. Equal ones are searched for and counted once."""
+    asked = fx.view(spark, sf_dir, _PART_QUERIES).select("query_id", articles.asked_words(F.col("text")).alias("asked"))
+    found = articles.search_asked(article_rows(spark, sf_dir), asked.select("asked"))
     mix = F.sum(F.col("article_id") * F.col("article_id") % 10007)
-    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("articles"), F.sum("article_id").alias("id_sum"), mix.alias("id_mix"))
+    told = found.groupBy("asked").agg(F.count(F.lit(1)).alias("articles"), F.sum("article_id").alias("id_sum"), mix.alias("id_mix"))
+    return asked.join(told, "asked").select("query_id", "articles", "id_sum", "id_mix")
 
 
 @query("k5_group_runs", f"WITH {_ARTICLES}, m AS (SELECT *, CASE WHEN lag(grp) OVER w IS NOT DISTINCT FROM grp AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS st FROM articles WINDOW w AS (PARTITION BY lang ORDER BY ord)), r AS (SELECT *, sum(st) OVER (PARTITION BY lang ORDER BY ord) AS run FROM m) SELECT lang, CAST(run AS BIGINT) AS run, min(grp) AS grp, min(ord) AS first, count(*) AS n FROM r GROUP BY lang, run")

@@ -53,3 +53,14 @@ def test_merged_sketches_count_shared_photos_once(spark):
     assert set(got) == {("a", "Software"), ("a", "Thumbnail"), (None, "Software")}
     for key, n in ((("a", "Software"), 10_000), (("a", "Thumbnail"), 10_000), ((None, "Software"), 20_000)):
         assert abs(got[key] - n) <= 5 * metadata.SKETCH_ERROR * n
+
+
+def test_equal_queries_are_searched_once(spark):
+    """Queries that ask for the same share one result, and long words without a blank are looked into too."""
+    docs = spark.createDataFrame([(k, "t", "", "g", f"Red BOLT n{k} " + "xy" * 60 + "zq") for k in range(40)], "article_id int, title string, summary string, grp string, body string")
+    asked = spark.range(5000).selectExpr("id query_id", "array('bolt  red', ' Red bolt ', 'yxyzq', 'n1 bolt')[int(id % 4)] text")
+    sets = asked.select(articles.asked_words(F.col("text")).alias("asked"))
+    assert sorted(r.asked for r in sets.distinct().collect()) == ["bolt n1", "bolt red", "yxyzq"]
+    found = articles.search_asked(docs, sets)
+    assert {r.asked: r["count"] for r in found.groupBy("asked").count().collect()} == {"bolt n1": 11, "bolt red": 40, "yxyzq": 40}
+    assert articles.search_all_words(docs, asked).count() == 1250 * (40 + 40 + 40 + 11)
