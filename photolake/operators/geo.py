@@ -280,8 +280,9 @@ def country_code(asked: DataFrame, names: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Towns:
-    """Towns as a quadtree for each code: nodes (code, level, cx, cy, n, is_leaf, and the box w, s, e, n of
-    their towns), the first node of each code, and the leaves' towns, at most ``most`` to a leaf."""
+    """Towns as a quadtree for each code: nodes (code, level, cx, cy, kids: level, cx, cy, is_leaf, and the
+    box w, s, e, n of their towns), the first node of each code (a kid as ``node``), and the leaves (code,
+    level, cx, cy, towns: ord, name, lon, lat), at most ``most`` to a leaf."""
 
     nodes: DataFrame
     roots: DataFrame
@@ -315,45 +316,66 @@ def index_towns(places: DataFrame, transforms: DataFrame, most: int = 64) -> Tow
     split = nodes.withColumns({"up_x": F.floor(F.col("cx") / 4), "up_y": F.floor(F.col("cy") / 4)}).join(up, ["code", "level", "up_x", "up_y"], "left").join(wide, "code")
     kept = split.filter((F.col("level") == F.col("first")) | ((F.col("level") > F.col("first")) & (F.col("above") > most)))
     kept = settle(kept.select(*keys, "up_x", "up_y", "w", "s", "e", "n", (F.col("towns") <= most).alias("is_leaf"), (F.col("level") == F.col("first")).alias("is_root")))
-    leaves = settle(each.join(kept.filter("is_leaf").select(*keys), keys).select(*keys, "ord", "name", "lon", "lat"))
+    kid = F.struct("level", "cx", "cy", "is_leaf", "w", "s", "e", "n")
+    inner = kept.filter("not is_root").groupBy("code", (F.col("level") - 2).alias("level"), F.col("up_x").alias("cx"), F.col("up_y").alias("cy")).agg(F.collect_list(kid).alias("kids"))
+    filled = each.join(kept.filter("is_leaf").select(*keys), keys).groupBy(*keys).agg(F.collect_list(F.struct("ord", "name", "lon", "lat")).alias("towns"))
     depth = kept.groupBy("code").agg((F.max("level") - F.min("level")).alias("d")).agg(F.max("d")).head()[0] or 0
-    return Towns(sent(kept.filter("not is_root")), sent(kept.filter("is_root")), sent(leaves), depth)
+    few = 1_000_000 // most  # rows hold up to so many towns
+    return Towns(sent(settle(inner), few), sent(settle(kept.filter("is_root").select("code", kid.alias("node")))), sent(settle(filled), few), depth)
 
 
 def nearest_place(located: DataFrame, towns: Towns) -> DataFrame:
     """(point_id, place, place_km): the nearest town of the point's code by scaled squared degrees; the
     first by ord on a tie. Longitudes do not wrap. ``located``: point_id, code, lon, lat.
 
-    Each point goes down its code's tree with the nodes that may still hold its nearest town: those no
-    farther than the farthest corner of any. It then meets those leaves' towns.
+    Each point first goes down its code's tree by the nearest box alone. The nearest town of the leaf it
+    comes to is a bound, with which it goes down again by every box that may hold a nearer one, or one
+    as near. A row is a point and one node, so nothing is grouped before the last step, which has a row
+    for each leaf met.
     """
     k = F.greatest(F.lit(0.02), F.cos(F.col("lat") * math.pi / 180))
-    box = lambda node: F.struct(*(node(c).alias(c) for c in ("level", "cx", "cy", "is_leaf")), *_reach(node, k))
-    at = located.repartition("point_id").select("point_id", "code", "lon", "lat").join(towns.roots.select("code", "level", "cx", "cy", "is_leaf", "w", "s", "e", "n"), "code")
-    at = at.select("point_id", "code", "lon", "lat", F.array(box(F.col)).alias("nodes"))
-    below = towns.nodes.select("code", F.col("level").alias("to_level"), "up_x", "up_y", F.struct("level", "cx", "cy", "is_leaf", "w", "s", "e", "n").alias("child"))
+    points = located.repartition("point_id").select("point_id", "code", "lon", "lat", k.alias("k"))
+    own = ["point_id", "code", "lon", "lat", "k"]
+    at = points.join(towns.roots, "code")
     for _ in range(0, towns.levels, 2):
-        each = at.select("point_id", "code", "lon", "lat", F.explode("nodes").alias("node"))
-        each = each.withColumns({"to_level": F.when(~F.col("node.is_leaf"), F.col("node.level") + 2), "up_x": F.col("node.cx"), "up_y": F.col("node.cy")})
-        each = each.join(below, ["code", "to_level", "up_x", "up_y"], "left")
-        child = box(lambda c: F.col(f"child.{c}"))
-        each = each.select("point_id", "code", "lon", "lat", F.when(F.col("child").isNull(), F.col("node")).otherwise(child).alias("node"))
-        at = each.groupBy("point_id", "code", "lon", "lat").agg(F.collect_list("node").alias("all"), F.min("node.far").alias("bound"))
-        at = at.select("point_id", "code", "lon", "lat", F.filter("all", lambda n: n["near"] <= F.col("bound")).alias("nodes"))
-    asked = at.select("point_id", "code", F.col("lon").alias("own_lon"), F.col("lat").alias("own_lat"), F.explode("nodes").alias("node")).select("point_id", "code", "own_lon", "own_lat", "node.level", "node.cx", "node.cy")
-    met = asked.join(towns.leaves, ["code", "level", "cx", "cy"])
-    own_k = F.greatest(F.lit(0.02), F.cos(F.col("own_lat") * math.pi / 180))
-    dlat, dlon = F.col("lat") - F.col("own_lat"), (F.col("lon") - F.col("own_lon")) * own_k
-    best = met.groupBy("point_id").agg(F.min(F.struct((dlat * dlat + dlon * dlon).alias("sq"), "ord", "name")).alias("b"))
+        closest = F.array_min(F.transform("kids", lambda n: F.struct(_near(n).alias("near"), n.alias("node"))))["node"]
+        at = _under(at, towns.nodes, own).select(*own, F.when(F.col("kids").isNull(), F.col("node")).otherwise(closest).alias("node"))
+    at = _at_leaves(at, towns.leaves, own).select(*own, _best()["sq"].alias("bound")).join(towns.roots, "code")
+    own = [*own, "bound"]
+    for _ in range(0, towns.levels, 2):
+        within = F.filter("kids", lambda n: _near(n) <= F.col("bound"))
+        at = _under(at, towns.nodes, own).select(*own, F.explode(F.when(F.col("kids").isNull(), F.array("node")).otherwise(within)).alias("node"))
+    met = _at_leaves(at, towns.leaves, own).select("point_id", _best().alias("b"))
+    best = met.groupBy("point_id").agg(F.min("b").alias("b"))
     return best.select("point_id", F.col("b.name").alias("place"), (F.sqrt("b.sq") * KM_PER_DEGREE).alias("place_km"))
 
 
-def _reach(node, k: Column) -> tuple[Column, Column]:
-    """Squared distances of the point to the nearest and farthest corner of a node's box, as towns'."""
-    lon, lat = F.col("lon"), F.col("lat")
-    dlat = F.greatest(node("s") - lat, lat - node("n"), F.lit(0.0)), F.greatest(F.abs(node("s") - lat), F.abs(node("n") - lat))
-    dlon = F.greatest(node("w") - lon, lon - node("e"), F.lit(0.0)) * k, F.greatest(F.abs(node("w") - lon), F.abs(node("e") - lon)) * k
-    return tuple((a * a + b * b).alias(name) for a, b, name in zip(dlat, dlon, ("near", "far"), strict=True))
+def _under(at: DataFrame, nodes: DataFrame, own: list[str]) -> DataFrame:
+    """Rows of points at a ``node`` with its ``kids``; leaves have none."""
+    keyed = at.select(*own, "node", "node.level", "node.cx", "node.cy")
+    return keyed.join(nodes, ["code", "level", "cx", "cy"], "left")
+
+
+def _at_leaves(at: DataFrame, leaves: DataFrame, own: list[str]) -> DataFrame:
+    """Rows of points at a leaf ``node`` with its ``towns``."""
+    return at.select(*own, "node.level", "node.cx", "node.cy").join(leaves, ["code", "level", "cx", "cy"])
+
+
+def _best() -> Column:
+    """(sq, ord, name) of the nearest of a row's ``towns``."""
+
+    def one(t: Column) -> Column:
+        dlat, dlon = t["lat"] - F.col("lat"), (t["lon"] - F.col("lon")) * F.col("k")
+        return F.struct((dlat * dlat + dlon * dlon).alias("sq"), t["ord"].alias("ord"), t["name"].alias("name"))
+
+    return F.array_min(F.transform("towns", one))
+
+
+def _near(node: Column) -> Column:
+    """Squared distance of the point to the nearest corner or side of a node's box, as towns'."""
+    dlat = F.greatest(node["s"] - F.col("lat"), F.col("lat") - node["n"], F.lit(0.0))
+    dlon = F.greatest(node["w"] - F.col("lon"), F.col("lon") - node["e"], F.lit(0.0)) * F.col("k")
+    return dlat * dlat + dlon * dlon
 
 
 def bounds_of(index: Boundaries) -> DataFrame:

@@ -194,3 +194,16 @@ def test_gazetteer_lines_keep_their_order_over_files_and_splits(spark, tmp_path)
     finally:
         for k, v in was.items():
             spark.conf.set(k, v)
+
+
+def test_points_are_not_grouped_on_their_way_to_towns(spark):
+    """Lists of nodes by point and rows by town had to be sorted; only the nearest towns of few leaves meet."""
+    grid = spark.createDataFrame([("c1", 0.01, 0.01, 0.0, 0.0)], "set_id string, scale_x double, scale_y double, tx double, ty double")
+    places = spark.range(900).selectExpr("'c1' set_id", "1 code", "id ord", "concat('t', id) name", "int(id % 30) * 7 qx", "int(id div 30) * 5 qy")
+    towns = geo.index_towns(places, grid, 4)
+    most, whole = towns.leaves.agg(F.max(F.size("towns")), F.sum(F.size("towns"))).head()
+    assert most <= 4 and whole == 900 and towns.levels >= 2
+    points = spark.range(300).selectExpr("id point_id", "1 code", "id % 17 * 0.13 lon", "id % 23 * 0.07 lat")
+    found = geo.nearest_place(points, towns)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and found.count() == 300
