@@ -53,7 +53,9 @@ def to_png(pixels: DataFrame) -> DataFrame:
     octet = lambda c: F.lpad(F.hex(F.col(c)), 2, "0")
     dots = pixels.groupBy(*_SIZE, "y").agg(F.array_sort(F.collect_list(F.struct("x", F.concat(*map(octet, _RGBA)).alias("h")))).alias("p"))
     lines = dots.select(*_SIZE, "y", F.unhex(F.concat(F.lit("00"), F.array_join("p.h", ""))).alias("line"))
-    whole = lines.groupBy(*_SIZE).agg(F.array_sort(F.collect_list(F.struct("y", "line"))).alias("p"))
+    # few bytes may be many files: they stay dealt over all tasks, however small the partitions are
+    parts = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = lines.repartition(parts, *_SIZE).groupBy(*_SIZE).agg(F.array_sort(F.collect_list(F.struct("y", "line"))).alias("p"))
 
     @F.pandas_udf("binary")
     def png(width: pd.Series, height: pd.Series, lines: pd.Series) -> pd.Series:

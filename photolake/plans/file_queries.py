@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.cut import settle
 from ..functions.paths import work_path
 from ..operators import containers, pixels, planning
 from ..sources import backups, files
@@ -200,8 +201,8 @@ def s2(spark, sf_dir):
   2 * (max(x) FILTER (content) - min(x) FILTER (content) + 1) AS box_w, 2 * (max(y) FILTER (content) - min(y) FILTER (content) + 1) AS box_h FROM c GROUP BY image_id, bg""",
 )
 def s2_i5(spark, sf_dir):
-    """Content boxes of picture files, found in copies of half their size."""
-    found = pixels.analyse(picture_files(spark, sf_dir), longest=4, alpha_longest=8)
+    """Content boxes of picture files, found in copies of half their size. The files are opened once."""
+    found = pixels.analyse(settle(picture_files(spark, sf_dir)), longest=4, alpha_longest=8)
     return found.select("image_id", "has_alpha", "bg_r", "content", "box_x", "box_y", "box_w", "box_h")
 
 

@@ -107,3 +107,11 @@ def test_backups_and_export(spark, tmp_path):
     files.write_export(exports, str(tmp_path / "e"))
     row = spark.read.parquet(str(tmp_path / "e")).collect()
     assert len(row) == 1 and row[0].photo_id == 2 and row[0].collisions == 2
+
+
+def test_picture_files_are_opened_once(spark):
+    """Every look at the pixels opened all files again."""
+    from photolake.plans import file_queries
+
+    plan = file_queries.s2_i5(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "image" in plan and "FileScan image" not in plan and "ImageFileFormat" not in plan
