@@ -23,3 +23,13 @@ def settle(df: DataFrame) -> DataFrame:
 def sent(table: DataFrame, most: int = 1_000_000) -> DataFrame:
     """``table``, which is settled, marked to be broadcast if it has at most ``most`` rows."""
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
+#: Rows of a task that sorts: few enough to be sorted in memory.
+TASK_ROWS = 200_000
+
+
+def tasks_for(table: DataFrame) -> int:
+    """As many tasks as give each about TASK_ROWS rows of ``table``, or one a core if that is more. The rows
+    are counted, which for views over Parquet tables reads their footers alone."""
+    return max(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() // TASK_ROWS))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cut import tasks_for
 from ..functions.numbers import clamp01, rnd
 
 MIN_BOX = 4  # pixels a side
@@ -79,8 +80,14 @@ def redactions_for(photos: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def number_faces(detections: DataFrame, photos: DataFrame) -> DataFrame:
-    """Detected faces in reading order (y, then x) as face-0, face-1, ..., cut to the photo."""
-    cut = _inside(_with_size(detections, photos), 1)
+    """Detected faces in reading order (y, then x) as face-0, face-1, ..., cut to the photo.
+
+    The join and the window sort a task's faces one after the other; photos are dealt over as many tasks as
+    there are faces for, whatever the number of shuffle partitions is.
+    """
+    tasks = tasks_for(detections)
+    dealt = (rows.repartition(tasks, "photo_id") for rows in (detections, photos.select("photo_id", "width", "height")))
+    cut = _inside(_with_size(*dealt), 1)
     order = Window.partitionBy("photo_id").orderBy("y", "x", "width", "height", "det_id")
     return cut.withColumn("face_no", F.row_number().over(order) - 1).select(
         "photo_id", F.concat(F.lit("face-"), F.col("face_no")).alias("face_id"), "face_no", "x", "y", "width", "height", F.lit(True).alias("enabled")

@@ -3,7 +3,10 @@
 import random
 from itertools import groupby
 
-from photolake.operators import articles, inventory
+from pyspark.sql import functions as F
+
+from photolake.functions import cut
+from photolake.operators import articles, inventory, redaction
 
 
 def test_runs_over_edges_of_partitions(spark):
@@ -25,3 +28,19 @@ def test_batches_are_told_without_a_window(spark):
     told = inventory.classify_files(files)
     assert {r.photo_id: r.reason for r in told.collect()} == {1: None, 2: "dropped", 3: "The file is empty", 4: "Not an image file", 5: "Not an image file"}
     assert "Window" not in told._jdf.queryExecution().optimizedPlan().toString() and told.columns == [*files.columns, "is_image", "reason"]
+
+
+def test_faces_are_dealt_over_tasks_by_their_number(spark, monkeypatch):
+    """All faces were sorted in as many tasks as there are shuffle partitions."""
+    monkeypatch.setattr(cut, "TASK_ROWS", 100, raising=False)
+    faces = spark.range(3000).selectExpr("id % 500 AS photo_id", "id AS det_id", "double(id * 7 % 90) AS x", "double(id * 13 % 70) AS y", "9D AS width", "8D AS height")
+    found = redaction.number_faces(faces, spark.range(500).selectExpr("id AS photo_id", "80 AS width", "60 AS height"))
+    tasks = found.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 20 and max(r["count"] for r in tasks) < 400
+    rows = [(k % 500, min(59, k * 13 % 70), min(79, k * 7 % 90)) for k in range(3000)]
+    want = {f: [(y, x) for _, y, x in sorted(r for r in rows if r[0] == f)] for f in range(500)}
+    got = {f: [] for f in range(500)}
+    for r in sorted(found.collect(), key=lambda r: (r.photo_id, r.face_no)):
+        assert r.face_id == f"face-{r.face_no}" and r.face_no == len(got[r.photo_id])
+        got[r.photo_id].append((r.y, r.x))
+    assert got == want
