@@ -115,3 +115,51 @@ def test_picture_files_are_opened_once(spark):
 
     plan = file_queries.s2_i5(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "image" in plan and "FileScan image" not in plan and "ImageFileFormat" not in plan
+
+
+def test_photos_are_listed_and_opened_by_tasks(spark, tmp_path):
+    """A plan that names each file passed through the driver, and empty files were left out."""
+    root = tmp_path / "in put"
+    names = ["a b+c.jpg", "é.png", "q#r?.jpg", "plain", "k=1/l.jpg", "deep/er/m.heic", "_k=2/n.jpg", "_hidden.jpg", ".hidden.jpg", "_under/o.jpg", ".under/p.jpg", "part._COPYING_"]
+    for k, name in enumerate(names):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"x" * (k + 1))
+    (root / "gone.jpg").symlink_to(root / "nowhere")
+    own = files._named(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}"))
+    want = sorted(tuple(r) for r in own.collect())
+    assert len(want) == 7
+    for path in (f"{root}", f"{root}/", f"file:{root}", f"file://{root}"):
+        found = files.read_photos(spark, path)
+        assert found.schema == own.schema and sorted(tuple(r) for r in found.collect()) == want
+    assert "binaryFile" not in found._jdf.queryExecution().toString()
+    planned = files.read_photos(spark, str(root), content=False)
+    assert sorted(tuple(r) for r in planned.collect()) == [r[:-1] for r in want] and planned.columns == own.columns[:-1]
+    assert [r[1] for r in files.read_photos(spark, str(root / "plain")).collect()] == ["plain"]
+    (root / "empty.jpg").write_bytes(b"")
+    assert {(r.name, r.bytes, bytes(r.content)) for r in files.read_photos(spark, str(root)).collect() if not r.bytes} == {("empty.jpg", 0, b"")}
+    (tmp_path / "nothing").mkdir()
+    assert files.read_photos(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_large_photos_come_in_bounded_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "_BATCH_BYTES", 1000)
+    for k in range(40):
+        (tmp_path / f"{k}.jpg").write_bytes(bytes([k]) * (10 if k % 3 else 2500))
+    got = {r.name: bytes(r.content) for r in files.read_photos(spark, str(tmp_path)).collect()}
+    assert got == {f"{k}.jpg": bytes([k]) * (10 if k % 3 else 2500) for k in range(40)}
+
+
+def test_every_text_is_a_file_in_one_of_many_folders(spark, tmp_path, monkeypatch):
+    """All files were written into one folder; those of empty texts were not read."""
+    import duckdb
+
+    from photolake.plans import file_queries
+    from photolake.plans.queries import ORACLE_SQL
+
+    monkeypatch.setattr(file_queries, "work_path", lambda spark, tag: str(tmp_path / tag))
+    spark.createDataFrame([(k, "é" * k) for k in range(500)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in file_queries.s1(spark, str(tmp_path)).collect()) == sorted(con.execute(ORACLE_SQL["s1_photo_files"]).fetchall())
+    folders = [len([f for f in d.iterdir() if f.is_file()]) for d in (tmp_path / "photos").iterdir() if d.is_dir()]
+    assert sum(folders) == 500 and max(folders) < 50
