@@ -129,10 +129,8 @@ def write_files(files: DataFrame, path: str) -> None:
                     out.write(content)
             yield batch.select(["name"])
 
-    # few splits may be many files: they are dealt over all tasks
-    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = files.select("name", F.pmod(F.xxhash64("name"), F.lit(_FOLDERS)).cast("string").alias("folder"), "content").repartition(tasks, "name")
-    dealt.mapInArrow(save, "name string").write.format("noop").mode("overwrite").save()
+    folder = F.pmod(F.xxhash64("name"), F.lit(_FOLDERS)).cast("string").alias("folder")
+    files.select("name", folder, "content").mapInArrow(save, "name string").write.format("noop").mode("overwrite").save()
 
 
 def write_export(exports: DataFrame, path: str) -> None:
